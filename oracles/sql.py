@@ -1,3 +1,399 @@
-"""Independent DuckDB SQL for the registered queries (filled per group)."""
+"""Independent DuckDB SQL for the registered queries.
 
+Written as plain long-form SQL over the driver's views (lineitem, orders, events,
+embeddings, part); training steps are unrolled as chains of materialised CTEs. Queries
+whose result only Spark can produce (PCA, files written by Spark, long training runs)
+have no entry and get a rows-only check.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+
+from oracles.build import ONE, ZERO, Chain, act_grad, normal, params_rows, r4, r6, uniform
+from stackwise.functions.activations import sql_act
+from stackwise.functions.random import derive_seed
+from stackwise.functions.vectors import sql_float as fl
+from stackwise.operators import sampling as S
+from stackwise.plans import catalog as C
+from stackwise.plans import fixtures as FX
+
+SEED = C.SEED
 ORACLES: dict[str, str] = {}
+
+
+def oracle(name):
+    def deco(fn):
+        ORACLES[name] = fn()
+        return fn
+    return deco
+
+
+# ============================================================================ inputs
+
+LI_BASE = ("SELECT row_number() OVER () AS r, l_returnflag, l_linestatus, l_quantity / 50 AS f0, l_discount * 10 AS f1, "
+           "l_tax * 10 AS f2, l_extendedprice / 105000 AS f3 FROM lineitem")
+
+
+def li_inputs(ch: Chain) -> tuple[str, str, str]:
+    base = ch.add(LI_BASE, "li")
+    x = ch.add(" UNION ALL ".join(f"SELECT r, {i} AS i, f{i} AS v FROM {base}" for i in range(4)), "li_x")
+    y = ch.add(" UNION ALL ".join(
+        f"SELECT r, {k} AS i, CASE WHEN l_returnflag = '{f}' THEN {ONE} ELSE {ZERO} END AS v FROM {base}"
+        for k, f in enumerate(["A", "N", "R"])), "li_y")
+    return base, x, y
+
+
+def em_inputs(ch: Chain, binary: bool = False) -> tuple[str, str, str]:
+    base = ch.add("SELECT vec_id AS r, label, embedding AS emb FROM embeddings", "em")
+    val = "CAST(emb[i + 1] AS DOUBLE)"
+    if binary:
+        val = f"CASE WHEN CAST(emb[i + 1] AS DOUBLE) > 0 THEN {ONE} ELSE {ZERO} END"
+    x = ch.add(f"SELECT r, i, {val} AS v FROM (SELECT r, emb, unnest(generate_series(0, 9)) AS i FROM {base})", "em_x")
+    y = ch.add(f"SELECT r, k AS i, CASE WHEN label = k THEN {ONE} ELSE {ZERO} END AS v "
+               f"FROM (SELECT r, label, unnest(generate_series(0, 9)) AS k FROM {base})", "em_y")
+    return base, x, y
+
+
+EV_BASE = ("SELECT event_id AS r, event_type, value / 1000 AS x0, "
+           "CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) / 100 AS x1, (user_id % 100) / 100 AS x2 FROM events")
+
+
+def ev_inputs(ch: Chain) -> tuple[str, str]:
+    base = ch.add(EV_BASE, "ev")
+    x = ch.add(" UNION ALL ".join(f"SELECT r, {i} AS i, x{i} AS v FROM {base}" for i in range(3)), "ev_x")
+    return base, x
+
+
+def unit_means(x: str, name: str | None = None, rnd=r6, agg: str = "AVG") -> str:
+    nm = f"'{name}' AS name, " if name is not None else ""
+    return f"SELECT {nm}CAST(i AS INTEGER) AS unit, {rnd(f'{agg}(v)')} AS value FROM {x} GROUP BY i"
+
+
+# ============================================================================ A: sources
+
+@oracle("parse_numeric_rows")
+def _():
+    return ("SELECT o_orderkey, o_totalprice AS p0, CAST(o_custkey AS DOUBLE) AS p1, CAST(o_orderkey AS DOUBLE) AS p2, "
+            "CAST(3 AS INTEGER) AS width FROM orders")
+
+
+@oracle("read_raw_table")
+def _():
+    return "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders"
+
+
+@oracle("read_clean_table")
+def _():
+    ch = Chain()
+    _, x, y = li_inputs(ch)
+    return ch.render(unit_means(y, "label") + " UNION ALL " + unit_means(x, "features"))
+
+
+@oracle("write_clean_table")
+def _():
+    return "SELECT CAST(2 AS INTEGER) AS n_fields, CAST(COUNT(*) AS BIGINT) AS n_rows FROM lineitem"
+
+
+@oracle("preview_rows")
+def _():
+    return ("SELECT o_orderkey, o_custkey, NULLIF(o_orderstatus, 'P') AS o_orderstatus, o_totalprice, o_orderpriority "
+            "FROM orders ORDER BY o_orderkey LIMIT 11")
+
+
+@oracle("concat_datasets")
+def _():
+    return ("SELECT o_orderstatus, CAST(COUNT(*) AS BIGINT) AS n, CAST(SUM(o_orderkey) AS BIGINT) AS key_sum FROM "
+            "(SELECT o_orderkey, o_orderstatus FROM orders UNION ALL SELECT o_orderkey, o_orderstatus FROM orders "
+            "WHERE o_orderstatus = 'F') GROUP BY o_orderstatus")
+
+
+# ============================================================================ B: preparation
+
+@oracle("blank_to_null")
+def _():
+    return ("SELECT CAST(COUNT(*) FILTER (WHERE o_orderstatus = 'P') AS BIGINT) AS null_status, "
+            "CAST(COUNT(*) FILTER (WHERE o_orderpriority = '5-LOW') AS BIGINT) AS null_priority, "
+            "CAST(COUNT(*) AS BIGINT) AS n FROM orders")
+
+
+@oracle("one_hot_encode")
+def _():
+    parts = [f"SELECT 'l_returnflag' AS name, CAST({k} AS INTEGER) AS unit, "
+             f"{r4(f'SUM(CASE WHEN l_returnflag = {chr(39)}{v}{chr(39)} THEN {ONE} ELSE {ZERO} END)')} AS value FROM lineitem"
+             for k, v in enumerate(["A", "N", "R"])]
+    parts += [f"SELECT 'l_linestatus' AS name, CAST({k} AS INTEGER) AS unit, "
+              f"{r4(f'SUM(CASE WHEN l_linestatus = {chr(39)}{v}{chr(39)} THEN {ONE} ELSE {ZERO} END)')} AS value FROM lineitem"
+              for k, v in enumerate(["F", "O"])]
+    return " UNION ALL ".join(parts)
+
+
+@oracle("multi_hot_encode")
+def _():
+    kw = C.part_keywords()
+    parts = []
+    for bit in range(16):
+        in_dict = " ".join(f"WHEN p_name = '{p}' THEN {ONE if bit in bs else ZERO}" for p, bs in C.PART_PHRASES.items())
+        rule = " OR ".join(f"strpos(p_name, '{k}') > 0" for k, bs in kw.items() if bit in bs) or "FALSE"
+        expr = f"CASE {in_dict} WHEN {rule} THEN {ONE} ELSE {ZERO} END"
+        parts.append(f"SELECT CAST({bit} AS INTEGER) AS unit, {r4(f'SUM({expr})')} AS value FROM part")
+    return " UNION ALL ".join(parts)
+
+
+@oracle("encode_passthrough")
+def _():
+    return ("SELECT o_orderpriority, CAST(COUNT(*) AS BIGINT) AS n FROM orders "
+            "WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM') GROUP BY o_orderpriority")
+
+
+@oracle("profile_columns")
+def _():
+    cols = [("l_quantity", "numeric", "l_quantity IS NULL"), ("l_discount", "numeric", "l_discount = 0"),
+            ("l_returnflag", "category", "l_returnflag = 'A'"), ("l_linestatus", "category", "l_linestatus IS NULL")]
+    return " UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{r}' AS role, CAST(COUNT(*) FILTER (WHERE {w}) AS BIGINT) AS n_missing "
+                              f"FROM lineitem" for c, r, w in cols)
+
+
+@oracle("select_features")
+def _():
+    ch = Chain()
+    base = ch.add("SELECT row_number() OVER () AS r, * FROM lineitem", "li")
+    x = ch.add(" UNION ALL ".join(f"SELECT r, {i} AS i, CAST({c} AS DOUBLE) AS v FROM {base}"
+                                  for i, c in enumerate(["l_quantity", "l_extendedprice", "l_discount", "l_tax"])))
+    y = ch.add(" UNION ALL ".join(f"SELECT r, {k} AS i, CASE WHEN l_returnflag = '{f}' THEN {ONE} ELSE {ZERO} END AS v FROM {base}"
+                                  for k, f in enumerate(["A", "N", "R"])))
+    return ch.render(unit_means(y, "label") + " UNION ALL " + unit_means(x, "features"))
+
+
+@oracle("assemble_samples")
+def _():
+    cols = ", ".join(f"CASE WHEN o_orderstatus = '{s}' THEN {ONE} ELSE {ZERO} END AS l{k}" for k, s in enumerate(["F", "O", "P"]))
+    return (f"SELECT o_orderkey AS row_id, CAST(3 AS INTEGER) AS label_width, {cols}, o_totalprice / 500000 AS f0, "
+            f"(o_custkey % 1000) / 1000 AS f1 FROM orders")
+
+
+LI_NUM_SQL = {"l_quantity": "l_quantity", "l_extendedprice": "l_extendedprice", "l_discount": "NULLIF(l_discount, 0)", "l_tax": "l_tax"}
+
+
+@oracle("column_stats")
+def _():
+    return " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", {r6(f'MIN({e})')} AS min, {r6(f'MAX({e})')} AS max, {r6(f'AVG({e})')} AS mean FROM lineitem"
+        for c, e in LI_NUM_SQL.items())
+
+
+@oracle("impute_mean")
+def _():
+    return ("WITH m AS MATERIALIZED (SELECT AVG(NULLIF(l_discount, 0)) AS mu FROM lineitem), "
+            "x AS MATERIALIZED (SELECT COALESCE(NULLIF(l_discount, 0), (SELECT mu FROM m)) AS d FROM lineitem) "
+            f"SELECT CAST(COUNT(*) AS BIGINT) AS n, CAST(COUNT(*) FILTER (WHERE d IS NULL) AS BIGINT) AS n_null, "
+            f"{r6('AVG(d)')} AS mean_discount, {r4('SUM(d)')} AS sum_discount FROM x")
+
+
+@oracle("min_max_scale")
+def _():
+    parts = []
+    for c, e in LI_NUM_SQL.items():
+        scaled = f"(({e}) - (SELECT MIN({e}) FROM lineitem)) / ((SELECT MAX({e}) FROM lineitem) - (SELECT MIN({e}) FROM lineitem))"
+        parts.append(f"SELECT '{c}' AS \"column\", {r6(f'MIN({scaled})')} AS min, {r6(f'MAX({scaled})')} AS max, "
+                     f"{r6(f'AVG({scaled})')} AS mean FROM lineitem")
+    return " UNION ALL ".join(parts)
+
+
+@oracle("impute_category_default")
+def _():
+    half = "CAST(0.5 AS DOUBLE)"
+    return " UNION ALL ".join(
+        f"SELECT CAST({k} AS INTEGER) AS unit, "
+        f"{r4(f'SUM(CASE WHEN o_orderstatus = {chr(39)}P{chr(39)} THEN {half} WHEN o_orderstatus = {chr(39)}{s}{chr(39)} THEN {ONE} ELSE {ZERO} END)')} AS value FROM orders"
+        for k, s in enumerate(["F", "O"]))
+
+
+@oracle("prepare_table")
+def _():
+    half = "CAST(0.5 AS DOUBLE)"
+    parts = []
+    for k, s in enumerate(["N", "R"]):
+        e = f"CASE WHEN l_returnflag = 'A' THEN {half} WHEN l_returnflag = '{s}' THEN {ONE} ELSE {ZERO} END"
+        parts.append(f"SELECT 'l_returnflag' AS name, CAST({k} AS INTEGER) AS unit, {r6(f'AVG({e})')} AS value FROM lineitem")
+    for k, s in enumerate(["F", "O"]):
+        e = f"CASE WHEN l_linestatus = '{s}' THEN {ONE} ELSE {ZERO} END"
+        parts.append(f"SELECT 'l_linestatus' AS name, CAST({k} AS INTEGER) AS unit, {r6(f'AVG({e})')} AS value FROM lineitem")
+    for c, e in LI_NUM_SQL.items():
+        filled = f"COALESCE({e}, (SELECT AVG({e}) FROM lineitem))"
+        scaled = f"(({filled}) - (SELECT MIN({e}) FROM lineitem)) / ((SELECT MAX({e}) FROM lineitem) - (SELECT MIN({e}) FROM lineitem))"
+        parts.append(f"SELECT '{c}' AS name, CAST(0 AS INTEGER) AS unit, {r6(f'AVG({scaled})')} AS value FROM lineitem")
+    return " UNION ALL ".join(parts)
+
+
+# ============================================================================ C: sampling
+
+@oracle("train_validation_split")
+def _():
+    u = uniform("event_id", "0", derive_seed(SEED, S.SPLIT))
+    return (f"SELECT CASE WHEN {u} < {fl(0.2)} THEN 'validation' ELSE 'train' END AS side, CAST(COUNT(*) AS BIGINT) AS n, "
+            f"CAST(SUM(event_id) AS BIGINT) AS key_sum FROM events GROUP BY 1")
+
+
+@oracle("mini_batches")
+def _():
+    u = uniform("event_id", "0", derive_seed(SEED, S.BATCH, 0))
+    return (f"SELECT CAST(LEAST(FLOOR({u} * {fl(10.0)}), 9) AS INTEGER) AS batch_id, CAST(COUNT(*) AS BIGINT) AS n, "
+            f"CAST(SUM(event_id) AS BIGINT) AS key_sum FROM events GROUP BY 1")
+
+
+def _ev_draw_means(expr_fn, names=None) -> str:
+    ch = Chain()
+    _, x = ev_inputs(ch)
+    if names is None:
+        y = ch.add(f"SELECT r, i, {expr_fn('v')} AS v FROM {x}")
+        return ch.render(unit_means(y))
+    sels = []
+    for name, fn in names.items():
+        y = ch.add(f"SELECT r, i, {fn('v')} AS v FROM {x}")
+        sels.append(unit_means(y, name))
+    return ch.render(" UNION ALL ".join(sels))
+
+
+@oracle("mask_noise")
+def _():
+    s = derive_seed(SEED, S.NOISE)
+    return _ev_draw_means(lambda v: f"CASE WHEN {uniform('r', 'i', s)} >= {fl(0.3)} THEN {v} ELSE {ZERO} END")
+
+
+@oracle("dropout_mask")
+def _():
+    s = derive_seed(SEED, S.DROPOUT)
+    keep = f"{uniform('r', 'i', s)} > {fl(0.4)}"
+    return _ev_draw_means(None, {
+        "mask": lambda v: f"CASE WHEN {keep} THEN {ONE} ELSE {ZERO} END",
+        "train": lambda v: f"{v} * CASE WHEN {keep} THEN {ONE} ELSE {ZERO} END",
+        "test": lambda v: f"{v} * {fl(1.0 - 0.4)}",
+    })
+
+
+@oracle("sample_states")
+def _():
+    s = derive_seed(SEED, S.STATES)
+    return _ev_draw_means(lambda v: f"CASE WHEN {v} > {uniform('r', 'i', s)} THEN {ONE} ELSE {ZERO} END")
+
+
+@oracle("sigmoid_sample")
+def _():
+    s = derive_seed(SEED, S.STATES)
+    p = sql_act("sigm", f"v * {fl(4.0)} - {fl(2.0)}")
+    return _ev_draw_means(lambda v: f"CASE WHEN {p} > {uniform('r', 'i', s)} THEN {ONE} ELSE {ZERO} END")
+
+
+@oracle("sigmoid_additive_noise")
+def _():
+    s = derive_seed(SEED, S.RECON)
+    return _ev_draw_means(lambda v: f"{sql_act('sigm', v)} + {uniform('r', 'i', s)}")
+
+
+# ============================================================================ D, E: vectors and aggregates
+
+@oracle("activate")
+def _():
+    ch = Chain()
+    _, x, _ = li_inputs(ch)
+    sels = []
+    for fn in ("sigm", "tanh_opt", "linear"):
+        y = ch.add(f"SELECT r, i, {sql_act(fn, 'v')} AS v FROM {x}")
+        sels.append(unit_means(y, fn))
+    return ch.render(" UNION ALL ".join(sels))
+
+
+@oracle("activation_gradient")
+def _():
+    ch = Chain()
+    _, x, _ = li_inputs(ch)
+    sels = []
+    for fn in ("sigm", "tanh_opt", "linear"):
+        a = ch.add(f"SELECT r, i, {sql_act(fn, 'v')} AS v FROM {x}")
+        g = ch.add(f"SELECT r, i, {act_grad(fn, 'v')} AS v FROM {a}")
+        sels.append(unit_means(g, fn))
+    return ch.render(" UNION ALL ".join(sels))
+
+
+@oracle("dense_layer")
+def _():
+    W, c, _ = FX.li_layer()
+    ch = Chain()
+    _, x, _ = li_inputs(ch)
+    h = ch.dense(x, ch.mat(W), ch.vec(c), "sigm")
+    return ch.render(unit_means(h))
+
+
+@oracle("add_bias")
+def _():
+    ch = Chain()
+    _, x, _ = li_inputs(ch)
+    xb = ch.add_bias_rows(x)
+    dropped = ch.add(f"SELECT r, i - 1 AS i, v FROM {xb} WHERE i > 0")
+    return ch.render(unit_means(xb, "with_bias") + " UNION ALL " + unit_means(dropped, "without_bias"))
+
+
+@oracle("count_samples")
+def _():
+    return "SELECT CAST(COUNT(*) AS BIGINT) AS n FROM lineitem"
+
+
+@oracle("vector_mean")
+def _():
+    ch = Chain()
+    _, x, _ = li_inputs(ch)
+    return ch.render(unit_means(x))
+
+
+@oracle("outer_product_mean")
+def _():
+    ch = Chain()
+    _, x, y = li_inputs(ch)
+    o = ch.outer(y, x)
+    n = ch.count(x)
+    return ch.render(f"SELECT CAST(j AS INTEGER) AS out, CAST(i AS INTEGER) AS \"in\", {r6('s / (SELECT n FROM ' + n + ')')} AS value FROM {o}")
+
+
+@oracle("reconstruction_error")
+def _():
+    W, c, b = FX.li_layer()
+    ch = Chain()
+    _, x, _ = li_inputs(ch)
+    Wt = ch.mat(W)
+    h = ch.dense(x, Wt, ch.vec(c), "sigm")
+    rec = ch.dense(h, ch.transpose(Wt), ch.vec(b), "sigm")
+    e = ch.add(f"SELECT x.r, SUM((x.v - y.v) * (x.v - y.v)) AS e FROM {x} x JOIN {rec} y ON x.r = y.r AND x.i = y.i GROUP BY x.r")
+    return ch.render(f"SELECT {r6('AVG(e)')} AS error FROM {e}")
+
+
+@oracle("half_mse")
+def _():
+    W, c, _ = FX.li_layer()
+    ch = Chain()
+    _, x, y = li_inputs(ch)
+    h = ch.dense(x, ch.mat(W), ch.vec(c), "sigm")
+    e = ch.add(f"SELECT y.r, SUM((y.v - h.v) * (y.v - h.v)) AS e FROM {y} y JOIN {h} h ON y.r = h.r AND y.i = h.i GROUP BY y.r")
+    return ch.render(f"SELECT {r6('0.5 * AVG(e)')} AS loss FROM {e}")
+
+
+@oracle("tuple_sum")
+def _():
+    lab = ", ".join(f"{r4(f'SUM(CASE WHEN l_returnflag = {chr(39)}{f}{chr(39)} THEN {ONE} ELSE {ZERO} END)')} AS label{k}"
+                    for k, f in enumerate(["A", "N", "R"]))
+    feats = ["l_quantity / 50", "l_discount * 10", "l_tax * 10", "l_extendedprice / 105000"]
+    fs = ", ".join(f"{r4(f'SUM({e})')} AS feature{i}" for i, e in enumerate(feats))
+    return f"SELECT CAST(COUNT(*) AS BIGINT) AS n, {lab}, {fs} FROM lineitem"
+
+
+@oracle("mean_activation")
+def _():
+    W, c, _ = FX.li_layer()
+    ch = Chain()
+    _, x, _ = li_inputs(ch)
+    h = ch.dense(x, ch.mat(W), ch.vec(c), "sigm")
+    return ch.render(f"SELECT CAST(i AS INTEGER) AS unit, {r6(f'0.01 * AVG(v) + {fl(0.99 * 0.05)}')} AS value FROM {h} GROUP BY i")
+
+
+# training steps register themselves into ORACLES
+from oracles import training  # noqa: E402,F401

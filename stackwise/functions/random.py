@@ -82,4 +82,5 @@ def uniform_sql(row_expr: str, unit_expr: str, seed: int) -> str:
 def normal_sql(row_expr: str, unit_expr: str, seed: int) -> str:
     u1 = uniform_sql(row_expr, unit_expr, derive_seed(seed, 1))
     u2 = uniform_sql(row_expr, unit_expr, derive_seed(seed, 2))
-    return f"(sqrt(-2.0 * ln(1.0 - {u1})) * cos({2.0 * math.pi!r} * {u2}))"
+    two_pi = repr(2.0 * math.pi)
+    return f"(sqrt(-2.0e0 * ln(1.0e0 - {u1})) * cos({two_pi}e0 * {u2}))"

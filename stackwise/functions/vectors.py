@@ -64,18 +64,40 @@ def vsub(a, b) -> Column:
     return F.zip_with(_c(a), _c(b), lambda x, y: x - y)
 
 
+UNROLL_MAX = 4096  # weights per layer up to which a layer becomes plain (code-generated) arithmetic
+
+
+def dense_units(xs: Sequence[Column], W: np.ndarray, c: np.ndarray | None, act: str) -> list[Column]:
+    """One expression per output unit: act(c_j + sum_i x_i * W[j, i]), unrolled."""
+    W = np.asarray(W, dtype=float)
+    bias = np.zeros(W.shape[0]) if c is None else np.asarray(c, dtype=float).reshape(-1)
+    units = []
+    for j in range(W.shape[0]):
+        z = F.lit(float(bias[j]))
+        for i in range(W.shape[1]):
+            z = z + xs[i] * F.lit(float(W[j, i]))
+        units.append(A.scalar(act, z))
+    return units
+
+
 def dense(col, W: np.ndarray, c: np.ndarray | None = None, act: str = "sigm", scale: np.ndarray | None = None) -> Column:
     """D3: ``act(x . W^T + c)`` for every row; W has shape (out, in).
 
-    The weights are one ``array<array<double>>`` literal with the bias in slot 0, walked by
-    ``transform``; ``x`` is read once per unit, so pass a column (not a long expression).
-    ``scale`` divides the input elementwise first (Gaussian units, x / sigma).
+    Small layers (up to ``UNROLL_MAX`` weights) are unrolled into arithmetic on the array
+    elements, which whole-stage code generation compiles; wider layers walk one
+    ``array<array<double>>`` literal with ``transform`` (for those, the Arrow path of the
+    DataFrame-level operators is faster). ``scale`` divides the input first (x / sigma).
     """
     W = np.asarray(W, dtype=float)
     x = _c(col)
+    bias = np.zeros(W.shape[0]) if c is None else np.asarray(c, dtype=float).reshape(-1)
+    if W.size <= UNROLL_MAX:
+        xs = [x[i] for i in range(W.shape[1])]
+        if scale is not None:
+            xs = [xi / F.lit(float(s)) for xi, s in zip(xs, np.asarray(scale, dtype=float))]
+        return F.array(*dense_units(xs, W, bias, act))
     if scale is not None:
         x = F.zip_with(x, array_lit(scale), lambda v, s: v / s)
-    bias = np.zeros(W.shape[0]) if c is None else np.asarray(c, dtype=float).reshape(-1)
     Wb = np.concatenate([bias[:, None], W], axis=1)
     xb = add_bias(x)
     return F.transform(matrix_lit(Wb), lambda w: A.scalar(act, dot(xb, w)))

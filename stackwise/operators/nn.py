@@ -3,8 +3,8 @@
 Weights are a list of matrices ``W[l]`` of shape (size[l+1], size[l] + 1) with the bias in
 column 0; activations carry a leading 1. Training steps are :func:`step_sums` passes
 (gradients, loss and n together; a second pass only when the sparsity penalty is on);
-scoring is a JVM-side projection built from higher-order functions, so it also works on
-streaming DataFrames.
+scoring is a code-generated projection (each layer unrolled into arithmetic) for small
+layers, so it also works on streaming DataFrames, and numpy per Arrow batch for wide ones.
 """
 
 from __future__ import annotations
@@ -12,14 +12,16 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stackwise.functions import activations as A
 from stackwise.functions import vectors as V
 from stackwise.functions.random import derive_seed, uniform_np
 from stackwise.operators import sampling as S
-from stackwise.operators.step import ensure_cached, step_sums
+from stackwise.operators.step import ensure_cached, list_matrix, step_sums
 
 _ACT = {"sigm": 0, "tanh_opt": 1, "linear": 2}
 _ACT_NAME = {v: k for k, v in _ACT.items()}
@@ -289,25 +291,60 @@ def nn_fit(samples: DataFrame, cfg: NNConfig, *, epochs: int = 1, batch_size: in
 
 # --------------------------------------------------------------------------- projections
 
+def _layers_small(W) -> bool:
+    return all(np.asarray(w).size <= V.UNROLL_MAX for w in W)
+
+
 def forward_columns(df: DataFrame, W, cfg: NNConfig, *, features: str = "features", keep_hidden: bool = False) -> DataFrame:
-    """G1: layer by layer as columns a0..a{L-1} (hidden ones with the bias slot), test mode."""
+    """G1: layer by layer as columns a0..a{L-1} (hidden ones with the bias slot), test mode.
+
+    Each layer is unrolled arithmetic over the previous layer's column (code-generated,
+    one projection per layer, so no unit is computed twice).
+    """
     L = cfg.n_layers
     cur = df.withColumn("a0", V.add_bias(F.col(features)))
     for l in range(1, L):
         w = np.asarray(W[l - 1], dtype=float)
         prev = F.col(f"a{l - 1}")
         fname = cfg.activation if l < L - 1 else cfg.output
-        z = F.transform(V.matrix_lit(w), lambda row: A.scalar(fname, V.dot(prev, row)))
+        units = V.dense_units([prev[i] for i in range(1, w.shape[1])], w[:, 1:], w[:, 0], fname)
         if l < L - 1:
             if cfg.dropout > 0:
-                z = F.transform(z, lambda x: x * F.lit(1.0 - cfg.dropout))
-            z = V.add_bias(z)
-        cur = cur.withColumn(f"a{l}", z)
+                units = [u * F.lit(1.0 - cfg.dropout) for u in units]
+            units = [F.lit(1.0)] + units
+        cur = cur.withColumn(f"a{l}", F.array(*units))
     if not keep_hidden:
         cur = cur.drop(*[f"a{l}" for l in range(0, L - 1)])
     return cur
 
 
+def _arrow_list(M: np.ndarray) -> pa.Array:
+    n, w = M.shape
+    offsets = pa.array(np.arange(0, (n + 1) * w, w, dtype=np.int32) if n else np.zeros(1, dtype=np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(M).ravel(), type=pa.float64()))
+
+
+def predict_arrow(df: DataFrame, W, cfg: NNConfig, *, features: str = "features", label: str = "label") -> DataFrame:
+    """G7 for wide layers: numpy forward per Arrow batch, appends predict_label and error."""
+    P = _pass_params(W, cfg, training=False, step_seed=cfg.seed, want_grad=False, want_act=False)
+    schema = T.StructType(df.schema.fields + [T.StructField("predict_label", T.ArrayType(T.DoubleType())),
+                                              T.StructField("error", T.ArrayType(T.DoubleType()))])
+    has_label = label in df.columns
+
+    def run(batches):
+        for rb in batches:
+            if rb.num_rows == 0:
+                continue
+            X = list_matrix(rb.column(features))
+            a, _ = _forward(P, None, X, False)
+            out = a[-1]
+            err = list_matrix(rb.column(label)) - out if has_label else np.full_like(out, np.nan)
+            cols = [rb.column(i) for i in range(rb.num_columns)] + [_arrow_list(out), _arrow_list(err)]
+            yield pa.RecordBatch.from_arrays(cols, names=list(rb.schema.names) + ["predict_label", "error"])
+
+    return df.mapInArrow(run, schema)
+
+
 def nn_forward(df: DataFrame, W, cfg: NNConfig, *, features: str = "features", label: str = "label") -> DataFrame:
     """G1: rows with every activation, the output and error = label - output."""
     L = cfg.n_layers
@@ -315,11 +352,19 @@ def nn_forward(df: DataFrame, W, cfg: NNConfig, *, features: str = "features", l
     return out.withColumn("error", V.vsub(F.col(label), F.col(f"a{L - 1}")))
 
 
-def nn_predict(df: DataFrame, W, cfg: NNConfig, *, features: str = "features", label: str = "label", keep=("row_id",)) -> DataFrame:
-    """(label, features, predict_label, error), lazily."""
+def nn_predict(df: DataFrame, W, cfg: NNConfig, *, features: str = "features", label: str = "label", keep=("row_id",),
+               method: str = "auto") -> DataFrame:
+    """(label, features, predict_label, error), lazily.
+
+    ``method``: 'expr' (code-generated projection, also for streams), 'arrow' (numpy per
+    Arrow batch, for wide layers) or 'auto' (expr while every layer has <= UNROLL_MAX weights).
+    """
     L = cfg.n_layers
-    out = forward_columns(df, W, cfg, features=features)
     extra = [c for c in keep if c in df.columns]
+    if method == "arrow" or (method == "auto" and not _layers_small(W)):
+        base = df.select(*extra, F.col(label).alias("label"), F.col(features).alias("features"))
+        return predict_arrow(base, W, cfg)
+    out = forward_columns(df, W, cfg, features=features)
     return out.select(*extra, F.col(label).alias("label"), F.col(features).alias("features"),
                       F.col(f"a{L - 1}").alias("predict_label"),
                       V.vsub(F.col(label), F.col(f"a{L - 1}")).alias("error"))

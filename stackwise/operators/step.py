@@ -1,12 +1,14 @@
 """The one distributed step every trainer uses.
 
 ``step_sums(df, fn, params)`` runs ``fn`` over the rows of ``df`` one Arrow batch at a
-time (numpy, vectorised), accumulates the partial sums of each partition inside the task,
-emits one small row per partition and named quantity, and adds them up with an ordinary
-``groupBy`` aggregation. The driver receives only parameter-sized sums.
+time (numpy, vectorised), accumulates the partial sums of each partition inside the task
+and emits one small row per partition and named quantity; the partials are then added up
+(see below). The driver receives only parameter-sized sums.
 
 * One Spark job per training step; n, errors and every gradient travel together.
-* No row ever leaves its task; the shuffle carries partitions x parameters values.
+* No row ever leaves its task. When partitions x parameters is small (a checked bound,
+  32 MiB) the partials are added on the driver; above it they are summed by a shuffle of
+  parameter-sized rows, so the driver only ever receives one parameter set.
 * Parameters go to the tasks inside the function closure while they are small and through
   a broadcast variable (released after the step) when they are not.
 * ``fn`` must be a pure function of the rows and parameters (draws are seeded per row), so
@@ -24,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 1 << 20  # ship parameters above 1 MiB with a broadcast variable
+DIRECT_MAX_VALUES = 1 << 22  # partitions x parameters up to 4 Mi doubles (32 MiB) go straight to the driver
 
 RowFn = Callable[[Mapping[str, np.ndarray], np.ndarray | None, np.ndarray | None, np.ndarray | None], Mapping[str, np.ndarray]]
 
@@ -110,17 +113,24 @@ def step_sums(
         )
 
     partial = sub.mapInArrow(run, "name string, vals array<double>")
-    total = (
-        partial.select("name", F.posexplode("vals").alias("pos", "v"))
-        .groupBy("name", "pos")
-        .agg(F.sum("v").alias("v"))
-    )
-    rows = total.collect()
+    result = {k: np.zeros(int(np.prod(s)) if len(s) else 1, dtype=np.float64) for k, s in shapes.items()}
+    n_values = sum(v.size for v in result.values())
+    n_parts = sub.rdd.getNumPartitions()
+    if n_parts * n_values <= DIRECT_MAX_VALUES:
+        # bounded payload (partitions x parameters): add the per-partition partials on the driver
+        for r in partial.collect():
+            result[r["name"]] += np.asarray(r["vals"], dtype=np.float64)
+    else:
+        # distributed reduce: one shuffle of parameter-sized rows, summed per (name, slot)
+        total = (
+            partial.select("name", F.posexplode("vals").alias("pos", "v"))
+            .groupBy("name", "pos")
+            .agg(F.sum("v").alias("v"))
+        )
+        for r in total.toLocalIterator():
+            result[r["name"]][r["pos"]] = r["v"]
     if bc is not None:
         bc.unpersist()
-    result = {k: np.zeros(int(np.prod(s)) if len(s) else 1, dtype=np.float64) for k, s in shapes.items()}
-    for r in rows:
-        result[r["name"]][r["pos"]] = r["v"]
     return {k: (v.reshape(shapes[k]) if len(shapes[k]) else float(v[0])) for k, v in result.items()}
 
 

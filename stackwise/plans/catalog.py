@@ -65,6 +65,18 @@ def vec_means(df: DataFrame, col: str, width: int, name: str | None = None) -> D
     return out.select(*cols, F.col("unit").cast("int").alias("unit"), r6(F.col("v")))
 
 
+def multi_vec_means(df: DataFrame, specs) -> DataFrame:
+    """(name, unit, value) for several vector columns from ONE aggregation; specs: (col, width, name)."""
+    exprs, rows = [], []
+    for k, (col, width, name) in enumerate(specs):
+        for i in range(width):
+            exprs.append(F.avg(F.col(col)[i]).alias(f"m{k}_{i}"))
+            rows.append(f"'{name}', {i}, m{k}_{i}")
+    one = df.agg(*exprs)
+    out = one.selectExpr(f"stack({len(rows)}, {', '.join(rows)}) AS (name, unit, v)")
+    return out.select("name", F.col("unit").cast("int").alias("unit"), r6(F.col("v")))
+
+
 def params_df(spark: SparkSession, items) -> DataFrame:
     """Rows (param, out, in, value) from (name, array) pairs; vectors use in = 0."""
     rows = []
@@ -97,7 +109,7 @@ def q_read_clean_table(spark, sf):
     path = scratch_path(spark, "clean-li")
     T.write_clean_table(df, path, vector_cols=["label", "features"])
     back = T.read_clean_table(spark, path, vector_cols=["label", "features"])
-    return vec_means(back, "label", 3, "label").unionByName(vec_means(back, "features", 4, "features"))
+    return multi_vec_means(back, [("label", 3, "label"), ("features", 4, "features")])
 
 
 def q_parse_numeric_rows(spark, sf):
@@ -156,11 +168,10 @@ def q_blank_to_null(spark, sf):
 def q_one_hot_encode(spark, sf):
     li = I.table(spark, sf, "lineitem")
     df = li.select(P.one_hot("l_returnflag", I.RETURNFLAGS).alias("rf"), P.one_hot("l_linestatus", I.LINESTATUS).alias("ls"))
-    def sums(col, w, name):
-        one = df.agg(*[F.sum(F.col(col)[i]).alias(f"u{i}") for i in range(w)])
-        st = ", ".join(f"{i}, u{i}" for i in range(w))
-        return one.selectExpr(f"stack({w}, {st}) AS (unit, v)").select(F.lit(name).alias("name"), F.col("unit").cast("int").alias("unit"), r4(F.col("v")))
-    return sums("rf", 3, "l_returnflag").unionByName(sums("ls", 2, "l_linestatus"))
+    exprs = [F.sum(F.col("rf")[i]).alias(f"r{i}") for i in range(3)] + [F.sum(F.col("ls")[i]).alias(f"s{i}") for i in range(2)]
+    rows = [f"'l_returnflag', {i}, r{i}" for i in range(3)] + [f"'l_linestatus', {i}, s{i}" for i in range(2)]
+    one = df.agg(*exprs).selectExpr(f"stack(5, {', '.join(rows)}) AS (name, unit, v)")
+    return one.select("name", F.col("unit").cast("int").alias("unit"), r4(F.col("v")))
 
 
 # keyword rules and a small exact-phrase dictionary for part names (query fixture)
@@ -199,7 +210,7 @@ def q_profile_columns(spark, sf):
 def q_select_features(spark, sf):
     li = I.table(spark, sf, "lineitem").withColumn("rf", P.one_hot("l_returnflag", I.RETURNFLAGS))
     df = P.select_features(li, "rf", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
-    return vec_means(df, "label", 3, "label").unionByName(vec_means(df, "features", 4, "features"))
+    return multi_vec_means(df, [("label", 3, "label"), ("features", 4, "features")])
 
 
 def q_assemble_samples(spark, sf):
@@ -253,14 +264,13 @@ def q_prepare_table(spark, sf):
         "l_linestatus", "l_quantity", "l_extendedprice", F.expr("nullif(l_discount, 0)").alias("l_discount"), "l_tax")
     out, _ = P.prepare_table(li, LI_NUM, one_hot_cols={"l_returnflag": ["N", "R"], "l_linestatus": I.LINESTATUS},
                              missing_fill={"l_returnflag": 0.5})
-    parts = [vec_means(out, "l_returnflag", 2, "l_returnflag"), vec_means(out, "l_linestatus", 2, "l_linestatus")]
-    num = out.agg(*[F.avg(c).alias(f"u{i}") for i, c in enumerate(LI_NUM)])
-    st = ", ".join(f"'{c}', u{i}" for i, c in enumerate(LI_NUM))
-    parts.append(num.selectExpr(f"stack(4, {st}) AS (name, v)").select("name", F.lit(0).alias("unit"), r6(F.col("v"))))
-    res = parts[0]
-    for p in parts[1:]:
-        res = res.unionByName(p)
-    return res
+    exprs = [F.avg(F.col("l_returnflag")[i]).alias(f"r{i}") for i in range(2)]
+    exprs += [F.avg(F.col("l_linestatus")[i]).alias(f"s{i}") for i in range(2)]
+    exprs += [F.avg(c).alias(f"u{i}") for i, c in enumerate(LI_NUM)]
+    rows = ["'l_returnflag', 0, r0", "'l_returnflag', 1, r1", "'l_linestatus', 0, s0", "'l_linestatus', 1, s1"]
+    rows += [f"'{c}', 0, u{i}" for i, c in enumerate(LI_NUM)]
+    one = out.agg(*exprs).selectExpr(f"stack({len(rows)}, {', '.join(rows)}) AS (name, unit, v)")
+    return one.select("name", F.col("unit").cast("int").alias("unit"), r6(F.col("v")))
 
 
 # ============================================================================ C: sampling
@@ -286,7 +296,7 @@ def q_dropout_mask(spark, sf):
     ev = I.event_samples(spark, sf)
     df = ev.select(S.dropout_mask("features", 0.4, SEED).alias("mask"), S.apply_dropout("features", 0.4, SEED).alias("train"),
                    S.apply_dropout("features", 0.4, SEED, testing=True).alias("test"))
-    return vec_means(df, "mask", 3, "mask").unionByName(vec_means(df, "train", 3, "train")).unionByName(vec_means(df, "test", 3, "test"))
+    return multi_vec_means(df, [("mask", 3, "mask"), ("train", 3, "train"), ("test", 3, "test")])
 
 
 def q_sample_states(spark, sf):
@@ -309,21 +319,15 @@ def q_sigmoid_additive_noise(spark, sf):
 
 def q_activate(spark, sf):
     li = I.lineitem_samples(spark, sf)
-    res = None
-    for fn in A.ACTIVATIONS:
-        part = vec_means(li.select(A.activate("features", fn).alias("x")), "x", 4, fn)
-        res = part if res is None else res.unionByName(part)
-    return res
+    df = li.select(*[A.activate("features", fn).alias(fn) for fn in A.ACTIVATIONS])
+    return multi_vec_means(df, [(fn, 4, fn) for fn in A.ACTIVATIONS])
 
 
 def q_activation_gradient(spark, sf):
     li = I.lineitem_samples(spark, sf)
-    res = None
-    for fn in A.ACTIVATIONS:
-        a = li.select(A.activate("features", fn).alias("a"))
-        part = vec_means(a.select(A.activation_gradient("a", fn).alias("x")), "x", 4, fn)
-        res = part if res is None else res.unionByName(part)
-    return res
+    acts = li.select(*[A.activate("features", fn).alias(fn) for fn in A.ACTIVATIONS])
+    df = acts.select(*[A.activation_gradient(fn, fn).alias(fn) for fn in A.ACTIVATIONS])
+    return multi_vec_means(df, [(fn, 4, fn) for fn in A.ACTIVATIONS])
 
 
 def q_dense_layer(spark, sf):
@@ -335,7 +339,7 @@ def q_dense_layer(spark, sf):
 def q_add_bias(spark, sf):
     li = I.lineitem_samples(spark, sf)
     df = li.select(V.add_bias("features").alias("with_bias")).select("with_bias", V.drop_bias("with_bias").alias("without_bias"))
-    return vec_means(df, "with_bias", 5, "with_bias").unionByName(vec_means(df, "without_bias", 4, "without_bias"))
+    return multi_vec_means(df, [("with_bias", 5, "with_bias"), ("without_bias", 4, "without_bias")])
 
 
 def q_pca_project(spark, sf):
@@ -514,8 +518,7 @@ LI_CFG = N.NNConfig(sizes=FX.LI_SIZES, activation="sigm", output="sigm", learnin
 def q_nn_forward(spark, sf):
     li = I.lineitem_samples(spark, sf)
     fw = N.nn_forward(li, FX.li_weights(), LI_CFG)
-    parts = [vec_means(fw, "a1", 4, "a1"), vec_means(fw, "a2", 3, "a2"), vec_means(fw, "error", 3, "error")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return multi_vec_means(fw, [("a1", 4, "a1"), ("a2", 3, "a2"), ("error", 3, "error")])
 
 
 def _grad_df(spark, g, tag):
@@ -595,7 +598,7 @@ def _li_pred(spark, sf):
 
 def q_nn_predict(spark, sf):
     pred = _li_pred(spark, sf)
-    return vec_means(pred, "predict_label", 3, "predict_label").unionByName(vec_means(pred, "error", 3, "error"))
+    return multi_vec_means(pred, [("predict_label", 3, "predict_label"), ("error", 3, "error")])
 
 
 def q_nn_loss(spark, sf):

@@ -181,9 +181,9 @@ def _shapes(W, cfg: NNConfig, want_grad: bool, want_act: bool) -> dict:
     return sh
 
 
-def _run(df, W, cfg, **kw) -> dict:
+def _run(df, W, cfg, n_parts=None, **kw) -> dict:
     want_grad, want_act = kw["want_grad"], kw["want_act"]
-    return step_sums(df, nn_rows, _pass_params(W, cfg, **kw), _shapes(W, cfg, want_grad, want_act))
+    return step_sums(df, nn_rows, _pass_params(W, cfg, **kw), _shapes(W, cfg, want_grad, want_act), n_parts=n_parts)
 
 
 # --------------------------------------------------------------------------- operators
@@ -193,16 +193,17 @@ def mean_activation_update(p_old: dict, act_sums: dict, n: float, cfg: NNConfig)
     return {l: 0.01 * act_sums[f"act{l}"] / n + cfg.decay * p_old[l] for l in range(1, cfg.n_layers - 1)}
 
 
-def nn_gradient(df: DataFrame, W, cfg: NNConfig, *, step_seed: int | None = None, p=None, training: bool = True) -> dict:
+def nn_gradient(df: DataFrame, W, cfg: NNConfig, *, step_seed: int | None = None, p=None, training: bool = True,
+                n_parts: int | None = None) -> dict:
     """G2 (+G3): mean gradient per layer, with loss and n, in one pass (two with sparsity)."""
     step_seed = cfg.seed if step_seed is None else step_seed
     if cfg.sparsity > 0:
         p_old = p if p is not None else {l: np.zeros(cfg.sizes[l]) for l in range(1, cfg.n_layers - 1)}
-        a = _run(df, W, cfg, training=training, step_seed=step_seed, want_grad=False, want_act=True)
+        a = _run(df, W, cfg, n_parts, training=training, step_seed=step_seed, want_grad=False, want_act=True)
         if a["n"] <= 0:
             return {"n": 0.0}
         p = mean_activation_update(p_old, a, a["n"], cfg)
-    sums = _run(df, W, cfg, training=training, step_seed=step_seed, want_grad=True, want_act=False, p=p)
+    sums = _run(df, W, cfg, n_parts, training=training, step_seed=step_seed, want_grad=True, want_act=False, p=p)
     n = sums["n"]
     if n <= 0:
         return {"n": 0.0}
@@ -230,9 +231,9 @@ def apply_grads(W, vW, grads, cfg: NNConfig, lr: float):
     return W2, vW2
 
 
-def nn_evaluate(df: DataFrame, W, cfg: NNConfig, **_kw) -> float:
+def nn_evaluate(df: DataFrame, W, cfg: NNConfig, n_parts: int | None = None, **_kw) -> float:
     """Half mean squared error in test mode (dropout scaling, no noise)."""
-    s = _run(df, W, cfg, training=False, step_seed=cfg.seed, want_grad=False, want_act=False)
+    s = _run(df, W, cfg, n_parts, training=False, step_seed=cfg.seed, want_grad=False, want_act=False)
     return 0.5 * s["loss"] / s["n"] if s["n"] > 0 else float("nan")
 
 
@@ -256,13 +257,14 @@ def nn_fit(samples: DataFrame, cfg: NNConfig, *, epochs: int = 1, batch_size: in
     try:
         m = train.count() if batch_size else 0
         nb = S.num_batches(m, batch_size)
+        n_parts = train.rdd.getNumPartitions()
         steps = 0
         for epoch in range(epochs):
             bcol = S.batch_id("row_id", nb, cfg.seed, epoch)
             for bno in range(nb):
                 batch = train if nb == 1 else train.filter(bcol == F.lit(bno))
                 step_seed = derive_seed(cfg.seed, 300, epoch, bno)
-                g = nn_gradient(batch, W, cfg, step_seed=step_seed, p=p)
+                g = nn_gradient(batch, W, cfg, step_seed=step_seed, p=p, n_parts=n_parts)
                 steps += 1
                 if g["n"] > 0:
                     if "p" in g:
@@ -273,7 +275,7 @@ def nn_fit(samples: DataFrame, cfg: NNConfig, *, epochs: int = 1, batch_size: in
                 if max_steps is not None and steps >= max_steps:
                     break
             if eval_each_epoch:
-                tr = nn_evaluate(train, W, cfg)
+                tr = nn_evaluate(train, W, cfg, n_parts)
                 va = nn_evaluate(val, W, cfg) if val is not None else 0.0
             else:
                 tr, va = float("nan"), float("nan")

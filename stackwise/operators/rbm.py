@@ -178,10 +178,11 @@ def _step_params(p: RBMParams, cfg: RBMConfig, step_seed: int, gaussian: bool) -
 
 # --------------------------------------------------------------------------- one step
 
-def cd_step_sums(batch: DataFrame, p: RBMParams, cfg: RBMConfig, step_seed: int, gaussian: bool) -> dict:
+def cd_step_sums(batch: DataFrame, p: RBMParams, cfg: RBMConfig, step_seed: int, gaussian: bool,
+                 n_parts: int | None = None) -> dict:
     """One distributed pass; returns sums (not yet means)."""
     fn = gaussian_cd_rows if gaussian else binary_cd_rows
-    return step_sums(batch, fn, _step_params(p, cfg, step_seed, gaussian), _shapes(p, gaussian), label=None)
+    return step_sums(batch, fn, _step_params(p, cfg, step_seed, gaussian), _shapes(p, gaussian), label=None, n_parts=n_parts)
 
 
 def apply_cd_update(p: RBMParams, sums: dict, cfg: RBMConfig, gaussian: bool) -> tuple[RBMParams, float | None]:
@@ -213,6 +214,7 @@ def _fit(samples: DataFrame, p: RBMParams, cfg: RBMConfig, epochs: int, batch_si
     try:
         m = df.count() if batch_size else 0
         nb = S.num_batches(m, batch_size)
+        n_parts = df.rdd.getNumPartitions()
         history = []
         steps = 0
         for epoch in range(epochs):
@@ -221,7 +223,7 @@ def _fit(samples: DataFrame, p: RBMParams, cfg: RBMConfig, epochs: int, batch_si
             for bno in range(nb):
                 batch = df if nb == 1 else df.filter(bcol == F.lit(bno))
                 step_seed = derive_seed(cfg.seed, 100, epoch, bno)
-                sums = cd_step_sums(batch, p, cfg, step_seed, gaussian)
+                sums = cd_step_sums(batch, p, cfg, step_seed, gaussian, n_parts)
                 p, err = apply_cd_update(p, sums, cfg, gaussian)
                 if err is not None:
                     errs.append(err)
@@ -272,9 +274,10 @@ def rbm_fit_full_batch(samples: DataFrame, init: RBMParams, *, epochs: int = 200
     p = init.copy()
     history = []
     try:
+        n_parts = df.rdd.getNumPartitions()
         for epoch in range(epochs):
             P = {"W": p.W, "b": p.b, "c": p.c, "alpha": np.array(alpha), "seed": np.array(derive_seed(seed, 200, epoch))}
-            sums = step_sums(df, full_batch_binary_rows, P, _shapes(p, False), label=None)
+            sums = step_sums(df, full_batch_binary_rows, P, _shapes(p, False), label=None, n_parts=n_parts)
             n = sums["n"]
             if n <= 0:
                 break

@@ -59,11 +59,13 @@ def step_sums(
     row_id: str | None = "row_id",
     features: str = "features",
     label: str | None = "label",
+    n_parts: int | None = None,
 ) -> dict[str, np.ndarray]:
     """Sum ``fn(params, ids, X, Y)`` over all rows of ``df``.
 
     ``shapes`` names every quantity ``fn`` returns with its shape; quantities absent from the
-    result (empty input) come back as zeros, including ``n``.
+    result (empty input) come back as zeros, including ``n``. ``n_parts`` is the partition
+    count of ``df`` when the caller knows it (a filter of a cached table keeps its count).
     """
     cols = [c for c in (row_id, features, label) if c is not None and c in df.columns]
     if features not in cols:
@@ -115,7 +117,8 @@ def step_sums(
     partial = sub.mapInArrow(run, "name string, vals array<double>")
     result = {k: np.zeros(int(np.prod(s)) if len(s) else 1, dtype=np.float64) for k, s in shapes.items()}
     n_values = sum(v.size for v in result.values())
-    n_parts = sub.rdd.getNumPartitions()
+    if n_parts is None:
+        n_parts = sub.rdd.getNumPartitions()
     if n_parts * n_values <= DIRECT_MAX_VALUES:
         # bounded payload (partitions x parameters): add the per-partition partials on the driver
         for r in partial.collect():

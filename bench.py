@@ -39,8 +39,8 @@ def events_pipeline(spark, sf):
     model = D.dbn_pretrain(ev, (3, 8, 5), epochs=2, batch_size=bs, momentum=0.01, alpha=0.05, seed=C.SEED)
     fit = D.dbn_finetune(ev, model, epochs=2, batch_size=bs, seed=C.SEED)
     pred = fit.model.predict(ev)
-    return pred.agg(C.round6(F.lit(0.5) * F.avg(V.squared_norm("error"))).alias("loss"),
-                    C.round6(F.avg(V.dot("label", V.threshold("predict_label", H.HIT_THRESHOLD)))).alias("hit_rate"))
+    return pred.agg(C.round6(F.lit(0.5) * F.avg(V.squared_norm("error", 5))).alias("loss"),
+                    C.round6(F.avg(V.dot("label", V.threshold("predict_label", H.HIT_THRESHOLD, 5), 5))).alias("hit_rate"))
 
 
 def main():

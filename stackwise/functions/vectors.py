@@ -37,7 +37,14 @@ def matrix_lit(m: np.ndarray) -> Column:
     return F.array(*[array_lit(row) for row in np.asarray(m, dtype=float)])
 
 
-def dot(a, b) -> Column:
+def dot(a, b, width: int | None = None) -> Column:
+    """Inner product; unrolled (code-generated) when the width is known."""
+    if width is not None:
+        x, y = _c(a), _c(b)
+        z = F.lit(0.0)
+        for i in range(width):
+            z = z + x[i] * y[i]
+        return z
     return F.aggregate(F.zip_with(_c(a), _c(b), lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
 
 
@@ -52,19 +59,34 @@ def drop_bias(col) -> Column:
     return F.slice(c, 2, F.size(c) - 1)
 
 
-def squared_norm(col) -> Column:
+def squared_norm(col, width: int | None = None) -> Column:
+    if width is not None:
+        x = _c(col)
+        z = F.lit(0.0)
+        for i in range(width):
+            z = z + x[i] * x[i]
+        return z
     return F.aggregate(_c(col), F.lit(0.0), lambda acc, v: acc + v * v)
 
 
-def squared_distance(a, b) -> Column:
+def squared_distance(a, b, width: int | None = None) -> Column:
+    if width is not None:
+        x, y = _c(a), _c(b)
+        z = F.lit(0.0)
+        for i in range(width):
+            z = z + (x[i] - y[i]) * (x[i] - y[i])
+        return z
     return squared_norm(F.zip_with(_c(a), _c(b), lambda x, y: x - y))
 
 
-def vsub(a, b) -> Column:
+def vsub(a, b, width: int | None = None) -> Column:
+    if width is not None:
+        x, y = _c(a), _c(b)
+        return F.array(*[x[i] - y[i] for i in range(width)])
     return F.zip_with(_c(a), _c(b), lambda x, y: x - y)
 
 
-UNROLL_MAX = 4096  # weights per layer up to which a layer becomes plain (code-generated) arithmetic
+UNROLL_MAX = 1024  # weights per layer up to which a layer becomes plain (code-generated) arithmetic
 
 
 def dense_units(xs: Sequence[Column], W: np.ndarray, c: np.ndarray | None, act: str) -> list[Column]:
@@ -109,8 +131,11 @@ def dense_with_bias_column(col, Wb: np.ndarray, act: str) -> Column:
     return dense(col, Wb[:, 1:], Wb[:, 0], act)
 
 
-def threshold(col, t: float = 0.3333333) -> Column:
+def threshold(col, t: float = 0.3333333, width: int | None = None) -> Column:
     """H1: 1 where the score exceeds t, else 0."""
+    if width is not None:
+        x = _c(col)
+        return F.array(*[F.when(x[i] > F.lit(float(t)), F.lit(1.0)).otherwise(F.lit(0.0)) for i in range(width)])
     return F.transform(_c(col), lambda x: F.when(x > F.lit(float(t)), F.lit(1.0)).otherwise(F.lit(0.0)))
 
 

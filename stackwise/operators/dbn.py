@@ -15,10 +15,10 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stackwise.functions import vectors as V
 from stackwise.functions.random import derive_seed
 from stackwise.operators import nn as N
 from stackwise.operators import rbm as R
+from stackwise.operators.layers import dense_layer
 
 
 @dataclass
@@ -71,7 +71,7 @@ def dbn_transform(df: DataFrame, model: DBNModel, *, features: str = "features",
     cur = df.withColumn("_h0", F.col(features))
     for i, p in enumerate(model.layers):
         scale = p.sigma if (scale_by_sigma and i == 0 and p.sigma is not None) else None
-        cur = cur.withColumn(f"_h{i + 1}", V.dense(F.col(f"_h{i}"), p.W, p.c, "sigm", scale=scale))
+        cur = dense_layer(cur, f"_h{i}", p.W, p.c, "sigm", f"_h{i + 1}", scale=scale)
     n = len(model.layers)
     cur = cur.withColumn(out, F.col(f"_h{n}"))
     return cur.drop(*[f"_h{i}" for i in range(n + 1)])

@@ -21,6 +21,7 @@ from stackwise.functions import activations as A
 from stackwise.functions import vectors as V
 from stackwise.functions.random import derive_seed, uniform_np
 from stackwise.operators import sampling as S
+from stackwise.operators.layers import arrow_list
 from stackwise.operators.step import ensure_cached, list_matrix, step_sums
 
 _ACT = {"sigm": 0, "tanh_opt": 1, "linear": 2}
@@ -238,14 +239,24 @@ def nn_evaluate(df: DataFrame, W, cfg: NNConfig, n_parts: int | None = None, **_
 
 
 def nn_fit(samples: DataFrame, cfg: NNConfig, *, epochs: int = 1, batch_size: int | None = 100, validation: float = 0.0,
-           init_weights_: list | None = None, max_steps: int | None = None, eval_each_epoch: bool = True) -> NNFit:
-    """Epoch x batch loop with momentum, L2, sparsity, noise, dropout, lr schedule."""
+           init_weights_: list | None = None, max_steps: int | None = None, eval_each_epoch: bool = True,
+           batch_layout: str = "auto") -> NNFit:
+    """Epoch x batch loop with momentum, L2, sparsity, noise, dropout, lr schedule.
+
+    ``batch_layout``: 'filter' (cached rows filtered per step), 'partitioned' (rows written
+    once per epoch by batch, each step reads its batch only) or 'auto' (by estimated size).
+    """
+    from stackwise.plans.batches import EpochBatches, choose_layout
+
     df = samples.select("row_id", "features", "label")
     if validation > 0:
         train, val = S.train_validation_split(df, validation, cfg.seed)
     else:
         train, val = df, None
-    train, cached = ensure_cached(train)
+    m = train.count() if batch_size else 0
+    nb = S.num_batches(m, batch_size)
+    layout = choose_layout(batch_layout, m, cfg.sizes[0] + cfg.sizes[-1], nb)
+    train, cached = ensure_cached(train) if layout == "filter" else (train, False)
     W = [np.asarray(w, dtype=float).copy() for w in (init_weights_ or init_weights(cfg.sizes, cfg.seed))]
     for l, w in enumerate(W):
         if w.shape != (cfg.sizes[l + 1], cfg.sizes[l] + 1):
@@ -255,22 +266,21 @@ def nn_fit(samples: DataFrame, cfg: NNConfig, *, epochs: int = 1, batch_size: in
     lr = cfg.learning_rate
     fit = NNFit(NNModel(cfg, W))
     try:
-        m = train.count() if batch_size else 0
-        nb = S.num_batches(m, batch_size)
         n_parts = train.rdd.getNumPartitions()
+        path = None
         steps = 0
         for epoch in range(epochs):
-            bcol = S.batch_id("row_id", nb, cfg.seed, epoch)
+            eb = EpochBatches(train, nb, cfg.seed, epoch, layout, path=path, m=m, width=cfg.sizes[0] + cfg.sizes[-1])
+            path = getattr(eb, "path", None)
             for bno in range(nb):
-                batch = train if nb == 1 else train.filter(bcol == F.lit(bno))
                 step_seed = derive_seed(cfg.seed, 300, epoch, bno)
-                g = nn_gradient(batch, W, cfg, step_seed=step_seed, p=p, n_parts=n_parts)
+                g = nn_gradient(eb.get(bno), W, cfg, step_seed=step_seed, p=p,
+                                n_parts=n_parts if eb.partitions_known else None)
                 steps += 1
                 if g["n"] > 0:
                     if "p" in g:
                         p = g["p"]
-                    step_cfg = replace(cfg)
-                    W, vW = apply_grads(W, vW, g["grads"], step_cfg, lr)
+                    W, vW = apply_grads(W, vW, g["grads"], cfg, lr)
                     fit.step_losses.append(g["loss"])
                 if max_steps is not None and steps >= max_steps:
                     break
@@ -309,23 +319,18 @@ def forward_columns(df: DataFrame, W, cfg: NNConfig, *, features: str = "feature
         w = np.asarray(W[l - 1], dtype=float)
         prev = F.col(f"a{l - 1}")
         fname = cfg.activation if l < L - 1 else cfg.output
-        units = V.dense_units([prev[i] for i in range(1, w.shape[1])], w[:, 1:], w[:, 0], fname)
+        z = V.dense(V.drop_bias(prev), w[:, 1:], w[:, 0], fname) if w.size > V.UNROLL_MAX else \
+            F.array(*V.dense_units([prev[i] for i in range(1, w.shape[1])], w[:, 1:], w[:, 0], fname))
         if l < L - 1:
             if cfg.dropout > 0:
-                units = [u * F.lit(1.0 - cfg.dropout) for u in units]
-            units = [F.lit(1.0)] + units
-        cur = cur.withColumn(f"a{l}", F.array(*units))
+                z = F.transform(z, lambda x: x * F.lit(1.0 - cfg.dropout))
+            z = V.add_bias(z)
+        cur = cur.withColumn(f"a{l}", z)
     if not keep_hidden:
         cur = cur.drop(*[f"a{l}" for l in range(0, L - 1)])
     return cur
 
 
-def _arrow_list(M: np.ndarray) -> pa.Array:
-    n, w = M.shape
-    offsets = pa.array(np.arange(0, (n + 1) * w, w, dtype=np.int32) if n else np.zeros(1, dtype=np.int32))
-    return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(M).ravel(), type=pa.float64()))
-
-
 def predict_arrow(df: DataFrame, W, cfg: NNConfig, *, features: str = "features", label: str = "label") -> DataFrame:
     """G7 for wide layers: numpy forward per Arrow batch, appends predict_label and error."""
     P = _pass_params(W, cfg, training=False, step_seed=cfg.seed, want_grad=False, want_act=False)
@@ -341,7 +346,7 @@ def predict_arrow(df: DataFrame, W, cfg: NNConfig, *, features: str = "features"
             a, _ = _forward(P, None, X, False)
             out = a[-1]
             err = list_matrix(rb.column(label)) - out if has_label else np.full_like(out, np.nan)
-            cols = [rb.column(i) for i in range(rb.num_columns)] + [_arrow_list(out), _arrow_list(err)]
+            cols = [rb.column(i) for i in range(rb.num_columns)] + [arrow_list(out), arrow_list(err)]
             yield pa.RecordBatch.from_arrays(cols, names=list(rb.schema.names) + ["predict_label", "error"])
 
     return df.mapInArrow(run, schema)
@@ -351,7 +356,7 @@ def nn_forward(df: DataFrame, W, cfg: NNConfig, *, features: str = "features", l
     """G1: rows with every activation, the output and error = label - output."""
     L = cfg.n_layers
     out = forward_columns(df, W, cfg, features=features, keep_hidden=True)
-    return out.withColumn("error", V.vsub(F.col(label), F.col(f"a{L - 1}")))
+    return out.withColumn("error", V.vsub(F.col(label), F.col(f"a{L - 1}"), cfg.sizes[-1]))
 
 
 def nn_predict(df: DataFrame, W, cfg: NNConfig, *, features: str = "features", label: str = "label", keep=("row_id",),
@@ -369,12 +374,12 @@ def nn_predict(df: DataFrame, W, cfg: NNConfig, *, features: str = "features", l
     out = forward_columns(df, W, cfg, features=features)
     return out.select(*extra, F.col(label).alias("label"), F.col(features).alias("features"),
                       F.col(f"a{L - 1}").alias("predict_label"),
-                      V.vsub(F.col(label), F.col(f"a{L - 1}")).alias("error"))
+                      V.vsub(F.col(label), F.col(f"a{L - 1}"), cfg.sizes[-1]).alias("error"))
 
 
-def nn_loss(pred: DataFrame) -> DataFrame:
+def nn_loss(pred: DataFrame, width: int | None = None) -> DataFrame:
     """One row, loss = 0.5 * mean ||error||^2."""
-    return pred.agg((F.lit(0.5) * F.avg(V.squared_norm("error"))).alias("loss"))
+    return pred.agg((F.lit(0.5) * F.avg(V.squared_norm("error", width))).alias("loss"))
 
 
 def weights_table(spark: SparkSession, W) -> DataFrame:

@@ -207,23 +207,30 @@ def apply_cd_update(p: RBMParams, sums: dict, cfg: RBMConfig, gaussian: bool) ->
 
 
 def _fit(samples: DataFrame, p: RBMParams, cfg: RBMConfig, epochs: int, batch_size: int | None,
-         gaussian: bool, max_steps: int | None = None, features: str = "features") -> FitResult:
+         gaussian: bool, max_steps: int | None = None, features: str = "features",
+         batch_layout: str = "auto") -> FitResult:
     """Epoch x batch loop (F4, F7). ``max_steps`` stops early (unrolled checks)."""
+    from stackwise.plans.batches import EpochBatches, choose_layout
+
     df = samples.select("row_id", F.col(features).alias("features"))
-    df, cached = ensure_cached(df)
+    m = df.count() if batch_size else 0
+    nb = S.num_batches(m, batch_size)
+    layout = choose_layout(batch_layout, m, p.n_visible, nb)
+    # the filter layout re-reads the rows every step: keep them cached; the partitioned one
+    # reads the source once per epoch and needs no cache
+    df, cached = ensure_cached(df) if layout == "filter" else (df, False)
     try:
-        m = df.count() if batch_size else 0
-        nb = S.num_batches(m, batch_size)
         n_parts = df.rdd.getNumPartitions()
+        path = None
         history = []
         steps = 0
         for epoch in range(epochs):
             errs = []
-            bcol = S.batch_id("row_id", nb, cfg.seed, epoch)
+            eb = EpochBatches(df, nb, cfg.seed, epoch, layout, path=path, m=m, width=p.n_visible)
+            path = getattr(eb, "path", None)
             for bno in range(nb):
-                batch = df if nb == 1 else df.filter(bcol == F.lit(bno))
                 step_seed = derive_seed(cfg.seed, 100, epoch, bno)
-                sums = cd_step_sums(batch, p, cfg, step_seed, gaussian, n_parts)
+                sums = cd_step_sums(eb.get(bno), p, cfg, step_seed, gaussian, n_parts if eb.partitions_known else None)
                 p, err = apply_cd_update(p, sums, cfg, gaussian)
                 if err is not None:
                     errs.append(err)
@@ -241,18 +248,19 @@ def _fit(samples: DataFrame, p: RBMParams, cfg: RBMConfig, epochs: int, batch_si
 
 def rbm_fit(samples: DataFrame, n_hidden: int | None = None, *, epochs: int = 1, batch_size: int | None = 100,
             momentum: float = 0.0, alpha: float = 0.2, k: int = 1, seed: int = 0, init: RBMParams | None = None,
-            max_steps: int | None = None, features: str = "features") -> FitResult:
+            max_steps: int | None = None, features: str = "features", batch_layout: str = "auto") -> FitResult:
     """binary RBM trained by mini-batch CD-k with momentum."""
     if init is None:
         n_vis = len(samples.select(features).first()[0])
         init = init_params(n_vis, n_hidden, seed)
     cfg = RBMConfig(momentum=momentum, alpha=alpha, k=k, seed=seed)
-    return _fit(samples, init.copy(), cfg, epochs, batch_size, False, max_steps, features)
+    return _fit(samples, init.copy(), cfg, epochs, batch_size, False, max_steps, features, batch_layout)
 
 
 def gaussian_rbm_fit(samples: DataFrame, n_hidden: int | None = None, *, epochs: int = 1, batch_size: int | None = 100,
                      momentum: float = 0.0, alpha: float = 0.2, k: int = 1, seed: int = 0, noise: str = "normal",
-                     init: RBMParams | None = None, max_steps: int | None = None, features: str = "features") -> FitResult:
+                     init: RBMParams | None = None, max_steps: int | None = None, features: str = "features",
+                     batch_layout: str = "auto") -> FitResult:
     """Gaussian-visible RBM with learned per-unit sigma (F5 + F6 each step)."""
     if noise not in ("normal", "uniform", "none"):
         raise ValueError("noise must be normal, uniform or none")
@@ -264,7 +272,7 @@ def gaussian_rbm_fit(samples: DataFrame, n_hidden: int | None = None, *, epochs:
         init.sigma = np.ones(init.n_visible)
         init.v_inv_sigma = np.zeros(init.n_visible)
     cfg = RBMConfig(momentum=momentum, alpha=alpha, k=k, seed=seed, noise=noise)
-    return _fit(samples, init.copy(), cfg, epochs, batch_size, True, max_steps, features)
+    return _fit(samples, init.copy(), cfg, epochs, batch_size, True, max_steps, features, batch_layout)
 
 
 def rbm_fit_full_batch(samples: DataFrame, init: RBMParams, *, epochs: int = 200, alpha: float = 0.02,
@@ -296,10 +304,13 @@ def rbm_fit_full_batch(samples: DataFrame, init: RBMParams, *, epochs: int = 200
 
 # --------------------------------------------------------------------------- projections
 
-def rbm_hidden(df: DataFrame, p: RBMParams, col: str = "features", out: str = "hidden", scale_by_sigma: bool = False) -> DataFrame:
+def rbm_hidden(df: DataFrame, p: RBMParams, col: str = "features", out: str = "hidden", scale_by_sigma: bool = False,
+               method: str = "auto") -> DataFrame:
     """hidden probabilities sigm(v W^T + c), the input of the next layer."""
+    from stackwise.operators.layers import dense_layer
+
     scale = p.sigma if (scale_by_sigma and p.sigma is not None) else None
-    return df.withColumn(out, V.dense(col, p.W, p.c, "sigm", scale=scale))
+    return dense_layer(df, col, p.W, p.c, "sigm", out, scale=scale, method=method)
 
 
 def rbm_reconstruct(df: DataFrame, p: RBMParams, col: str = "features", out: str = "reconstruction") -> DataFrame:

@@ -372,7 +372,7 @@ def q_reconstruction_error(spark, sf):
 def q_half_mse(spark, sf):
     W, c, _ = FX.li_layer()
     li = I.lineitem_samples(spark, sf)
-    out = li.select(V.vsub("label", V.dense("features", W, c, "sigm")).alias("error"))
+    out = li.select(V.vsub("label", V.dense("features", W, c, "sigm"), 3).alias("error"))
     return E.half_mse(out, "error").select(round6("loss").alias("loss"))
 
 
@@ -602,7 +602,7 @@ def q_nn_predict(spark, sf):
 
 
 def q_nn_loss(spark, sf):
-    return N.nn_loss(_li_pred(spark, sf)).select(round6("loss").alias("loss"))
+    return N.nn_loss(_li_pred(spark, sf), 3).select(round6("loss").alias("loss"))
 
 
 def q_dbn_finetune(spark, sf):
@@ -619,13 +619,13 @@ def q_dbn_finetune(spark, sf):
 # ============================================================================ H: evaluation
 
 def q_threshold_labels(spark, sf):
-    th = H.threshold_labels(_li_pred(spark, sf))
+    th = H.threshold_labels(_li_pred(spark, sf), width=3)
     one = th.agg(*[F.sum(F.col("predicted")[i]).alias(f"u{i}") for i in range(3)])
     return one.selectExpr("stack(3, 0, u0, 1, u1, 2, u2) AS (unit, v)").select(F.col("unit").cast("int").alias("unit"), r4(F.col("v")))
 
 
 def q_label_hit_rate(spark, sf):
-    return H.label_hit_rate(_li_pred(spark, sf)).select(round6("hit_rate").alias("hit_rate"))
+    return H.label_hit_rate(_li_pred(spark, sf), width=3).select(round6("hit_rate").alias("hit_rate"))
 
 
 def dbn_pipeline(spark, sf, *, epochs_pretrain: int = 2, epochs_finetune: int = 3, batch_size: int = 100, hidden: int = 8):
@@ -635,8 +635,9 @@ def dbn_pipeline(spark, sf, *, epochs_pretrain: int = 2, epochs_finetune: int =
     fit = D.dbn_finetune(em, model, epochs=epochs_finetune, batch_size=batch_size, seed=SEED)
     pred = fit.model.predict(em)
     # loss (G8) and hit rate (H2) of the same predictions in one aggregation
-    return pred.agg(round6(F.lit(0.5) * F.avg(V.squared_norm("error"))).alias("loss"),
-                    round6(F.avg(V.dot("label", V.threshold("predict_label", H.HIT_THRESHOLD)))).alias("hit_rate"),
+    w = 10
+    return pred.agg(round6(F.lit(0.5) * F.avg(V.squared_norm("error", w))).alias("loss"),
+                    round6(F.avg(V.dot("label", V.threshold("predict_label", H.HIT_THRESHOLD, w), w))).alias("hit_rate"),
                     F.count(F.lit(1)).cast("long").alias("n"))
 
 

@@ -48,9 +48,10 @@ def lineitem_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def embedding_samples(spark: SparkSession, sf_dir: str, *, width: int = 10, binary: bool = False) -> DataFrame:
     em = table(spark, sf_dir, "embeddings")
-    feats = F.transform(F.slice(F.col("embedding"), 1, width), lambda x: x.cast("double"))
+    slots = [F.col("embedding")[i].cast("double") for i in range(width)]
     if binary:
-        feats = F.transform(feats, lambda x: F.when(x > 0, F.lit(1.0)).otherwise(F.lit(0.0)))
+        slots = [F.when(x > 0, F.lit(1.0)).otherwise(F.lit(0.0)) for x in slots]
+    feats = F.array(*slots)
     return em.select(F.col("vec_id").cast("long").alias("row_id"),
                      one_hot_lit(F.col("label"), EMBED_LABELS).alias("label"),
                      feats.alias("features"))

@@ -105,3 +105,31 @@ def test_min_max_within_unit_interval(spark):
     r = out.agg(F.min("l_quantity"), F.max("l_quantity"), F.min("l_tax"), F.max("l_tax"), F.min("const"), F.max("const")).first()
     assert r[0] == 0.0 and r[1] == 1.0 and r[2] == 0.0 and r[3] == 1.0
     assert r[4] == 0.5 and r[5] == 0.5
+
+
+def test_partitioned_batch_layout_equals_filter_layout(em):
+    cfg = C.em_cfg(dropout=0.2)
+    a = N.nn_fit(em, cfg, epochs=2, batch_size=100, init_weights_=FX.em_weights(), batch_layout="filter")
+    b = N.nn_fit(em, cfg, epochs=2, batch_size=100, init_weights_=FX.em_weights(), batch_layout="partitioned")
+    for x, y in zip(a.model.weights, b.model.weights):
+        np.testing.assert_allclose(x, y, rtol=1e-9, atol=1e-12)
+    W, bb, c = FX.em_rbm()
+    r1 = R.gaussian_rbm_fit(em, init=R.RBMParams(W=W, b=bb, c=c), epochs=1, batch_size=100, seed=4, batch_layout="filter")
+    r2 = R.gaussian_rbm_fit(em, init=R.RBMParams(W=W, b=bb, c=c), epochs=1, batch_size=100, seed=4, batch_layout="partitioned")
+    np.testing.assert_allclose(r1.params.W, r2.params.W, rtol=1e-9, atol=1e-12)
+
+
+def test_wide_layer_arrow_path_equals_expression(spark):
+    from stackwise.operators.layers import dense_layer
+
+    em = I.embedding_samples(spark, SF_SMALL, width=64)
+    W = FX.fixed((80, 64), 9, 0.3)
+    c = FX.fixed((80,), 10, 0.3)
+    a = dense_layer(em, "features", W, c, "sigm", "h", method="arrow").orderBy("row_id").select("h").collect()
+    b = dense_layer(em, "features", W, c, "sigm", "h", method="expr").orderBy("row_id").select("h").collect()
+    np.testing.assert_allclose(np.array([r[0] for r in a]), np.array([r[0] for r in b]), rtol=1e-12, atol=1e-12)
+    net = N.NNConfig(sizes=(64, 12, 10), activation="sigm", output="sigm")
+    Wn = [np.concatenate([c[:12, None], W[:12]], axis=1), FX.fixed((10, 13), 11, 0.3)]
+    pa_ = N.nn_predict(em, Wn, net, method="arrow").orderBy("row_id").select("predict_label").collect()
+    pe = N.nn_predict(em, Wn, net, method="expr").orderBy("row_id").select("predict_label").collect()
+    np.testing.assert_allclose(np.array([r[0] for r in pa_]), np.array([r[0] for r in pe]), rtol=1e-12, atol=1e-12)

@@ -600,3 +600,21 @@ def _():
     tr = eval_sql(ch, x, y, Ws, cfg)
     hist = ch.add(f"SELECT 0 AS i, w FROM {tr}")
     return ch.render(params_rows([("W0", Ws[0], "mat"), ("W1", Ws[1], "mat"), ("train_error", hist, "vec")]))
+
+
+@oracle("training_history")
+def _():
+    # A5: the per-epoch history of the full-batch binary RBM (3 epochs); sums of binary
+    # squared errors are whole numbers, so no rounding is involved
+    W, b, c = FX.em_rbm(5)
+    ch = Chain()
+    _, x, _ = em_inputs(ch, binary=True)
+    p = RBMTabs(ch, W, b, c)
+    errs = []
+    for epoch in range(3):
+        st = full_batch_binary(ch, x, p, derive_seed(SEED, 200, epoch), 0.02)
+        errs.append(st["err"])
+        p = cd_update(ch, p, st, 0.1, 1.0, False, prescaled=True)
+    return ch.render(" UNION ALL ".join(
+        f"SELECT 'rbm_full_batch' AS stage, CAST({e + 1} AS INTEGER) AS epoch, s AS train_error, "
+        f"CAST(NULL AS DOUBLE) AS val_error FROM {t}" for e, t in enumerate(errs)))

@@ -34,7 +34,7 @@ def con():
 
 def test_every_query_registered_with_oracle_or_rows_only():
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"training_history", "pca_project", "dbn_pipeline"}
+    assert set(QUERIES) - set(ORACLES) == {"pca_project", "dbn_pipeline"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -47,7 +47,7 @@ def test_query_matches_sql(spark, con, name):
     assert got[1] == want[1]
 
 
-@pytest.mark.parametrize("name", ["training_history", "pca_project", "dbn_pipeline"])
+@pytest.mark.parametrize("name", ["pca_project", "dbn_pipeline"])
 def test_rows_only_queries_run(spark, name):
     rows = QUERIES[name](spark, SF_SMALL).collect()
     assert len(rows) > 0

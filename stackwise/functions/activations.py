@@ -47,15 +47,19 @@ def scalar_grad(name: str, a: Column) -> Column:
     return F.lit(1.0) + a * 0.0
 
 
-def activate(col, name: str) -> Column:
-    """Elementwise activation of an array column."""
+def activate(col, name: str, width: int | None = None) -> Column:
+    """Elementwise activation of an array column (unrolled when the width is known)."""
     c = F.col(col) if isinstance(col, str) else col
+    if width is not None:
+        return F.array(*[scalar(name, c[i]) for i in range(width)])
     return F.transform(c, lambda z: scalar(name, z))
 
 
-def activation_gradient(col, name: str) -> Column:
+def activation_gradient(col, name: str, width: int | None = None) -> Column:
     """Elementwise derivative of an activated array column."""
     c = F.col(col) if isinstance(col, str) else col
+    if width is not None:
+        return F.array(*[scalar_grad(name, c[i]) for i in range(width)])
     return F.transform(c, lambda a: scalar_grad(name, a))
 
 

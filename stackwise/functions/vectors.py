@@ -48,6 +48,14 @@ def dot(a, b, width: int | None = None) -> Column:
     return F.aggregate(F.zip_with(_c(a), _c(b), lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
 
 
+def map_slots(col, fn, width: int | None = None) -> Column:
+    """fn(x_i, i) for every slot; unrolled (code-generated) when the width is known, else ``transform``."""
+    c = _c(col)
+    if width is not None:
+        return F.array(*[fn(c[i], F.lit(i)) for i in range(width)])
+    return F.transform(c, lambda x, i: fn(x, i))
+
+
 def add_bias(col) -> Column:
     """Prepend the constant 1 (bias slot)."""
     return F.concat(F.array(F.lit(1.0)), _c(col))

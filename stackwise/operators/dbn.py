@@ -35,14 +35,15 @@ class DBNModel:
 def dbn_pretrain(samples: DataFrame, sizes, *, epochs: int = 1, batch_size: int | None = 100, k: int = 1,
                  momentum: float = 0.0, alpha: float = 0.2, seed: int = 0, noise: str = "normal",
                  init: list | None = None, max_steps_per_layer: int | None = None,
-                 scale_by_sigma: bool = False) -> DBNModel:
+                 scale_by_sigma: bool = False, sigma_rate: float = 1.0) -> DBNModel:
     """pretrain ``len(sizes) - 1`` RBMs; defaults size [10, 5, 1], momentum 0, alpha 0.2."""
     sizes = tuple(int(s) for s in sizes)
     layers, history = [], []
     base = samples.select("row_id", "features")
     g = R.gaussian_rbm_fit(base, sizes[1], epochs=epochs, batch_size=batch_size, momentum=momentum, alpha=alpha,
                            k=k, seed=derive_seed(seed, 400, 0), noise=noise,
-                           init=None if init is None else init[0], max_steps=max_steps_per_layer)
+                           init=None if init is None else init[0], max_steps=max_steps_per_layer,
+                           sigma_rate=sigma_rate)
     layers.append(g.params)
     history += [(1, e, err) for e, err in g.history]
     prev = None

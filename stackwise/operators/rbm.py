@@ -67,6 +67,7 @@ class RBMConfig:
     k: int = 1
     noise: str = "normal"  # Gaussian reconstruction noise: normal | uniform | none (Q3)
     seed: int = 0
+    sigma_rate: float = 1.0  # scale of the 1/sigma step; 1.0 = unscaled as in the reference
 
 
 @dataclass
@@ -198,7 +199,8 @@ def apply_cd_update(p: RBMParams, sums: dict, cfg: RBMConfig, gaussian: bool) ->
     q.b = p.b + q.vb
     q.c = p.c + q.vc
     if gaussian:
-        q.v_inv_sigma = cfg.momentum * p.v_inv_sigma + sums["dsig"] / n
+        step = sums["dsig"] / n if cfg.sigma_rate == 1.0 else cfg.sigma_rate * sums["dsig"] / n
+        q.v_inv_sigma = cfg.momentum * p.v_inv_sigma + step
         inv = 1.0 / p.sigma + q.v_inv_sigma
         with np.errstate(divide="ignore"):
             s = np.where(inv > 0, 1.0 / np.where(inv > 0, inv, 1.0), SIGMA_FLOOR)
@@ -260,8 +262,12 @@ def rbm_fit(samples: DataFrame, n_hidden: int | None = None, *, epochs: int = 1,
 def gaussian_rbm_fit(samples: DataFrame, n_hidden: int | None = None, *, epochs: int = 1, batch_size: int | None = 100,
                      momentum: float = 0.0, alpha: float = 0.2, k: int = 1, seed: int = 0, noise: str = "normal",
                      init: RBMParams | None = None, max_steps: int | None = None, features: str = "features",
-                     batch_layout: str = "auto") -> FitResult:
-    """Gaussian-visible RBM with learned per-unit sigma (F5 + F6 each step)."""
+                     batch_layout: str = "auto", sigma_rate: float = 1.0) -> FitResult:
+    """Gaussian-visible RBM with learned per-unit sigma (F5 + F6 each step).
+
+    The 1/sigma velocity takes the mean sigma gradient unscaled, as the reference does;
+    ``sigma_rate`` < 1 damps it (large alpha with no damping can diverge).
+    """
     if noise not in ("normal", "uniform", "none"):
         raise ValueError("noise must be normal, uniform or none")
     if init is None:
@@ -271,14 +277,22 @@ def gaussian_rbm_fit(samples: DataFrame, n_hidden: int | None = None, *, epochs:
         init = init.copy()
         init.sigma = np.ones(init.n_visible)
         init.v_inv_sigma = np.zeros(init.n_visible)
-    cfg = RBMConfig(momentum=momentum, alpha=alpha, k=k, seed=seed, noise=noise)
+    cfg = RBMConfig(momentum=momentum, alpha=alpha, k=k, seed=seed, noise=noise, sigma_rate=sigma_rate)
     return _fit(samples, init.copy(), cfg, epochs, batch_size, True, max_steps, features, batch_layout)
 
 
-def rbm_fit_full_batch(samples: DataFrame, init: RBMParams, *, epochs: int = 200, alpha: float = 0.02,
-                       momentum: float = 0.1, seed: int = 0, features: str = "features") -> FitResult:
-    """full-batch binary RBM, sampled states; the epoch error is the SUM over rows."""
+def rbm_fit_full_batch(samples: DataFrame, init: RBMParams | None = None, *, n_hidden: int = 5, epochs: int = 200,
+                       alpha: float = 0.02, momentum: float = 0.1, seed: int = 0, features: str = "features") -> FitResult:
+    """full-batch binary RBM, sampled states; the epoch error is the SUM over rows.
+
+    Defaults as in the reference run: 5 hidden units, alpha 0.02, momentum 0.1, W and b
+    drawn from N(0, 0.01), c = 0.
+    """
     df, cached = ensure_cached(samples.select("row_id", F.col(features).alias("features")))
+    if init is None:
+        n_vis = len(df.first()["features"])
+        rng = np.random.default_rng(seed)
+        init = RBMParams(W=rng.normal(0.0, 0.01, (n_hidden, n_vis)), b=rng.normal(0.0, 0.01, n_vis), c=np.zeros(n_hidden))
     p = init.copy()
     history = []
     try:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stackwise.functions import activations as A
+from stackwise.functions import vectors as V
 from stackwise.functions.random import derive_seed, normal_col, uniform_col
 
 # stream identifiers inside derive_seed(seed, STREAM, ...)
@@ -52,43 +53,51 @@ def mini_batches(df: DataFrame, n_batches: int, seed: int = 0, epoch: int = 0, r
     return df.withColumn("batch_id", batch_id(row_id, n_batches, seed, epoch))
 
 
-def mask_noise(col, fraction: float, seed: int, row_id="row_id", stream: tuple = ()) -> Column:
+def mask_noise(col, fraction: float, seed: int, row_id="row_id", stream: tuple = (), width: int | None = None) -> Column:
     """Zero each input slot with probability ``fraction`` (keep when u >= fraction)."""
     s = derive_seed(seed, NOISE, *stream)
     rid = _c(row_id)
-    return F.transform(_c(col), lambda x, i: F.when(uniform_col(rid, i, s) >= F.lit(float(fraction)), x).otherwise(F.lit(0.0)))
+    return V.map_slots(col, lambda x, i: F.when(uniform_col(rid, i, s) >= F.lit(float(fraction)), x).otherwise(F.lit(0.0)), width)
 
 
-def dropout_mask(col, fraction: float, seed: int, row_id="row_id", stream: tuple = ()) -> Column:
+def dropout_mask(col, fraction: float, seed: int, row_id="row_id", stream: tuple = (), width: int | None = None) -> Column:
     """C4: the 0/1 keep mask (keep when u > fraction, strictly)."""
     s = derive_seed(seed, DROPOUT, *stream)
     rid = _c(row_id)
-    return F.transform(_c(col), lambda x, i: F.when(uniform_col(rid, i, s) > F.lit(float(fraction)), F.lit(1.0)).otherwise(F.lit(0.0)))
+    return V.map_slots(col, lambda x, i: F.when(uniform_col(rid, i, s) > F.lit(float(fraction)), F.lit(1.0)).otherwise(F.lit(0.0)),
+                       width)
 
 
-def apply_dropout(col, fraction: float, seed: int, row_id="row_id", testing: bool = False, stream: tuple = ()) -> Column:
+def apply_dropout(col, fraction: float, seed: int, row_id="row_id", testing: bool = False, stream: tuple = (),
+                  width: int | None = None) -> Column:
     """C4: masked activations while training, activations x (1 - fraction) at test time."""
     if testing:
-        return F.transform(_c(col), lambda x: x * F.lit(1.0 - float(fraction)))
-    mask = dropout_mask(col, fraction, seed, row_id, stream)
-    return F.zip_with(_c(col), mask, lambda x, k: x * k)
+        return V.map_slots(col, lambda x, i: x * F.lit(1.0 - float(fraction)), width)
+    s = derive_seed(seed, DROPOUT, *stream)
+    rid = _c(row_id)
+    return V.map_slots(col, lambda x, i: x * F.when(uniform_col(rid, i, s) > F.lit(float(fraction)), F.lit(1.0))
+                       .otherwise(F.lit(0.0)), width)
 
 
-def sample_states(col, seed: int, row_id="row_id", stream: tuple = ()) -> Column:
+def sample_states(col, seed: int, row_id="row_id", stream: tuple = (), width: int | None = None) -> Column:
     """Bernoulli states, 1 where p > u."""
     s = derive_seed(seed, STATES, *stream)
     rid = _c(row_id)
-    return F.transform(_c(col), lambda p, i: F.when(p > uniform_col(rid, i, s), F.lit(1.0)).otherwise(F.lit(0.0)))
+    return V.map_slots(col, lambda p, i: F.when(p > uniform_col(rid, i, s), F.lit(1.0)).otherwise(F.lit(0.0)), width)
 
 
-def sigmoid_sample(col, seed: int, row_id="row_id", stream: tuple = ()) -> Column:
+def sigmoid_sample(col, seed: int, row_id="row_id", stream: tuple = (), width: int | None = None) -> Column:
     """Logistic, then Bernoulli."""
-    return sample_states(A.activate(col, "sigm"), seed, row_id, stream)
+    s = derive_seed(seed, STATES, *stream)
+    rid = _c(row_id)
+    return V.map_slots(col, lambda z, i: F.when(A.scalar("sigm", z) > uniform_col(rid, i, s), F.lit(1.0)).otherwise(F.lit(0.0)),
+                       width)
 
 
-def sigmoid_additive_noise(col, seed: int, row_id="row_id", noise: str = "uniform", stream: tuple = ()) -> Column:
+def sigmoid_additive_noise(col, seed: int, row_id="row_id", noise: str = "uniform", stream: tuple = (),
+                           width: int | None = None) -> Column:
     """Logistic plus noise; uniform [0,1) as the reference draws it, or standard normal."""
     s = derive_seed(seed, RECON, *stream)
     rid = _c(row_id)
     draw = uniform_col if noise == "uniform" else normal_col
-    return F.transform(A.activate(col, "sigm"), lambda p, i: p + draw(rid, i, s))
+    return V.map_slots(col, lambda z, i: A.scalar("sigm", z) + draw(rid, i, s), width)

@@ -142,11 +142,3 @@ def ensure_cached(df: DataFrame) -> tuple[DataFrame, bool]:
     if df.storageLevel != StorageLevel.NONE:
         return df, False
     return df.persist(StorageLevel.MEMORY_AND_DISK), True
-
-
-def with_parallelism(df: DataFrame, min_factor: int = 2) -> DataFrame:
-    """Spread a small input over the cores once; large inputs keep their scan partitions."""
-    target = df.sparkSession.sparkContext.defaultParallelism * min_factor
-    if df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism:
-        return df.repartition(target)
-    return df

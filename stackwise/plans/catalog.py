@@ -289,44 +289,45 @@ def q_mini_batches(spark, sf):
 
 def q_mask_noise(spark, sf):
     ev = I.event_samples(spark, sf)
-    return vec_means(ev.select(S.mask_noise("features", 0.3, SEED).alias("x")), "x", 3)
+    return vec_means(ev.select(S.mask_noise("features", 0.3, SEED, width=3).alias("x")), "x", 3)
 
 
 def q_dropout_mask(spark, sf):
     ev = I.event_samples(spark, sf)
-    df = ev.select(S.dropout_mask("features", 0.4, SEED).alias("mask"), S.apply_dropout("features", 0.4, SEED).alias("train"),
-                   S.apply_dropout("features", 0.4, SEED, testing=True).alias("test"))
+    df = ev.select(S.dropout_mask("features", 0.4, SEED, width=3).alias("mask"),
+                   S.apply_dropout("features", 0.4, SEED, width=3).alias("train"),
+                   S.apply_dropout("features", 0.4, SEED, testing=True, width=3).alias("test"))
     return multi_vec_means(df, [("mask", 3, "mask"), ("train", 3, "train"), ("test", 3, "test")])
 
 
 def q_sample_states(spark, sf):
     ev = I.event_samples(spark, sf)
-    return vec_means(ev.select(S.sample_states("features", SEED).alias("x")), "x", 3)
+    return vec_means(ev.select(S.sample_states("features", SEED, width=3).alias("x")), "x", 3)
 
 
 def q_sigmoid_sample(spark, sf):
     ev = I.event_samples(spark, sf)
-    shifted = F.transform("features", lambda x: x * 4.0 - 2.0)
-    return vec_means(ev.select(S.sigmoid_sample(shifted, SEED).alias("x")), "x", 3)
+    shifted = V.map_slots("features", lambda x, i: x * 4.0 - 2.0, 3)
+    return vec_means(ev.select(S.sigmoid_sample(shifted, SEED, width=3).alias("x")), "x", 3)
 
 
 def q_sigmoid_additive_noise(spark, sf):
     ev = I.event_samples(spark, sf)
-    return vec_means(ev.select(S.sigmoid_additive_noise("features", SEED).alias("x")), "x", 3)
+    return vec_means(ev.select(S.sigmoid_additive_noise("features", SEED, width=3).alias("x")), "x", 3)
 
 
 # ============================================================================ D, E: vectors and aggregates
 
 def q_activate(spark, sf):
     li = I.lineitem_samples(spark, sf)
-    df = li.select(*[A.activate("features", fn).alias(fn) for fn in A.ACTIVATIONS])
+    df = li.select(*[A.activate("features", fn, 4).alias(fn) for fn in A.ACTIVATIONS])
     return multi_vec_means(df, [(fn, 4, fn) for fn in A.ACTIVATIONS])
 
 
 def q_activation_gradient(spark, sf):
     li = I.lineitem_samples(spark, sf)
-    acts = li.select(*[A.activate("features", fn).alias(fn) for fn in A.ACTIVATIONS])
-    df = acts.select(*[A.activation_gradient(fn, fn).alias(fn) for fn in A.ACTIVATIONS])
+    acts = li.select(*[A.activate("features", fn, 4).alias(fn) for fn in A.ACTIVATIONS])
+    df = acts.select(*[A.activation_gradient(fn, fn, 4).alias(fn) for fn in A.ACTIVATIONS])
     return multi_vec_means(df, [(fn, 4, fn) for fn in A.ACTIVATIONS])
 
 
@@ -629,11 +630,28 @@ def q_label_hit_rate(spark, sf):
 
 
 def dbn_pipeline(spark, sf, *, epochs_pretrain: int = 2, epochs_finetune: int = 3, batch_size: int = 100, hidden: int = 8):
-    """H3: extract -> pretrain -> unfold -> fine-tune -> predict -> loss -> hit rate."""
-    em = _em(spark, sf)
-    model = D.dbn_pretrain(em, (10, hidden, 10), epochs=epochs_pretrain, batch_size=batch_size, momentum=0.01, alpha=0.01, seed=SEED)
-    fit = D.dbn_finetune(em, model, epochs=epochs_finetune, batch_size=batch_size, seed=SEED)
-    pred = fit.model.predict(em)
+    """H3: prepare -> extract -> pretrain -> unfold -> fine-tune -> predict -> loss -> hit rate.
+
+    The embeddings table is spread into named columns, cleaned and scaled to [0, 1]
+    (B12, two passes), the target one-hot encoded, features picked by name (B6) and the
+    samples written once (A4); then the DBN [10, hidden, 10] is pretrained, unfolded,
+    fine-tuned (sigm / sigm) and every row scored.
+    """
+    em = I.table(spark, sf, "embeddings")
+    names = [f"e{i}" for i in range(10)]
+    wide = em.select("vec_id", F.col("label").cast("string").alias("label"),
+                     *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)])
+    clean, _ = P.prepare_table(wide, names, one_hot_cols={"label": [str(k) for k in I.EMBED_LABELS]},
+                               missing_fill={"label": 0.5})
+    # A4 sink: the cleaned samples are written once to the shared folder and read back, which
+    # cuts the lineage (short step plans; a lost executor re-reads files)
+    path = scratch_path(spark, "clean-samples")
+    T.write_clean_table(P.select_features(clean, "label", names, row_id="vec_id"), path, fmt="parquet")
+    samples = spark.read.parquet(path)
+    model = D.dbn_pretrain(samples, (10, hidden, 10), epochs=epochs_pretrain, batch_size=batch_size, momentum=0.01,
+                           alpha=0.01, seed=SEED)
+    fit = D.dbn_finetune(samples, model, epochs=epochs_finetune, batch_size=batch_size, seed=SEED)
+    pred = fit.model.predict(samples)
     # loss (G8) and hit rate (H2) of the same predictions in one aggregation
     w = 10
     return pred.agg(round6(F.lit(0.5) * F.avg(V.squared_norm("error", w))).alias("loss"),

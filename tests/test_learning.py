@@ -34,3 +34,11 @@ def test_dbn_unfold_equals_transform(spark):
     b = np.array([r["predict_label"] for r in D.score_unfolded(em.withColumn("label", em["features"]), model)
                   .orderBy("row_id").select("predict_label").collect()])
     np.testing.assert_allclose(a, b, rtol=1e-12, atol=1e-12)
+
+
+def test_sigma_rate_damps_the_sigma_step(spark):
+    em = I.embedding_samples(spark, SF_SMALL)
+    wild = R.gaussian_rbm_fit(em, 6, epochs=3, batch_size=100, alpha=0.2, seed=1)
+    damped = R.gaussian_rbm_fit(em, 6, epochs=3, batch_size=100, alpha=0.2, seed=1, sigma_rate=0.01)
+    assert damped.history[-1][1] < wild.history[-1][1]
+    assert np.isfinite(damped.history[-1][1])

@@ -7,8 +7,10 @@ and emits one small row per partition and named quantity; the partials are then
 
 * One Spark job per training step; n, errors and every gradient travel together.
 * No row ever leaves its task. When partitions x parameters is small (a checked bound,
-  32 MiB) the partials are added on the driver; above it they are summed by a shuffle of
-  parameter-sized rows, so the driver only ever receives one parameter set.
+  32 MiB) the partials are added on the driver; above it they are summed by a two-level
+  tree (like ``treeAggregate``, but as DataFrame shuffles of chunked parameter rows), so
+  the driver only ever receives one parameter set and no group holds more than about
+  sqrt(partitions) rows.
 * Parameters go to the tasks inside the function closure while they are small and through
   a broadcast variable (released after the step) when they are not.
 * ``fn`` must be a pure function of the rows and parameters (draws are seeded per row), so
@@ -17,13 +19,13 @@ and emits one small row per partition and named quantity; the partials are then
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping
 
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 1 << 20  # ship parameters above 1 MiB with a broadcast variable
 DIRECT_MAX_VALUES = 1 << 22  # partitions x parameters up to 4 Mi doubles (32 MiB) go straight to the driver
@@ -87,6 +89,7 @@ def step_sums(
             return frozen
 
     names = list(shapes)
+    chunk = CHUNK  # read once: the tasks and the driver must agree on it
     has_id = row_id is not None and row_id in cols
     has_label = label is not None and label in cols
 
@@ -105,38 +108,77 @@ def step_sums(
                 acc[k] = acc[k] + v if k in acc else v.copy()
         if not acc:
             return
-        keys = [k for k in names if k in acc]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(keys, type=pa.string()),
-                pa.array([acc[k].ravel() for k in keys], type=pa.list_(pa.float64())),
-            ],
-            names=["name", "vals"],
-        )
-
-    partial = sub.mapInArrow(run, "name string, vals array<double>")
+        yield _chunked_batch({k: acc[k].ravel() for k in names if k in acc}, chunk)
+
+    partial = sub.mapInArrow(run, PARTIAL_SCHEMA)
     result = {k: np.zeros(int(np.prod(s)) if len(s) else 1, dtype=np.float64) for k, s in shapes.items()}
     n_values = sum(v.size for v in result.values())
     if n_parts is None:
         n_parts = sub.rdd.getNumPartitions()
-    if n_parts * n_values <= DIRECT_MAX_VALUES:
-        # bounded payload (partitions x parameters): add the per-partition partials on the driver
-        for r in partial.collect():
-            result[r["name"]] += np.asarray(r["vals"], dtype=np.float64)
-    else:
-        # distributed reduce: one shuffle of parameter-sized rows, summed per (name, slot)
-        total = (
-            partial.select("name", F.posexplode("vals").alias("pos", "v"))
-            .groupBy("name", "pos")
-            .agg(F.sum("v").alias("v"))
-        )
-        for r in total.toLocalIterator():
-            result[r["name"]][r["pos"]] = r["v"]
+    for r in _reduce_partials(partial, n_parts, n_values, chunk):
+        start = r["chunk"] * chunk
+        vals = np.asarray(r["vals"], dtype=np.float64)
+        result[r["name"]][start:start + vals.size] += vals
     if bc is not None:
         bc.unpersist()
     return {k: (v.reshape(shapes[k]) if len(shapes[k]) else float(v[0])) for k, v in result.items()}
 
 
+PARTIAL_SCHEMA = "name string, chunk int, vals array<double>"
+CHUNK = 1 << 16  # values per partial row
+
+
+def _chunked_batch(acc: Mapping[str, np.ndarray], chunk: int) -> pa.RecordBatch:
+    names, chunks, vals = [], [], []
+    for k, v in acc.items():
+        for c in range(max(1, -(-v.size // chunk))):
+            names.append(k)
+            chunks.append(c)
+            vals.append(v[c * chunk:(c + 1) * chunk])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(names, type=pa.string()), pa.array(chunks, type=pa.int32()), pa.array(vals, type=pa.list_(pa.float64()))],
+        names=["name", "chunk", "vals"])
+
+
+def _sum_partials(batches):
+    """Streaming sum of partial rows per (name, chunk) inside one task."""
+    acc: dict[tuple, np.ndarray] = {}
+    for rb in batches:
+        names = rb.column("name").to_pylist()
+        chunks = rb.column("chunk").to_pylist()
+        vals = rb.column("vals")
+        for i in range(rb.num_rows):
+            v = vals[i].values.to_numpy(zero_copy_only=False)
+            key = (names[i], chunks[i])
+            if key in acc:
+                acc[key] += v
+            else:
+                acc[key] = v.astype(np.float64, copy=True)
+    if acc:
+        keys = list(acc)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([k[0] for k in keys], type=pa.string()), pa.array([k[1] for k in keys], type=pa.int32()),
+             pa.array([acc[k] for k in keys], type=pa.list_(pa.float64()))], names=["name", "chunk", "vals"])
+
+
+def _reduce_partials(partial: DataFrame, n_parts: int, n_values: int, chunk: int):
+    """Rows (name, chunk, vals) whose sum per (name, chunk) is the total.
+
+    * partitions x parameters <= DIRECT_MAX_VALUES: the partials themselves (bounded payload);
+    * otherwise a two-level tree: a round-robin shuffle into ~sqrt(partitions) tasks that sum
+      their share, then (if still above the bound) a shuffle by (name, chunk) whose groups
+      hold only ~sqrt(partitions) rows each. The driver receives one parameter set.
+    """
+    if n_parts * n_values <= DIRECT_MAX_VALUES:
+        return partial.collect()
+    k = max(1, int(math.ceil(math.sqrt(n_parts))))
+    level1 = partial.repartition(k).mapInArrow(_sum_partials, PARTIAL_SCHEMA)
+    if k * n_values <= DIRECT_MAX_VALUES:
+        return level1.collect()
+    n_chunks = max(1, -(-n_values // chunk))
+    return level1.repartition(n_chunks, "name", "chunk").mapInArrow(_sum_partials, PARTIAL_SCHEMA).toLocalIterator()
+
+
 def ensure_cached(df: DataFrame) -> tuple[DataFrame, bool]:
     """Persist ``df`` (memory, spilling to disk) unless it already is; return (df, we_cached)."""
     if df.storageLevel != StorageLevel.NONE:

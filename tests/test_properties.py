@@ -133,3 +133,18 @@ def test_wide_layer_arrow_path_equals_expression(spark):
     pa_ = N.nn_predict(em, Wn, net, method="arrow").orderBy("row_id").select("predict_label").collect()
     pe = N.nn_predict(em, Wn, net, method="expr").orderBy("row_id").select("predict_label").collect()
     np.testing.assert_allclose(np.array([r[0] for r in pa_]), np.array([r[0] for r in pe]), rtol=1e-12, atol=1e-12)
+
+
+@pytest.mark.parametrize("direct_max,chunk", [(10, 1 << 16), (10, 7), (200, 7)])
+def test_tree_reduce_equals_direct_sum(em, monkeypatch, direct_max, chunk):
+    from stackwise.operators import step
+
+    W, b, c = FX.em_rbm()
+    p = R.RBMParams(W=W, b=b, c=c, sigma=FX.em_sigma())
+    data = em.repartition(6)
+    want = R.cd_step_sums(data, p, R.RBMConfig(seed=3), 11, True)
+    monkeypatch.setattr(step, "DIRECT_MAX_VALUES", direct_max)
+    monkeypatch.setattr(step, "CHUNK", chunk)
+    got = R.cd_step_sums(data, p, R.RBMConfig(seed=3), 11, True)
+    for k in want:
+        np.testing.assert_allclose(got[k], want[k], rtol=1e-10, atol=1e-10)

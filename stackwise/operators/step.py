@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 BROADCAST_BYTES = 1 << 20  # ship parameters above 1 MiB with a broadcast variable
 DIRECT_MAX_VALUES = 1 << 22  # partitions x parameters up to 4 Mi doubles (32 MiB) go straight to the driver
@@ -69,10 +70,11 @@ def step_sums(
     result (empty input) come back as zeros, including ``n``. ``n_parts`` is the partition
     count of ``df`` when the caller knows it (a filter of a cached table keeps its count).
     """
-    cols = [c for c in (row_id, features, label) if c is not None and c in df.columns]
+    have = df.columns
+    cols = [c for c in (row_id, features, label) if c is not None and c in have]
     if features not in cols:
         raise ValueError(f"column {features!r} missing")
-    sub = df.select(*cols)
+    sub = df if have == cols else df.select(*cols)
     spark = df.sparkSession
 
     nbytes = sum(np.asarray(v).nbytes for v in params.values())
@@ -124,7 +126,8 @@ def step_sums(
     return {k: (v.reshape(shapes[k]) if len(shapes[k]) else float(v[0])) for k, v in result.items()}
 
 
-PARTIAL_SCHEMA = "name string, chunk int, vals array<double>"
+PARTIAL_SCHEMA = T.StructType([T.StructField("name", T.StringType()), T.StructField("chunk", T.IntegerType()),
+                               T.StructField("vals", T.ArrayType(T.DoubleType()))])
 CHUNK = 1 << 16  # values per partial row
 
 

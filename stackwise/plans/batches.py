@@ -71,4 +71,5 @@ class EpochBatches:
     def get(self, b: int) -> DataFrame:
         if self.nb <= 1:
             return self._df
-        return self._df.filter(F.col("batch_id") == F.lit(b)).drop("batch_id")
+        # the batch_id column stays; the step selects only the columns it reads
+        return self._df.filter(F.col("batch_id") == F.lit(b))

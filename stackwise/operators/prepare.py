@@ -36,6 +36,9 @@ def blank_to_null(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame
 
 # ----------------------------------------------------------------------------- B2, B4, B11
 
+ONE_HOT_UNROLL = 64  # dictionaries up to this size become one CASE per slot (code-generated)
+
+
 def one_hot(col, values: Sequence[str], *, on_unknown: str = "zero", missing_fill: float | None = None) -> Column:
     """B2 (+B11): category -> fixed 0/1 vector of len(values).
 
@@ -43,8 +46,15 @@ def one_hot(col, values: Sequence[str], *, on_unknown: str = "zero", missing_fil
     missing_fill: value of every slot for a NULL cell (0.5 or 0 in the well table); NULL if None.
     """
     c = _c(col)
-    code = V.one_hot_lit(c, values)
-    known = c.isin(list(values))
+    if len(values) <= ONE_HOT_UNROLL:
+        code = V.one_hot_lit(c, values)
+        known = c.isin(list(values))
+    else:
+        # large dictionary: one literal value -> slot map lookup, then the vector from the slot
+        slot = F.try_element_at(F.create_map(*[x for i, v in enumerate(values) for x in (F.lit(v), F.lit(i))]), c)
+        code = F.transform(F.sequence(F.lit(0), F.lit(len(values) - 1)),
+                           lambda i: F.when(i == slot, F.lit(1.0)).otherwise(F.lit(0.0)))
+        known = slot.isNotNull()
     if on_unknown == "zero":
         unknown = F.array_repeat(F.lit(0.0), len(values))
     elif on_unknown == "null":

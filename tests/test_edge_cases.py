@@ -86,3 +86,12 @@ def test_one_hot_dictionaries_widths():
     widths = {k: len(v) for k, v in roles.ONE_HOT.items()}
     assert widths == {"渗透性类型": 4, "岩性": 2, "井型": 3, "抽油机机型": 35, "电机型号": 31, "对标结果": 3}
     assert len(roles.COLUMNS) == 41 and len(roles.NUMERIC_COLUMNS) == 33
+
+
+def test_large_dictionary_one_hot_matches_small_path(spark):
+    vals = [f"v{i}" for i in range(100)]
+    df = spark.createDataFrame([("v3",), ("v99",), ("zz",), (None,)], "c string")
+    out = [r[0] for r in df.select(P.one_hot("c", vals, missing_fill=0.0)).collect()]
+    assert out[0].index(1.0) == 3 and sum(out[0]) == 1.0
+    assert out[1].index(1.0) == 99 and sum(out[1]) == 1.0
+    assert out[2] == [0.0] * 100 and out[3] == [0.0] * 100

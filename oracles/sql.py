@@ -8,9 +8,7 @@ have no entry and get a rows-only check.
 
 from __future__ import annotations
 
-import numpy as np
-
-from oracles.build import ONE, ZERO, Chain, act_grad, normal, params_rows, r4, r6, uniform
+from oracles.build import ONE, ZERO, Chain, act_grad, r4, r6, uniform
 from stackwise.functions.activations import sql_act
 from stackwise.functions.random import derive_seed
 from stackwise.functions.vectors import sql_float as fl

@@ -9,7 +9,7 @@ layers, so it also works on streaming DataFrames, and numpy per Arrow batch for
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa

@@ -330,13 +330,18 @@ def rbm_hidden(df: DataFrame, p: RBMParams, col: str = "features", out: str = "h
 def rbm_reconstruct(df: DataFrame, p: RBMParams, col: str = "features", out: str = "reconstruction") -> DataFrame:
     """mean-field reconstruction; Gaussian units give (h W) * sigma + b, binary sigm(h W + b)."""
     if p.sigma is None:
-        h = V.dense(col, p.W, p.c, "sigm")
-        return df.withColumn(out, V.dense(h, p.W.T, p.b, "sigm"))
-    h = V.dense(col, p.W, p.c, "sigm", scale=p.sigma)
-    lin = V.dense(h, p.W.T, np.zeros(p.n_visible), "linear")
-    rec = F.zip_with(lin, F.zip_with(V.array_lit(p.sigma), V.array_lit(p.b), lambda s, b: F.struct(s.alias("s"), b.alias("b"))),
-                     lambda x, sb: x * sb["s"] + sb["b"])
-    return df.withColumn(out, rec)
+        h = df.withColumn("_h", V.dense(col, p.W, p.c, "sigm"))
+        return h.withColumn(out, V.dense("_h", p.W.T, p.b, "sigm")).drop("_h")
+    h = df.withColumn("_h", V.dense(col, p.W, p.c, "sigm", scale=p.sigma))
+    if p.W.size > V.UNROLL_MAX:
+        lin = V.dense("_h", p.W.T, np.zeros(p.n_visible), "linear")
+        rec = F.zip_with(lin, F.zip_with(V.array_lit(p.sigma), V.array_lit(p.b), lambda s, b: F.struct(s.alias("s"), b.alias("b"))),
+                         lambda x, sb: x * sb["s"] + sb["b"])
+    else:
+        hs = [F.col("_h")[j] for j in range(p.n_hidden)]
+        lin = V.dense_units(hs, p.W.T, None, "linear")
+        rec = F.array(*[z * F.lit(float(s)) + F.lit(float(b)) for z, s, b in zip(lin, p.sigma, p.b)])
+    return h.withColumn(out, rec).drop("_h")
 
 
 def params_table(spark: SparkSession, p: RBMParams, layer: int = 0) -> DataFrame:

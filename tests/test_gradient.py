@@ -57,7 +57,6 @@ def test_sparsity_gradient_matches_finite_differences():
 
 def test_spark_gradient_equals_numpy_on_collected_rows(spark):
     from conftest import SF_SMALL
-    from stackwise.operators.step import list_matrix  # noqa: F401
     from stackwise.plans import catalog as C, fixtures as FX, inputs as I
 
     li = I.lineitem_samples(spark, SF_SMALL)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
-from stackwise.functions.random import derive_seed, uniform_col, uniform_np
+from stackwise.functions.random import uniform_col, uniform_np
 from stackwise.operators import nn as N
 from stackwise.operators import rbm as R
 from stackwise.operators import sampling as S

@@ -24,3 +24,15 @@ def test_stream_scores_equal_batch_scores(spark):
     want = {r["row_id"]: r["predict_label"] for r in model.predict(em).collect()}
     assert got.keys() == want.keys()
     np.testing.assert_allclose(np.array([got[k] for k in sorted(got)]), np.array([want[k] for k in sorted(want)]), rtol=1e-12)
+
+
+def test_model_table_round_trip(spark):
+    from stackwise.plans import model_table as MT
+
+    W = FX.em_weights()
+    path = scratch_path(spark, "model")
+    MT.save(spark, W, path)
+    back = MT.load(spark, path)
+    assert [w.shape for w in back] == [w.shape for w in W]
+    for a, b in zip(W, back):
+        np.testing.assert_array_equal(a, b)

@@ -57,3 +57,19 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     rows = df.collect()
     assert len(rows) == 1 and set(df.columns) == {"loss", "hit_rate", "n"}
+
+
+@pytest.mark.parametrize("sf", [SF_SMALL, "/root/testdata/sf0.01"])
+def test_flagship_pipeline_matches_unrolled_sql(spark, sf):
+    """H3 end to end (prepare, mini-batch pretraining of both layers, fine-tuning, scoring)
+    against its SQL unrolling; run here because it needs a raised DuckDB expression depth."""
+    from oracles.pipeline import dbn_pipeline_sql
+
+    c = duckdb.connect()
+    c.execute("SET max_expression_depth TO 100000")
+    c.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{sf}/embeddings.parquet')")
+    res = c.execute(dbn_pipeline_sql())
+    want = _canon([d[0] for d in res.description], res.fetchall())
+    df = QUERIES["dbn_pipeline"](spark, sf)
+    got = _canon(df.columns, [tuple(r) for r in df.collect()])
+    assert got == want

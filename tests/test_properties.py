@@ -148,3 +148,20 @@ def test_tree_reduce_equals_direct_sum(em, monkeypatch, direct_max, chunk):
     got = R.cd_step_sums(data, p, R.RBMConfig(seed=3), 11, True)
     for k in want:
         np.testing.assert_allclose(got[k], want[k], rtol=1e-10, atol=1e-10)
+
+
+def test_pca_matches_numpy_eigendecomposition(spark):
+    from stackwise.operators.pca import pca_project
+
+    li = I.lineitem_samples(spark, SF_SMALL)
+    proj, ev, model = pca_project(li, 3)
+    X = np.array([r["features"] for r in li.collect()])
+    vals, vecs = np.linalg.eigh(np.cov(X, rowvar=False))
+    order = np.argsort(vals)[::-1]
+    np.testing.assert_allclose(ev, (vals[order] / vals.sum())[:3], rtol=1e-6, atol=1e-9)
+    # projection is uncentred: pc^T x, with the components' sign free
+    P = np.array([r["features"] for r in proj.collect()])
+    ref = X @ vecs[:, order[:3]]
+    for k in range(3):
+        s = np.sign(np.dot(P[:, k], ref[:, k]))
+        np.testing.assert_allclose(P[:, k], s * ref[:, k], rtol=1e-6, atol=1e-8)

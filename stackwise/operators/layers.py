@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from stackwise.functions import vectors as V
 from stackwise.functions.activations import np_act
 from stackwise.operators.step import BROADCAST_BYTES, list_matrix
+from stackwise.session import ship_package
 
 
 def arrow_list(M: np.ndarray) -> pa.Array:
@@ -27,6 +28,7 @@ def arrow_list(M: np.ndarray) -> pa.Array:
 
 def dense_arrow(df: DataFrame, col: str, W: np.ndarray, c: np.ndarray | None, act: str, out: str,
                 scale: np.ndarray | None = None) -> DataFrame:
+    ship_package(df.sparkSession)
     W = np.asarray(W, dtype=float)
     c = np.zeros(W.shape[0]) if c is None else np.asarray(c, dtype=float).reshape(-1)
     s = None if scale is None else np.asarray(scale, dtype=float)

@@ -23,6 +23,7 @@ from stackwise.functions.random import derive_seed, uniform_np
 from stackwise.operators import sampling as S
 from stackwise.operators.layers import arrow_list
 from stackwise.operators.step import ensure_cached, list_matrix, step_sums
+from stackwise.session import ship_package
 
 _ACT = {"sigm": 0, "tanh_opt": 1, "linear": 2}
 _ACT_NAME = {v: k for k, v in _ACT.items()}
@@ -333,6 +334,7 @@ def forward_columns(df: DataFrame, W, cfg: NNConfig, *, features: str = "feature
 
 def predict_arrow(df: DataFrame, W, cfg: NNConfig, *, features: str = "features", label: str = "label") -> DataFrame:
     """G7 for wide layers: numpy forward per Arrow batch, appends predict_label and error."""
+    ship_package(df.sparkSession)
     P = _pass_params(W, cfg, training=False, step_seed=cfg.seed, want_grad=False, want_act=False)
     schema = T.StructType(df.schema.fields + [T.StructField("predict_label", T.ArrayType(T.DoubleType())),
                                               T.StructField("error", T.ArrayType(T.DoubleType()))])

@@ -28,6 +28,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from stackwise.session import ship_package
+
 BROADCAST_BYTES = 1 << 20  # ship parameters above 1 MiB with a broadcast variable
 DIRECT_MAX_VALUES = 1 << 22  # partitions x parameters up to 4 Mi doubles (32 MiB) go straight to the driver
 
@@ -76,6 +78,7 @@ def step_sums(
         raise ValueError(f"column {features!r} missing")
     sub = df if have == cols else df.select(*cols)
     spark = df.sparkSession
+    ship_package(spark)
 
     nbytes = sum(np.asarray(v).nbytes for v in params.values())
     bc = None

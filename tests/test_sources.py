@@ -42,3 +42,12 @@ def test_preview_and_concat(spark):
 def test_history_table_and_line(spark):
     h = T.training_history(spark, [(1, 0.5), (2, 0.25)], "rbm")
     assert T.history_line(h).first()["line"] == "0.5,0.25"
+
+
+def test_package_is_shipped_to_workers(spark):
+    """Python code run inside tasks must not depend on the driver's working directory."""
+    from stackwise.session import _SHIPPED, ship_package
+
+    ship_package(spark)
+    assert spark.sparkContext.applicationId in _SHIPPED
+    ship_package(spark)  # idempotent

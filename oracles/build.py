@@ -56,10 +56,11 @@ class Chain:
     # ------------------------------------------------------------------ layers
     def dense(self, x: str, W: str, c: str | None, act: str) -> str:
         """rows (r, i, v): act(sum_i x * W[j, i] + c[j]) for every output unit j."""
-        z = self.add(f"SELECT x.r, w.j, SUM(x.v * w.w) AS z FROM {x} x JOIN {W} w ON x.i = w.i GROUP BY x.r, w.j")
         if c is None:
-            return self.add(f"SELECT r, j AS i, {sql_act(act, 'z')} AS v FROM {z}")
-        return self.add(f"SELECT z.r, z.j AS i, {sql_act(act, 'z.z + c.w')} AS v FROM {z} z JOIN {c} c ON z.j = c.i")
+            return self.add(f"SELECT x.r, w.j AS i, {sql_act(act, 'SUM(x.v * w.w)')} AS v FROM {x} x JOIN {W} w ON x.i = w.i "
+                            f"GROUP BY x.r, w.j")
+        return self.add(f"SELECT x.r, w.j AS i, {sql_act(act, 'SUM(x.v * w.w) + c.w')} AS v FROM {x} x JOIN {W} w ON x.i = w.i "
+                        f"JOIN {c} c ON w.j = c.i GROUP BY x.r, w.j, c.w")
 
     def back(self, h: str, W: str) -> str:
         """rows (r, i, z) = sum_j h[r, j] * W[j, i] (propagation through W^T)."""

@@ -95,7 +95,7 @@ def _rbm_fit(ch: Chain, x: str, nbt: str, p: RBMTabs, *, gaussian: bool, epochs:
     return p
 
 
-def dbn_pipeline_sql(epochs_pretrain: int = 2, epochs_finetune: int = 3, hidden: int = 8) -> str:
+def dbn_end_to_end_sql(epochs_pretrain: int = 2, epochs_finetune: int = 3, hidden: int = 8) -> str:
     ch = Chain()
     raw = ch.add("SELECT vec_id AS r, label, embedding AS emb FROM embeddings", "em")
     x0 = ch.add(f"SELECT r, i, CAST(emb[i + 1] AS DOUBLE) AS v FROM (SELECT r, emb, unnest(generate_series(0, 9)) AS i FROM {raw})")
@@ -106,7 +106,7 @@ def dbn_pipeline_sql(epochs_pretrain: int = 2, epochs_finetune: int = 3, hidden:
                f"FROM (SELECT r, label, unnest(generate_series(0, 9)) AS k FROM {raw})")
     cnt = ch.add(f"SELECT COUNT(DISTINCT r) AS m FROM {x}")
     nbt = ch.add(f"SELECT CASE WHEN GREATEST(1, m // {BATCH_SIZE}) > {NB_MAX} "
-                 f"THEN error('dbn_pipeline SQL unrolls at most {NB_MAX} batches per epoch') "
+                 f"THEN error('dbn_end_to_end SQL unrolls at most {NB_MAX} batches per epoch') "
                  f"ELSE GREATEST(1, m // {BATCH_SIZE}) END AS nb FROM {cnt}")
     # pretraining: Gaussian layer, then binary layer on its hidden probabilities (default init)
     s1, s2 = derive_seed(C.SEED, 400, 0), derive_seed(C.SEED, 400, 1)
@@ -144,4 +144,4 @@ def dbn_pipeline_sql(epochs_pretrain: int = 2, epochs_finetune: int = 3, hidden:
                      f"FROM {per_row}")
 
 
-ORACLES["dbn_pipeline"] = dbn_pipeline_sql()
+ORACLES["dbn_end_to_end"] = dbn_end_to_end_sql()

@@ -395,5 +395,5 @@ def _():
 
 # training steps register themselves into ORACLES
 from oracles import training  # noqa: E402,F401
-from oracles import pipeline  # noqa: E402,F401
+from oracles import end_to_end  # noqa: E402,F401
 from oracles import pca  # noqa: E402,F401

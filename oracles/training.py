@@ -214,7 +214,7 @@ def _():
         st = binary_cd(ch, xb, p, derive_seed(SEED, 100, 0, bno))
         errs.append(err_mean(ch, st))
         p = cd_update(ch, p, st, 0.5, 0.1, False)
-    err = ch.add(f"SELECT (a.w + b.w) / 2 AS w FROM {errs[0]} a, {errs[1]} b")
+    err = ch.add(f"SELECT ((SELECT w FROM {errs[0]}) + (SELECT w FROM {errs[1]})) / 2 AS w")
     return ch.render(params_rows([("W", p.W, "mat"), ("b", p.b, "vec"), ("c", p.c, "vec"), ("err", err, "scalar")]))
 
 

@@ -7,7 +7,7 @@ Layout
 - ``sources``    readers and writers (raw CSV, clean space-separated table, numeric lines)
 - ``operators``  DataFrame operators: preparation, sampling, aggregates, the distributed
                  training step, RBM / DBN / network training and evaluation
-- ``plans``      query inputs, model tables and the end-to-end pipeline
+- ``plans``      query inputs, model tables and the end-to-end flagship run
 - ``streaming``  scoring of streaming DataFrames with a trained model
 """
 

@@ -629,7 +629,7 @@ def q_label_hit_rate(spark, sf):
     return H.label_hit_rate(_li_pred(spark, sf), width=3).select(round6("hit_rate").alias("hit_rate"))
 
 
-def dbn_pipeline(spark, sf, *, epochs_pretrain: int = 2, epochs_finetune: int = 3, batch_size: int = 100, hidden: int = 8):
+def dbn_end_to_end(spark, sf, *, epochs_pretrain: int = 2, epochs_finetune: int = 3, batch_size: int = 100, hidden: int = 8):
     """H3: prepare -> extract -> pretrain -> unfold -> fine-tune -> predict -> loss -> hit rate.
 
     The embeddings table is spread into named columns, cleaned and scaled to [0, 1]
@@ -659,8 +659,8 @@ def dbn_pipeline(spark, sf, *, epochs_pretrain: int = 2, epochs_finetune: int =
                     F.count(F.lit(1)).cast("long").alias("n"))
 
 
-def q_dbn_pipeline(spark, sf):
-    return dbn_pipeline(spark, sf)
+def q_dbn_end_to_end(spark, sf):
+    return dbn_end_to_end(spark, sf)
 
 
 QUERIES = {
@@ -726,5 +726,5 @@ QUERIES = {
     "dbn_finetune": q_dbn_finetune,
     "threshold_labels": q_threshold_labels,
     "label_hit_rate": q_label_hit_rate,
-    "dbn_pipeline": q_dbn_pipeline,
+    "dbn_end_to_end": q_dbn_end_to_end,
 }

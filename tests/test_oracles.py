@@ -47,7 +47,7 @@ def test_query_matches_sql(spark, con, name):
     assert got[1] == want[1]
 
 
-@pytest.mark.parametrize("name", ["pca_project", "dbn_pipeline"])
+@pytest.mark.parametrize("name", ["pca_project", "dbn_end_to_end"])
 def test_rows_only_queries_run(spark, name):
     rows = QUERIES[name](spark, SF_SMALL).collect()
     assert len(rows) > 0
@@ -60,15 +60,15 @@ def test_entry_smoke(spark):
 
 
 @pytest.mark.parametrize("sf", [SF_SMALL, "/root/testdata/sf0.01"])
-def test_flagship_pipeline_matches_unrolled_sql(spark, sf):
+def test_flagship_matches_unrolled_sql(spark, sf):
     """H3 end to end (prepare, mini-batch pretraining of both layers, fine-tuning, scoring)
     against its SQL unrolling, at both small scale factors, on DuckDB's default settings."""
-    from oracles.pipeline import dbn_pipeline_sql
+    from oracles.end_to_end import dbn_end_to_end_sql
 
     c = duckdb.connect()
     c.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{sf}/embeddings.parquet')")
-    res = c.execute(dbn_pipeline_sql())
+    res = c.execute(dbn_end_to_end_sql())
     want = _canon([d[0] for d in res.description], res.fetchall())
-    df = QUERIES["dbn_pipeline"](spark, sf)
+    df = QUERIES["dbn_end_to_end"](spark, sf)
     got = _canon(df.columns, [tuple(r) for r in df.collect()])
     assert got == want

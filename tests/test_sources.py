@@ -51,3 +51,12 @@ def test_package_is_shipped_to_workers(spark):
     ship_package(spark)
     assert spark.sparkContext.applicationId in _SHIPPED
     ship_package(spark)  # idempotent
+
+
+def test_row_equal_to_header_is_kept(spark):
+    """Q22: only the header line is dropped, not every line that looks like it."""
+    df = spark.createDataFrame([("a", "b"), ("x", "y"), ("a", "b")], "a string, b string")
+    path = scratch_path(spark, "t-header")
+    T.write_clean_table(df, path, vector_cols=[])
+    back = T.read_clean_table(spark, path)
+    assert sorted(tuple(r) for r in back.collect()) == [("a", "b"), ("a", "b"), ("x", "y")]

@@ -68,3 +68,27 @@ def test_spark_gradient_equals_numpy_on_collected_rows(spark):
     ref = N.nn_rows(P, None, X, Y)
     for l in range(2):
         np.testing.assert_allclose(g["grads"][l], ref[f"g{l}"] / len(X), rtol=1e-10, atol=1e-12)
+
+
+def test_gaussian_sigma_gradient_matches_energy_derivative():
+    """d = v(2b - v)/s + v(hW) equals -dE/d(1/s) + b^2/s for
+    E(v, h) = sum (v - b)^2 / (2 s^2) - c.h - sum (v / s)(h W); the b^2/s term cancels in d0 - d1."""
+    rng = np.random.default_rng(4)
+    nv, nh = 5, 3
+    W = rng.normal(0, 0.5, (nh, nv))
+    b, c = rng.normal(0, 0.3, nv), rng.normal(0, 0.3, nh)
+    v, h = rng.normal(0, 1, nv), (rng.random(nh) > 0.5).astype(float)
+    s = rng.uniform(0.5, 1.5, nv)
+
+    def energy(t):  # t = 1 / s per unit
+        return float(np.sum((v - b) ** 2 * t ** 2 / 2) - c @ h - np.sum(v * t * (h @ W)))
+
+    t0, eps = 1.0 / s, 1e-6
+    num = np.zeros(nv)
+    for i in range(nv):
+        tp, tm = t0.copy(), t0.copy()
+        tp[i] += eps
+        tm[i] -= eps
+        num[i] = -(energy(tp) - energy(tm)) / (2 * eps)
+    d = v * (2 * b - v) / s + v * (h @ W)
+    np.testing.assert_allclose(d - b * b / s, num, rtol=1e-7, atol=1e-9)

@@ -9,7 +9,7 @@ documents is an entry of X X^T. The product is never formed whole:
    ``overlap >= t * union`` share one of the first ``n - ceil(t n) + 1`` n-grams of each (size-derived
    bound), so only that block of X can make a pair possible.
 3. *Families.* Each shared prefix n-gram names its smallest class as representative; a class that
-   looks at least half like a representative (small signature) joins its family. Families only
+   looks much like a representative (small signature) joins its family. Families only
    decide where a pair is multiplied, never whether.
 4. *Blocks.* Inside a family all rows meet: rows are dealt into blocks and every pair of blocks is one
    cell, so a large family is many bounded cells. Across families a pair must share a prefix n-gram
@@ -41,8 +41,9 @@ from stackwise.llm.components import components
 from stackwise.llm.shared import arrow_batch, counter_rows, merged_counters, ship, written
 
 COUNTERS = 1 << 19      # n-gram frequency estimate: 2 MiB, whatever the input
-FILTER_BITS = 1 << 26   # classes that need their sets: 8 MiB, whatever the input
+FILTER_BITS = 1 << 26   # filters of shared n-grams and of classes that need their sets: 8 MiB each, whatever the input
 SIGNATURE = 32          # bytes of the one-permutation signature
+ALIKE = 0.65            # share of equal signature bytes from which a class joins a family
 CELL_ROWS = 256         # rows of a block
 CELL_NGRAMS = 1 << 19   # n-grams of a block, on average
 COLUMNS = 4096          # columns multiplied at a time
@@ -136,15 +137,46 @@ def _prefixes(docs: DataFrame, text_col: str, k: int, percent: int, counters) ->
     return written(src.mapInArrow(run, "g long, cls long, n int, pos int"), "ngram-prefix")
 
 
+def _bit(values: np.ndarray) -> np.ndarray:
+    return (TS.mix64(values.view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
+
+
+def _bits_of(rows: DataFrame, col: str) -> np.ndarray:
+    """Fixed-size filter of the values of a long column (may let others through, loses none)."""
+
+    def run(batches):
+        bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+        for b in batches:
+            at = _bit(np.asarray(b.column(0)))
+            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        filled = counter_rows(bits)
+        if filled:
+            yield arrow_batch({"chunk": [c for c, _ in filled], "blob": [x for _, x in filled]}, pa.schema([("chunk", pa.int32()), ("blob", pa.binary())]))
+
+    return merged_counters(rows.select(col).mapInArrow(run, "chunk int, blob binary"), FILTER_BITS // 8, np.uint8, "or")
+
+
+def _filtered(postings: DataFrame, bits: np.ndarray) -> DataFrame:
+    sent = postings.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches):
+        known = sent.value
+        for b in batches:
+            at = _bit(np.asarray(b.column(0)))
+            yield b.filter(pa.array((known[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+
+    return postings.select("g", "cls", "n", "pos").mapInArrow(run, "g long, cls long, n int, pos int")
+
+
 def _alike(pairs: DataFrame) -> DataFrame:
-    """Pairs (cls, rep) whose signatures agree in half of the ranges that either fills."""
+    """Pairs (cls, rep) whose signatures agree in ALIKE of the ranges that either fills."""
 
     def run(batches):
         for b in batches:
             a, r = (np.stack([np.asarray(b.column(f"{p}{i}")) for i in range(4)], axis=1).view(np.uint8) for p in ("m", "r"))
             used = ((a > 0) | (r > 0)).sum(axis=1)
             same = ((a == r) & (a > 0)).sum(axis=1)
-            yield b.select(["cls", "rep"]).filter(pa.array(2 * same >= used))
+            yield b.select(["cls", "rep"]).filter(pa.array(same >= ALIKE * used))
 
     return pairs.mapInArrow(run, "cls long, rep long")
 
@@ -152,7 +184,9 @@ def _alike(pairs: DataFrame) -> DataFrame:
 def _cells(postings: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(cls, k1, k2, side): which rows meet in which cell."""
     lists = postings.groupBy("g").agg(F.min("cls").alias("rep"), F.max("cls").alias("other")).filter("rep <> other").select("g", "rep")
-    shared = written(postings.join(lists, "g"), "ngram-shared")
+    lists = written(lists, "ngram-lists")
+    # most n-grams of a prefix are in no list; a fixed-size filter spares those the shuffle
+    shared = written(_filtered(postings, _bits_of(lists, "g")).join(lists, "g"), "ngram-shared")
     sig = [f"m{i}" for i in range(4)]
     looks = shared.filter("cls <> rep").select("cls", "rep").distinct().join(classes.select("cls", *sig), "cls").join(
         classes.select(F.col("cls").alias("rep"), *(F.col(m).alias(f"r{m[1:]}") for m in sig)), "rep")
@@ -182,23 +216,6 @@ def _cells(postings: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return written(two.select("cls", "k1", "k2", F.col("cell").cast("long").alias("cell"), "side").union(cell), "ngram-cells")
 
 
-def _bit(cls: np.ndarray) -> np.ndarray:
-    return (TS.mix64(cls.view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
-
-
-def _wanted(cells: DataFrame) -> np.ndarray:
-    def run(batches):
-        bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-        for b in batches:
-            at = _bit(np.asarray(b.column(0)))
-            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        rows = counter_rows(bits)
-        if rows:
-            yield arrow_batch({"chunk": [c for c, _ in rows], "blob": [x for _, x in rows]}, pa.schema([("chunk", pa.int32()), ("blob", pa.binary())]))
-
-    return merged_counters(cells.select("cls").distinct().mapInArrow(run, "chunk int, blob binary"), FILTER_BITS // 8, np.uint8, "or")
-
-
 def _sets(docs: DataFrame, text_col: str, k: int, wanted) -> DataFrame:
     src = docs.select(F.col(text_col).cast("string").alias("text"))
 
@@ -313,7 +330,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     classes = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), *(F.first(f"m{i}").alias(f"m{i}") for i in range(4)))
     postings = _prefixes(docs, text_col, words, percent, counters)
     cells = _cells(postings, classes, percent)
-    wanted = sc.broadcast(_wanted(cells))
+    wanted = sc.broadcast(_bits_of(cells.select("cls").distinct(), "cls"))
     links = _products(cells, _sets(docs, text_col, words, wanted), percent)
     labels = components(links)
     counters.destroy()

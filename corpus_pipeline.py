@@ -2,7 +2,12 @@
 
 Every stage is ``(name, function)``; a function takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is
 written as Parquet and read again as the next one's documents. All stages but the last return the
-columns of ``documents``; the last returns the pieces of the packed sequences.
+columns of their documents; the last returns the pieces of the packed sequences.
+
+A document is known by its id and a hash of its text, so repeated ids with other texts are documents of their
+own. Each operator names the keys that go (or stay) and one join on the key applies that. Null
+and empty texts pass the toxicity stage, fail the quality rules (no words) and so never reach the later stages;
+empty tables pass through all stages; rows that repeat id and text are one document, of which one stays.
 """
 
 from __future__ import annotations
@@ -11,15 +16,69 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackwise.llm import decontaminate, jaccard, packing, toxicity
+from stackwise.llm.decontaminate import contamination
+from stackwise.llm.jaccard import jaccard_components
+from stackwise.llm.packing import pack
+from stackwise.llm.rules import quality_rules
 from stackwise.llm.shared import written
+from stackwise.llm.toxicity import toxicity_scores
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+KEY = "_document_key"
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-STAGES: list = []
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn(KEY, F.struct("doc_id", F.xxhash64("text").alias("mark")))
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    return _keyed(docs).join(gone.select(KEY).distinct(), KEY, "left_anti").select(*docs.columns)
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are predicted toxic go."""
+    scored = toxicity_scores(_keyed(docs), _table(spark, sf_dir, "labels"), carry=(KEY,))
+    return _without(docs, scored.filter("predicted = 1"))
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    judged = quality_rules(_keyed(docs), id_col=KEY)
+    return _without(docs, judged.filter(~F.col("kept")).select(F.col("doc_id").alias(KEY)))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by five-word shingles with a similarity of 0.8 or more, the document of the smallest id stays."""
+    grouped = jaccard_components(_keyed(docs), id_col=KEY, words=5, percent=80)
+    stay = grouped.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(KEY))
+    return _keyed(docs).join(stay, KEY, "left_semi").dropDuplicates([KEY]).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    report = contamination(_keyed(docs), _table(spark, sf_dir, "benchmark"), id_col=KEY)
+    return _without(docs, report.filter("contaminated").select(F.col("doc_id").alias(KEY)))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 4096 tokens."""
+    pieces = pack(docs, TOKENIZER)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [("toxicity", toxicity), ("quality_rules", quality), ("ngram_jaccard", near_duplicates), ("decontamination", decontamination), ("packing", packing)]
+
+#: Model scores, links and token ids are not SQL; the stages are tested against brute force.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; each stage's result is written to the shared folder and read again."""
+    docs = _table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

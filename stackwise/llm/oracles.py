@@ -1,5 +1,49 @@
-"""DuckDB SQL of the training-data queries that SQL can express."""
+"""DuckDB SQL of the training-data queries that SQL can express.
+
+Sharding: the lookup table is filled here on its own, by one pass over all (turn, shard) offers: in a turn every
+shard offers the slots of its order one after the other and takes the first that nobody holds.
+Decontamination: every window of ten item words (or a whole shorter item) is looked for at every place of every document.
+The other operators need tokenizers, trained models, connected components or 64-bit hashes of Spark; they
+are tested against brute force.
+"""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+import hashlib
+
+from stackwise.llm import sharding
+
+
+def _sharding() -> str:
+    size, names = sharding.SIZE, sharding.SHARDS
+    digits = lambda s: int(hashlib.md5(s.encode()).hexdigest()[:15], 16)
+    orders = [iter([(digits(n + "#offset") + j * (digits(n + "#skip") % (size - 1) + 1)) % size for j in range(size)]) for n in names]
+    owner: dict[int, str] = {}
+    turn = 0
+    while len(owner) < size:
+        name = names[turn % len(names)]
+        owner[next(s for s in orders[turn % len(names)] if s not in owner)] = name
+        turn += 1
+    rows = ", ".join(f"({slot}, '{name}')" for slot, name in sorted(owner.items()))
+    slot = f"CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15)) AS BIGINT) % {size}"
+    return f"SELECT t.slot, d.doc_id, t.shard FROM (SELECT doc_id, {slot} AS slot FROM documents) d JOIN (VALUES {rows}) AS t(slot, shard) ON d.slot = t.slot"
+
+
+def _decontamination() -> str:
+    words = r"regexp_extract_all(regexp_replace(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), '[^ ]+')"
+    return f"""
+WITH item AS MATERIALIZED (SELECT CAST(item_id AS VARCHAR) AS item_id, {words.format('text')} AS w FROM benchmark WHERE text IS NOT NULL),
+win AS MATERIALIZED (SELECT DISTINCT item_id, least(10, len(w)) AS n, list_slice(w, k, k + least(10, len(w)) - 1) AS g
+    FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS k FROM item WHERE len(w) > 0)),
+size AS MATERIALIZED (SELECT DISTINCT n FROM win),
+doc AS MATERIALIZED (SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE {words.format('text')} END AS w FROM documents),
+place AS (SELECT doc_id, n, k, list_slice(w, k, k + n - 1) AS g FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS k FROM doc, size WHERE len(w) >= n)),
+hit AS MATERIALIZED (SELECT p.doc_id, p.n, p.k, w.item_id FROM place p JOIN win w ON p.n = w.n AND p.g = w.g),
+word AS (SELECT doc_id, COUNT(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(k, k + n - 1)) AS p FROM hit) GROUP BY doc_id),
+named AS (SELECT doc_id, COUNT(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids FROM hit GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+    sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc d LEFT JOIN word USING (doc_id) LEFT JOIN named USING (doc_id)"""
+
+
+ORACLES: dict[str, str] = {"op4_sharding": _sharding(), "op5_decontamination": _decontamination()}

@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackwise.llm import decontaminate, jaccard, packing, quality, toxicity
+import corpus_pipeline
+from stackwise.llm import decontaminate, jaccard, langid, licences, packing, quality, rules, sharding, token_scan, toxicity
+from stackwise.llm.shared import written
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -19,17 +21,36 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as flat token files (one per partition), then their token counts found again by the scan."""
+    blocks = written(token_scan.token_blocks(_table(spark, sf_dir, "documents"), TOKENIZER), "token-files")
+    return token_scan.count_tokens(blocks)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(_table(spark, sf_dir, "documents"), TOKENIZER)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(_table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return report.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
                          F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rules.quality_rules(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("evidence")
 
@@ -39,4 +60,10 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op3_packing, op5_decontamination, op8_toxicity, op9_jaccard)}
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_token_counts, op3_packing, op4_sharding, op5_decontamination, op6_quality_rules, op7_language, op8_toxicity,
+                                   op9_jaccard, op10_licences)}
+QUERIES["pipeline"] = corpus_pipeline.run

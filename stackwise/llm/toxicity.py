@@ -327,23 +327,23 @@ def word_evidence(docs: DataFrame, known: DataFrame, model, *, id_col: str, text
     return weights
 
 
-def document_evidence(docs: DataFrame, model, weights, *, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, evidence): summed log-odds of a document's distinct classes."""
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def document_evidence(docs: DataFrame, model, weights, *, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, carried columns, evidence): summed log-odds of a document's distinct classes."""
+    src = docs.select(F.col(id_col).alias("doc_id"), *carry, F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
         w, restorer = weights.value, Restorer(model.value)
         for batch in batches:
             total = np.zeros(batch.num_rows)
-            for lo, hi, data, offsets in TS.text_slices(batch.column(1)):
+            for lo, hi, data, offsets in TS.text_slices(batch.column(batch.num_columns - 1)):
                 text, cls = _word_classes(data, offsets, restorer)
                 strongest = cls[np.argmax(w[cls], axis=0), np.arange(cls.shape[1])]
                 hit = w[strongest] > 0
                 both = np.unique(text[hit] * CLASSES + strongest[hit])
                 total[lo:hi] = np.bincount(both // CLASSES, w[both % CLASSES], minlength=hi - lo)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total)], names=["doc_id", "evidence"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(total)], names=[*batch.schema.names[:-1], "evidence"])
 
-    return src.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, evidence double")
+    return src.mapInArrow(run, src.drop("text").schema.add("evidence", "double"))
 
 
 def _curve(rows: DataFrame) -> tuple[float, float]:
@@ -366,15 +366,15 @@ def _curve(rows: DataFrame) -> tuple[float, float]:
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held: int = 1,
-                    threshold: float = 0.7) -> DataFrame:
-    """Per document: doc_id, held_out, score (share of label 1), predicted (score >= threshold) and evidence; held-out labels are never read."""
+                    threshold: float = 0.7, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per document: doc_id, held_out, score (share of label 1), predicted (score >= threshold), evidence and the carried columns; held-out labels are never read."""
     sc = docs.sparkSession.sparkContext
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label")).filter(~held_out("doc_id", folds, held) & F.col("label").isin(0, 1))
     model = sc.broadcast(character_model(docs, text_col))
     weights = sc.broadcast(word_evidence(docs, known, model, id_col=id_col, text_col=text_col))
-    found = written(document_evidence(docs, model, weights, id_col=id_col, text_col=text_col), "evidence")
+    found = written(document_evidence(docs, model, weights, id_col=id_col, text_col=text_col, carry=carry), "evidence")
     model.destroy()
     weights.destroy()
     slope, intercept = _curve(labelled(found, known, "label"))
     score = 1 / (1 + F.exp(-(F.lit(slope) * F.least("evidence", F.lit(MOST)) + F.lit(intercept))))
-    return found.select("doc_id", held_out("doc_id", folds, held).alias("held_out"), score.alias("score"), (score >= threshold).cast("int").alias("predicted"), "evidence")
+    return found.select("doc_id", held_out("doc_id", folds, held).alias("held_out"), score.alias("score"), (score >= threshold).cast("int").alias("predicted"), "evidence", *carry)

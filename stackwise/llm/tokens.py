@@ -13,7 +13,7 @@ from itertools import chain
 
 import numpy as np
 
-CACHE_WORDS = 500_000  # pieces kept; beyond, the cache starts anew
+CACHE_WORDS = 600000  # pieces of a cache generation; two are kept, and pieces in use move to the younger one
 JOINED = 200           # words that are encoded in one call
 WORD_END = "</w>"
 _MARKS = ".,"
@@ -41,6 +41,7 @@ class WordEncoder:
         self._ends[[i for s, i in vocab.items() if s.endswith(WORD_END)]] = True
         self._marks = {c: self._one(c) for c in _MARKS}
         self._cache: dict[str, bytes] = {"": b""}
+        self._old: dict[str, bytes] = {}
 
     def _one(self, piece: str) -> bytes:
         return array("I", self._tok.encode(piece, add_special_tokens=False).ids).tobytes()
@@ -60,12 +61,17 @@ class WordEncoder:
                 at = cut
 
     def _learn(self, pieces: set[str]) -> None:
-        cache, marks = self._cache, self._marks
+        cache, old, marks = self._cache, self._old, self._marks
         stem = {}
         for p in pieces:
+            if p in old:
+                cache[p] = old[p]
+                continue
             s = p[:-1] if p[-1] in marks and p[-2:-1].isalpha() else p
             stem[p] = s.lower() if s.isascii() else s
         new = {s for s in stem.values() if s not in cache}
+        cache.update((s, old[s]) for s in new if s in old)
+        new.difference_update(old)
         self._words([s for s in new if s.isalpha()])
         for s in new:
             if s not in cache:
@@ -78,7 +84,7 @@ class WordEncoder:
         """Little-endian unsigned 32-bit ids of each text, without special tokens."""
         split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
         if len(self._cache) > CACHE_WORDS:
-            self._cache = {"": b""}
+            self._cache, self._old = {"": b""}, self._cache
         new = set(chain.from_iterable(split)).difference(self._cache)
         if new:
             self._learn(new)

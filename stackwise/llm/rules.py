@@ -27,8 +27,8 @@ COMMON_WORDS = {
     "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "une", "du", "que", "pour"],
     "es": ["de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un"],
 }
-#: Character classes as regular expressions; the last class is all the rest.
-CLASSES = {"upper": "A-Z", "lower": "a-z", "digit": "0-9", "space": r"\x20\x09-\x0D", "sentence": r".,;:?'\"()\-", "symbol": r"#*$%&|<>", "ascii_rest": r"!+/=@\[\\\]^_`{}~\x00-\x08\x0E-\x1F\x7F"}
+#: Character classes as regular expressions; the last class is all the rest (lower case, blanks, other letters).
+CLASSES = {"upper": "A-Z", "digit": "0-9", "symbol": r"#*$%&|<>", "mark": r"!.,;:?"}
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 8
 
@@ -47,43 +47,49 @@ def _class_length(text: Column, inside: str) -> Column:
     return F.length(F.regexp_replace(text, f"[^{inside}]+", "")).cast("long")
 
 
-def repeated_window_words(words: str, window: int = WINDOW) -> list[tuple[str, Column]]:
-    """Projection steps that end in ``n_repeat_words``: words inside windows that occur twice or more in their array.
+def _with_repeats(rows: DataFrame, words: str) -> DataFrame:
+    """Adds ``n_repeat_words``: words inside windows that occur twice or more in the array column ``words``, which goes.
 
-    The steps are separate columns, so each array is made once per row. A row without a repeated window ends
-    after one distinct; else its (hash, position) pairs are sorted and equal neighbours are the repeats.
+    Hashes of one word are zipped with themselves, shifted, into hashes of 2, 4 and 8 words. A row without a repeated
+    window ends after one distinct; else its (hash, position) pairs are sorted and equal neighbours are
+    the repeats. Every array is a column of its own, so it is made once per row.
     """
-    n = F.size(words)
-    hashes = F.when(n > window, F.transform(F.sequence(F.lit(0), n - window), lambda i: F.xxhash64(*(F.get(F.col("_hash"), i + j) for j in range(window))))).otherwise(
-        F.array().cast("array<bigint>"))
+    n = F.col("n_words").cast("int")
+    none = F.array().cast("array<bigint>")
+    rows = rows.withColumn("_g1", F.transform(words, lambda w: F.xxhash64(w))).drop(words)
+    for half in (1, 2, 4):
+        joined = F.zip_with(f"_g{half}", F.slice(f"_g{half}", half + 1, n), lambda a, b: F.xxhash64(a, b))
+        rows = rows.withColumn(f"_g{2 * half}", joined).drop(f"_g{half}")
+    rows = rows.withColumn("_windows", F.when(n > WINDOW, F.slice("_g8", 1, n - WINDOW + 1)).otherwise(none)).drop("_g8")
     repeats = F.size(F.array_distinct("_windows")) < F.size("_windows")
-    pairs = F.when(repeats, F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).otherwise(
-        F.array().cast("array<struct<h:bigint,i:int>>"))
+    rows = rows.withColumn("_pairs", F.when(repeats, F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).otherwise(
+        F.array().cast("array<struct<h:bigint,i:int>>"))).drop("_windows")
     twice = F.transform("_pairs", lambda p, i: F.when((p["h"] == F.get(F.col("_pairs"), i - 1)["h"]) | (p["h"] == F.get(F.col("_pairs"), i + 1)["h"]), p["i"]))
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
     covered = F.aggregate(F.sort_array(F.filter(twice, lambda i: i.isNotNull())), start,
-                          lambda acc, i: F.struct((acc["n"] + i + window - F.greatest(acc["end"], i.cast("long"))).alias("n"), (i + window).cast("long").alias("end")))["n"]
-    return [("_hash", F.transform(words, lambda w: F.xxhash64(w))), ("_windows", hashes), ("_pairs", pairs), ("n_repeat_words", covered)]
+                          lambda acc, i: F.struct((acc["n"] + i + WINDOW - F.greatest(acc["end"], i.cast("long"))).alias("n"), (i + WINDOW).cast("long").alias("end")))["n"]
+    return rows.withColumn("n_repeat_words", covered).drop("_pairs")
 
 
 def document_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, lang (one of the known or OTHER), base counts, and the histograms ``chars`` and ``common``."""
+    """doc_id, lang (one of the known or OTHER), base counts, and the histograms ``chars`` and ``common``.
+
+    A common word counts where it stands bare between blanks, in lower case or capitalised.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     lang = F.col(lang_col).cast("string")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.when(lang.isin(*COMMON_WORDS), lang).otherwise(OTHER).alias("lang"), text.alias("_text"))
-    known = "|".join(_VOCABULARY)
-    edge = r"\s\p{Punct}"
-    rows = rows.select("*", F.filter(F.split("_text", SPACE), lambda w: w != "").alias("_words"),
-                       F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_lines"),
-                       F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.lower("_text"), F.lit(f"(?<![^{edge}])({known})(?![^{edge}])"), F.lit(1)), "  "), F.lit(" ")).alias("_known"))
-    for name, step in repeated_window_words("_words"):
-        rows = rows.withColumn(name, step)
-    n_words = F.size("_words").cast("long")
-    classes = [_class_length(F.col("_text"), inside) for inside in CLASSES.values()]
-    counted = rows.select("doc_id", "lang", n_words.alias("n_words"), F.length(F.regexp_replace("_text", SPACE, "")).cast("long").alias("word_chars"),
-                          _class_length(F.col("_text"), CLASSES["symbol"]).alias("n_symbols"), (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-                          "n_repeat_words", F.length("_text").cast("long").alias("_length"), F.array(*classes).alias("_chars"),
-                          F.array(*(((F.length("_known") - F.length(F.replace("_known", F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)).cast("long") for w in _VOCABULARY)).alias("_common"))
+    lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    rows = rows.select("doc_id", "lang", F.length("_text").cast("long").alias("_length"), lines.alias("_lines"), F.regexp_replace("_text", "[a-z ]+", "").alias("_marks"),
+                       F.array_remove(F.split("_text", SPACE), "").alias("_words"))
+    known = F.filter("_words", lambda w: w.isin(*_VOCABULARY, *(w.capitalize() for w in _VOCABULARY)))
+    rows = rows.select("doc_id", "lang", "_length", F.array(*(_class_length(F.col("_marks"), inside) for inside in CLASSES.values())).alias("_chars"), "_words", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+                       F.size("_words").cast("long").alias("n_words"), F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+                       F.lower(F.concat(F.lit(" "), F.array_join(known, "  "), F.lit(" "))).alias("_known"))
+    counted = _with_repeats(rows, "_words")
+    common = [((F.length("_known") - F.length(F.replace("_known", F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)).cast("long") for w in _VOCABULARY]
+    counted = counted.select("doc_id", "lang", "n_words", "word_chars", F.col("_chars")[list(CLASSES).index("symbol")].alias("n_symbols"), "n_dup_lines", "n_repeat_words",
+                             "_length", "_chars", F.array(*common).alias("_common"))
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda acc, x: acc + x)
     return counted.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                           F.concat("_chars", F.array(F.col("_length") - total("_chars"))).alias("chars"),

@@ -27,8 +27,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(df: DataFrame) -> None:
-    ship_package(df.sparkSession)
+    """Send the package to the Python workers, and keep their Arrow batches small, as rows hold whole texts.
+
+    A batch size that the application was started with is left as it is.
+    """
+    spark = df.sparkSession
+    ship_package(spark)
+    if not spark.sparkContext.getConf().contains(BATCH_ROWS):
+        spark.conf.set(BATCH_ROWS, "1000")
 
 
 def arrow_batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:

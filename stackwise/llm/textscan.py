@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20  # text bytes that are scanned at a time
+SLICE_BYTES = 1 << 19  # text bytes that are scanned at a time
 
 U = np.uint64
 

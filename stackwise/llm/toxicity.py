@@ -213,7 +213,7 @@ def _classes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     """Classes of the words and their stems (a row each; class 0 where a word has no such stem), first word of each text."""
     _, _, words, first, stems = TS.scan_words(data, offsets, TS.NOT_ALNUM, STEMS)
     all_ = np.vstack([words[None, :], stems])
-    return np.where(all_ > 0, 1 + all_ % np.uint64(CLASSES - 1), 0).astype(np.int64), first
+    return np.where(all_ > 0, 1 + all_ % np.uint64(CLASSES - 1), 0).astype(np.int32), first
 
 
 def _word_classes(data: np.ndarray, offsets: np.ndarray, restorer: Restorer) -> tuple[np.ndarray, np.ndarray]:
@@ -298,7 +298,7 @@ def word_evidence(docs: DataFrame, known: DataFrame, model, *, id_col: str, text
             schema = pa.schema([("doc_id", batch.schema.field(0).type), ("classes", pa.binary())])
             for lo, hi, data, offsets in TS.text_slices(batch.column(1)):
                 text, cls = _word_classes(data, offsets, restorer)
-                both = np.unique(text * CLASSES + cls)
+                both = np.unique((text * CLASSES)[None, :] + cls)
                 first = np.searchsorted(both, np.arange(hi - lo + 1) * CLASSES)
                 raw = (both % CLASSES).astype(np.int32)
                 blobs = [zlib.compress(np.diff(raw[a:b], prepend=np.int32(0)).tobytes(), 1) for a, b in zip(first[:-1], first[1:])]

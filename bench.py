@@ -10,14 +10,8 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import functions as F  # noqa: E402
-
-from stackwise.operators import dbn as D  # noqa: E402
-from stackwise.operators import evaluate as H  # noqa: E402
 from stackwise.plans import catalog as C  # noqa: E402
-from stackwise.plans import inputs as I  # noqa: E402
 from stackwise.session import local_session  # noqa: E402
-from stackwise.functions import vectors as V  # noqa: E402
 
 HEADLINE = [
     "prepare_table",         # cleaning + one-hot + impute + min-max over all of lineitem (2 passes)
@@ -27,22 +21,12 @@ HEADLINE = [
     "mini_batches",          # seeded batch assignment over events
     "gaussian_rbm_fit",      # Gaussian RBM, 2 steps, embeddings
     "nn_fit_dropout",        # network fit with dropout, 2 steps, embeddings
-    "dbn_end_to_end",          # flagship: pretrain -> unfold -> fine-tune -> score, batch 100
+    "nn_predict_wide",       # wide network (Arrow form) over embeddings
+    "prepare_wide_table",    # 41-column preparation over all of orders
+    "dbn_end_to_end",        # flagship over all of orders: prepare -> pretrain -> unfold -> fine-tune -> score
 ]
 
 
-def events_end_to_end(spark, sf):
-    """DBN pipeline over all events: 5 mini-batches per epoch, 2 + 2 epochs."""
-    ev = I.event_samples(spark, sf)
-    m = ev.count()
-    bs = max(1, m // 5)
-    model = D.dbn_pretrain(ev, (3, 8, 5), epochs=2, batch_size=bs, momentum=0.01, alpha=0.05, seed=C.SEED)
-    fit = D.dbn_finetune(ev, model, epochs=2, batch_size=bs, seed=C.SEED)
-    pred = fit.model.predict(ev)
-    return pred.agg(C.round6(F.lit(0.5) * F.avg(V.squared_norm("error", 5))).alias("loss"),
-                    C.round6(F.avg(V.dot("label", V.threshold("predict_label", H.HIT_THRESHOLD, 5), 5))).alias("hit_rate"))
-
-
 def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -56,9 +40,6 @@ def main():
         t0 = time.time()
         C.QUERIES[name](spark, sf_dir).collect()
         times[name] = round(time.time() - t0, 3)
-    t0 = time.time()
-    events_end_to_end(spark, sf_dir).collect()
-    times["events_dbn_end_to_end"] = round(time.time() - t0, 3)
     m = re.search(r"sf([0-9.]+)", sf_dir)
     sf = float(m.group(1)) if m else None
     print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec",

@@ -9,9 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from stackwise.functions.activations import sql_act, sql_act_grad
-from stackwise.functions.random import normal_sql, uniform_sql
-from stackwise.functions.vectors import sql_float as fl
+from oracles.formulas import fl, normal_sql, sql_act, sql_act_grad, uniform_sql
 
 ONE = "CAST(1 AS DOUBLE)"
 ZERO = "CAST(0 AS DOUBLE)"

@@ -1,56 +1,25 @@
-"""SQL for the flagship (H3): prepare -> pretrain -> unfold -> fine-tune -> score.
+"""SQL for the flagship (H3): prepare the well table -> pretrain -> unfold -> fine-tune -> score.
 
-The number of batches per epoch, max(1, rows // batch_size), is computed in SQL. Steps are
-unrolled for at most ``NB_MAX`` batches per epoch; a table that needs more makes the
-query fail with an error instead of giving a wrong answer. A step whose batch is empty
-keeps the parameters, as the Spark trainers do. Each update is fused with its guard and
-each dense layer is one CTE, which keeps the chain (~820 CTEs) within DuckDB's default
-expression depth.
+The steps are unrolled: epochs times ``N_BATCHES`` for every layer. A step whose batch is empty
+keeps the parameters, as the Spark trainers do. Each update is fused with its guard and each dense
+layer is one CTE, which keeps the chain within DuckDB's default expression depth.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-from oracles.build import ONE, ZERO, Chain, r6, uniform
+from oracles.build import ONE, ZERO, Chain, r6
+from oracles.formulas import fl
+from oracles.formulas import stream as derive_seed
 from oracles.sql import ORACLES
-from oracles.training import RBMTabs, binary_cd, gaussian_cd, nn_forward_sql, nn_grads_sql
-from stackwise.functions.random import derive_seed
-from stackwise.functions.vectors import sql_float as fl
+from oracles.training import RBMTabs, batch_rows, binary_cd, gaussian_cd, nn_forward_sql, nn_grads_sql
+from oracles.wells import well_samples
+from stackwise import roles
 from stackwise.operators import rbm as R
-from stackwise.operators import sampling as S
 from stackwise.plans import catalog as C
 
-NB_MAX = 5
-BATCH_SIZE = 100
-
-
-def _guard_mat(ch: Chain, old: str, new: str, n: str) -> str:
-    return ch.add(f"SELECT o.j, o.i, CASE WHEN (SELECT n FROM {n}) > 0 THEN nw.w ELSE o.w END AS w FROM {old} o "
-                  f"LEFT JOIN {new} nw ON o.j = nw.j AND o.i = nw.i")
-
-
-def _guard_vec(ch: Chain, old: str, new: str, n: str) -> str:
-    return ch.add(f"SELECT o.i, CASE WHEN (SELECT n FROM {n}) > 0 THEN nw.w ELSE o.w END AS w FROM {old} o "
-                  f"LEFT JOIN {new} nw ON o.i = nw.i")
-
-
-def _guard_rbm(ch: Chain, p: RBMTabs, q: RBMTabs, n: str, gaussian: bool) -> RBMTabs:
-    g = RBMTabs.__new__(RBMTabs)
-    g.W, g.vW = _guard_mat(ch, p.W, q.W, n), _guard_mat(ch, p.vW, q.vW, n)
-    g.b, g.vb = _guard_vec(ch, p.b, q.b, n), _guard_vec(ch, p.vb, q.vb, n)
-    g.c, g.vc = _guard_vec(ch, p.c, q.c, n), _guard_vec(ch, p.vc, q.vc, n)
-    g.s, g.vinv = p.s, p.vinv
-    if gaussian:
-        g.s, g.vinv = _guard_vec(ch, p.s, q.s, n), _guard_vec(ch, p.vinv, q.vinv, n)
-    return g
-
-
-def _batch(ch: Chain, x: str, nbt: str, seed: int, epoch: int, bno: int) -> str:
-    u = uniform("r", "0", derive_seed(seed, S.BATCH, epoch))
-    nb = f"(SELECT nb FROM {nbt})"
-    return ch.add(f"SELECT * FROM {x} WHERE CASE WHEN {nb} <= 1 THEN 0 ELSE "
-                  f"LEAST(FLOOR({u} * CAST({nb} AS DOUBLE)), {nb} - 1) END = {bno}")
+N_BATCHES = 3
 
 
 def _rbm_update(ch: Chain, p: RBMTabs, st: dict, momentum: float, alpha: float, gaussian: bool) -> RBMTabs:
@@ -84,45 +53,37 @@ def _rbm_update(ch: Chain, p: RBMTabs, st: dict, momentum: float, alpha: float,
     return q
 
 
-def _rbm_fit(ch: Chain, x: str, nbt: str, p: RBMTabs, *, gaussian: bool, epochs: int, momentum: float, alpha: float,
+def _rbm_fit(ch: Chain, x: str, p: RBMTabs, *, gaussian: bool, epochs: int, momentum: float, alpha: float,
              seed: int) -> RBMTabs:
     for epoch in range(epochs):
-        for bno in range(NB_MAX):
-            xb = _batch(ch, x, nbt, seed, epoch, bno)
+        for bno in range(N_BATCHES):
+            xb = batch_rows(ch, x, N_BATCHES, seed, epoch, bno)
             step_seed = derive_seed(seed, 100, epoch, bno)
             st = gaussian_cd(ch, xb, p, step_seed) if gaussian else binary_cd(ch, xb, p, step_seed)
             p = _rbm_update(ch, p, st, momentum, alpha, gaussian)
     return p
 
 
-def dbn_end_to_end_sql(epochs_pretrain: int = 2, epochs_finetune: int = 3, hidden: int = 8) -> str:
+def dbn_end_to_end_sql(epochs_pretrain: int = 1, epochs_finetune: int = 2, hidden: int = 8) -> str:
     ch = Chain()
-    raw = ch.add("SELECT vec_id AS r, label, embedding AS emb FROM embeddings", "em")
-    x0 = ch.add(f"SELECT r, i, CAST(emb[i + 1] AS DOUBLE) AS v FROM (SELECT r, emb, unnest(generate_series(0, 9)) AS i FROM {raw})")
-    stats = ch.add(f"SELECT i, MIN(v) AS mn, MAX(v) AS mx FROM {x0} GROUP BY i")
-    x = ch.add(f"SELECT x.r, x.i, CASE WHEN s.mx = s.mn THEN 0.5e0 ELSE (x.v - s.mn) / (s.mx - s.mn) END AS v "
-               f"FROM {x0} x JOIN {stats} s ON x.i = s.i")
-    y = ch.add(f"SELECT r, k AS i, CASE WHEN CAST(label AS VARCHAR) = CAST(k AS VARCHAR) THEN {ONE} ELSE {ZERO} END AS v "
-               f"FROM (SELECT r, label, unnest(generate_series(0, 9)) AS k FROM {raw})")
-    cnt = ch.add(f"SELECT COUNT(DISTINCT r) AS m FROM {x}")
-    nbt = ch.add(f"SELECT CASE WHEN GREATEST(1, m // {BATCH_SIZE}) > {NB_MAX} "
-                 f"THEN error('dbn_end_to_end SQL unrolls at most {NB_MAX} batches per epoch') "
-                 f"ELSE GREATEST(1, m // {BATCH_SIZE}) END AS nb FROM {cnt}")
+    x, y = well_samples(ch)
+    x, y = ch.add(f"SELECT * FROM {x}"), ch.add(f"SELECT * FROM {y}")
+    width, out = len(roles.EXAMPLE_FEATURES), len(roles.ONE_HOT[roles.EXAMPLE_TARGET])
     # pretraining: Gaussian layer, then binary layer on its hidden probabilities (default init)
     s1, s2 = derive_seed(C.SEED, 400, 0), derive_seed(C.SEED, 400, 1)
-    i1 = R.init_params(10, hidden, s1, gaussian=True)
-    p1 = _rbm_fit(ch, x, nbt, RBMTabs(ch, i1.W, i1.b, i1.c, i1.sigma), gaussian=True, epochs=epochs_pretrain,
+    i1 = R.init_params(width, hidden, s1, gaussian=True)
+    p1 = _rbm_fit(ch, x, RBMTabs(ch, i1.W, i1.b, i1.c, i1.sigma), gaussian=True, epochs=epochs_pretrain,
                   momentum=0.01, alpha=0.01, seed=s1)
     h = ch.dense(x, p1.W, p1.c, "sigm")
-    i2 = R.init_params(hidden, 10, s2)
-    p2 = _rbm_fit(ch, h, nbt, RBMTabs(ch, i2.W, i2.b, i2.c), gaussian=False, epochs=epochs_pretrain,
+    i2 = R.init_params(hidden, out, s2)
+    p2 = _rbm_fit(ch, h, RBMTabs(ch, i2.W, i2.b, i2.c), gaussian=False, epochs=epochs_pretrain,
                   momentum=0.01, alpha=0.01, seed=s2)
     # unfold [c | W] and fine-tune (sigm / sigm, lr 2.0, momentum 0.5)
     Ws = [ch.add(f"SELECT j, i + 1 AS i, w FROM {p.W} UNION ALL SELECT i AS j, 0 AS i, w FROM {p.c}") for p in (p1, p2)]
-    vWs = [ch.mat(np.zeros((hidden, 11))), ch.mat(np.zeros((10, hidden + 1)))]
+    vWs = [ch.mat(np.zeros((hidden, width + 1))), ch.mat(np.zeros((out, hidden + 1)))]
     for epoch in range(epochs_finetune):
-        for bno in range(NB_MAX):
-            xb, yb = _batch(ch, x, nbt, C.SEED, epoch, bno), _batch(ch, y, nbt, C.SEED, epoch, bno)
+        for bno in range(N_BATCHES):
+            xb, yb = (batch_rows(ch, t, N_BATCHES, C.SEED, epoch, bno) for t in (x, y))
             n = ch.count(xb)
             a, masks = nn_forward_sql(ch, xb, Ws, "sigm", "sigm")
             grads, _ = nn_grads_sql(ch, a, masks, yb, Ws, "sigm", "sigm", n)

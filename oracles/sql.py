@@ -1,17 +1,15 @@
 """Independent DuckDB SQL for the registered queries.
 
 Written as plain long-form SQL over the driver's views (lineitem, orders, events,
-embeddings, part); training steps are unrolled as chains of materialised CTEs. Queries
-whose result only Spark can produce (PCA, files written by Spark, long training runs)
-have no entry and get a rows-only check.
+embeddings, part); training steps are unrolled as chains of materialised CTEs. Formulas are
+in ``oracles.formulas``; only literal weights, seeds and stream numbers are shared with the library.
 """
 
 from __future__ import annotations
 
 from oracles.build import ONE, ZERO, Chain, act_grad, r4, r6, uniform
-from stackwise.functions.activations import sql_act
-from stackwise.functions.random import derive_seed
-from stackwise.functions.vectors import sql_float as fl
+from oracles.formulas import fl, sql_act
+from oracles.formulas import stream as derive_seed
 from stackwise.operators import sampling as S
 from stackwise.plans import catalog as C
 from stackwise.plans import fixtures as FX
@@ -47,7 +45,7 @@ def em_inputs(ch: Chain, binary: bool = False) -> tuple[str, str, str]:
     val = "CAST(emb[i + 1] AS DOUBLE)"
     if binary:
         val = f"CASE WHEN CAST(emb[i + 1] AS DOUBLE) > 0 THEN {ONE} ELSE {ZERO} END"
-    x = ch.add(f"SELECT r, i, {val} AS v FROM (SELECT r, emb, unnest(generate_series(0, 9)) AS i FROM {base})", "em_x")
+    x = ch.add(f"SELECT r, i, {val} AS v FROM (SELECT r, emb, unnest(generate_series(0, len(emb) - 1)) AS i FROM {base})", "em_x")
     y = ch.add(f"SELECT r, k AS i, CASE WHEN label = k THEN {ONE} ELSE {ZERO} END AS v "
                f"FROM (SELECT r, label, unnest(generate_series(0, 9)) AS k FROM {base})", "em_y")
     return base, x, y
@@ -68,6 +66,12 @@ def unit_means(x: str, name: str | None = None, rnd=r6, agg: str = "AVG") -> str
     return f"SELECT {nm}CAST(i AS INTEGER) AS unit, {rnd(f'{agg}(v)')} AS value FROM {x} GROUP BY i"
 
 
+def slots(x: str, name: str, units, extra: str = "") -> str:
+    """Keyed rows of long rows (r, i, v): one rounded column per unit."""
+    cols = ", ".join(f"{r6(f'MAX(CASE WHEN i = {i} THEN v END)')} AS {name}{i}" for i in units)
+    return f"SELECT r AS row_id, {extra}{cols} FROM {x} GROUP BY r"
+
+
 # ============================================================================ A: sources
 
 @oracle("parse_numeric_rows")
@@ -90,7 +94,8 @@ def _():
 
 @oracle("write_clean_table")
 def _():
-    return "SELECT CAST(2 AS INTEGER) AS n_fields, CAST(COUNT(*) AS BIGINT) AS n_rows FROM lineitem"
+    slots = ", ".join(f"CASE WHEN (r + {i}) % 5 <> 0 THEN CAST(x{i} AS DOUBLE) END AS x{i}" for i in range(3))
+    return f"SELECT r AS row_id, CAST(3 AS INTEGER) AS width, {slots} FROM ({EV_BASE})"
 
 
 @oracle("preview_rows")
@@ -110,20 +115,14 @@ def _():
 
 @oracle("blank_to_null")
 def _():
-    return ("SELECT CAST(COUNT(*) FILTER (WHERE o_orderstatus = 'P') AS BIGINT) AS null_status, "
-            "CAST(COUNT(*) FILTER (WHERE o_orderpriority = '5-LOW') AS BIGINT) AS null_priority, "
-            "CAST(COUNT(*) AS BIGINT) AS n FROM orders")
+    return ("SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS o_orderstatus, "
+            "CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderpriority END AS o_orderpriority FROM orders")
 
 
 @oracle("one_hot_encode")
 def _():
-    parts = [f"SELECT 'l_returnflag' AS name, CAST({k} AS INTEGER) AS unit, "
-             f"{r4(f'SUM(CASE WHEN l_returnflag = {chr(39)}{v}{chr(39)} THEN {ONE} ELSE {ZERO} END)')} AS value FROM lineitem"
-             for k, v in enumerate(["A", "N", "R"])]
-    parts += [f"SELECT 'l_linestatus' AS name, CAST({k} AS INTEGER) AS unit, "
-              f"{r4(f'SUM(CASE WHEN l_linestatus = {chr(39)}{v}{chr(39)} THEN {ONE} ELSE {ZERO} END)')} AS value FROM lineitem"
-              for k, v in enumerate(["F", "O"])]
-    return " UNION ALL ".join(parts)
+    cols = ", ".join(f"CASE WHEN o_orderpriority = '{v}' THEN {ONE} ELSE {ZERO} END AS v{k}" for k, v in enumerate(["1-URGENT", "2-HIGH", "3-MEDIUM"]))
+    return f"SELECT o_orderkey, {cols} FROM orders"
 
 
 @oracle("multi_hot_encode")
@@ -180,22 +179,20 @@ def _():
         for c, e in LI_NUM_SQL.items())
 
 
+ORDER_NUMBERS = "SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS price, CAST(o_custkey AS DOUBLE) AS cust FROM orders"
+
+
 @oracle("impute_mean")
 def _():
-    return ("WITH m AS MATERIALIZED (SELECT AVG(NULLIF(l_discount, 0)) AS mu FROM lineitem), "
-            "x AS MATERIALIZED (SELECT COALESCE(NULLIF(l_discount, 0), (SELECT mu FROM m)) AS d FROM lineitem) "
-            f"SELECT CAST(COUNT(*) AS BIGINT) AS n, CAST(COUNT(*) FILTER (WHERE d IS NULL) AS BIGINT) AS n_null, "
-            f"{r6('AVG(d)')} AS mean_discount, {r4('SUM(d)')} AS sum_discount FROM x")
+    return (f"WITH o AS MATERIALIZED ({ORDER_NUMBERS}), m AS MATERIALIZED (SELECT AVG(price) AS p FROM o) "
+            f"SELECT o_orderkey, {r4('COALESCE(price, p)')} AS price, {r4('cust')} AS cust FROM o, m")
 
 
 @oracle("min_max_scale")
 def _():
-    parts = []
-    for c, e in LI_NUM_SQL.items():
-        scaled = f"(({e}) - (SELECT MIN({e}) FROM lineitem)) / ((SELECT MAX({e}) FROM lineitem) - (SELECT MIN({e}) FROM lineitem))"
-        parts.append(f"SELECT '{c}' AS \"column\", {r6(f'MIN({scaled})')} AS min, {r6(f'MAX({scaled})')} AS max, "
-                     f"{r6(f'AVG({scaled})')} AS mean FROM lineitem")
-    return " UNION ALL ".join(parts)
+    scaled = ", ".join(f"{r6(f'({c} - lo_{c}) / (hi_{c} - lo_{c})')} AS {c}" for c in ("price", "cust"))
+    ends = ", ".join(f"MIN({c}) AS lo_{c}, MAX({c}) AS hi_{c}" for c in ("price", "cust"))
+    return f"WITH o AS MATERIALIZED ({ORDER_NUMBERS}), e AS MATERIALIZED (SELECT {ends} FROM o) SELECT o_orderkey, {scaled} FROM o, e"
 
 
 @oracle("impute_category_default")
@@ -236,57 +233,49 @@ def _():
 @oracle("mini_batches")
 def _():
     u = uniform("event_id", "0", derive_seed(SEED, S.BATCH, 0))
-    return (f"SELECT CAST(LEAST(FLOOR({u} * {fl(10.0)}), 9) AS INTEGER) AS batch_id, CAST(COUNT(*) AS BIGINT) AS n, "
+    return (f"SELECT CAST(LEAST(FLOOR({u} * {fl(10.0)}), 9) AS BIGINT) AS batch_id, CAST(COUNT(*) AS BIGINT) AS n, "
             f"CAST(SUM(event_id) AS BIGINT) AS key_sum FROM events GROUP BY 1")
 
 
-def _ev_draw_means(expr_fn, names=None) -> str:
+def _ev_slots(**slots) -> str:
+    """Keyed rows: one column per vector and slot; slots: name -> SQL of the slot value over (r, i, v)."""
     ch = Chain()
     _, x = ev_inputs(ch)
-    if names is None:
-        y = ch.add(f"SELECT r, i, {expr_fn('v')} AS v FROM {x}")
-        return ch.render(unit_means(y))
-    sels = []
-    for name, fn in names.items():
-        y = ch.add(f"SELECT r, i, {fn('v')} AS v FROM {x}")
-        sels.append(unit_means(y, name))
-    return ch.render(" UNION ALL ".join(sels))
+    y = ch.add("SELECT r, i, " + ", ".join(f"{r6(sql)} AS {name}" for name, sql in slots.items()) + f" FROM {x}")
+    cols = ", ".join(f"MAX(CASE WHEN i = {i} THEN {name} END) AS {name}{i}" for name in slots for i in range(3))
+    return ch.render(f"SELECT r AS row_id, {cols} FROM {y} GROUP BY r")
 
 
 @oracle("mask_noise")
 def _():
     s = derive_seed(SEED, S.NOISE)
-    return _ev_draw_means(lambda v: f"CASE WHEN {uniform('r', 'i', s)} >= {fl(0.3)} THEN {v} ELSE {ZERO} END")
+    return _ev_slots(x=f"CASE WHEN {uniform('r', 'i', s)} >= {fl(0.3)} THEN v ELSE {ZERO} END")
 
 
 @oracle("dropout_mask")
 def _():
     s = derive_seed(SEED, S.DROPOUT)
-    keep = f"{uniform('r', 'i', s)} > {fl(0.4)}"
-    return _ev_draw_means(None, {
-        "mask": lambda v: f"CASE WHEN {keep} THEN {ONE} ELSE {ZERO} END",
-        "train": lambda v: f"{v} * CASE WHEN {keep} THEN {ONE} ELSE {ZERO} END",
-        "test": lambda v: f"{v} * {fl(1.0 - 0.4)}",
-    })
+    mask = f"CASE WHEN {uniform('r', 'i', s)} > {fl(0.4)} THEN {ONE} ELSE {ZERO} END"
+    return _ev_slots(mask=mask, train=f"v * {mask}", test=f"v * {fl(1.0 - 0.4)}")
 
 
 @oracle("sample_states")
 def _():
     s = derive_seed(SEED, S.STATES)
-    return _ev_draw_means(lambda v: f"CASE WHEN {v} > {uniform('r', 'i', s)} THEN {ONE} ELSE {ZERO} END")
+    return _ev_slots(x=f"CASE WHEN v > {uniform('r', 'i', s)} THEN {ONE} ELSE {ZERO} END")
 
 
 @oracle("sigmoid_sample")
 def _():
     s = derive_seed(SEED, S.STATES)
     p = sql_act("sigm", f"v * {fl(4.0)} - {fl(2.0)}")
-    return _ev_draw_means(lambda v: f"CASE WHEN {p} > {uniform('r', 'i', s)} THEN {ONE} ELSE {ZERO} END")
+    return _ev_slots(x=f"CASE WHEN {p} > {uniform('r', 'i', s)} THEN {ONE} ELSE {ZERO} END")
 
 
 @oracle("sigmoid_additive_noise")
 def _():
     s = derive_seed(SEED, S.RECON)
-    return _ev_draw_means(lambda v: f"{sql_act('sigm', v)} + {uniform('r', 'i', s)}")
+    return _ev_slots(x=f"{sql_act('sigm', 'v')} + {uniform('r', 'i', s)}")
 
 
 # ============================================================================ D, E: vectors and aggregates
@@ -316,11 +305,21 @@ def _():
 
 @oracle("dense_layer")
 def _():
-    W, c, _ = FX.li_layer()
+    W, c = FX.order_layer()
     ch = Chain()
-    _, x, _ = li_inputs(ch)
+    x = ch.add("SELECT o_orderkey AS r, 0 AS i, o_totalprice / 500000 AS v FROM orders UNION ALL "
+               "SELECT o_orderkey AS r, 1 AS i, (o_custkey % 1000) / 1000 AS v FROM orders")
+    return ch.render(slots(ch.dense(x, ch.mat(W), ch.vec(c), "sigm"), "h", range(3)))
+
+
+@oracle("dense_layer_wide")
+def _():
+    W, c = FX.em_wide()
+    ch = Chain()
+    _, x, _ = em_inputs(ch)
     h = ch.dense(x, ch.mat(W), ch.vec(c), "sigm")
-    return ch.render(unit_means(h))
+    return ch.render(f"SELECT r AS row_id, {r6('SUM(v)')} AS total, {r6('MAX(CASE WHEN i = 0 THEN v END)')} AS h0, "
+                     f"{r6('MAX(CASE WHEN i = 79 THEN v END)')} AS h79 FROM {h} GROUP BY r")
 
 
 @oracle("add_bias")

@@ -5,10 +5,9 @@ from __future__ import annotations
 import numpy as np
 
 from oracles.build import ONE, ZERO, Chain, act_grad, normal, params_rows, r4, r6, uniform
-from oracles.sql import ORACLES, em_inputs, li_inputs, oracle, unit_means
-from stackwise.functions.activations import sql_act
-from stackwise.functions.random import derive_seed
-from stackwise.functions.vectors import sql_float as fl
+from oracles.formulas import fl, sql_act
+from oracles.formulas import stream as derive_seed
+from oracles.sql import ORACLES, em_inputs, li_inputs, oracle, slots, unit_means
 from stackwise.operators import nn as N
 from stackwise.operators import sampling as S
 from stackwise.plans import catalog as C
@@ -146,8 +145,12 @@ def err_mean(ch: Chain, st: dict) -> str:
 
 
 def batch_rows(ch: Chain, x: str, nb: int, seed: int, epoch: int, bno: int) -> str:
-    u = uniform("r", "0", derive_seed(seed, S.BATCH, epoch))
-    return ch.add(f"SELECT * FROM {x} WHERE LEAST(FLOOR({u} * {fl(float(nb))}), {nb - 1}) = {bno}")
+    """Rows of one batch: 8 nb buckets by a draw on the row, put in order by fresh draws, 8 buckets a batch."""
+    n = 8 * nb
+    order = ch.add(f"SELECT k, (row_number() OVER (ORDER BY {uniform('k', '0', derive_seed(seed, S.BATCH, epoch))}, k) - 1) // 8 AS b "
+                   f"FROM (SELECT unnest(generate_series(0, {n - 1})) AS k)")
+    bucket = f"CAST(LEAST(FLOOR({uniform('r', '0', derive_seed(seed, S.BATCH))} * {fl(n)}), {n - 1}) AS BIGINT)"
+    return ch.add(f"SELECT * FROM {x} WHERE {bucket} IN (SELECT k FROM {order} WHERE b = {bno})")
 
 
 # ============================================================================ RBM queries
@@ -251,7 +254,7 @@ def _():
     W, b, c = FX.em_rbm()
     ch = Chain()
     _, x, _ = em_inputs(ch)
-    return ch.render(unit_means(ch.dense(x, ch.mat(W), ch.vec(c), "sigm")))
+    return ch.render(slots(ch.dense(x, ch.mat(W), ch.vec(c), "sigm"), "hidden", range(4)))
 
 
 @oracle("rbm_reconstruct")
@@ -263,12 +266,12 @@ def _():
     h = ch.dense(ch.scale(x, p.s, "/"), p.W, p.c, "sigm")
     lin = ch.back(h, p.W)
     rec = ch.add(f"SELECT l.r, l.i, l.z * s.w + b.w AS v FROM {lin} l JOIN {p.s} s ON l.i = s.i JOIN {p.b} b ON l.i = b.i")
-    return ch.render(unit_means(rec))
+    return ch.render(slots(rec, "r", (0, 31, 63), f"{r6('SUM(v)')} AS total, "))
 
 
 def pretrain_sql(ch: Chain, x: str, inits, *, momentum: float, alpha: float, seed: int):
     (W1, b1, c1), (W2, b2, c2) = inits
-    p1, _ = gaussian_fit_sql(ch, x, RBMTabs(ch, W1, b1, c1, np.ones(10)), epochs=1, momentum=momentum, alpha=alpha,
+    p1, _ = gaussian_fit_sql(ch, x, RBMTabs(ch, W1, b1, c1, np.ones(FX.EM_WIDTH)), epochs=1, momentum=momentum, alpha=alpha,
                              seed=derive_seed(seed, 400, 0))
     h = ch.dense(x, p1.W, p1.c, "sigm")
     p2, _ = binary_fit_sql(ch, h, RBMTabs(ch, W2, b2, c2), epochs=1, momentum=momentum, alpha=alpha, seed=derive_seed(seed, 400, 1))
@@ -291,7 +294,7 @@ def _():
     _, x, _ = em_inputs(ch)
     h1 = ch.dense(x, ch.mat(W1), ch.vec(c1), "sigm")
     h2 = ch.dense(h1, ch.mat(W2), ch.vec(c2), "sigm")
-    return ch.render(unit_means(h2))
+    return ch.render(slots(h2, "top", range(4)))
 
 
 # ============================================================================ network pieces
@@ -513,7 +516,7 @@ def _fit_variant(name: str) -> str:
         x = ch.add(f"SELECT * FROM {x} WHERE NOT ({u} < {cut})")
         y = ch.add(f"SELECT * FROM {y} WHERE NOT ({u} < {cut})")
         val = (xv, yv)
-    Ws, hist = nn_fit_sql(ch, x, y, FX.em_weights(), cfg, epochs=spec["epochs"], nb=2 if spec["halves"] else 1, val=val)
+    Ws, hist = nn_fit_sql(ch, x, y, FX.em_weights(), cfg, epochs=spec["epochs"], nb=spec["n_batches"], val=val)
     return ch.render(params_rows([("W0", Ws[0], "mat"), ("W1", Ws[1], "mat")] + hist_rows(ch, hist)))
 
 
@@ -540,7 +543,10 @@ def _li_pred(ch):
 def _():
     ch = Chain()
     _, _, o, e = _li_pred(ch)
-    return ch.render(unit_means(o, "predict_label") + " UNION ALL " + unit_means(e, "error"))
+    cols = ", ".join(f"{r6(f'MAX(CASE WHEN p.i = {i} THEN p.{c} END)')} AS {name}{i}" for name, c in (("predict_label", "o"), ("error", "e")) for i in range(3))
+    both = ch.add(f"SELECT o.r, o.i, o.v AS o, e.v AS e FROM {o} o JOIN {e} e ON o.r = e.r AND o.i = e.i")
+    rows = ch.add(f"SELECT p.r, {cols} FROM {both} p GROUP BY p.r")
+    return ch.render(f"SELECT * EXCLUDE (r) FROM {rows}")
 
 
 @oracle("nn_loss")
@@ -555,8 +561,9 @@ def _():
 def _():
     ch = Chain()
     _, _, o, _ = _li_pred(ch)
-    return ch.render(f"SELECT CAST(i AS INTEGER) AS unit, {r4(f'SUM(CASE WHEN v > {fl(0.3333333)} THEN {ONE} ELSE {ZERO} END)')} "
-                     f"AS value FROM {o} GROUP BY i")
+    hit = lambda i: f"MAX(CASE WHEN i = {i} THEN CASE WHEN v > {fl(0.3333333)} THEN {ONE} ELSE {ZERO} END END) AS predicted{i}"
+    rows = ch.add(f"SELECT r, {', '.join(hit(i) for i in range(3))} FROM {o} GROUP BY r")
+    return ch.render(f"SELECT predicted0, predicted1, predicted2, CAST(COUNT(*) AS BIGINT) AS n FROM {rows} GROUP BY 1, 2, 3")
 
 
 @oracle("label_hit_rate")
@@ -568,6 +575,15 @@ def _():
     return ch.render(f"SELECT {r6('AVG(h)')} AS hit_rate FROM {per_row}")
 
 
+@oracle("nn_predict_wide")
+def _():
+    ch = Chain()
+    _, x, _ = em_inputs(ch)
+    a, _ = nn_forward_sql(ch, x, [ch.mat(w) for w in FX.em_wide_net()], "sigm", "sigm")
+    cols = ", ".join(f"{r6(f'MAX(CASE WHEN i = {i} THEN v END)')} AS p{i}" for i in range(10))
+    return ch.render(f"SELECT r AS row_id, {cols} FROM {a[-1]} GROUP BY r")
+
+
 @oracle("score_unfolded")
 def _():
     (W1, b1, c1), (W2, b2, c2) = FX.em_dbn()
@@ -590,9 +606,9 @@ def _():
     U = []
     for p in (p1, p2):
         U.append(ch.add(f"SELECT j, i + 1 AS i, w FROM {p.W} UNION ALL SELECT i AS j, 0 AS i, w FROM {p.c}"))
-    cfg = N.NNConfig(sizes=(10, 6, 10), activation="sigm", output="sigm", seed=SEED, learning_rate=1.0, momentum=0.5)
+    cfg = N.NNConfig(sizes=(FX.EM_WIDTH, 6, 10), activation="sigm", output="sigm", seed=SEED, learning_rate=1.0, momentum=0.5)
     Ws = U
-    vWs = [ch.mat(np.zeros((6, 11))), ch.mat(np.zeros((10, 7)))]
+    vWs = [ch.mat(np.zeros((6, FX.EM_WIDTH + 1))), ch.mat(np.zeros((10, 7)))]
     n = ch.count(x)
     a, masks = nn_forward_sql(ch, x, Ws, "sigm", "sigm", training=True, step_seed=derive_seed(SEED, 300, 0, 0))
     grads, _ = nn_grads_sql(ch, a, masks, y, Ws, "sigm", "sigm", n)

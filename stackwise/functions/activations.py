@@ -11,10 +11,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _sf(x: float) -> str:
-    r = repr(float(x))
-    return r if "e" in r else r + "e0"
-
 # Fixed values of the scaled hyperbolic tangent: f(x) = 1.7159 * tanh(2x/3).
 TANH_A = 1.7159
 TANH_B = 2.0 / 3.0
@@ -79,21 +75,3 @@ def np_act_grad(name: str, a: np.ndarray) -> np.ndarray:
     if name == "tanh_opt":
         return TANH_A * TANH_B * (1.0 - a * a * (1.0 / (TANH_A * TANH_A)))
     return np.ones_like(a)
-
-
-def sql_act(name: str, z: str) -> str:
-    check(name)
-    if name == "sigm":
-        return f"(1.0 / (1.0 + exp(-({z}))))"
-    if name == "tanh_opt":
-        return f"({_sf(TANH_A)} * tanh({_sf(TANH_B)} * ({z})))"
-    return f"({z})"
-
-
-def sql_act_grad(name: str, a: str) -> str:
-    check(name)
-    if name == "sigm":
-        return f"(({a}) * (1.0 - ({a})))"
-    if name == "tanh_opt":
-        return f"({_sf(TANH_A * TANH_B)} * (1.0 - ({a}) * ({a}) * {_sf(1.0 / (TANH_A * TANH_A))}))"
-    return "1.0"

@@ -2,16 +2,17 @@
 
 Every random number is a pure function of ``(row_id, unit, seed)``; it does not depend on
 partitioning, row order, retries or recomputation, so a lost executor re-computes exactly
-the same draws. The same integer recipe is available as a Spark column, a numpy function
-(inside Arrow batches) and an SQL string (for independent checks), and all three agree
-bit for bit.
-
-Recipe (all integer arithmetic, no overflow for row_id < 2**47):
-    h1 = (row_id * 48271 + unit * 69621 + seed) mod M
-    h2 = (h1 * h1) mod M                 # breaks the linear lattice
-    h3 = (h2 * 16807 + h1) mod M
-    u  = h3 / M                          # in [0, 1)
-with M = 2**31 - 1.
+the same draws. The same integer recipe is available as a Spark column and as a numpy function
+(inside Arrow batches); both agree bit for bit for every 64-bit row id. The SQL checks
+write the recipe once more on their own.
+
+Recipe, with M = 2**31 - 1 and the id split into ``id = hi * M + lo``, 0 <= lo < M (floor division):
+    a  = (lo * 48271 + (hi mod M) * 40014 + unit * 69621 + seed) mod M
+    b  = (lo * 40692 + (hi mod M) * 30323 + unit * 16807 + seed) mod M
+    h  = (a * a + b) mod M                 # breaks the linear lattice
+    u  = ((h * 16807 + b) mod M) / M       # in [0, 1)
+(lo, hi mod M) -> (a, b) is one to one, so two ids share their draws only if they differ by a
+multiple of M * M (about 2**62). No product exceeds 63 bits.
 """
 
 from __future__ import annotations
@@ -37,14 +38,21 @@ def _c(x) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
+def _long(x) -> Column:
+    return F.lit(int(x)).cast("long")
+
+
 def uniform_col(row_id, unit, seed: int) -> Column:
     """u(row_id, unit, seed) as a Spark column (row_id, unit: columns or ints)."""
     rid = _c(row_id).cast("long")
-    u = _c(unit).cast("long")
-    h1 = (rid * 48271 + u * 69621 + F.lit(int(seed) % M).cast("long")) % M
-    h2 = (h1 * h1) % M
-    h3 = (h2 * 16807 + h1) % M
-    return h3.cast("double") / float(M)
+    rest = rid % _long(M)
+    lo = F.pmod(rid, _long(M))
+    hi = F.pmod(F.call_function("div", rid, _long(M)) - F.when(rest < 0, _long(1)).otherwise(_long(0)), _long(M))
+    u, s = _c(unit).cast("long"), _long(int(seed) % M)
+    a = (lo * 48271 + hi * 40014 + u * 69621 + s) % M
+    b = (lo * 40692 + hi * 30323 + u * 16807 + s) % M
+    h = (a * a + b) % M
+    return ((h * 16807 + b) % M).cast("double") / float(M)
 
 
 def normal_col(row_id, unit, seed: int) -> Column:
@@ -57,30 +65,16 @@ def normal_col(row_id, unit, seed: int) -> Column:
 def uniform_np(row_ids: np.ndarray, n_units: int, seed: int) -> np.ndarray:
     """Matrix of draws, shape (len(row_ids), n_units)."""
     rid = np.asarray(row_ids, dtype=np.int64)[:, None]
+    lo, hi = np.mod(rid, M), np.mod(np.floor_divide(rid, M), M)
     units = np.arange(n_units, dtype=np.int64)[None, :]
-    h1 = (rid * 48271 + units * 69621 + np.int64(int(seed) % M)) % M
-    h2 = (h1 * h1) % M
-    h3 = (h2 * 16807 + h1) % M
-    return h3.astype(np.float64) / float(M)
+    s = np.int64(int(seed) % M)
+    a = (lo * 48271 + hi * 40014 + units * 69621 + s) % M
+    b = (lo * 40692 + hi * 30323 + units * 16807 + s) % M
+    h = (a * a + b) % M
+    return ((h * 16807 + b) % M).astype(np.float64) / float(M)
 
 
 def normal_np(row_ids: np.ndarray, n_units: int, seed: int) -> np.ndarray:
     u1 = uniform_np(row_ids, n_units, derive_seed(seed, 1))
     u2 = uniform_np(row_ids, n_units, derive_seed(seed, 2))
     return np.sqrt(-2.0 * np.log(1.0 - u1)) * np.cos(2.0 * math.pi * u2)
-
-
-def uniform_sql(row_expr: str, unit_expr: str, seed: int) -> str:
-    """The same draw as an SQL expression (DuckDB / Spark SQL)."""
-    s = int(seed) % M
-    h1 = f"((CAST({row_expr} AS BIGINT) * 48271 + CAST({unit_expr} AS BIGINT) * 69621 + {s}) % {M})"
-    h2 = f"(({h1} * {h1}) % {M})"
-    h3 = f"(({h2} * 16807 + {h1}) % {M})"
-    return f"(CAST({h3} AS DOUBLE) / {M}.0)"
-
-
-def normal_sql(row_expr: str, unit_expr: str, seed: int) -> str:
-    u1 = uniform_sql(row_expr, unit_expr, derive_seed(seed, 1))
-    u2 = uniform_sql(row_expr, unit_expr, derive_seed(seed, 2))
-    two_pi = repr(2.0 * math.pi)
-    return f"(sqrt(-2.0e0 * ln(1.0e0 - {u1})) * cos({two_pi}e0 * {u2}))"

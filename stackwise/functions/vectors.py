@@ -1,9 +1,8 @@
 """Vector helpers on ``array<double>`` columns (D3, D4, H1 and the building blocks of E*).
 
-All of them are built-in higher-order functions, so they stay inside the JVM and can be
-used on batch and streaming DataFrames alike. Weight matrices become array literals that
-Catalyst folds into constants; use them for layers with up to a few thousand weights and
-the Arrow/numpy path of :mod:`stackwise.operators.layers` beyond that.
+All of them are built-in expressions, so they stay inside the JVM and can be used on batch and
+streaming DataFrames alike. Weights become literals; for wide layers use the Arrow/numpy form of
+:mod:`stackwise.operators.layers`, which gives the same results and the same errors.
 """
 
 from __future__ import annotations
@@ -21,14 +20,6 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def sql_float(x: float) -> str:
-    """A DOUBLE literal that both Spark SQL and DuckDB read exactly (never DECIMAL)."""
-    r = repr(float(x))
-    if r in ("nan", "inf", "-inf"):
-        return f"CAST('{r}' AS DOUBLE)"
-    return r if ("e" in r or "E" in r) else r + "e0"
-
-
 def array_lit(values: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
@@ -94,7 +85,7 @@ def vsub(a, b, width: int | None = None) -> Column:
     return F.zip_with(_c(a), _c(b), lambda x, y: x - y)
 
 
-UNROLL_MAX = 1024  # weights per layer up to which a layer becomes plain (code-generated) arithmetic
+EXPRESSION_MAX = 256  # weights per layer up to which DataFrame operators choose the expression form (one generated method)
 
 
 def dense_units(xs: Sequence[Column], W: np.ndarray, c: np.ndarray | None, act: str) -> list[Column]:
@@ -113,30 +104,19 @@ def dense_units(xs: Sequence[Column], W: np.ndarray, c: np.ndarray | None, act:
 def dense(col, W: np.ndarray, c: np.ndarray | None = None, act: str = "sigm", scale: np.ndarray | None = None) -> Column:
     """D3: ``act(x . W^T + c)`` for every row; W has shape (out, in).
 
-    Small layers (up to ``UNROLL_MAX`` weights) are unrolled into arithmetic on the array
-    elements, which whole-stage code generation compiles; wider layers walk one
-    ``array<array<double>>`` literal with ``transform`` (for those, the Arrow path of the
-    DataFrame-level operators is faster). ``scale`` divides the input first (x / sigma).
+    Unrolled into arithmetic on the array elements, which whole-stage code generation compiles. A vector
+    that is NULL, holds NULL or is not as wide as the layer raises an error, like the Arrow form for
+    wide layers (:mod:`stackwise.operators.layers`). ``scale`` divides the input first (x / sigma).
     """
     W = np.asarray(W, dtype=float)
     x = _c(col)
-    bias = np.zeros(W.shape[0]) if c is None else np.asarray(c, dtype=float).reshape(-1)
-    if W.size <= UNROLL_MAX:
-        xs = [x[i] for i in range(W.shape[1])]
-        if scale is not None:
-            xs = [xi / F.lit(float(s)) for xi, s in zip(xs, np.asarray(scale, dtype=float))]
-        return F.array(*dense_units(xs, W, bias, act))
+    xs = [x[i] for i in range(W.shape[1])]
     if scale is not None:
-        x = F.zip_with(x, array_lit(scale), lambda v, s: v / s)
-    Wb = np.concatenate([bias[:, None], W], axis=1)
-    xb = add_bias(x)
-    return F.transform(matrix_lit(Wb), lambda w: A.scalar(act, dot(xb, w)))
-
-
-def dense_with_bias_column(col, Wb: np.ndarray, act: str) -> Column:
-    """Layer in network form: Wb = [c | W] (bias in column 0), input without bias slot."""
-    Wb = np.asarray(Wb, dtype=float)
-    return dense(col, Wb[:, 1:], Wb[:, 0], act)
+        xs = [xi / F.lit(float(s)) for xi, s in zip(xs, np.asarray(scale, dtype=float))]
+    bad = x.isNull() | (F.size(x) != F.lit(W.shape[1]))
+    for xi in xs:  # a NULL slot
+        bad = bad | xi.isNull()
+    return F.when(bad, F.raise_error(F.lit(f"vector column must hold {W.shape[1]} numbers in every row"))).otherwise(F.array(*dense_units(xs, W, c, act)))
 
 
 def threshold(col, t: float = 0.3333333, width: int | None = None) -> Column:

@@ -9,11 +9,13 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stackwise.functions import vectors as V
-from stackwise.operators.step import step_sums
+from stackwise.operators.step import list_matrix
+from stackwise.session import ship_package
 
 
 def _width(df: DataFrame, col: str) -> int:
@@ -37,26 +39,25 @@ def vector_mean(df: DataFrame, col: str = "features", width: int | None = None)
     return _long(one, [f"u{i}" for i in range(w)])
 
 
-def _outer_rows(P, ids, X, Y):
-    return {"s": Y.T @ X, "n": np.array(float(X.shape[0]))}
-
-
-def outer_product_sums(df: DataFrame, left: str = "label", right: str = "features") -> tuple[np.ndarray, float]:
-    """E3 kernel: sum over rows of left^T . right (numpy per Arrow batch) and the row count."""
-    sub = df.select(F.col(right).alias("features"), F.col(left).alias("label"))
-    first = sub.first()
-    if first is None:
-        return np.zeros((0, 0)), 0.0
-    shape = (len(first["label"]), len(first["features"]))
-    r = step_sums(sub, _outer_rows, {}, {"s": shape, "n": ()}, row_id=None)
-    return r["s"], r["n"]
-
-
 def outer_product_mean(df: DataFrame, left: str = "label", right: str = "features") -> DataFrame:
-    """Mean over rows of left^T . right as (out, in, value)."""
-    s, n = outer_product_sums(df, left, right)
-    rows = [(int(j), int(i), float(s[j, i] / n)) for j in range(s.shape[0]) for i in range(s.shape[1])]
-    return df.sparkSession.createDataFrame(rows, "out int, `in` int, value double")
+    """Mean over rows of left^T . right as (out, in, value): numpy per Arrow batch, one row per task and
+    product, summed by one aggregation. The widths are found inside the pass, so the input is read once."""
+    ship_package(df.sparkSession)
+
+    def run(batches):
+        acc, n = None, 0
+        for rb in batches:
+            if rb.num_rows:
+                y, x = list_matrix(rb.column(0)), list_matrix(rb.column(1))
+                acc = y.T @ x if acc is None else acc + y.T @ x
+                n += rb.num_rows
+        if acc is not None:
+            j, i = np.indices(acc.shape, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(j.ravel()), pa.array(i.ravel()), pa.array(acc.ravel()), pa.array(np.full(acc.size, n, np.int64))],
+                                             names=["out", "in", "s", "n"])
+
+    partial = df.select(F.col(left).alias("left"), F.col(right).alias("right")).mapInArrow(run, "out int, `in` int, s double, n long")
+    return partial.groupBy("out", "in").agg((F.sum("s") / F.sum("n")).alias("value"))
 
 
 def reconstruction_error(df: DataFrame, original: str, reconstructed: str) -> DataFrame:

@@ -1,9 +1,8 @@
 """Deep belief network: layer-wise pretraining, transform and unfolding.
 
 Layer 1 is a Gaussian-visible RBM, the others binary RBMs, each trained on the previous
-layer's hidden probabilities (cumulative, Q5). Every layer's input is a cached projection
-of the one before it (constant lineage depth); the previous cache is released as soon as
-the next layer is trained.
+layer's hidden probabilities (cumulative, Q5). A layer's input is a projection of the samples
+through the trained layers, which its trainer writes once and removes at its end.
 """
 
 from __future__ import annotations
@@ -11,7 +10,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,37 +30,25 @@ class DBNModel:
         return self.layers[0].sigma
 
 
-def dbn_pretrain(samples: DataFrame, sizes, *, epochs: int = 1, batch_size: int | None = 100, k: int = 1,
-                 momentum: float = 0.0, alpha: float = 0.2, seed: int = 0, noise: str = "normal",
-                 init: list | None = None, max_steps_per_layer: int | None = None,
-                 scale_by_sigma: bool = False, sigma_rate: float = 1.0) -> DBNModel:
+def dbn_pretrain(samples: DataFrame, sizes, *, epochs: int = 1, n_batches: int | None = None,
+                 batch_size: int | None = None, k: int = 1, momentum: float = 0.0, alpha: float = 0.2, seed: int = 0,
+                 noise: str = "normal", init: list | None = None, scale_by_sigma: bool = False, sigma_rate: float = 1.0) -> DBNModel:
     """pretrain ``len(sizes) - 1`` RBMs; defaults size [10, 5, 1], momentum 0, alpha 0.2."""
     sizes = tuple(int(s) for s in sizes)
     layers, history = [], []
     base = samples.select("row_id", "features")
-    g = R.gaussian_rbm_fit(base, sizes[1], epochs=epochs, batch_size=batch_size, momentum=momentum, alpha=alpha,
-                           k=k, seed=derive_seed(seed, 400, 0), noise=noise,
-                           init=None if init is None else init[0], max_steps=max_steps_per_layer,
-                           sigma_rate=sigma_rate)
+    common = dict(epochs=epochs, n_batches=n_batches, batch_size=batch_size, momentum=momentum, alpha=alpha, k=k)
+    g = R.gaussian_rbm_fit(base, sizes[1], seed=derive_seed(seed, 400, 0), noise=noise, sigma_rate=sigma_rate,
+                           init=None if init is None else init[0], **common)
     layers.append(g.params)
     history += [(1, e, err) for e, err in g.history]
-    prev = None
-    cur_in = base
+    cur = base
     for i in range(2, len(sizes)):
         scale = scale_by_sigma and i == 2
-        nxt = R.rbm_hidden(cur_in, layers[-1], "features", "h", scale_by_sigma=scale).select("row_id", F.col("h").alias("features"))
-        nxt = nxt.persist(StorageLevel.MEMORY_AND_DISK)
-        if prev is not None:
-            prev.unpersist()
-        prev = nxt
-        fit = R.rbm_fit(nxt, sizes[i], epochs=epochs, batch_size=batch_size, momentum=momentum, alpha=alpha, k=k,
-                        seed=derive_seed(seed, 400, i - 1), init=None if init is None else init[i - 1],
-                        max_steps=max_steps_per_layer)
+        cur = R.rbm_hidden(cur, layers[-1], "features", "h", scale_by_sigma=scale).select("row_id", F.col("h").alias("features"))
+        fit = R.rbm_fit(cur, sizes[i], seed=derive_seed(seed, 400, i - 1), init=None if init is None else init[i - 1], **common)
         layers.append(fit.params)
         history += [(i, e, err) for e, err in fit.history]
-        cur_in = nxt
-    if prev is not None:
-        prev.unpersist()
     return DBNModel(sizes, layers, history)
 
 
@@ -96,10 +82,10 @@ def score_unfolded(df: DataFrame, model: DBNModel, *, output_size: int = 0, outp
 
 
 def dbn_finetune(samples: DataFrame, model: DBNModel, *, output_size: int = 0, epochs: int = 1,
-                 batch_size: int | None = 100, validation: float = 0.0, seed: int = 0,
-                 max_steps: int | None = None, **nn_kw) -> N.NNFit:
+                 n_batches: int | None = None, batch_size: int | None = None, validation: float = 0.0, seed: int = 0,
+                 **nn_kw) -> N.NNFit:
     """Unfold the stack, then fine-tune the network by back-propagation (sigm / sigm)."""
     sizes, W = dbn_unfold(model, output_size, seed)
     cfg = N.NNConfig(sizes=sizes, activation="sigm", output="sigm", seed=seed, **nn_kw)
-    return N.nn_fit(samples, cfg, epochs=epochs, batch_size=batch_size, validation=validation,
-                    init_weights_=W, max_steps=max_steps)
+    return N.nn_fit(samples, cfg, epochs=epochs, n_batches=n_batches, batch_size=batch_size, validation=validation,
+                    init_weights_=W)

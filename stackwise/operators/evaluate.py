@@ -16,12 +16,6 @@ def threshold_labels(df: DataFrame, col: str = "predict_label", t: float = HIT_T
     return df.withColumn(out, V.threshold(col, t, width))
 
 
-def label_hit_rate(pred: DataFrame, t: float = HIT_THRESHOLD, *, first_n: int | None = None, order_by: str = "row_id",
-                   width: int | None = None) -> DataFrame:
-    """H2: mean over rows of label . threshold(prediction); all rows by default (Q23).
-
-    ``first_n`` restricts to the first n rows by ``order_by`` (the reference looks at 925).
-    """
-    if first_n is not None:
-        pred = pred.orderBy(order_by).limit(int(first_n))
+def label_hit_rate(pred: DataFrame, t: float = HIT_THRESHOLD, *, width: int | None = None) -> DataFrame:
+    """H2: mean over all rows of label . threshold(prediction) (Q23)."""
     return pred.agg(F.avg(V.dot("label", V.threshold("predict_label", t, width), width)).alias("hit_rate"))

@@ -1,9 +1,9 @@
 """Dense projections of wide layers on Arrow batches (numpy), appended as a new column.
 
 Small layers are better served by :func:`stackwise.functions.vectors.dense` (code-generated
-arithmetic); above ``UNROLL_MAX`` weights the expression would be too large, so the layer
-is applied per Arrow batch instead. Parameters travel in the function closure, or through
-a broadcast variable above 1 MiB.
+arithmetic); above ``EXPRESSION_MAX`` weights the expression would be too large, so the layer
+is applied per Arrow batch instead, with the same results and the same errors. Parameters
+travel as a broadcast variable.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from stackwise.functions import vectors as V
 from stackwise.functions.activations import np_act
-from stackwise.operators.step import BROADCAST_BYTES, list_matrix
+from stackwise.operators.step import list_matrix
 from stackwise.session import ship_package
 
 
@@ -32,18 +32,17 @@ def dense_arrow(df: DataFrame, col: str, W: np.ndarray, c: np.ndarray | None, ac
     W = np.asarray(W, dtype=float)
     c = np.zeros(W.shape[0]) if c is None else np.asarray(c, dtype=float).reshape(-1)
     s = None if scale is None else np.asarray(scale, dtype=float)
-    params = {"W": W, "c": c, "s": s}
-    bc = df.sparkSession.sparkContext.broadcast(params) if W.nbytes > BROADCAST_BYTES else None
+    sent = df.sparkSession.sparkContext.broadcast({"W": W, "c": c, "s": s})  # the context cleaner drops it with the frame
     fields = [f for f in df.schema.fields if f.name != out]
     schema = T.StructType(fields + [T.StructField(out, T.ArrayType(T.DoubleType()))])
     names = [f.name for f in fields]
 
     def run(batches):
-        p = bc.value if bc is not None else params
+        p = sent.value
         for rb in batches:
             if rb.num_rows == 0:
                 continue
-            X = list_matrix(rb.column(col))
+            X = list_matrix(rb.column(col), p["W"].shape[1])
             if p["s"] is not None:
                 X = X / p["s"]
             H = np_act(act, X @ p["W"].T + p["c"])
@@ -57,6 +56,6 @@ def dense_layer(df: DataFrame, col: str, W: np.ndarray, c: np.ndarray | None, ac
                 scale: np.ndarray | None = None, method: str = "auto") -> DataFrame:
     """D3 at DataFrame level: code-generated expression for small layers, Arrow for wide ones."""
     W = np.asarray(W, dtype=float)
-    if method == "arrow" or (method == "auto" and W.size > V.UNROLL_MAX):
+    if method == "arrow" or (method == "auto" and W.size > V.EXPRESSION_MAX):
         return dense_arrow(df, col, W, c, act, out, scale)
     return df.withColumn(out, V.dense(F.col(col), W, c, act, scale=scale))

@@ -9,11 +9,12 @@ layers, so it also works on streaming DataFrames, and numpy per Arrow batch for
 
 from __future__ import annotations
 
+from contextlib import nullcontext
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,8 +22,8 @@ from stackwise.functions import activations as A
 from stackwise.functions import vectors as V
 from stackwise.functions.random import derive_seed, uniform_np
 from stackwise.operators import sampling as S
-from stackwise.operators.layers import arrow_list
-from stackwise.operators.step import ensure_cached, list_matrix, step_sums
+from stackwise.operators.layers import arrow_list, dense_layer
+from stackwise.operators.step import list_matrix, step_sums
 from stackwise.session import ship_package
 
 _ACT = {"sigm": 0, "tanh_opt": 1, "linear": 2}
@@ -183,9 +184,9 @@ def _shapes(W, cfg: NNConfig, want_grad: bool, want_act: bool) -> dict:
     return sh
 
 
-def _run(df, W, cfg, n_parts=None, **kw) -> dict:
+def _run(df, W, cfg, **kw) -> dict:
     want_grad, want_act = kw["want_grad"], kw["want_act"]
-    return step_sums(df, nn_rows, _pass_params(W, cfg, **kw), _shapes(W, cfg, want_grad, want_act), n_parts=n_parts)
+    return step_sums(df, nn_rows, _pass_params(W, cfg, **kw), _shapes(W, cfg, want_grad, want_act))
 
 
 # --------------------------------------------------------------------------- operators
@@ -195,17 +196,16 @@ def mean_activation_update(p_old: dict, act_sums: dict, n: float, cfg: NNConfig)
     return {l: 0.01 * act_sums[f"act{l}"] / n + cfg.decay * p_old[l] for l in range(1, cfg.n_layers - 1)}
 
 
-def nn_gradient(df: DataFrame, W, cfg: NNConfig, *, step_seed: int | None = None, p=None, training: bool = True,
-                n_parts: int | None = None) -> dict:
+def nn_gradient(df: DataFrame, W, cfg: NNConfig, *, step_seed: int | None = None, p=None, training: bool = True) -> dict:
     """G2 (+G3): mean gradient per layer, with loss and n, in one pass (two with sparsity)."""
     step_seed = cfg.seed if step_seed is None else step_seed
     if cfg.sparsity > 0:
         p_old = p if p is not None else {l: np.zeros(cfg.sizes[l]) for l in range(1, cfg.n_layers - 1)}
-        a = _run(df, W, cfg, n_parts, training=training, step_seed=step_seed, want_grad=False, want_act=True)
+        a = _run(df, W, cfg, training=training, step_seed=step_seed, want_grad=False, want_act=True)
         if a["n"] <= 0:
             return {"n": 0.0}
         p = mean_activation_update(p_old, a, a["n"], cfg)
-    sums = _run(df, W, cfg, n_parts, training=training, step_seed=step_seed, want_grad=True, want_act=False, p=p)
+    sums = _run(df, W, cfg, training=training, step_seed=step_seed, want_grad=True, want_act=False, p=p)
     n = sums["n"]
     if n <= 0:
         return {"n": 0.0}
@@ -233,31 +233,23 @@ def apply_grads(W, vW, grads, cfg: NNConfig, lr: float):
     return W2, vW2
 
 
-def nn_evaluate(df: DataFrame, W, cfg: NNConfig, n_parts: int | None = None, **_kw) -> float:
+def nn_evaluate(df: DataFrame, W, cfg: NNConfig) -> float:
     """Half mean squared error in test mode (dropout scaling, no noise)."""
-    s = _run(df, W, cfg, n_parts, training=False, step_seed=cfg.seed, want_grad=False, want_act=False)
+    s = _run(df, W, cfg, training=False, step_seed=cfg.seed, want_grad=False, want_act=False)
     return 0.5 * s["loss"] / s["n"] if s["n"] > 0 else float("nan")
 
 
-def nn_fit(samples: DataFrame, cfg: NNConfig, *, epochs: int = 1, batch_size: int | None = 100, validation: float = 0.0,
-           init_weights_: list | None = None, max_steps: int | None = None, eval_each_epoch: bool = True,
-           batch_layout: str = "auto") -> NNFit:
+def nn_fit(samples: DataFrame, cfg: NNConfig, *, epochs: int = 1, n_batches: int | None = None, batch_size: int | None = None,
+           validation: float = 0.0, init_weights_: list | None = None, eval_each_epoch: bool = True) -> NNFit:
     """Epoch x batch loop with momentum, L2, sparsity, noise, dropout, lr schedule.
 
-    ``batch_layout``: 'filter' (cached rows filtered per step), 'partitioned' (rows written
-    once per epoch by batch, each step reads its batch only) or 'auto' (by estimated size).
+    ``n_batches`` per epoch, or ``batch_size`` rows each (small tables), or one batch of all rows. Training and
+    validation rows are written once and read from there by every step and evaluation.
     """
-    from stackwise.plans.batches import EpochBatches, choose_layout
+    from stackwise.plans.batches import TrainingRows
 
     df = samples.select("row_id", "features", "label")
-    if validation > 0:
-        train, val = S.train_validation_split(df, validation, cfg.seed)
-    else:
-        train, val = df, None
-    m = train.count() if batch_size else 0
-    nb = S.num_batches(m, batch_size)
-    layout = choose_layout(batch_layout, m, cfg.sizes[0] + cfg.sizes[-1], nb)
-    train, cached = ensure_cached(train) if layout == "filter" else (train, False)
+    train, val = S.train_validation_split(df, validation, cfg.seed) if validation > 0 else (df, None)
     W = [np.asarray(w, dtype=float).copy() for w in (init_weights_ or init_weights(cfg.sizes, cfg.seed))]
     for l, w in enumerate(W):
         if w.shape != (cfg.sizes[l + 1], cfg.sizes[l] + 1):
@@ -266,67 +258,52 @@ def nn_fit(samples: DataFrame, cfg: NNConfig, *, epochs: int = 1, batch_size: in
     p = {l: np.zeros(cfg.sizes[l]) for l in range(1, cfg.n_layers - 1)}
     lr = cfg.learning_rate
     fit = NNFit(NNModel(cfg, W))
-    try:
-        n_parts = train.rdd.getNumPartitions()
-        path = None
-        steps = 0
+    with TrainingRows(train, S.batches_per_epoch(train, n_batches, batch_size), cfg.seed) as rows, \
+            (TrainingRows(val, 1, cfg.seed) if val is not None else nullcontext()) as held:
         for epoch in range(epochs):
-            eb = EpochBatches(train, nb, cfg.seed, epoch, layout, path=path, m=m, width=cfg.sizes[0] + cfg.sizes[-1])
-            path = getattr(eb, "path", None)
-            for bno in range(nb):
-                step_seed = derive_seed(cfg.seed, 300, epoch, bno)
-                g = nn_gradient(eb.get(bno), W, cfg, step_seed=step_seed, p=p,
-                                n_parts=n_parts if eb.partitions_known else None)
-                steps += 1
+            for bno in range(rows.nb):
+                g = nn_gradient(rows.batch(epoch, bno), W, cfg, step_seed=derive_seed(cfg.seed, 300, epoch, bno), p=p)
                 if g["n"] > 0:
                     if "p" in g:
                         p = g["p"]
                     W, vW = apply_grads(W, vW, g["grads"], cfg, lr)
                     fit.step_losses.append(g["loss"])
-                if max_steps is not None and steps >= max_steps:
-                    break
             if eval_each_epoch:
-                tr = nn_evaluate(train, W, cfg, n_parts)
-                va = nn_evaluate(val, W, cfg) if val is not None else 0.0
+                tr = nn_evaluate(rows.rows, W, cfg)
+                va = nn_evaluate(held.rows, W, cfg) if held is not None else 0.0
             else:
                 tr, va = float("nan"), float("nan")
             fit.history.append((epoch + 1, tr, va))
             lr = lr * cfg.scaling_learning_rate
-            if max_steps is not None and steps >= max_steps:
-                break
-        fit.model = NNModel(cfg, W)
-        fit.velocities = vW
-        return fit
-    finally:
-        if cached:
-            train.unpersist()
+    fit.model = NNModel(cfg, W)
+    fit.velocities = vW
+    return fit
 
 
 # --------------------------------------------------------------------------- projections
 
 def _layers_small(W) -> bool:
-    return all(np.asarray(w).size <= V.UNROLL_MAX for w in W)
+    return all(np.asarray(w).size <= V.EXPRESSION_MAX for w in W)
 
 
-def forward_columns(df: DataFrame, W, cfg: NNConfig, *, features: str = "features", keep_hidden: bool = False) -> DataFrame:
+def forward_columns(df: DataFrame, W, cfg: NNConfig, *, features: str = "features", keep_hidden: bool = False,
+                    method: str = "auto") -> DataFrame:
     """G1: layer by layer as columns a0..a{L-1} (hidden ones with the bias slot), test mode.
 
-    Each layer is unrolled arithmetic over the previous layer's column (code-generated,
-    one projection per layer, so no unit is computed twice).
+    Each layer reads the previous layer's column, so no unit is computed twice; see
+    :func:`stackwise.operators.layers.dense_layer` for ``method``.
     """
     L = cfg.n_layers
     cur = df.withColumn("a0", V.add_bias(F.col(features)))
     for l in range(1, L):
         w = np.asarray(W[l - 1], dtype=float)
-        prev = F.col(f"a{l - 1}")
         fname = cfg.activation if l < L - 1 else cfg.output
-        z = V.dense(V.drop_bias(prev), w[:, 1:], w[:, 0], fname) if w.size > V.UNROLL_MAX else \
-            F.array(*V.dense_units([prev[i] for i in range(1, w.shape[1])], w[:, 1:], w[:, 0], fname))
+        cur = dense_layer(cur.withColumn("_in", V.drop_bias(f"a{l - 1}")), "_in", w[:, 1:], w[:, 0], fname, f"a{l}", method=method).drop("_in")
         if l < L - 1:
+            z = F.col(f"a{l}")
             if cfg.dropout > 0:
                 z = F.transform(z, lambda x: x * F.lit(1.0 - cfg.dropout))
-            z = V.add_bias(z)
-        cur = cur.withColumn(f"a{l}", z)
+            cur = cur.withColumn(f"a{l}", V.add_bias(z))
     if not keep_hidden:
         cur = cur.drop(*[f"a{l}" for l in range(0, L - 1)])
     return cur
@@ -335,16 +312,17 @@ def forward_columns(df: DataFrame, W, cfg: NNConfig, *, features: str = "feature
 def predict_arrow(df: DataFrame, W, cfg: NNConfig, *, features: str = "features", label: str = "label") -> DataFrame:
     """G7 for wide layers: numpy forward per Arrow batch, appends predict_label and error."""
     ship_package(df.sparkSession)
-    P = _pass_params(W, cfg, training=False, step_seed=cfg.seed, want_grad=False, want_act=False)
+    sent = df.sparkSession.sparkContext.broadcast(_pass_params(W, cfg, training=False, step_seed=cfg.seed, want_grad=False, want_act=False))
     schema = T.StructType(df.schema.fields + [T.StructField("predict_label", T.ArrayType(T.DoubleType())),
                                               T.StructField("error", T.ArrayType(T.DoubleType()))])
     has_label = label in df.columns
 
     def run(batches):
+        P = sent.value
         for rb in batches:
             if rb.num_rows == 0:
                 continue
-            X = list_matrix(rb.column(features))
+            X = list_matrix(rb.column(features), cfg.sizes[0])
             a, _ = _forward(P, None, X, False)
             out = a[-1]
             err = list_matrix(rb.column(label)) - out if has_label else np.full_like(out, np.nan)
@@ -366,7 +344,7 @@ def nn_predict(df: DataFrame, W, cfg: NNConfig, *, features: str = "features", l
     """(label, features, predict_label, error), lazily.
 
     ``method``: 'expr' (code-generated projection, also for streams), 'arrow' (numpy per
-    Arrow batch, for wide layers) or 'auto' (expr while every layer has <= UNROLL_MAX weights).
+    Arrow batch, for wide layers) or 'auto' (expr while every layer has <= EXPRESSION_MAX weights).
     """
     L = cfg.n_layers
     extra = [c for c in keep if c in df.columns]
@@ -382,9 +360,3 @@ def nn_predict(df: DataFrame, W, cfg: NNConfig, *, features: str = "features", l
 def nn_loss(pred: DataFrame, width: int | None = None) -> DataFrame:
     """One row, loss = 0.5 * mean ||error||^2."""
     return pred.agg((F.lit(0.5) * F.avg(V.squared_norm("error", width))).alias("loss"))
-
-
-def weights_table(spark: SparkSession, W) -> DataFrame:
-    """Model table (layer, out, in, w); in = 0 is the bias."""
-    rows = [(l, j, i, float(w[j, i])) for l, w in enumerate(W) for j in range(w.shape[0]) for i in range(w.shape[1])]
-    return spark.createDataFrame(rows, "layer int, out int, `in` int, w double")

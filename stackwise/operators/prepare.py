@@ -17,7 +17,8 @@ from stackwise.functions import vectors as V
 
 
 def _c(col) -> Column:
-    return F.col(col) if isinstance(col, str) else col
+    """A column by its plain name, which may hold dots and other signs."""
+    return F.col("`" + col.replace("`", "``") + "`") if isinstance(col, str) else col
 
 
 # ----------------------------------------------------------------------------- B1
@@ -31,7 +32,7 @@ def blank_to_null(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame
     """B1: empty (or all-space) text cells become NULL, in one projection."""
     text = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
     todo = set(cols) if cols is not None else text
-    return df.select(*[blank_expr(c).alias(c) if c in todo else F.col(c) for c in df.columns])
+    return df.select(*[blank_expr(c).alias(c) if c in todo else _c(c) for c in df.columns])
 
 
 # ----------------------------------------------------------------------------- B2, B4, B11
@@ -78,13 +79,6 @@ def unmatched_values(df: DataFrame, col: str, values: Sequence[str]) -> DataFram
     return df.filter(c.isNotNull() & ~c.isin(list(values))).groupBy(col).agg(F.count(F.lit(1)).cast("long").alias("n"))
 
 
-def passthrough(col, values: Sequence[str]) -> Column:
-    """B4 as the reference does it: a known value becomes its comma-joined code, others stay."""
-    c = _c(col)
-    code = F.concat_ws(",", F.transform(V.one_hot_lit(c, values), lambda x: x.cast("int").cast("string")))
-    return F.when(c.isin(list(values)), code).otherwise(c)
-
-
 def impute_category_default(col, width: int, fill: float = 0.5) -> Column:
     """A missing category vector becomes ``fill`` in every slot."""
     return F.coalesce(_c(col), F.array_repeat(F.lit(float(fill)), int(width)))
@@ -131,7 +125,7 @@ def multi_hot_encode(df: DataFrame, col: str, width: int, out: str | None = None
 def profile_columns(df: DataFrame, roles: Mapping[str, str]) -> DataFrame:
     """(column, role, n_missing) for every column, from one aggregation."""
     cols = list(roles)
-    agg = df.agg(*[F.count_if(F.col(c).isNull()).cast("long").alias(f"m{i}") for i, c in enumerate(cols)])
+    agg = df.agg(*[F.count_if(_c(c).isNull()).cast("long").alias(f"m{i}") for i, c in enumerate(cols)])
     stack = ", ".join(f"'{c}', '{roles[c]}', m{i}" for i, c in enumerate(cols))
     return agg.selectExpr(f"stack({len(cols)}, {stack}) AS (column, role, n_missing)")
 
@@ -146,17 +140,17 @@ def select_features(df: DataFrame, target: str, features: Sequence[str], *, row_
     parts = []
     for c in features:
         dt = df.schema[c].dataType
-        parts.append(F.col(c).cast("array<double>") if isinstance(dt, T.ArrayType) else F.array(F.col(c).cast("double")))
+        parts.append(_c(c).cast("array<double>") if isinstance(dt, T.ArrayType) else F.array(_c(c).cast("double")))
     tdt = df.schema[target].dataType
-    label = F.col(target).cast("array<double>") if isinstance(tdt, T.ArrayType) else F.array(F.col(target).cast("double"))
-    sel = [F.col(row_id).cast("long").alias("row_id")] if row_id else []
+    label = _c(target).cast("array<double>") if isinstance(tdt, T.ArrayType) else F.array(_c(target).cast("double"))
+    sel = [_c(row_id).cast("long").alias("row_id")] if row_id else []
     return df.select(*sel, label.alias("label"), F.concat(*parts).alias("features"))
 
 
 def assemble_samples(df: DataFrame, row_id: str, label: Column, features: Sequence, *, check_width: bool = False) -> DataFrame:
     """(row_id, label, features). ``check_width`` runs one small job: all labels equal width."""
     feats = F.array(*[(_c(f)).cast("double") for f in features])
-    out = df.select(F.col(row_id).cast("long").alias("row_id"), label.cast("array<double>").alias("label"), feats.alias("features"))
+    out = df.select(_c(row_id).cast("long").alias("row_id"), label.cast("array<double>").alias("label"), feats.alias("features"))
     if check_width:
         lo, hi = out.agg(F.min(F.size("label")), F.max(F.size("label"))).first()
         if lo != hi:
@@ -173,7 +167,7 @@ def column_stats_row(df: DataFrame, cols: Sequence[str], *, zero_fill: bool = Fa
     """
     exprs = []
     for i, c in enumerate(cols):
-        x = F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if zero_fill else F.col(c).cast("double")
+        x = F.coalesce(_c(c).cast("double"), F.lit(0.0)) if zero_fill else _c(c).cast("double")
         exprs += [F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}"), F.avg(x).alias(f"av{i}")]
     r = df.agg(*exprs).first()
     return {c: (r[f"mn{i}"], r[f"mx{i}"], r[f"av{i}"]) for i, c in enumerate(cols)}
@@ -183,7 +177,7 @@ def column_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(column, min, max, mean) for all columns from a single aggregation."""
     exprs = []
     for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
+        x = _c(c).cast("double")
         exprs += [F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}"), F.avg(x).alias(f"av{i}")]
     stack = ", ".join(f"'{c}', mn{i}, mx{i}, av{i}" for i, c in enumerate(cols))
     return df.agg(*exprs).selectExpr(f"stack({len(cols)}, {stack}) AS (column, min, max, mean)")
@@ -205,13 +199,13 @@ def scale_expr(x: Column, mn: float | None, mx: float | None) -> Column:
 def impute_mean(df: DataFrame, cols: Sequence[str], stats: Mapping | None = None, *, zero_fill_stats: bool = False) -> DataFrame:
     """Missing numeric cell <- column mean (stats from one pass unless given)."""
     stats = stats or column_stats_row(df, cols, zero_fill=zero_fill_stats)
-    return df.select(*[impute_mean_expr(c, stats[c][2]).alias(c) if c in cols else F.col(c) for c in df.columns])
+    return df.select(*[impute_mean_expr(c, stats[c][2]).alias(c) if c in cols else _c(c) for c in df.columns])
 
 
 def min_max_scale(df: DataFrame, cols: Sequence[str], stats: Mapping | None = None) -> DataFrame:
     """(x - min) / (max - min) per column, like ``ml.feature.MinMaxScaler``."""
     stats = stats or column_stats_row(df, cols)
-    return df.select(*[scale_expr(F.col(c).cast("double"), stats[c][0], stats[c][1]).alias(c) if c in cols else F.col(c)
+    return df.select(*[scale_expr(_c(c).cast("double"), stats[c][0], stats[c][1]).alias(c) if c in cols else _c(c)
                        for c in df.columns])
 
 
@@ -232,7 +226,7 @@ def prepare_table(df: DataFrame, numeric: Sequence[str], *, one_hot_cols: Mappin
     for c in clean.columns:
         if c in numeric:
             mn, mx, av = stats[c]
-            x = F.col(c).cast("double")
+            x = _c(c).cast("double")
             if double_scale:
                 filled = F.coalesce(x, scale_expr(F.lit(av), mn, mx))
             else:
@@ -244,5 +238,5 @@ def prepare_table(df: DataFrame, numeric: Sequence[str], *, one_hot_cols: Mappin
             spec = dict(multi_hot_cols[c])
             out.append(multi_hot(c, missing_fill=missing_fill.get(c), **spec).alias(c))
         else:
-            out.append(F.col(c))
+            out.append(_c(c))
     return clean.select(*out), stats

@@ -11,14 +11,13 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stackwise.functions import vectors as V
 from stackwise.functions.activations import np_act
 from stackwise.functions.random import derive_seed, normal_np, uniform_np
 from stackwise.operators import sampling as S
-from stackwise.operators.step import ensure_cached, step_sums
+from stackwise.operators.step import step_sums
 
 SIGMA_FLOOR = 0.005
 
@@ -179,11 +178,10 @@ def _step_params(p: RBMParams, cfg: RBMConfig, step_seed: int, gaussian: bool) -
 
 # --------------------------------------------------------------------------- one step
 
-def cd_step_sums(batch: DataFrame, p: RBMParams, cfg: RBMConfig, step_seed: int, gaussian: bool,
-                 n_parts: int | None = None) -> dict:
+def cd_step_sums(batch: DataFrame, p: RBMParams, cfg: RBMConfig, step_seed: int, gaussian: bool) -> dict:
     """One distributed pass; returns sums (not yet means)."""
     fn = gaussian_cd_rows if gaussian else binary_cd_rows
-    return step_sums(batch, fn, _step_params(p, cfg, step_seed, gaussian), _shapes(p, gaussian), label=None, n_parts=n_parts)
+    return step_sums(batch, fn, _step_params(p, cfg, step_seed, gaussian), _shapes(p, gaussian), label=None)
 
 
 def apply_cd_update(p: RBMParams, sums: dict, cfg: RBMConfig, gaussian: bool) -> tuple[RBMParams, float | None]:
@@ -208,61 +206,40 @@ def apply_cd_update(p: RBMParams, sums: dict, cfg: RBMConfig, gaussian: bool) ->
     return q, sums["err"] / n
 
 
-def _fit(samples: DataFrame, p: RBMParams, cfg: RBMConfig, epochs: int, batch_size: int | None,
-         gaussian: bool, max_steps: int | None = None, features: str = "features",
-         batch_layout: str = "auto") -> FitResult:
-    """Epoch x batch loop (F4, F7). ``max_steps`` stops early (unrolled checks)."""
-    from stackwise.plans.batches import EpochBatches, choose_layout
+def _fit(samples: DataFrame, p: RBMParams, cfg: RBMConfig, epochs: int, n_batches: int | None, batch_size: int | None,
+         gaussian: bool, features: str = "features") -> FitResult:
+    """Epoch x batch loop."""
+    from stackwise.plans.batches import TrainingRows
 
     df = samples.select("row_id", F.col(features).alias("features"))
-    m = df.count() if batch_size else 0
-    nb = S.num_batches(m, batch_size)
-    layout = choose_layout(batch_layout, m, p.n_visible, nb)
-    # the filter layout re-reads the rows every step: keep them cached; the partitioned one
-    # reads the source once per epoch and needs no cache
-    df, cached = ensure_cached(df) if layout == "filter" else (df, False)
-    try:
-        n_parts = df.rdd.getNumPartitions()
-        path = None
-        history = []
-        steps = 0
+    history = []
+    with TrainingRows(df, S.batches_per_epoch(df, n_batches, batch_size), cfg.seed) as rows:
         for epoch in range(epochs):
             errs = []
-            eb = EpochBatches(df, nb, cfg.seed, epoch, layout, path=path, m=m, width=p.n_visible)
-            path = getattr(eb, "path", None)
-            for bno in range(nb):
-                step_seed = derive_seed(cfg.seed, 100, epoch, bno)
-                sums = cd_step_sums(eb.get(bno), p, cfg, step_seed, gaussian, n_parts if eb.partitions_known else None)
+            for bno in range(rows.nb):
+                sums = cd_step_sums(rows.batch(epoch, bno), p, cfg, derive_seed(cfg.seed, 100, epoch, bno), gaussian)
                 p, err = apply_cd_update(p, sums, cfg, gaussian)
                 if err is not None:
                     errs.append(err)
-                steps += 1
-                if max_steps is not None and steps >= max_steps:
-                    break
             history.append((epoch + 1, float(np.mean(errs)) if errs else float("nan")))
-            if max_steps is not None and steps >= max_steps:
-                break
-        return FitResult(p, history)
-    finally:
-        if cached:
-            df.unpersist()
+    return FitResult(p, history)
 
 
-def rbm_fit(samples: DataFrame, n_hidden: int | None = None, *, epochs: int = 1, batch_size: int | None = 100,
-            momentum: float = 0.0, alpha: float = 0.2, k: int = 1, seed: int = 0, init: RBMParams | None = None,
-            max_steps: int | None = None, features: str = "features", batch_layout: str = "auto") -> FitResult:
-    """binary RBM trained by mini-batch CD-k with momentum."""
+def rbm_fit(samples: DataFrame, n_hidden: int | None = None, *, epochs: int = 1, n_batches: int | None = None,
+            batch_size: int | None = None, momentum: float = 0.0, alpha: float = 0.2, k: int = 1, seed: int = 0,
+            init: RBMParams | None = None, features: str = "features") -> FitResult:
+    """binary RBM trained by mini-batch CD-k with momentum; ``n_batches`` per epoch, or ``batch_size`` rows each."""
     if init is None:
         n_vis = len(samples.select(features).first()[0])
         init = init_params(n_vis, n_hidden, seed)
     cfg = RBMConfig(momentum=momentum, alpha=alpha, k=k, seed=seed)
-    return _fit(samples, init.copy(), cfg, epochs, batch_size, False, max_steps, features, batch_layout)
+    return _fit(samples, init.copy(), cfg, epochs, n_batches, batch_size, False, features)
 
 
-def gaussian_rbm_fit(samples: DataFrame, n_hidden: int | None = None, *, epochs: int = 1, batch_size: int | None = 100,
-                     momentum: float = 0.0, alpha: float = 0.2, k: int = 1, seed: int = 0, noise: str = "normal",
-                     init: RBMParams | None = None, max_steps: int | None = None, features: str = "features",
-                     batch_layout: str = "auto", sigma_rate: float = 1.0) -> FitResult:
+def gaussian_rbm_fit(samples: DataFrame, n_hidden: int | None = None, *, epochs: int = 1, n_batches: int | None = None,
+                     batch_size: int | None = None, momentum: float = 0.0, alpha: float = 0.2, k: int = 1, seed: int = 0,
+                     noise: str = "normal", init: RBMParams | None = None, features: str = "features",
+                     sigma_rate: float = 1.0) -> FitResult:
     """Gaussian-visible RBM with learned per-unit sigma (F5 + F6 each step).
 
     The 1/sigma velocity takes the mean sigma gradient unscaled, as the reference does;
@@ -278,7 +255,7 @@ def gaussian_rbm_fit(samples: DataFrame, n_hidden: int | None = None, *, epochs:
         init.sigma = np.ones(init.n_visible)
         init.v_inv_sigma = np.zeros(init.n_visible)
     cfg = RBMConfig(momentum=momentum, alpha=alpha, k=k, seed=seed, noise=noise, sigma_rate=sigma_rate)
-    return _fit(samples, init.copy(), cfg, epochs, batch_size, True, max_steps, features, batch_layout)
+    return _fit(samples, init.copy(), cfg, epochs, n_batches, batch_size, True, features)
 
 
 def rbm_fit_full_batch(samples: DataFrame, init: RBMParams | None = None, *, n_hidden: int = 5, epochs: int = 200,
@@ -288,18 +265,19 @@ def rbm_fit_full_batch(samples: DataFrame, init: RBMParams | None = None, *, n_h
     Defaults as in the reference run: 5 hidden units, alpha 0.02, momentum 0.1, W and b
     drawn from N(0, 0.01), c = 0.
     """
-    df, cached = ensure_cached(samples.select("row_id", F.col(features).alias("features")))
+    from stackwise.plans.batches import TrainingRows
+
+    df = samples.select("row_id", F.col(features).alias("features"))
     if init is None:
         n_vis = len(df.first()["features"])
         rng = np.random.default_rng(seed)
         init = RBMParams(W=rng.normal(0.0, 0.01, (n_hidden, n_vis)), b=rng.normal(0.0, 0.01, n_vis), c=np.zeros(n_hidden))
     p = init.copy()
     history = []
-    try:
-        n_parts = df.rdd.getNumPartitions()
+    with TrainingRows(df, 1, seed) as rows:
         for epoch in range(epochs):
             P = {"W": p.W, "b": p.b, "c": p.c, "alpha": np.array(alpha), "seed": np.array(derive_seed(seed, 200, epoch))}
-            sums = step_sums(df, full_batch_binary_rows, P, _shapes(p, False), label=None, n_parts=n_parts)
+            sums = step_sums(rows.rows, full_batch_binary_rows, P, _shapes(p, False), label=None)
             n = sums["n"]
             if n <= 0:
                 break
@@ -310,10 +288,7 @@ def rbm_fit_full_batch(samples: DataFrame, init: RBMParams | None = None, *, n_h
             q.W, q.b, q.c = p.W + q.vW, p.b + q.vb, p.c + q.vc
             p = q
             history.append((epoch + 1, float(sums["err"])))
-        return FitResult(p, history)
-    finally:
-        if cached:
-            df.unpersist()
+    return FitResult(p, history)
 
 
 # --------------------------------------------------------------------------- projections
@@ -327,31 +302,11 @@ def rbm_hidden(df: DataFrame, p: RBMParams, col: str = "features", out: str = "h
     return dense_layer(df, col, p.W, p.c, "sigm", out, scale=scale, method=method)
 
 
-def rbm_reconstruct(df: DataFrame, p: RBMParams, col: str = "features", out: str = "reconstruction") -> DataFrame:
+def rbm_reconstruct(df: DataFrame, p: RBMParams, col: str = "features", out: str = "reconstruction", method: str = "auto") -> DataFrame:
     """mean-field reconstruction; Gaussian units give (h W) * sigma + b, binary sigm(h W + b)."""
+    from stackwise.operators.layers import dense_layer
+
+    h = dense_layer(df, col, p.W, p.c, "sigm", "_h", scale=p.sigma, method=method)
     if p.sigma is None:
-        h = df.withColumn("_h", V.dense(col, p.W, p.c, "sigm"))
-        return h.withColumn(out, V.dense("_h", p.W.T, p.b, "sigm")).drop("_h")
-    h = df.withColumn("_h", V.dense(col, p.W, p.c, "sigm", scale=p.sigma))
-    if p.W.size > V.UNROLL_MAX:
-        lin = V.dense("_h", p.W.T, np.zeros(p.n_visible), "linear")
-        rec = F.zip_with(lin, F.zip_with(V.array_lit(p.sigma), V.array_lit(p.b), lambda s, b: F.struct(s.alias("s"), b.alias("b"))),
-                         lambda x, sb: x * sb["s"] + sb["b"])
-    else:
-        hs = [F.col("_h")[j] for j in range(p.n_hidden)]
-        lin = V.dense_units(hs, p.W.T, None, "linear")
-        rec = F.array(*[z * F.lit(float(s)) + F.lit(float(b)) for z, s, b in zip(lin, p.sigma, p.b)])
-    return h.withColumn(out, rec).drop("_h")
-
-
-def params_table(spark: SparkSession, p: RBMParams, layer: int = 0) -> DataFrame:
-    """Long form (layer, param, out, in, value); biases and sigma use in = -1."""
-    rows = []
-    for j in range(p.n_hidden):
-        for i in range(p.n_visible):
-            rows.append((layer, "W", j, i, float(p.W[j, i])))
-    rows += [(layer, "b", i, -1, float(v)) for i, v in enumerate(p.b)]
-    rows += [(layer, "c", j, -1, float(v)) for j, v in enumerate(p.c)]
-    if p.sigma is not None:
-        rows += [(layer, "sigma", i, -1, float(v)) for i, v in enumerate(p.sigma)]
-    return spark.createDataFrame(rows, "layer int, param string, out int, `in` int, value double")
+        return dense_layer(h, "_h", p.W.T, p.b, "sigm", out, method=method).drop("_h")
+    return dense_layer(h, "_h", p.sigma[:, None] * p.W.T, p.b, "linear", out, method=method).drop("_h")

@@ -40,12 +40,24 @@ def num_batches(m: int, batch_size: int | None) -> int:
     return max(1, int(m) // int(batch_size))
 
 
+def batches_per_epoch(df: DataFrame, n_batches: int | None = None, batch_size: int | None = None) -> int:
+    """``n_batches``, which keeps the number of jobs apart from the number of rows; or as many
+    batches of ``batch_size`` rows as the table holds, a choice for small tables; or one."""
+    if n_batches is not None and batch_size is not None:
+        raise ValueError("give n_batches or batch_size, not both")
+    if n_batches is not None:
+        if n_batches < 1:
+            raise ValueError("n_batches must be at least 1")
+        return int(n_batches)
+    return num_batches(df.count(), batch_size) if batch_size else 1
+
+
 def batch_id(row_id="row_id", n_batches: int = 1, seed: int = 0, epoch: int = 0) -> Column:
     """Batch of each row in an epoch; the batches of an epoch partition the rows (Q17)."""
     if n_batches <= 1:
-        return F.lit(0)
+        return F.lit(0).cast("long")
     u = uniform_col(_c(row_id), 0, derive_seed(seed, BATCH, epoch))
-    return F.least(F.floor(u * F.lit(float(n_batches))).cast("int"), F.lit(n_batches - 1))
+    return F.least(F.floor(u * F.lit(float(n_batches))), F.lit(n_batches - 1).cast("long"))
 
 
 def mini_batches(df: DataFrame, n_batches: int, seed: int = 0, epoch: int = 0, row_id: str = "row_id") -> DataFrame:

@@ -6,48 +6,46 @@ and emits one small row per partition and named quantity; the partials are then
 (see below). The driver receives only parameter-sized sums.
 
 * One Spark job per training step; n, errors and every gradient travel together.
-* No row ever leaves its task. When partitions x parameters is small (a checked bound,
-  32 MiB) the partials are added on the driver; above it they are summed by a two-level
-  tree (like ``treeAggregate``, but as DataFrame shuffles of chunked parameter rows), so
-  the driver only ever receives one parameter set and no group holds more than about
-  sqrt(partitions) rows.
-* Parameters go to the tasks inside the function closure while they are small and through
-  a broadcast variable (released after the step) when they are not.
+* No row ever leaves its task. The partials are summed by two shuffles of chunked parameter
+  rows, so the driver receives one parameter set, whatever the input.
+* Parameters go to the tasks as a broadcast variable, released after the step.
 * ``fn`` must be a pure function of the rows and parameters (draws are seeded per row), so
   a retried or speculative task produces the same partial sums.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Mapping
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stackwise.session import ship_package
 
-BROADCAST_BYTES = 1 << 20  # ship parameters above 1 MiB with a broadcast variable
-DIRECT_MAX_VALUES = 1 << 22  # partitions x parameters up to 4 Mi doubles (32 MiB) go straight to the driver
+FAN = 64  # tasks that share the partials of one chunk
 
 RowFn = Callable[[Mapping[str, np.ndarray], np.ndarray | None, np.ndarray | None, np.ndarray | None], Mapping[str, np.ndarray]]
 
 
-def list_matrix(arr: pa.Array) -> np.ndarray:
-    """Arrow list<double> column -> 2-D numpy matrix (all rows must have the same width)."""
+def list_matrix(arr: pa.Array, width: int | None = None) -> np.ndarray:
+    """Arrow list<double> column -> 2-D numpy matrix; raises on NULL and on rows of another width."""
     if isinstance(arr, pa.ChunkedArray):
         arr = arr.combine_chunks()
     n = len(arr)
     if arr.null_count:
         raise ValueError("vector column holds NULL rows")
+    if arr.flatten().null_count:
+        raise ValueError("vector column holds NULL values")
     flat = arr.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     if n == 0:
         return flat.reshape(0, 0)
     if flat.size % n:
         raise ValueError("vector column has rows of different widths")
+    if width is not None and flat.size != n * width:
+        raise ValueError(f"vector column must hold {width} numbers in every row")
     width = flat.size // n
     lengths = np.diff(arr.offsets.to_numpy())
     if (lengths != width).any():
@@ -64,13 +62,11 @@ def step_sums(
     row_id: str | None = "row_id",
     features: str = "features",
     label: str | None = "label",
-    n_parts: int | None = None,
 ) -> dict[str, np.ndarray]:
     """Sum ``fn(params, ids, X, Y)`` over all rows of ``df``.
 
     ``shapes`` names every quantity ``fn`` returns with its shape; quantities absent from the
-    result (empty input) come back as zeros, including ``n``. ``n_parts`` is the partition
-    count of ``df`` when the caller knows it (a filter of a cached table keeps its count).
+    result (empty input) come back as zeros, including ``n``.
     """
     have = df.columns
     cols = [c for c in (row_id, features, label) if c is not None and c in have]
@@ -80,26 +76,14 @@ def step_sums(
     spark = df.sparkSession
     ship_package(spark)
 
-    nbytes = sum(np.asarray(v).nbytes for v in params.values())
-    bc = None
-    if nbytes > BROADCAST_BYTES:
-        bc = spark.sparkContext.broadcast(dict(params))
-
-        def get_params():
-            return bc.value
-    else:
-        frozen = {k: np.asarray(v) for k, v in params.items()}
-
-        def get_params():
-            return frozen
-
+    bc = spark.sparkContext.broadcast({k: np.asarray(v) for k, v in params.items()})
     names = list(shapes)
     chunk = CHUNK  # read once: the tasks and the driver must agree on it
     has_id = row_id is not None and row_id in cols
     has_label = label is not None and label in cols
 
     def run(batches):
-        p = get_params()
+        p = bc.value
         acc: dict[str, np.ndarray] = {}
         for rb in batches:
             if rb.num_rows == 0:
@@ -117,15 +101,11 @@ def step_sums(
 
     partial = sub.mapInArrow(run, PARTIAL_SCHEMA)
     result = {k: np.zeros(int(np.prod(s)) if len(s) else 1, dtype=np.float64) for k, s in shapes.items()}
-    n_values = sum(v.size for v in result.values())
-    if n_parts is None:
-        n_parts = sub.rdd.getNumPartitions()
-    for r in _reduce_partials(partial, n_parts, n_values, chunk):
+    for r in _reduce_partials(partial):
         start = r["chunk"] * chunk
         vals = np.asarray(r["vals"], dtype=np.float64)
         result[r["name"]][start:start + vals.size] += vals
-    if bc is not None:
-        bc.unpersist()
+    bc.destroy()
     return {k: (v.reshape(shapes[k]) if len(shapes[k]) else float(v[0])) for k, v in result.items()}
 
 
@@ -167,26 +147,12 @@ def _sum_partials(batches):
              pa.array([acc[k] for k in keys], type=pa.list_(pa.float64()))], names=["name", "chunk", "vals"])
 
 
-def _reduce_partials(partial: DataFrame, n_parts: int, n_values: int, chunk: int):
-    """Rows (name, chunk, vals) whose sum per (name, chunk) is the total.
+def _reduce_partials(partial: DataFrame):
+    """Rows (name, chunk, vals) whose sum per (name, chunk) is the total, a few per (name, chunk).
 
-    * partitions x parameters <= DIRECT_MAX_VALUES: the partials themselves (bounded payload);
-    * otherwise a two-level tree: a round-robin shuffle into ~sqrt(partitions) tasks that sum
-      their share, then (if still above the bound) a shuffle by (name, chunk) whose groups
-      hold only ~sqrt(partitions) rows each. The driver receives one parameter set.
+    Partials are dealt by (name, chunk, salt) and summed in a stream, then by (name, chunk). Adaptive
+    execution merges the shuffle partitions of small steps into one task.
     """
-    if n_parts * n_values <= DIRECT_MAX_VALUES:
-        return partial.collect()
-    k = max(1, int(math.ceil(math.sqrt(n_parts))))
-    level1 = partial.repartition(k).mapInArrow(_sum_partials, PARTIAL_SCHEMA)
-    if k * n_values <= DIRECT_MAX_VALUES:
-        return level1.collect()
-    n_chunks = max(1, -(-n_values // chunk))
-    return level1.repartition(n_chunks, "name", "chunk").mapInArrow(_sum_partials, PARTIAL_SCHEMA).toLocalIterator()
-
-
-def ensure_cached(df: DataFrame) -> tuple[DataFrame, bool]:
-    """Persist ``df`` (memory, spilling to disk) unless it already is; return (df, we_cached)."""
-    if df.storageLevel != StorageLevel.NONE:
-        return df, False
-    return df.persist(StorageLevel.MEMORY_AND_DISK), True
+    salted = partial.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(FAN)))
+    level1 = salted.repartition("name", "chunk", "salt").drop("salt").mapInArrow(_sum_partials, PARTIAL_SCHEMA)
+    return level1.repartition("name", "chunk").mapInArrow(_sum_partials, PARTIAL_SCHEMA).toLocalIterator()

@@ -1,75 +1,62 @@
-"""Per-epoch batch layout for large inputs.
-
-With the default ``filter`` layout a step filters the cached samples by batch number, so
-an epoch scans the samples once per batch; right for data that fits the cache. For large
-inputs the ``partitioned`` layout writes the epoch's rows once to the shared checkpoint
-folder, hash-partitioned by batch number and salted so a batch spreads over several
-files/tasks (no batch is ever funnelled into one task); each step then reads only its
-own batch directory (partition pruning), so an epoch costs one write plus one read of the
-data. The written epoch also cuts the lineage: a lost executor re-reads files instead of
-recomputing the input.
+"""The rows of a training run, dealt once, and the batches of its epochs.
+
+A run writes its rows once to the shared checkpoint folder. With more than one batch per
+epoch they go into ``BUCKETS_PER_BATCH`` buckets per batch, one folder each, by a seeded draw on the row id.
+An epoch orders the buckets by fresh draws and every consecutive group of them is a batch, so the
+batches of an epoch partition the rows, a step reads its own buckets only (partition pruning), and no
+epoch rewrites anything. The number of folders and of jobs depends on the number of batches, never on the
+number of rows. The written rows also cut the lineage: a lost executor re-reads files.
 """
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from stackwise.functions.random import derive_seed, uniform_col
+from stackwise.functions.random import derive_seed, uniform_col, uniform_np
 from stackwise.operators import sampling as S
-from stackwise.session import scratch_path
-
-PARTITIONED_MIN_BYTES = 256 << 20  # above this estimated size 'auto' writes the batch layout
-TARGET_FILE_BYTES = 128 << 20
-
+from stackwise.session import release, scratch_path
 
-def estimated_bytes(m: int, width: int) -> int:
-    return int(m) * (int(width) + 2) * 8
+BUCKETS_PER_BATCH = 8
 
 
-def choose_layout(layout: str, m: int, width: int, nb: int) -> str:
-    if layout not in ("auto", "filter", "partitioned"):
-        raise ValueError("batch_layout must be auto, filter or partitioned")
-    if layout != "auto":
-        return layout
-    return "partitioned" if nb > 1 and estimated_bytes(m, width) > PARTITIONED_MIN_BYTES else "filter"
+def bucket_order(nb: int, seed: int, epoch: int) -> list[list[int]]:
+    """The buckets of every batch of an epoch."""
+    n = nb * BUCKETS_PER_BATCH
+    draws = uniform_np(np.arange(n), 1, derive_seed(seed, S.BATCH, epoch))[:, 0]
+    order = sorted(range(n), key=lambda k: (draws[k], k))
+    return [order[b * BUCKETS_PER_BATCH:(b + 1) * BUCKETS_PER_BATCH] for b in range(nb)]
 
 
-class EpochBatches:
-    """Batches of one epoch: ``get(b)`` returns the rows of batch b as a DataFrame.
+class TrainingRows:
+    """``rows`` is the written table; ``batch(epoch, b)`` the rows of one batch. Use as a context: the files go at its end."""
 
-    ``path`` (partitioned layout) is one scratch location per training run, overwritten by
-    every epoch, so the shared folder holds one epoch of rows at a time.
-    """
-
-    def __init__(self, df: DataFrame, nb: int, seed: int, epoch: int, layout: str, *, path: str | None = None,
-                 m: int = 0, width: int = 1, row_id: str = "row_id"):
-        self.nb = nb
-        self.layout = layout
-        bcol = S.batch_id(row_id, nb, seed, epoch)
-        if nb <= 1:
-            self._df = df
-        elif layout == "filter":
-            self._df = df.withColumn("batch_id", bcol)
+    def __init__(self, df: DataFrame, nb: int, seed: int, row_id: str = "row_id"):
+        self.nb, self.seed = max(1, int(nb)), seed
+        self._spark = df.sparkSession
+        self._path = scratch_path(self._spark, "training-rows")
+        if self.nb == 1:
+            df.write.parquet(self._path)
         else:
-            spark = df.sparkSession
-            per_batch = estimated_bytes(m, width) / max(nb, 1)
-            salts = max(1, math.ceil(per_batch / TARGET_FILE_BYTES))
-            salt = F.floor(uniform_col(F.col(row_id), 1, derive_seed(seed, S.BATCH, epoch, 1)) * salts).cast("int")
-            self.path = path or scratch_path(spark, "batches")
-            staged = df.withColumn("batch_id", bcol).withColumn("_salt", salt)
-            (staged.repartition("batch_id", "_salt").drop("_salt")
-                   .write.mode("overwrite").partitionBy("batch_id").parquet(self.path))
-            self._df = spark.read.parquet(self.path)
-
-    @property
-    def partitions_known(self) -> bool:
-        return self.layout != "partitioned" or self.nb <= 1
-
-    def get(self, b: int) -> DataFrame:
-        if self.nb <= 1:
-            return self._df
-        # the batch_id column stays; the step selects only the columns it reads
-        return self._df.filter(F.col("batch_id") == F.lit(b))
+            n = self.nb * BUCKETS_PER_BATCH
+            draw = uniform_col(F.col(row_id), 0, derive_seed(seed, S.BATCH))
+            dealt = df.withColumn("_bucket", F.least(F.floor(draw * F.lit(float(n))), F.lit(n - 1)).cast("int"))
+            # a bucket's rows spread over several tasks where the session asks for more tasks than buckets
+            tasks = int(self._spark.conf.get("spark.sql.shuffle.partitions"))
+            salt = F.pmod(F.xxhash64(row_id), F.lit(max(1, -(-tasks // n))))
+            dealt.repartition(max(n, tasks), "_bucket", salt).write.partitionBy("_bucket").parquet(self._path)
+        schema = T.StructType([*df.schema.fields, *([T.StructField("_bucket", T.IntegerType())] if self.nb > 1 else [])])
+        self.rows = self._spark.read.schema(schema).parquet(self._path)
+
+    def batch(self, epoch: int, b: int) -> DataFrame:
+        if self.nb == 1:
+            return self.rows
+        return self.rows.filter(F.col("_bucket").isin(*bucket_order(self.nb, self.seed, epoch)[b]))
+
+    def __enter__(self) -> TrainingRows:
+        return self
+
+    def __exit__(self, *_exc) -> None:
+        release(self._spark, self._path)

@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stackwise import roles
 from stackwise.functions import activations as A
 from stackwise.functions import vectors as V
 from stackwise.operators import aggregates as E
@@ -20,9 +21,11 @@ from stackwise.operators import nn as N
 from stackwise.operators import prepare as P
 from stackwise.operators import rbm as R
 from stackwise.operators import sampling as S
+from stackwise.operators.layers import dense_layer
 from stackwise.operators.pca import pca_project
 from stackwise.plans import fixtures as FX
 from stackwise.plans import inputs as I
+from stackwise.plans import wells
 from stackwise.session import scratch_path
 from stackwise.sources import tables as T
 
@@ -121,12 +124,12 @@ def q_parse_numeric_rows(spark, sf):
 
 
 def q_write_clean_table(spark, sf):
-    li = I.lineitem_samples(spark, sf)
-    path = scratch_path(spark, "clean-li-text")
-    T.write_clean_table(li, path, vector_cols=["label", "features"])
-    header = "label features"
-    lines = spark.read.text(path).filter(F.col("value") != F.lit(header))
-    return lines.groupBy(F.size(F.split("value", " ")).alias("n_fields")).agg(F.count(F.lit(1)).cast("long").alias("n_rows"))
+    ev = I.event_samples(spark, sf)
+    holes = ev.select("row_id", F.transform("features", lambda x, i: F.when((F.col("row_id") + i) % 5 != 0, x)).alias("features"))
+    path = scratch_path(spark, "clean-events-text")
+    T.write_clean_table(holes, path, vector_cols=["features"])
+    back = T.read_clean_table(spark, path, vector_cols=["features"], numeric_cols=["row_id"])
+    return back.select(F.col("row_id").cast("long").alias("row_id"), F.size("features").alias("width"), *(F.col("features")[i].alias(f"x{i}") for i in range(3)))
 
 
 def q_training_history(spark, sf):
@@ -159,19 +162,14 @@ def _blank_orders(spark, sf):
 
 
 def q_blank_to_null(spark, sf):
-    df = P.blank_to_null(_blank_orders(spark, sf))
-    return df.agg(F.count_if(F.col("o_orderstatus").isNull()).cast("long").alias("null_status"),
-                  F.count_if(F.col("o_orderpriority").isNull()).cast("long").alias("null_priority"),
-                  F.count(F.lit(1)).cast("long").alias("n"))
+    return P.blank_to_null(_blank_orders(spark, sf))
 
 
 def q_one_hot_encode(spark, sf):
-    li = I.table(spark, sf, "lineitem")
-    df = li.select(P.one_hot("l_returnflag", I.RETURNFLAGS).alias("rf"), P.one_hot("l_linestatus", I.LINESTATUS).alias("ls"))
-    exprs = [F.sum(F.col("rf")[i]).alias(f"r{i}") for i in range(3)] + [F.sum(F.col("ls")[i]).alias(f"s{i}") for i in range(2)]
-    rows = [f"'l_returnflag', {i}, r{i}" for i in range(3)] + [f"'l_linestatus', {i}, s{i}" for i in range(2)]
-    one = df.agg(*exprs).selectExpr(f"stack(5, {', '.join(rows)}) AS (name, unit, v)")
-    return one.select("name", F.col("unit").cast("int").alias("unit"), r4(F.col("v")))
+    """Keyed rows; two of the five priorities are outside the dictionary."""
+    o = I.table(spark, sf, "orders")
+    df = o.select("o_orderkey", P.one_hot("o_orderpriority", ["1-URGENT", "2-HIGH", "3-MEDIUM"]).alias("v"))
+    return df.select("o_orderkey", *(F.col("v")[i].alias(f"v{i}") for i in range(3)))
 
 
 # keyword rules and a small exact-phrase dictionary for part names (query fixture)
@@ -234,21 +232,20 @@ def q_column_stats(spark, sf):
                      round6("mean").alias("mean"))
 
 
+def _order_numbers(spark, sf):
+    o = I.table(spark, sf, "orders")
+    return o.select("o_orderkey", F.expr("CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END").alias("price"),
+                    F.col("o_custkey").cast("double").alias("cust"))
+
+
 def q_impute_mean(spark, sf):
-    df = P.impute_mean(_li_numeric(spark, sf), LI_NUM)
-    return df.agg(F.count(F.lit(1)).cast("long").alias("n"), F.count_if(F.col("l_discount").isNull()).cast("long").alias("n_null"),
-                  round6(F.avg("l_discount")).alias("mean_discount"),
-                  round4(F.sum("l_discount")).alias("sum_discount"))
+    df = P.impute_mean(_order_numbers(spark, sf), ["price", "cust"])
+    return df.select("o_orderkey", round4("price").alias("price"), round4("cust").alias("cust"))
 
 
 def q_min_max_scale(spark, sf):
-    df = P.min_max_scale(_li_numeric(spark, sf), LI_NUM)
-    exprs = []
-    for i, c in enumerate(LI_NUM):
-        exprs += [F.min(c).alias(f"mn{i}"), F.max(c).alias(f"mx{i}"), F.avg(c).alias(f"av{i}")]
-    st = ", ".join(f"'{c}', mn{i}, mx{i}, av{i}" for i, c in enumerate(LI_NUM))
-    return df.agg(*exprs).selectExpr(f"stack(4, {st}) AS (column, mn, mx, av)").select(
-        "column", round6("mn").alias("min"), round6("mx").alias("max"), round6("av").alias("mean"))
+    df = P.min_max_scale(_order_numbers(spark, sf), ["price", "cust"])
+    return df.select("o_orderkey", round6("price").alias("price"), round6("cust").alias("cust"))
 
 
 def q_impute_category_default(spark, sf):
@@ -283,37 +280,42 @@ def q_train_validation_split(spark, sf):
 
 def q_mini_batches(spark, sf):
     ev = S.mini_batches(I.event_samples(spark, sf), 10, SEED, 0)
-    return ev.groupBy(F.col("batch_id").cast("int").alias("batch_id")).agg(
+    return ev.groupBy("batch_id").agg(
         F.count(F.lit(1)).cast("long").alias("n"), F.sum("row_id").cast("long").alias("key_sum"))
 
 
+def _slots(df, cols, width=3):
+    """Keyed rows: the vectors' slots as columns of their own, exact for 0/1 vectors and rounded else."""
+    return df.select("row_id", *(round6(F.col(c)[i]).alias(f"{c}{i}") for c in cols for i in range(width)))
+
+
 def q_mask_noise(spark, sf):
     ev = I.event_samples(spark, sf)
-    return vec_means(ev.select(S.mask_noise("features", 0.3, SEED, width=3).alias("x")), "x", 3)
+    return _slots(ev.select("row_id", S.mask_noise("features", 0.3, SEED, width=3).alias("x")), ["x"])
 
 
 def q_dropout_mask(spark, sf):
     ev = I.event_samples(spark, sf)
-    df = ev.select(S.dropout_mask("features", 0.4, SEED, width=3).alias("mask"),
+    df = ev.select("row_id", S.dropout_mask("features", 0.4, SEED, width=3).alias("mask"),
                    S.apply_dropout("features", 0.4, SEED, width=3).alias("train"),
                    S.apply_dropout("features", 0.4, SEED, testing=True, width=3).alias("test"))
-    return multi_vec_means(df, [("mask", 3, "mask"), ("train", 3, "train"), ("test", 3, "test")])
+    return _slots(df, ["mask", "train", "test"])
 
 
 def q_sample_states(spark, sf):
     ev = I.event_samples(spark, sf)
-    return vec_means(ev.select(S.sample_states("features", SEED, width=3).alias("x")), "x", 3)
+    return _slots(ev.select("row_id", S.sample_states("features", SEED, width=3).alias("x")), ["x"])
 
 
 def q_sigmoid_sample(spark, sf):
     ev = I.event_samples(spark, sf)
     shifted = V.map_slots("features", lambda x, i: x * 4.0 - 2.0, 3)
-    return vec_means(ev.select(S.sigmoid_sample(shifted, SEED, width=3).alias("x")), "x", 3)
+    return _slots(ev.select("row_id", S.sigmoid_sample(shifted, SEED, width=3).alias("x")), ["x"])
 
 
 def q_sigmoid_additive_noise(spark, sf):
     ev = I.event_samples(spark, sf)
-    return vec_means(ev.select(S.sigmoid_additive_noise("features", SEED, width=3).alias("x")), "x", 3)
+    return _slots(ev.select("row_id", S.sigmoid_additive_noise("features", SEED, width=3).alias("x")), ["x"])
 
 
 # ============================================================================ D, E: vectors and aggregates
@@ -332,9 +334,9 @@ def q_activation_gradient(spark, sf):
 
 
 def q_dense_layer(spark, sf):
-    W, c, _ = FX.li_layer()
-    li = I.lineitem_samples(spark, sf)
-    return vec_means(li.select(V.dense("features", W, c, "sigm").alias("h")), "h", 3)
+    W, c = FX.order_layer()
+    h = I.order_samples(spark, sf).select("row_id", V.dense("features", W, c, "sigm").alias("h"))
+    return _slots(h, ["h"])
 
 
 def q_add_bias(spark, sf):
@@ -344,9 +346,27 @@ def q_add_bias(spark, sf):
 
 
 def q_pca_project(spark, sf):
-    li = I.lineitem_samples(spark, sf)
-    _, ev, _ = pca_project(li, 3)
-    return spark.createDataFrame([(i, rnd(v)) for i, v in enumerate(ev)], "component int, explained_variance double")
+    """Explained variance, and the second moments of the projected rows (the sign of a component is free)."""
+    projected, ev, _ = pca_project(I.lineitem_samples(spark, sf), 3)
+    pairs = [(a, b) for a in range(3) for b in range(a, 3)]
+    x = F.col("features")
+    one = projected.agg(*(F.abs(F.avg(x[a] * x[b])).alias(f"m{a}{b}") for a, b in pairs))
+    moments = one.selectExpr(f"stack({len(pairs)}, " + ", ".join(f"{a}, {b}, m{a}{b}" for a, b in pairs) + ") AS (component, other, v)")
+    variance = spark.createDataFrame([(i, -1, rnd(v)) for i, v in enumerate(ev)], "component int, other int, value double")
+    return variance.union(moments.select(F.col("component").cast("int"), F.col("other").cast("int"), r6(F.col("v"))))
+
+
+def q_dense_layer_wide(spark, sf):
+    """64 -> 80 units: the Arrow form, one checksum pair per row."""
+    W, c = FX.em_wide()
+    h = dense_layer(_em(spark, sf), "features", W, c, "sigm", "h")
+    return h.select("row_id", round6(F.aggregate("h", F.lit(0.0), lambda acc, v: acc + v)).alias("total"), round6(F.col("h")[0]).alias("h0"), round6(F.col("h")[79]).alias("h79"))
+
+
+def q_nn_predict_wide(spark, sf):
+    cfg = N.NNConfig(sizes=(FX.EM_WIDTH, 80, 10), activation="sigm", output="sigm")
+    pred = N.nn_predict(_em(spark, sf), FX.em_wide_net(), cfg)
+    return pred.select("row_id", *(round6(F.col("predict_label")[i]).alias(f"p{i}") for i in range(10)))
 
 
 def q_count_samples(spark, sf):
@@ -458,9 +478,7 @@ def q_gaussian_rbm_sigma_step(spark, sf):
 
 def q_rbm_fit(spark, sf):
     W, b, c = FX.em_rbm()
-    df = _emb(spark, sf)
-    m = df.count()
-    fit = R.rbm_fit(df, init=R.RBMParams(W=W, b=b, c=c), epochs=1, batch_size=m // 2, momentum=0.5, alpha=0.1, seed=SEED)
+    fit = R.rbm_fit(_emb(spark, sf), init=R.RBMParams(W=W, b=b, c=c), epochs=1, n_batches=2, momentum=0.5, alpha=0.1, seed=SEED)
     p = fit.params
     return params_df(spark, [("W", p.W), ("b", p.b), ("c", p.c), ("err", np.array([e for _, e in fit.history]))])
 
@@ -468,7 +486,7 @@ def q_rbm_fit(spark, sf):
 def q_gaussian_rbm_fit(spark, sf):
     W, b, c = FX.em_rbm()
     init = R.RBMParams(W=W, b=b, c=c, sigma=FX.em_sigma())
-    fit = R.gaussian_rbm_fit(_em(spark, sf), init=init, epochs=2, batch_size=None, momentum=0.1, alpha=0.05, seed=SEED)
+    fit = R.gaussian_rbm_fit(_em(spark, sf), init=init, epochs=2, momentum=0.1, alpha=0.05, seed=SEED)
     p = fit.params
     return params_df(spark, [("W", p.W), ("b", p.b), ("c", p.c), ("sigma", p.sigma),
                              ("err", np.array([e for _, e in fit.history]))])
@@ -476,25 +494,25 @@ def q_gaussian_rbm_fit(spark, sf):
 
 def q_rbm_hidden(spark, sf):
     W, b, c = FX.em_rbm()
-    df = R.rbm_hidden(_em(spark, sf), R.RBMParams(W=W, b=b, c=c))
-    return vec_means(df, "hidden", 4)
+    return _slots(R.rbm_hidden(_em(spark, sf), R.RBMParams(W=W, b=b, c=c)), ["hidden"], 4)
 
 
 def q_rbm_reconstruct(spark, sf):
     W, b, c = FX.em_rbm()
     df = R.rbm_reconstruct(_em(spark, sf), R.RBMParams(W=W, b=b, c=c, sigma=FX.em_sigma()))
-    return vec_means(df, "reconstruction", 10)
+    total = F.aggregate("reconstruction", F.lit(0.0), lambda acc, v: acc + v)
+    return df.select("row_id", round6(total).alias("total"), *(round6(F.col("reconstruction")[i]).alias(f"r{i}") for i in (0, 31, 63)))
 
 
 def _fixed_dbn():
     (W1, b1, c1), (W2, b2, c2) = FX.em_dbn()
-    return D.DBNModel((10, 6, 4), [R.RBMParams(W=W1, b=b1, c=c1, sigma=FX.em_sigma()), R.RBMParams(W=W2, b=b2, c=c2)])
+    return D.DBNModel((FX.EM_WIDTH, 6, 4), [R.RBMParams(W=W1, b=b1, c=c1, sigma=FX.em_sigma()), R.RBMParams(W=W2, b=b2, c=c2)])
 
 
 def q_dbn_pretrain(spark, sf):
     (W1, b1, c1), (W2, b2, c2) = FX.em_dbn()
-    init = [R.RBMParams(W=W1, b=b1, c=c1, sigma=np.ones(10)), R.RBMParams(W=W2, b=b2, c=c2)]
-    model = D.dbn_pretrain(_em(spark, sf), (10, 6, 4), epochs=1, batch_size=None, momentum=0.01, alpha=0.05, seed=SEED, init=init)
+    init = [R.RBMParams(W=W1, b=b1, c=c1, sigma=np.ones(FX.EM_WIDTH)), R.RBMParams(W=W2, b=b2, c=c2)]
+    model = D.dbn_pretrain(_em(spark, sf), (FX.EM_WIDTH, 6, 4), epochs=1, momentum=0.01, alpha=0.05, seed=SEED, init=init)
     items = []
     for l, p in enumerate(model.layers):
         items += [(f"W{l}", p.W), (f"b{l}", p.b), (f"c{l}", p.c)]
@@ -508,7 +526,7 @@ def q_score_unfolded(spark, sf):
 
 
 def q_dbn_transform(spark, sf):
-    return vec_means(D.dbn_transform(_em(spark, sf), _fixed_dbn()), "top", 4)
+    return _slots(D.dbn_transform(_em(spark, sf), _fixed_dbn()), ["top"], 4)
 
 
 # ============================================================================ G: network
@@ -551,14 +569,15 @@ def q_nn_step(spark, sf):
 
 
 EM_FIT_VARIANTS = {
-    "nn_fit": dict(cfg={}, epochs=1, halves=True, validation=0.0),
-    "nn_fit_l2": dict(cfg={"l2": 0.05}, epochs=2, halves=False, validation=0.0),
-    "nn_fit_momentum": dict(cfg={"momentum": 0.9}, epochs=2, halves=False, validation=0.0),
-    "nn_fit_lr_schedule": dict(cfg={"scaling_learning_rate": 0.5}, epochs=2, halves=False, validation=0.0),
-    "nn_fit_sparsity": dict(cfg={"sparsity": 0.2, "sparsity_target": 0.1}, epochs=2, halves=False, validation=0.0),
-    "nn_fit_noise": dict(cfg={"noise": 0.2}, epochs=2, halves=False, validation=0.0),
-    "nn_fit_dropout": dict(cfg={"dropout": 0.3}, epochs=2, halves=False, validation=0.0),
-    "nn_fit_validation": dict(cfg={}, epochs=2, halves=False, validation=0.3),
+    "nn_fit": dict(cfg={}, epochs=1, n_batches=2, validation=0.0),
+    "nn_fit_l2": dict(cfg={"l2": 0.05}, epochs=2, n_batches=1, validation=0.0),
+    "nn_fit_momentum": dict(cfg={"momentum": 0.9}, epochs=2, n_batches=1, validation=0.0),
+    "nn_fit_lr_schedule": dict(cfg={"scaling_learning_rate": 0.5}, epochs=2, n_batches=1, validation=0.0),
+    "nn_fit_sparsity": dict(cfg={"sparsity": 0.2, "sparsity_target": 0.1}, epochs=2, n_batches=1, validation=0.0),
+    "nn_fit_noise": dict(cfg={"noise": 0.2}, epochs=2, n_batches=1, validation=0.0),
+    "nn_fit_dropout": dict(cfg={"dropout": 0.3}, epochs=2, n_batches=1, validation=0.0),
+    "nn_fit_validation": dict(cfg={}, epochs=2, n_batches=1, validation=0.3),
+    "nn_fit_validation_batches": dict(cfg={}, epochs=2, n_batches=2, validation=0.3),
 }
 
 
@@ -574,10 +593,7 @@ def _nn_fit_query(name):
     def q(spark, sf):
         em = _em(spark, sf)
         cfg = em_cfg(**spec["cfg"])
-        bs = None
-        if spec["halves"]:
-            bs = em.count() // 2
-        fit = N.nn_fit(em, cfg, epochs=spec["epochs"], batch_size=bs, validation=spec["validation"], init_weights_=FX.em_weights())
+        fit = N.nn_fit(em, cfg, epochs=spec["epochs"], n_batches=spec["n_batches"], validation=spec["validation"], init_weights_=FX.em_weights())
         W = fit.model.weights
         items = [("W0", W[0]), ("W1", W[1]), ("train_error", np.array([h[1] for h in fit.history])),
                  ("val_error", np.array([h[2] for h in fit.history]))]
@@ -598,8 +614,9 @@ def _li_pred(spark, sf):
 
 
 def q_nn_predict(spark, sf):
+    """All rows of lineitem, which has no key: the rows as they are."""
     pred = _li_pred(spark, sf)
-    return multi_vec_means(pred, [("predict_label", 3, "predict_label"), ("error", 3, "error")])
+    return pred.select(*(round6(F.col(c)[i]).alias(f"{c}{i}") for c in ("predict_label", "error") for i in range(3)))
 
 
 def q_nn_loss(spark, sf):
@@ -610,9 +627,9 @@ def q_dbn_finetune(spark, sf):
     em = _em(spark, sf)
     (W1, b1, c1), _ = FX.em_dbn()
     W2, b2, c2 = FX.fixed((10, 6), 61, 0.5), FX.fixed((6,), 62, 0.1), FX.fixed((10,), 63, 0.1)
-    init = [R.RBMParams(W=W1, b=b1, c=c1, sigma=np.ones(10)), R.RBMParams(W=W2, b=b2, c=c2)]
-    model = D.dbn_pretrain(em, (10, 6, 10), epochs=1, batch_size=None, momentum=0.01, alpha=0.05, seed=SEED, init=init)
-    fit = D.dbn_finetune(em, model, epochs=1, batch_size=None, seed=SEED, learning_rate=1.0, momentum=0.5)
+    init = [R.RBMParams(W=W1, b=b1, c=c1, sigma=np.ones(FX.EM_WIDTH)), R.RBMParams(W=W2, b=b2, c=c2)]
+    model = D.dbn_pretrain(em, (FX.EM_WIDTH, 6, 10), epochs=1, momentum=0.01, alpha=0.05, seed=SEED, init=init)
+    fit = D.dbn_finetune(em, model, epochs=1, seed=SEED, learning_rate=1.0, momentum=0.5)
     W = fit.model.weights
     return params_df(spark, [("W0", W[0]), ("W1", W[1]), ("train_error", np.array([h[1] for h in fit.history]))])
 
@@ -621,39 +638,43 @@ def q_dbn_finetune(spark, sf):
 
 def q_threshold_labels(spark, sf):
     th = H.threshold_labels(_li_pred(spark, sf), width=3)
-    one = th.agg(*[F.sum(F.col("predicted")[i]).alias(f"u{i}") for i in range(3)])
-    return one.selectExpr("stack(3, 0, u0, 1, u1, 2, u2) AS (unit, v)").select(F.col("unit").cast("int").alias("unit"), r4(F.col("v")))
+    return th.groupBy(*(F.col("predicted")[i].alias(f"predicted{i}") for i in range(3))).agg(F.count(F.lit(1)).cast("long").alias("n"))
 
 
 def q_label_hit_rate(spark, sf):
     return H.label_hit_rate(_li_pred(spark, sf), width=3).select(round6("hit_rate").alias("hit_rate"))
 
 
-def dbn_end_to_end(spark, sf, *, epochs_pretrain: int = 2, epochs_finetune: int = 3, batch_size: int = 100, hidden: int = 8):
+def q_prepare_wide_table(spark, sf):
+    """Keyed rows of the whole prepared well table: vectors as digits (twice the slot value), numbers rounded."""
+    df = wells.prepared_wells(spark, sf)
+    cells = []
+    for j, c in enumerate(roles.COLUMNS):
+        if c in roles.TEXT_COLUMNS and c != "井号":
+            cells.append(F.array_join(F.transform(c, lambda v: (v * 2).cast("int").cast("string")), "").alias(f"c{j}"))
+        elif c != "井号":
+            cells.append(round6(F.col(f"`{c}`")).alias(f"c{j}"))
+    return df.select("row_id", *cells)
+
+
+def dbn_end_to_end(spark, sf, *, epochs_pretrain: int = 1, epochs_finetune: int = 2, n_batches: int = 3, hidden: int = 8):
     """H3: prepare -> extract -> pretrain -> unfold -> fine-tune -> predict -> loss -> hit rate.
 
-    The embeddings table is spread into named columns, cleaned and scaled to [0, 1]
-    (B12, two passes), the target one-hot encoded, features picked by name (B6) and the
-    samples written once (A4); then the DBN [10, hidden, 10] is pretrained, unfolded,
-    fine-tuned (sigm / sigm) and every row scored.
+    The 41-column well table (text categories, phrases, blank and missing cells) goes through
+    ``prepare_table`` with its roles, target and 14 features are picked by name (B6) and the samples
+    written once (A4); then the DBN [14, hidden, 3] is pretrained, unfolded, fine-tuned (sigm / sigm) and
+    every row scored. The number of jobs depends on epochs and batches, not on the rows.
     """
-    em = I.table(spark, sf, "embeddings")
-    names = [f"e{i}" for i in range(10)]
-    wide = em.select("vec_id", F.col("label").cast("string").alias("label"),
-                     *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)])
-    clean, _ = P.prepare_table(wide, names, one_hot_cols={"label": [str(k) for k in I.EMBED_LABELS]},
-                               missing_fill={"label": 0.5})
-    # A4 sink: the cleaned samples are written once to the shared folder and read back, which
-    # cuts the lineage (short step plans; a lost executor re-reads files)
+    clean = wells.prepared_wells(spark, sf)
     path = scratch_path(spark, "clean-samples")
-    T.write_clean_table(P.select_features(clean, "label", names, row_id="vec_id"), path, fmt="parquet")
+    T.write_clean_table(P.select_features(clean, roles.EXAMPLE_TARGET, roles.EXAMPLE_FEATURES, row_id="row_id"), path, fmt="parquet")
     samples = spark.read.parquet(path)
-    model = D.dbn_pretrain(samples, (10, hidden, 10), epochs=epochs_pretrain, batch_size=batch_size, momentum=0.01,
+    w = len(roles.ONE_HOT[roles.EXAMPLE_TARGET])
+    model = D.dbn_pretrain(samples, (len(roles.EXAMPLE_FEATURES), hidden, w), epochs=epochs_pretrain, n_batches=n_batches, momentum=0.01,
                            alpha=0.01, seed=SEED)
-    fit = D.dbn_finetune(samples, model, epochs=epochs_finetune, batch_size=batch_size, seed=SEED)
+    fit = D.dbn_finetune(samples, model, epochs=epochs_finetune, n_batches=n_batches, seed=SEED)
     pred = fit.model.predict(samples)
     # loss (G8) and hit rate (H2) of the same predictions in one aggregation
-    w = 10
     return pred.agg(round6(F.lit(0.5) * F.avg(V.squared_norm("error", w))).alias("loss"),
                     round6(F.avg(V.dot("label", V.threshold("predict_label", H.HIT_THRESHOLD, w), w))).alias("hit_rate"),
                     F.count(F.lit(1)).cast("long").alias("n"))
@@ -695,6 +716,9 @@ QUERIES = {
     "dense_layer": q_dense_layer,
     "add_bias": q_add_bias,
     "pca_project": q_pca_project,
+    "dense_layer_wide": q_dense_layer_wide,
+    "nn_predict_wide": q_nn_predict_wide,
+    "prepare_wide_table": q_prepare_wide_table,
     "count_samples": q_count_samples,
     "vector_mean": q_vector_mean,
     "outer_product_mean": q_outer_product_mean,

@@ -25,24 +25,41 @@ def li_layer():
     return fixed((3, 4), 21, 1.0), fixed((3,), 22, 0.5), fixed((4,), 23, 0.5)
 
 
-# RBM on EM / EMB: 10 visible, 4 hidden
+EM_WIDTH = 64  # slots of an embedding; all of them are features
+
+
+# dense layer on orders: 2 -> 3
+def order_layer():
+    return fixed((3, 2), 24, 1.0), fixed((3,), 25, 0.5)
+
+
+# RBM on EM / EMB: all slots visible, 4 hidden
 def em_rbm(n_hidden: int = 4):
-    return fixed((n_hidden, 10), 31, 0.5), fixed((10,), 32, 0.1), fixed((n_hidden,), 33, 0.1)
+    return fixed((n_hidden, EM_WIDTH), 31, 0.5), fixed((EM_WIDTH,), 32, 0.1), fixed((n_hidden,), 33, 0.1)
 
 
-# DBN on EM: sizes [10, 6, 4]
+# DBN on EM: sizes [EM_WIDTH, 6, 4]
 def em_dbn():
-    return [(fixed((6, 10), 41, 0.5), fixed((10,), 42, 0.1), fixed((6,), 43, 0.1)),
+    return [(fixed((6, EM_WIDTH), 41, 0.5), fixed((EM_WIDTH,), 42, 0.1), fixed((6,), 43, 0.1)),
             (fixed((4, 6), 44, 0.5), fixed((6,), 45, 0.1), fixed((4,), 46, 0.1))]
 
 
+# wide layer and network on EM: EM_WIDTH -> 80 (-> 10)
+def em_wide():
+    return fixed((80, EM_WIDTH), 71, 0.3), fixed((80,), 72, 0.3)
+
+
+def em_wide_net():
+    return [fixed((80, EM_WIDTH + 1), 73, 0.3), fixed((10, 81), 74, 0.3)]
+
+
 def em_sigma():
-    return 0.5 + np.abs(fixed((10,), 47, 0.5))
+    return 0.5 + np.abs(fixed((EM_WIDTH,), 47, 0.5))
 
 
-# network on EM [10, 6, 10]
-EM_SIZES = (10, 6, 10)
+# network on EM [EM_WIDTH, 6, 10]
+EM_SIZES = (EM_WIDTH, 6, 10)
 
 
 def em_weights():
-    return [fixed((6, 11), 51, 0.8), fixed((10, 7), 52, 0.8)]
+    return [fixed((6, EM_WIDTH + 1), 51, 0.8), fixed((10, 7), 52, 0.8)]

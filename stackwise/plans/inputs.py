@@ -5,7 +5,7 @@ that are not used and the work grows with the table.
 
 - LI  lineitem: features [l_quantity/50, l_discount*10, l_tax*10, l_extendedprice/105000],
       label one-hot of l_returnflag (A, N, R); lineitem has no unique key, so no row_id.
-- EM  embeddings: row_id = vec_id, features = first ``width`` slots as double,
+- EM  embeddings: row_id = vec_id, features = all slots as double,
       label one-hot of ``label`` (0..9); ``binary`` turns features into x > 0.
 - EV  events: row_id = event_id, features [value/1000, k/100, (user_id % 100)/100] with
       k the number in ``props``, label one-hot of event_type.
@@ -46,12 +46,11 @@ def lineitem_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(one_hot_lit(F.col("l_returnflag"), RETURNFLAGS).alias("label"), F.array(*f).alias("features"))
 
 
-def embedding_samples(spark: SparkSession, sf_dir: str, *, width: int = 10, binary: bool = False) -> DataFrame:
+def embedding_samples(spark: SparkSession, sf_dir: str, *, binary: bool = False) -> DataFrame:
     em = table(spark, sf_dir, "embeddings")
-    slots = [F.col("embedding")[i].cast("double") for i in range(width)]
+    feats = F.col("embedding").cast("array<double>")
     if binary:
-        slots = [F.when(x > 0, F.lit(1.0)).otherwise(F.lit(0.0)) for x in slots]
-    feats = F.array(*slots)
+        feats = F.transform(feats, lambda x: F.when(x > 0, F.lit(1.0)).otherwise(F.lit(0.0)))
     return em.select(F.col("vec_id").cast("long").alias("row_id"),
                      one_hot_lit(F.col("label"), EMBED_LABELS).alias("label"),
                      feats.alias("features"))

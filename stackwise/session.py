@@ -1,8 +1,9 @@
 """Session helpers: a local session for tests/bench and a shared scratch location.
 
-On a cluster the scratch location is the folder named by ``spark.checkpoint.dir``
-(a shared file system such as HDFS/S3). A private temporary folder is created only
-when the session has none configured, which is the case in local tests.
+The scratch location is the folder named by ``spark.checkpoint.dir`` (a shared file system such
+as HDFS/S3). Without that setting a cluster session raises an error, since executors
+would each write to a disk of their own; a local session, where driver and
+executor are one process, gets a private temporary folder.
 """
 
 from __future__ import annotations
@@ -30,11 +31,13 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; set a private one only if unset."""
+    """The shared checkpoint folder of the session; a private one only in a local session without one."""
     sc = spark.sparkContext
     path = sc.getCheckpointDir()
     if not path:
         path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not path:
             path = tempfile.mkdtemp(prefix="stackwise-ckpt-")
         sc.setCheckpointDir(path)
@@ -48,6 +51,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def release(spark: SparkSession, path: str) -> None:
+    """Delete what a run wrote under :func:`scratch_path`."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 _SHIPPED: set = set()
 
 

@@ -15,9 +15,15 @@ from pyspark.sql import types as T
 from stackwise.operators.prepare import blank_expr
 
 
-def read_raw_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """A1: quoted CSV with a header -> table of strings (an explicit string schema if given)."""
-    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", False)
+def read_raw_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None, *, multi_line: bool = False) -> DataFrame:
+    """A1: quoted CSV with a header -> table of strings (an explicit string schema if given).
+
+    Every line is a row and files are split over tasks; a row with too few or too many cells raises an error.
+    With ``multi_line=True`` quoted cells may hold line breaks, and a file is one task, so a large table
+    should come as many files.
+    """
+    reader = (spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", multi_line)
+              .option("mode", "FAILFAST"))
     if columns is not None:
         reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
     else:
@@ -42,8 +48,9 @@ def parse_numeric_rows(df: DataFrame, col: str = "value", out: str = "features")
 
 
 def format_vector(col) -> Column:
+    """array<double> -> comma-joined numbers; a NULL slot is an empty one, so later slots keep their place."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.concat_ws(",", F.transform(c, lambda x: x.cast("string")))
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), ",", "")
 
 
 def write_clean_table(df: DataFrame, path: str, *, vector_cols: Sequence[str] | None = None, mode: str = "overwrite",

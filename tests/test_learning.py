@@ -20,7 +20,7 @@ def test_gaussian_rbm_error_falls_and_sigma_learns_spread(spark):
 
 def test_network_loss_falls(spark):
     em = I.embedding_samples(spark, SF_SMALL)
-    cfg = N.NNConfig(sizes=(10, 8, 10), activation="sigm", output="sigm", learning_rate=1.0, momentum=0.5, seed=1)
+    cfg = N.NNConfig(sizes=(64, 8, 10), activation="sigm", output="sigm", learning_rate=1.0, momentum=0.5, seed=1)
     fit = N.nn_fit(em, cfg, epochs=4, batch_size=50)
     tr = [h[1] for h in fit.history]
     assert tr[-1] < tr[0]
@@ -29,7 +29,7 @@ def test_network_loss_falls(spark):
 def test_dbn_unfold_equals_transform(spark):
     """An unfolded stack without an extra layer and sigm output scores like dbn_transform."""
     em = I.embedding_samples(spark, SF_SMALL)
-    model = D.dbn_pretrain(em, (10, 6, 4), epochs=1, batch_size=100, seed=2)
+    model = D.dbn_pretrain(em, (64, 6, 4), epochs=1, batch_size=100, seed=2)
     a = np.array([r["top"] for r in D.dbn_transform(em, model).orderBy("row_id").select("top").collect()])
     b = np.array([r["predict_label"] for r in D.score_unfolded(em.withColumn("label", em["features"]), model)
                   .orderBy("row_id").select("predict_label").collect()])

@@ -34,7 +34,9 @@ def con():
 
 def test_every_query_registered_with_oracle_or_rows_only():
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) == set(ORACLES)
+    from stackwise.plans.catalog import QUERIES as own
+
+    assert set(own) <= set(ORACLES)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -66,7 +68,7 @@ def test_flagship_matches_unrolled_sql(spark, sf):
     from oracles.end_to_end import dbn_end_to_end_sql
 
     c = duckdb.connect()
-    c.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{sf}/embeddings.parquet')")
+    c.execute(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{sf}/orders.parquet')")
     res = c.execute(dbn_end_to_end_sql())
     want = _canon([d[0] for d in res.description], res.fetchall())
     df = QUERIES["dbn_end_to_end"](spark, sf)

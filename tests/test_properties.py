@@ -107,22 +107,113 @@ def test_min_max_within_unit_interval(spark):
     assert r[4] == 0.5 and r[5] == 0.5
 
 
-def test_partitioned_batch_layout_equals_filter_layout(em):
-    cfg = C.em_cfg(dropout=0.2)
-    a = N.nn_fit(em, cfg, epochs=2, batch_size=100, init_weights_=FX.em_weights(), batch_layout="filter")
-    b = N.nn_fit(em, cfg, epochs=2, batch_size=100, init_weights_=FX.em_weights(), batch_layout="partitioned")
-    for x, y in zip(a.model.weights, b.model.weights):
-        np.testing.assert_allclose(x, y, rtol=1e-9, atol=1e-12)
+def test_batches_of_an_epoch_partition_the_rows_whatever_the_input_partitions(em):
+    from stackwise.plans.batches import TrainingRows
+
+    all_ids = sorted(r[0] for r in em.select("row_id").collect())
+    seen = []
+    for parts in (1, 5):
+        with TrainingRows(em.repartition(parts), 3, 4) as rows:
+            epochs = [[sorted(r[0] for r in rows.batch(e, b).select("row_id").collect()) for b in range(3)] for e in (0, 1)]
+        for batches in epochs:
+            assert sorted(sum(batches, [])) == all_ids
+        assert epochs[0] != epochs[1]
+        seen.append(epochs)
+    assert seen[0] == seen[1]
+
+
+def test_a_fit_removes_what_it_wrote(spark, em, tmp_path):
+    import os
+
+    from stackwise import session
+
     W, bb, c = FX.em_rbm()
-    r1 = R.gaussian_rbm_fit(em, init=R.RBMParams(W=W, b=bb, c=c), epochs=1, batch_size=100, seed=4, batch_layout="filter")
-    r2 = R.gaussian_rbm_fit(em, init=R.RBMParams(W=W, b=bb, c=c), epochs=1, batch_size=100, seed=4, batch_layout="partitioned")
-    np.testing.assert_allclose(r1.params.W, r2.params.W, rtol=1e-9, atol=1e-12)
+    base = session.checkpoint_dir(spark)
+    before = set(os.listdir(base.removeprefix("file:")))
+    R.rbm_fit(em, init=R.RBMParams(W=W, b=bb, c=c), n_batches=2, seed=4)
+    N.nn_fit(em, C.em_cfg(), epochs=1, n_batches=2, validation=0.3, init_weights_=FX.em_weights())
+    assert set(os.listdir(base.removeprefix("file:"))) == before
+
+
+def test_number_of_jobs_does_not_depend_on_the_rows(spark):
+    jobs = []
+    for sf in (SF_SMALL, "/root/testdata/sf0.01"):
+        ev = I.event_samples(spark, sf)
+        spark.sparkContext.setJobGroup("fit", "fit")
+        N.nn_fit(ev, N.NNConfig(sizes=(3, 4, 5), activation="sigm", output="sigm", seed=1), epochs=2, n_batches=2)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup("fit")) - sum(jobs))
+    spark.sparkContext.setJobGroup("rest", "rest")
+    assert jobs[0] == jobs[1]
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from stackwise import session
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    cluster = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default=None: default))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.checkpoint_dir(cluster)
+
+
+IDS = [0, 1, 5, -1, -7, 2**31 - 1, 2**31, 2147483652, -(2**31), 2**47, 2**47 + 1, 2**62, 2**62 + 5, 2**63 - 1, -(2**63), -(2**63) + 1]
+
+
+def test_draws_for_every_64_bit_id(spark):
+    from oracles.formulas import uniform_sql
+    import duckdb
+
+    df = spark.createDataFrame([(i,) for i in IDS], "row_id long")
+    for unit, seed in ((0, 7), (3, 12345)):
+        col = {r["row_id"]: r["u"] for r in df.select("row_id", uniform_col(F.col("row_id"), unit, seed).alias("u")).collect()}
+        want = dict(zip(IDS, uniform_np(np.array(IDS, dtype=np.int64), unit + 1, seed)[:, unit]))
+        sql = dict(duckdb.sql(f"SELECT r, {uniform_sql('r', str(unit), seed)} FROM (SELECT unnest({IDS}::BIGINT[]) AS r)").fetchall())
+        assert col == want == sql
+        assert all(0 <= u < 1 for u in col.values()) and len(set(col.values())) == len(IDS)
+
+
+def test_no_row_is_lost_for_any_id(spark):
+    ids = spark.range(-30000, 30000).selectExpr("id * 307445734561825 as row_id")  # over the whole 64-bit range
+    n = ids.count()
+    got = S.mini_batches(ids, 10, 7).groupBy("batch_id").count().collect()
+    assert sum(r["count"] for r in got) == n and {r["batch_id"] for r in got} == set(range(10))
+    assert max(r["count"] for r in got) < 1.1 * n / 10
+    train, val = S.train_validation_split(ids, 0.2, 3)
+    assert train.count() + val.count() == n and abs(val.count() - 0.2 * n) < 0.02 * n
+
+
+@pytest.mark.parametrize("bad", [[1.0], [1.0, 2.0, 3.0], None, [1.0, None]])
+def test_wrong_vectors_raise_in_both_forms(spark, bad):
+    from stackwise.operators.layers import dense_layer
+
+    df = spark.createDataFrame([(1, [0.5, 0.25]), (2, bad)], "row_id long, features array<double>")
+    W = np.ones((3, 2))
+    for method in ("expr", "arrow"):
+        with pytest.raises(Exception, match="vector column"):
+            dense_layer(df, "features", W, np.zeros(3), "sigm", "h", method=method).collect()
+
+
+def test_outer_product_reads_its_input_once(em):
+    from stackwise.operators import aggregates as E
+
+    sc = em.sparkSession.sparkContext
+    acc = sc.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            acc.add(b.num_rows)
+            yield b
+
+    data = em.select("row_id", "label", "features").repartition(3).mapInArrow(seen, em.select("row_id", "label", "features").schema)
+    E.outer_product_mean(data).collect()
+    assert acc.value == em.count()
 
 
 def test_wide_layer_arrow_path_equals_expression(spark):
     from stackwise.operators.layers import dense_layer
 
-    em = I.embedding_samples(spark, SF_SMALL, width=64)
+    em = I.embedding_samples(spark, SF_SMALL)
     W = FX.fixed((80, 64), 9, 0.3)
     c = FX.fixed((80,), 10, 0.3)
     a = dense_layer(em, "features", W, c, "sigm", "h", method="arrow").orderBy("row_id").select("h").collect()
@@ -135,15 +226,15 @@ def test_wide_layer_arrow_path_equals_expression(spark):
     np.testing.assert_allclose(np.array([r[0] for r in pa_]), np.array([r[0] for r in pe]), rtol=1e-12, atol=1e-12)
 
 
-@pytest.mark.parametrize("direct_max,chunk", [(10, 1 << 16), (10, 7), (200, 7)])
-def test_tree_reduce_equals_direct_sum(em, monkeypatch, direct_max, chunk):
+@pytest.mark.parametrize("fan,chunk", [(1, 1 << 16), (2, 7), (64, 7)])
+def test_sums_do_not_depend_on_fan_and_chunk(em, monkeypatch, fan, chunk):
     from stackwise.operators import step
 
     W, b, c = FX.em_rbm()
     p = R.RBMParams(W=W, b=b, c=c, sigma=FX.em_sigma())
     data = em.repartition(6)
     want = R.cd_step_sums(data, p, R.RBMConfig(seed=3), 11, True)
-    monkeypatch.setattr(step, "DIRECT_MAX_VALUES", direct_max)
+    monkeypatch.setattr(step, "FAN", fan)
     monkeypatch.setattr(step, "CHUNK", chunk)
     got = R.cd_step_sums(data, p, R.RBMConfig(seed=3), 11, True)
     for k in want:

@@ -1,5 +1,6 @@
 """Readers and writers round trip through the shared scratch folder."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -60,3 +61,23 @@ def test_row_equal_to_header_is_kept(spark):
     T.write_clean_table(df, path, vector_cols=[])
     back = T.read_clean_table(spark, path)
     assert sorted(tuple(r) for r in back.collect()) == [("a", "b"), ("a", "b"), ("x", "y")]
+
+
+def test_cells_with_line_breaks(spark):
+    """Quoted line breaks come back whole with ``multi_line``, and never as broken rows without it."""
+    df = spark.createDataFrame([('a\nb"', "x"), ("c", "y,z")], "name string, v string")
+    path = scratch_path(spark, "t-lines")
+    T.write_raw_table(df, path)
+    back = T.read_raw_table(spark, path, columns=["name", "v"], multi_line=True)
+    assert sorted(tuple(r) for r in back.collect()) == sorted(tuple(r) for r in df.collect())
+    with pytest.raises(Exception):
+        T.read_raw_table(spark, path, columns=["name", "v"]).collect()
+
+
+def test_null_slots_keep_their_place(spark):
+    """A NULL slot is written as an empty one."""
+    df = spark.createDataFrame([(1, [1.0, None, 3.0]), (2, [None, 2.5, None])], "k long, v array<double>")
+    path = scratch_path(spark, "t-null-slots")
+    T.write_clean_table(df, path, vector_cols=["v"])
+    back = T.read_clean_table(spark, path, vector_cols=["v"], numeric_cols=["k"])
+    assert sorted((r["k"], r["v"]) for r in back.collect()) == [(1.0, [1.0, None, 3.0]), (2.0, [None, 2.5, None])]

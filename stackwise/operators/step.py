@@ -155,4 +155,4 @@ def _reduce_partials(partial: DataFrame):
     """
     salted = partial.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(FAN)))
     level1 = salted.repartition("name", "chunk", "salt").drop("salt").mapInArrow(_sum_partials, PARTIAL_SCHEMA)
-    return level1.repartition("name", "chunk").mapInArrow(_sum_partials, PARTIAL_SCHEMA).toLocalIterator()
+    return level1.repartition("name", "chunk").mapInArrow(_sum_partials, PARTIAL_SCHEMA).collect()

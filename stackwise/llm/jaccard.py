@@ -49,10 +49,10 @@ CELL_ROWS = 256         # rows of a block
 CELL_NGRAMS = 1 << 19   # n-grams of a block, on average
 COLUMNS = 4096          # columns multiplied at a time
 
-RANGES = 64             # hash ranges of the size profile
+PER_RANGE = 2           # n-grams per hash range of the size profile, about
 
-_MARKS = [*(f"m{i}" for i in range(SIGNATURE // 8)), *(f"s{i}" for i in range(RANGES // 8))]
-_SCAN = f"cls long, n long, {', '.join(f'{m} long' for m in _MARKS)}, chunk int, blob binary"
+_MARKS = [f"m{i}" for i in range(SIGNATURE // 8)]
+_SCAN = f"cls long, n long, {', '.join(f'{m} long' for m in _MARKS)}, profile binary, chunk int, blob binary"
 
 
 def _texts(batches, k: int):
@@ -80,9 +80,20 @@ def _signature(s: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _profile(s: np.ndarray) -> np.ndarray:
-    """One byte per hash range: how many n-grams fall into it (255: or more)."""
-    return np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=RANGES), 255).astype(np.uint8).view(np.int64)
+def _profile(s: np.ndarray) -> bytes:
+    """How many n-grams fall into each hash range (at most 255 is told); a power of two of ranges."""
+    bits = max(0, (len(s) // PER_RANGE).bit_length() - 1)
+    at = (s >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(s), dtype=np.int64)
+    return np.minimum(np.bincount(at, minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """A lower bound of how many n-grams only one of two sets has, from their profiles."""
+    x, y = (np.frombuffer(v, dtype=np.uint8).astype(np.int64) for v in (a, b))
+    if (x == 255).any() or (y == 255).any():
+        return 0
+    m = min(len(x), len(y))
+    return int(np.abs(x.reshape(m, -1).sum(axis=1) - y.reshape(m, -1).sum(axis=1)).sum())
 
 
 def _counter_of(s: np.ndarray) -> np.ndarray:
@@ -100,19 +111,19 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
         for batch, lo, hi, sets in _texts(batches, k):
             if schema is None:
                 id_arrow = batch.schema.field(0).type
-                schema = pa.schema([("doc_id", id_arrow), ("cls", pa.int64()), ("n", pa.int64()), *((m, pa.int64()) for m in _MARKS),
+                schema = pa.schema([("doc_id", id_arrow), ("cls", pa.int64()), ("n", pa.int64()), *((m, pa.int64()) for m in _MARKS), ("profile", pa.binary()),
                                     ("chunk", pa.int32()), ("blob", pa.binary())])
-            sig = np.array([np.concatenate([_signature(s), _profile(s)]) for s in sets], dtype=np.int64)
+            sig = np.array([_signature(s) for s in sets], dtype=np.int64)
             for s in sets:
                 np.add.at(counts, _counter_of(s), 1)
             m = hi - lo
             arrays = [batch.column(0).slice(lo, m), pa.array([_class_id(s) if len(s) else None for s in sets], pa.int64()),
-                      pa.array([len(s) for s in sets], pa.int64()), *(pa.array(sig[:, i]) for i in range(len(_MARKS))), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())]
+                      pa.array([len(s) for s in sets], pa.int64()), *(pa.array(sig[:, i]) for i in range(len(_MARKS))), pa.array([_profile(s) for s in sets], pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, schema=schema)
         if schema is not None:
             rows = counter_rows(counts)
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), id_arrow), *(pa.nulls(len(rows), pa.int64()) for _ in range(2 + len(_MARKS))),
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), id_arrow), *(pa.nulls(len(rows), pa.int64()) for _ in range(2 + len(_MARKS))), pa.nulls(len(rows), pa.binary()),
                                                   pa.array([c for c, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], schema=schema)
 
     return written(src.mapInArrow(run, f"doc_id {id_type.simpleString()}, {_SCAN}"), "ngram-scan")
@@ -190,24 +201,24 @@ def _alike(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "cls long, rep long")
 
 
-def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (k1, k2) that their size profiles leave possible.
-
-    Sets differ in at least as many n-grams as their counts differ in all hash ranges, which bounds the overlap.
-    """
-    side = lambda k: classes.select(F.col("cls").alias(f"k{k}"), F.col("n").alias(f"n{k}"), *(F.col(f"s{i}").alias(f"p{k}_{i}") for i in range(RANGES // 8)))
+def _possible(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (k1, k2) that their size profiles leave possible."""
+    pairs = written(pairs, "ngram-pairs")
+    keys = pairs.select(F.explode(F.array("k1", "k2")).alias("cls")).distinct()
+    profiles = rows.select("cls", "n", "profile").join(keys, "cls").dropDuplicates(["cls"])
+    side = lambda k: profiles.select(F.col("cls").alias(f"k{k}"), F.col("n").alias(f"n{k}"), F.col("profile").alias(f"p{k}"))
 
     def run(batches):
         for b in batches:
-            x, y = (np.stack([np.asarray(b.column(f"p{k}_{i}")) for i in range(RANGES // 8)], axis=1).view(np.uint8).astype(np.int64) for k in (1, 2))
             total = np.asarray(b.column("n1")) + np.asarray(b.column("n2"))
-            overlap = (total - np.abs(x - y).sum(axis=1)) // 2
+            apart = np.array([least_difference(x, y) for x, y in zip(b.column("p1").to_pylist(), b.column("p2").to_pylist())], dtype=np.int64)
+            overlap = (total - apart) // 2
             yield b.select(["k1", "k2"]).filter(pa.array(100 * overlap >= percent * (total - overlap)))
 
-    return pairs.join(side(1), "k1").join(side(2), "k2").mapInArrow(run, "k1 long, k2 long")
+    return pairs.join(side(1), "k1").join(side(2), "k2").select("k1", "k2", "n1", "n2", "p1", "p2").mapInArrow(run, "k1 long, k2 long")
 
 
-def _cells(postings: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _cells(postings: DataFrame, classes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """(cls, k1, k2, side): which rows meet in which cell."""
     lists = postings.groupBy("g").agg(F.min("cls").alias("rep"), F.max("cls").alias("other")).filter("rep <> other").select("g", "rep")
     lists = written(lists, "ngram-lists")
@@ -229,7 +240,7 @@ def _cells(postings: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
                     & (100 * F.least("o.n", "c.n") >= percent * F.greatest("o.n", "c.n"))
                     & (1 + F.least(F.col("o.n") - F.col("o.pos") - 1, F.col("c.n") - F.col("c.pos") - 1) >= need))
     pair = across.select(F.least("o.cls", "c.cls").alias("k1"), F.greatest("o.cls", "c.cls").alias("k2")).distinct()
-    pair = _possible(pair, classes, percent)
+    pair = _possible(pair, rows, percent)
     two = pair.select(F.explode(F.array("k1", "k2")).alias("cls"), "k1", "k2", F.lit(-1).alias("cell"), F.lit(0).alias("side"))
 
     # inside families: every block meets every block
@@ -356,7 +367,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     counters = sc.broadcast(merged_counters(scan.filter("chunk is not null"), COUNTERS, np.int32))
     classes = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), *(F.first(m).alias(m) for m in _MARKS))
     postings = _prefixes(docs, text_col, words, percent, counters)
-    cells = _cells(postings, classes, percent)
+    cells = _cells(postings, classes, rows, percent)
     wanted = sc.broadcast(_bits_of(cells.select("cls").distinct(), "cls"))
     links = _products(cells, _sets(docs, text_col, words, wanted), percent)
     labels = components(links)

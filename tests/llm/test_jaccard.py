@@ -70,6 +70,16 @@ def test_cell_product_keeps_every_component():
     assert parts(J.linked_pairs(sets, side, 85)) == parts({e for e in links if e[0] < 30 <= e[1]})
 
 
+def test_profiles_bound_the_difference():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        n, m, k = rng.integers(1, 400, 3)
+        base = rng.integers(0, 1 << 63, k, dtype=np.uint64) * np.uint64(2)
+        x, y = (np.unique(np.concatenate([base, rng.integers(0, 1 << 63, v, dtype=np.uint64) * np.uint64(2)])) for v in (n, m * 5))
+        assert J.least_difference(J._profile(x), J._profile(y)) <= len(np.setxor1d(x, y))
+    assert J.least_difference(J._profile(x), J._profile(x)) == 0
+
+
 def test_star_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(0, 50)] + [(100 + rng.randrange(40), 100 + rng.randrange(40)) for _ in range(30)] + [(7, 7)]

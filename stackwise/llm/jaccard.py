@@ -8,6 +8,7 @@ documents is an entry of X X^T. The product is never formed whole:
 2. *Prefix block.* Order the n-grams from rare to common (estimate, then hash). Two sets with
    ``overlap >= t * union`` share one of the first ``n - ceil(t n) + 1`` n-grams of each (size-derived
    bound), so only that block of X can make a pair possible.
+   Shared n-grams with the same members count once, by the first of them in the order.
 3. *Families.* Each shared prefix n-gram names its smallest class as representative; a class that
    looks much like a representative (small signature) joins its family. Families only
    decide where a pair is multiplied, never whether.
@@ -48,6 +49,8 @@ ALIKE = 0.65            # share of equal signature bytes from which a class join
 CELL_ROWS = 256         # rows of a block
 CELL_NGRAMS = 1 << 19   # n-grams of a block, on average
 COLUMNS = 4096          # columns multiplied at a time
+PRIME = (1 << 31) - 1   # sums of so small hashes hold up to 2**32 members
+FAMILY_SALTS = 16       # tasks that share the members of a family
 
 PER_RANGE = 2           # n-grams per hash range of the size profile, about
 
@@ -220,8 +223,11 @@ def _possible(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
 
 def _cells(postings: DataFrame, classes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """(cls, k1, k2, side): which rows meet in which cell."""
-    lists = postings.groupBy("g").agg(F.min("cls").alias("rep"), F.max("cls").alias("other")).filter("rep <> other").select("g", "rep")
-    lists = written(lists, "ngram-lists")
+    # lists of the same members say the same; the one that comes first in the order bounds each of their pairs best
+    mark = F.xxhash64("cls")
+    lists = postings.groupBy("g").agg(F.min("cls").alias("rep"), F.max("cls").alias("other"), F.count("*").alias("m"), F.min("pos").alias("pos"),
+                                      *(F.sum(F.pmod(F.shiftrightunsigned(mark, k), F.lit(PRIME))).alias(f"h{k}") for k in (0, 20))).filter("rep <> other")
+    lists = written(lists.groupBy("rep", "other", "m", "h0", "h20").agg(F.min(F.struct("pos", "g"))["g"].alias("g")).select("g", "rep"), "ngram-lists")
     # most n-grams of a prefix are in no list; a fixed-size filter spares those the shuffle
     shared = written(_filtered(postings, _bits_of(lists, "g")).join(lists, "g"), "ngram-shared")
     sig = [f"m{i}" for i in range(4)]
@@ -247,7 +253,9 @@ def _cells(postings: DataFrame, classes: DataFrame, rows: DataFrame, percent: in
     member = placed.select("cls", "n", "fam").distinct()
     size = member.groupBy("fam").agg(F.count("*").alias("rows"), F.sum("n").alias("grams")).filter("rows > 1").select(
         "fam", F.greatest(F.ceil(F.col("rows") / CELL_ROWS), F.ceil(F.col("grams") / CELL_NGRAMS)).cast("int").alias("nb"))
-    block = member.join(size, "fam").withColumn("b", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int"))
+    salts = F.sequence(F.lit(0), F.lit(FAMILY_SALTS - 1))
+    block = member.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(FAMILY_SALTS)).cast("int")).join(
+        size.withColumn("salt", F.explode(salts)), ["fam", "salt"]).withColumn("b", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int"))
     met = block.select("cls", F.col("fam").alias("k1"), "nb", "b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("x"))
     cell = met.select("cls", "k1", F.lit(0).cast("long").alias("k2"), (F.least("b", "x").cast("long") * F.col("nb") + F.greatest("b", "x")).alias("cell"),
                       F.when(F.col("b") == F.col("x"), 0).when(F.col("b") < F.col("x"), 1).otherwise(2).alias("side"))

@@ -54,7 +54,7 @@ def counter_rows(values: np.ndarray) -> list[tuple[int, bytes]]:
 def merged_counters(rows: DataFrame, size: int, dtype, how: str = "sum") -> np.ndarray:
     """Sum (or bitwise or) of the chunk rows of all tasks; the driver gets ``size`` values, whatever the input.
 
-    Tasks stream their rows into one array per chunk, first where the rows lie, then by chunk.
+    A task adds the rows of its chunks up in a stream, one array per chunk.
     """
     dt = np.dtype(dtype)
 
@@ -75,7 +75,7 @@ def merged_counters(rows: DataFrame, size: int, dtype, how: str = "sum") -> np.n
 
     n = -(-size // _CHUNK)
     out = np.zeros(size, dtype=dt)
-    merged = rows.select("chunk", "blob").mapInArrow(merge, COUNTER_SCHEMA).repartition(n, F.col("chunk")).mapInArrow(merge, COUNTER_SCHEMA)
+    merged = rows.select("chunk", "blob").repartition(n, F.col("chunk")).mapInArrow(merge, COUNTER_SCHEMA)
     for r in merged.collect():
         v = np.frombuffer(zlib.decompress(bytes(r["blob"])), dtype=dt)
         out[r["chunk"] * _CHUNK:r["chunk"] * _CHUNK + len(v)] = v

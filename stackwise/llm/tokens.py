@@ -13,7 +13,7 @@ from itertools import chain
 
 import numpy as np
 
-CACHE_WORDS = 300_000  # pieces of a cache generation; two are kept, and pieces in use move to the younger one
+CACHE_WORDS = 500_000  # pieces of a cache generation; two are kept, and pieces in use move to the younger one
 JOINED = 200           # words that are encoded in one call
 WORD_END = "</w>"
 _MARKS = ".,"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from oracles.build import ONE, ZERO, Chain, act_grad, normal, params_rows, r4, r6, uniform
+from oracles.build import ONE, ZERO, Chain, act_grad, normal, params_rows, r6, uniform
 from oracles.formulas import fl, sql_act
 from oracles.formulas import stream as derive_seed
 from oracles.sql import ORACLES, em_inputs, li_inputs, oracle, slots, unit_means

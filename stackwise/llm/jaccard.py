@@ -45,7 +45,7 @@ from stackwise.llm.shared import arrow_batch, counter_rows, merged_counters, shi
 COUNTERS = 1 << 19      # n-gram frequency estimate: 2 MiB, whatever the input
 FILTER_BITS = 1 << 26   # filters of shared n-grams and of classes that need their sets: 8 MiB each, whatever the input
 SIGNATURE = 32          # bytes of the one-permutation signature
-ALIKE = 0.65            # share of equal signature bytes from which a class joins a family
+ALIKE = 0.4             # share of equal signature bytes from which a class joins a family
 CELL_ROWS = 256         # rows of a block
 CELL_NGRAMS = 1 << 19   # n-grams of a block, on average
 COLUMNS = 4096          # columns multiplied at a time

@@ -150,7 +150,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
             if schema is None:
                 schema = pa.schema([("doc_id", batch.schema.field(0).type), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()),
                                     ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
-            for lo, hi, _, _ in TS.text_slices(batch.column(1)):
+            for lo, hi, _, _ in TS.text_slices(batch.column(1), 1 << 20):
                 ids = batch.column(0).slice(lo, hi - lo).to_pylist()
                 texts = batch.column(1).slice(lo, hi - lo).to_pylist()
                 for doc_id, raw in zip(ids, enc.encode([t or "" for t in texts])):

@@ -22,6 +22,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stackwise.llm.shared import written
+
 #: Notices by licence family.
 TEMPLATES = {
     "apache-2.0": ["Licensed under the Apache License, Version 2.0.",
@@ -145,26 +147,37 @@ def _weights(spark: SparkSession, weights: dict, k: int) -> DataFrame:
     return rows.select(F.col("row")[0].alias("g"), F.split(F.col("row")[1], ",").alias("w")).select("g", *(F.col("w")[c].cast("double").alias(f"w{c}") for c in range(k)))
 
 
+def class_sums(units: DataFrame, model: DataFrame, k: int) -> DataFrame:
+    """(row, n, z0, z1, ...): weighted n-grams of each unit of (row, words) and their summed weights; a row that is exploded holds one n-gram and no words."""
+    grams = units.select("row", ngrams("words").alias("grams")).select("row", F.explode("grams").alias("g")).join(F.broadcast(model), "g")
+    return grams.groupBy("row").agg(F.count("*").alias("n"), *(F.sum(f"w{c}").alias(f"z{c}") for c in range(k)))
+
+
+def _template(text: str) -> Column:
+    return F.array_distinct(_clean(_words(F.lit(text))))
+
+
+def _shared(own: Column, template: Column) -> Column:
+    return F.size(F.array_intersect(own, template)) / F.greatest(F.size(template), F.lit(1))
+
+
 def scan_licences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per paragraph with an anchor: doc_id, paragraph (line), family (or unknown), probability, similarity, confirmed."""
     spark = docs.sparkSession
     weights, bias, temperature = fit(spark, docs, text_col=text_col)
     classes = [*TEMPLATES, NONE]
     model = _weights(spark, weights, len(classes))
-    found = paragraphs(docs, id_col=id_col, text_col=text_col).select("doc_id", "paragraph", F.monotonically_increasing_id().alias("row"), _clean(_words(F.col("text"))).alias("words"))
-    grams = found.select("row", "doc_id", "paragraph", "words", F.explode_outer(ngrams("words")).alias("g")).join(F.broadcast(model), "g", "left")
-    sums = grams.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("paragraph").alias("paragraph"), F.first("words").alias("words"), F.count("w0").alias("n"),
-                                    *(F.sum(f"w{c}").alias(f"z{c}") for c in range(len(classes))))
+    found = written(paragraphs(docs, id_col=id_col, text_col=text_col).select("doc_id", "paragraph", F.monotonically_increasing_id().alias("row"), _clean(_words(F.col("text"))).alias("words")), "licence-units")
+    own = F.array_distinct("words")
+    alike = found.select("row", "doc_id", "paragraph", F.array(*(F.greatest(*(_shared(own, _template(t)) for t in texts), F.lit(0.0)) for texts in TEMPLATES.values())).alias("alike"))
+    found = alike.join(class_sums(found, model, len(classes)), "row", "left")
     z = [(F.lit(bias[name]) + F.coalesce(f"z{c}", F.lit(0.0)) / F.sqrt(F.greatest("n", F.lit(1)))) / temperature for c, name in enumerate(classes)]
     top = F.greatest(*z)
     e = [F.exp(v - top) for v in z]
     total = sum(e[1:], e[0])
     best = F.greatest(*(F.struct((v / total).alias("p"), F.lit(name).alias("family")) for v, name in zip(e, classes)))
-    scored = sums.select("doc_id", "paragraph", "words", best.alias("best")).select(
-        "doc_id", "paragraph", "words", F.when((F.col("best.family") == NONE) | (F.col("best.p") < KNOWN), UNKNOWN).otherwise(F.col("best.family")).alias("family"), F.col("best.p").alias("probability"))
-    template = lambda text: F.array_distinct(_clean(_words(F.lit(text))))
-    own = F.array_distinct("words")
-    shared = lambda t: F.size(F.array_intersect(own, t)) / F.greatest(F.size(t), F.lit(1))
-    alike = F.coalesce(*(F.when(F.col("family") == family, F.greatest(*(shared(template(t)) for t in texts), F.lit(0.0))) for family, texts in TEMPLATES.items()), F.lit(0.0))
-    return scored.select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), "family", "probability", alike.alias("similarity")).withColumn(
+    scored = found.select("doc_id", "paragraph", "alike", best.alias("best")).select(
+        "doc_id", "paragraph", "alike", F.when((F.col("best.family") == NONE) | (F.col("best.p") < KNOWN), UNKNOWN).otherwise(F.col("best.family")).alias("family"), F.col("best.p").alias("probability"))
+    similarity = F.coalesce(*(F.when(F.col("family") == family, F.col("alike")[c]) for c, family in enumerate(TEMPLATES)), F.lit(0.0))
+    return scored.select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), "family", "probability", similarity.alias("similarity")).withColumn(
         "confirmed", (F.col("family") != UNKNOWN) & (F.col("similarity") >= CONFIRM))

@@ -157,3 +157,13 @@ def test_licences_of_the_corpus(spark):
     want = {(i, n, f) for i, t in text.items() for n, p in enumerate(t.split("\n")) for f, x in line.items() if p == x}
     got = {(r.doc_id, r.paragraph, r.family) for r in N.scan_licences(docs).collect() if r.confirmed}
     assert want and got >= want and all(re.search(N.ANCHORS, text[i].split("\n")[n], re.I) for i, n, _ in got)
+
+
+def test_long_anchored_lines_are_exploded_without_their_words(spark, make_docs):
+    line = "Licensed under the MIT license. " + " ".join(f"w{i}x" for i in range(50000))
+    got = N.scan_licences(make_docs([(1, line), (2, "Licensed under the MIT license.")])).collect()
+    assert {(r.doc_id, r.paragraph) for r in got} == {(1, 0), (2, 0)} and all(r.family == "mit" and r.confirmed for r in got)
+    units = spark.createDataFrame([(1, ["a", "b"])], "row long, words array<string>")
+    model = spark.createDataFrame([("a b", 1.0)], "g string, w0 double")
+    sums = N.class_sums(units, model, 1)
+    assert [tuple(r) for r in sums.collect()] == [(1, 1, 1.0)] and set(sums.columns) == {"row", "n", "z0"}

@@ -1,6 +1,7 @@
 """Quality, toxicity, language and licence models: held-out accuracy and defined cases."""
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -167,3 +168,40 @@ def test_long_anchored_lines_are_exploded_without_their_words(spark, make_docs):
     model = spark.createDataFrame([("a b", 1.0)], "g string, w0 double")
     sums = N.class_sums(units, model, 1)
     assert [tuple(r) for r in sums.collect()] == [(1, 1, 1.0)] and set(sums.columns) == {"row", "n", "z0"}
+
+
+def wrap(text, width):
+    return textwrap.wrap(text, width, break_long_words=False, break_on_hyphens=False)
+
+
+@pytest.mark.parametrize("width", [20, 40, 72, 80])
+def test_wrapped_licences(spark, make_docs, width):
+    mit, bsd, gpl, apache = N.TEMPLATES["mit"][3], N.TEMPLATES["bsd"][0], N.TEMPLATES["gpl"][3], N.TEMPLATES["apache-2.0"][1]
+    real = mit.replace("documentation files", 'documentation files (the "Software")') + ", including without limitation the rights to use, copy, modify and merge"
+    cases = {1: ("mit", mit), 2: ("bsd", bsd), 3: ("gpl", gpl), 4: ("apache-2.0", apache), 5: ("mit", real)}
+    docs = [(i, "The moon rose.\n\n" + "\n".join(wrap(t, width)) + "\n\nThe end.") for i, (_, t) in cases.items()]
+    docs += [(i + 10, "#!/bin/sh\n#\n" + "\n".join("# " + x for x in wrap(t, width)) + "\n#\nmake all\n") for i, (_, t) in cases.items()]
+    docs += [(i + 20, "\n".join(wrap("The rain fell on the hills and the boats stayed in the harbour all day. " + t + " Nobody knew when the wind would turn.", width))) for i, (_, t) in cases.items()]
+    got = {}
+    for r in N.scan_licences(make_docs(docs)).filter("confirmed").collect():
+        got.setdefault(r.doc_id, []).append((r.paragraph, r.family, r.confirmed))
+    for i, (family, _) in cases.items():
+        assert got[i] == got[i + 10] == [(2, family, True)]
+        assert [(f, c) for _, f, c in got[i + 20]] == [(family, True)]
+
+
+def test_licences_without_an_anchor_word(spark, make_docs):
+    rows = [(1, "Text: CC BY 4.0"), (2, "CC0 1.0 Universal"), (3, "a b\nCC BY-NC 4.0\nc"), (4, "all\nrights\nreserved"), (5, "version 4.0 came by rail"), (6, "Creative\nCommons Attribution 4.0\nInternational\n\nThis work is licensed under a"),
+            (7, "Released under the\nMIT License.\nReleased under the MIT License.\nReleased under the MIT License."), (8, "under the bridge he had released\nthe fish without any license")]
+    got = sorted((r.doc_id, r.paragraph, r.family) for r in N.scan_licences(make_docs(rows)).collect() if r.confirmed)
+    assert got == [(1, 0, "cc-by"), (2, 0, "cc0"), (3, 1, "cc-by-nc"), (4, 0, "proprietary"), (7, 0, "mit"), (7, 2, "mit"), (7, 3, "mit")]
+
+
+def test_no_confirmed_licence_lacks_a_cover_word():
+    r = random.Random(3)
+    for texts in N.TEMPLATES.values():
+        for t in texts:
+            words = sorted(set(N.plain_words(t)))
+            for _ in range(50):
+                held = r.sample(words, -(-7 * len(words) // 10))
+                assert re.search(N._COVERED, " ".join(held))

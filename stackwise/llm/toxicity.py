@@ -144,6 +144,17 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
+def _cores(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of words without the marks, quotes and brackets around them; a word of nothing else stays as it is."""
+    first, last = np.flatnonzero(use), np.flatnonzero(use & (data != ord("!")))
+    if not len(last):
+        return starts, ends
+    head = first[np.minimum(np.searchsorted(first, starts), len(first) - 1)]
+    tail = last[np.maximum(np.searchsorted(last, ends) - 1, 0)] + 1
+    whole = (head >= starts) & (head < tail) & (tail <= ends)
+    return np.where(whole, head, starts), np.where(whole, tail, ends)
+
+
 def _suspects(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, str]]:
     """(text, token) of every suspicious word or run of single characters of a slice."""
     starts, ends, _, first = TS.scan_words(data, offsets, TS.SPACES)
@@ -156,15 +167,16 @@ def _suspects(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, str]]:
     before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
     before[1:], after[:-1] = letter[:-1], use[1:]
     between = (sign | mark) & before & after  # a letter right before and something to read after
+    head, tail = _cores(data, starts, ends, use)
     lead = np.zeros(len(data), bool)
-    lead[starts] = sign[starts]
+    lead[head] = sign[head]
     lead[:-1] &= letter[1:]
     triple = np.zeros(len(data), bool)
     if len(data) > 2:
         triple[2:] = (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2]) & letter[2:] & (data[2:] < 128)
     n_letters = total(letter)
     odd = (n_letters >= 2) & ((total(between) > 0) | (total(lead) > 0) | (total(triple) > 0))
-    single = ((ends - starts) == 1) & use[starts]
+    single = ((tail - head) == 1) & use[head]
     text = np.searchsorted(first, np.arange(len(starts)), side="right") - 1
     out = []
     for i in np.flatnonzero(odd).tolist():
@@ -174,7 +186,7 @@ def _suspects(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, str]]:
         while a < b:  # runs end with their text
             z = min(b, int(first[text[a] + 1]))
             if z - a >= 3:
-                out.append((int(text[a]), " ".join(chr(data[starts[i]]) for i in range(a, z))))
+                out.append((int(text[a]), " ".join(data[starts[i]:ends[i]].tobytes().decode("utf-8", "replace") for i in range(a, z))))
             a = z
     return out
 

@@ -205,3 +205,17 @@ def test_no_confirmed_licence_lacks_a_cover_word():
             for _ in range(50):
                 held = r.sample(words, -(-7 * len(words) // 10))
                 assert re.search(N._COVERED, " ".join(held))
+
+
+def test_obfuscated_words_beside_marks(spark, make_docs):
+    model = X.character_model(table(spark, "documents"))
+    seen = {1: ("you s c u m.", "scum"), 2: ("you s c u m! go", "scum"), 3: ('a "$cum" here', "scum"), 4: ("the (1diot) said", "idiot"), 5: ("you (l o s e r), go", "loser"), 6: ("well, s c u m", "scum")}
+    got = {r.doc_id: r.restored for r in X.restored_text(make_docs([(i, t) for i, (t, _) in seen.items()]), model).collect()}
+    for i, (_, want) in seen.items():
+        assert want in got[i].split()
+    r = random.Random(6)
+    words = "the of and then erat onhe tion".split()
+    docs = [(i, " ".join(r.choice(words) for _ in range(30)) + ("" if i % 5 else " idiot" if i % 2 else " scum")) for i in range(900)]
+    docs += [(1000 + i, "the of and " + t) for i, t in enumerate(['"$cum" then', "s c u m!", "(1diot) of the", "s c u m."])] + [(2000, "the (of) and. a, b")]
+    score = {x.doc_id: x.predicted for x in X.toxicity_scores(make_docs(docs), spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(900)], "doc_id long, toxic int")).collect()}
+    assert all(score[1000 + i] == 1 for i in range(4)) and score[2000] == 0

@@ -219,3 +219,18 @@ def test_obfuscated_words_beside_marks(spark, make_docs):
     docs += [(1000 + i, "the of and " + t) for i, t in enumerate(['"$cum" then', "s c u m!", "(1diot) of the", "s c u m."])] + [(2000, "the (of) and. a, b")]
     score = {x.doc_id: x.predicted for x in X.toxicity_scores(make_docs(docs), spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(900)], "doc_id long, toxic int")).collect()}
     assert all(score[1000 + i] == 1 for i in range(4)) and score[2000] == 0
+
+
+@pytest.mark.parametrize("of,noise,quoted", [(2, 0.013, 0.0), (5, 0.03, 0.0), (5, 0.0, 0.004)])
+def test_toxicity_with_balanced_noisy_and_quoting_labels(spark, make_docs, of, noise, quoted):
+    r = random.Random(8)
+    words, insults = "the of and then erat onhe tion".split(), ["idiot", "loser", "scum", "trash"]
+    docs, labels, toxic = [], [], {}
+    for i in range(3000):
+        bad = toxic[i] = i % of == 0
+        held = r.sample(insults, 2) if bad else [w for w in insults if r.random() < quoted]
+        docs.append((i, " ".join([r.choice(words) for _ in range(30)] + held)))
+        labels.append((i, int(bad != (r.random() < noise))))
+    got = X.toxicity_scores(make_docs(docs), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    held = [(x.predicted, toxic[x.doc_id]) for x in got if x.held_out]
+    assert sum(p for p, t in held if t) > 0.95 * sum(t for _, t in held) and sum(p for p, t in held if not t) < 0.02 * len(held)

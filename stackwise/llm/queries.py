@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from stackwise.llm import decontaminate, jaccard, langid, licences, packing, quality, rules, sharding, token_scan, toxicity
+from stackwise.llm import chunks, conversations, decontaminate, jaccard, langid, licences, packing, quality, rules, sharding, token_scan, toxicity, variants
 from stackwise.llm.shared import written
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -64,6 +64,18 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(_table(spark, sf_dir, "documents"))
 
 
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.exact_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repaired_conversations(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (op1_quality, op2_token_counts, op3_packing, op4_sharding, op5_decontamination, op6_quality_rules, op7_language, op8_toxicity,
-                                   op9_jaccard, op10_licences)}
+                                   op9_jaccard, op10_licences, op11_variants, op12_exact_duplicates, op13_conversations)}
 QUERIES["pipeline"] = corpus_pipeline.run

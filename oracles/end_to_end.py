@@ -12,7 +12,7 @@ import numpy as np
 from oracles.build import ONE, ZERO, Chain, r6
 from oracles.formulas import fl
 from oracles.formulas import stream as derive_seed
-from oracles.sql import ORACLES
+from oracles.sql import ORACLES, ev_inputs
 from oracles.training import RBMTabs, batch_rows, binary_cd, gaussian_cd, nn_forward_sql, nn_grads_sql
 from oracles.wells import well_samples
 from stackwise import roles
@@ -64,11 +64,8 @@ def _rbm_fit(ch: Chain, x: str, p: RBMTabs, *, gaussian: bool, epochs: int, mome
     return p
 
 
-def dbn_end_to_end_sql(epochs_pretrain: int = 1, epochs_finetune: int = 2, hidden: int = 8) -> str:
-    ch = Chain()
-    x, y = well_samples(ch)
+def dbn_end_to_end_sql(ch: Chain, x: str, y: str, width: int, out: int, epochs_pretrain: int = 1, epochs_finetune: int = 2, hidden: int = 8) -> str:
     x, y = ch.add(f"SELECT * FROM {x}"), ch.add(f"SELECT * FROM {y}")
-    width, out = len(roles.EXAMPLE_FEATURES), len(roles.ONE_HOT[roles.EXAMPLE_TARGET])
     # pretraining: Gaussian layer, then binary layer on its hidden probabilities (default init)
     s1, s2 = derive_seed(C.SEED, 400, 0), derive_seed(C.SEED, 400, 1)
     i1 = R.init_params(width, hidden, s1, gaussian=True)
@@ -105,4 +102,18 @@ def dbn_end_to_end_sql(epochs_pretrain: int = 1, epochs_finetune: int = 2, hidde
                      f"FROM {per_row}")
 
 
-ORACLES["dbn_end_to_end"] = dbn_end_to_end_sql()
+def _wells() -> str:
+    ch = Chain()
+    return dbn_end_to_end_sql(ch, *well_samples(ch), len(roles.EXAMPLE_FEATURES), len(roles.ONE_HOT[roles.EXAMPLE_TARGET]))
+
+
+def _events() -> str:
+    ch = Chain()
+    base, x = ev_inputs(ch)
+    kinds = ["click", "error", "purchase", "signup", "view"]
+    y = ch.add(" UNION ALL ".join(f"SELECT r, {k} AS i, CASE WHEN event_type = '{t}' THEN {ONE} ELSE {ZERO} END AS v FROM {base}" for k, t in enumerate(kinds)))
+    return dbn_end_to_end_sql(ch, x, y, 3, len(kinds))
+
+
+ORACLES["dbn_end_to_end"] = _wells()
+ORACLES["events_dbn_end_to_end"] = _events()

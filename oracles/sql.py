@@ -40,6 +40,16 @@ def li_inputs(ch: Chain) -> tuple[str, str, str]:
     return base, x, y
 
 
+def numbered_inputs(ch: Chain) -> tuple[str, str]:
+    """lineitem by the row's position in its file, from 0."""
+    base = ch.add(LI_BASE.replace("row_number() OVER () AS r", "row_number() OVER () - 1 AS r"), "li")
+    x = ch.add(" UNION ALL ".join(f"SELECT r, {i} AS i, f{i} AS v FROM {base}" for i in range(4)), "li_x")
+    y = ch.add(" UNION ALL ".join(
+        f"SELECT r, {k} AS i, CASE WHEN l_returnflag = '{f}' THEN {ONE} ELSE {ZERO} END AS v FROM {base}"
+        for k, f in enumerate(["A", "N", "R"])), "li_y")
+    return x, y
+
+
 def em_inputs(ch: Chain, binary: bool = False) -> tuple[str, str, str]:
     base = ch.add("SELECT vec_id AS r, label, embedding AS emb FROM embeddings", "em")
     val = "CAST(emb[i + 1] AS DOUBLE)"
@@ -221,8 +231,51 @@ def _():
     return " UNION ALL ".join(parts)
 
 
+TEXT_ORDERS = ("SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderstatus END AS status, "
+               "CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS price, CAST(o_custkey AS DOUBLE) AS cust FROM orders")
+
+
+@oracle("prepare_text_table")
+def _():
+    scaled = ", ".join(f"{r6(f'(COALESCE({c}, av_{c}) - lo_{c}) / (hi_{c} - lo_{c})')} AS {c}" for c in ("price", "cust"))
+    ends = ", ".join(f"MIN({c}) AS lo_{c}, MAX({c}) AS hi_{c}, AVG({c}) AS av_{c}" for c in ("price", "cust"))
+    slots = ", ".join(f"CASE WHEN status IS NULL THEN {fl(0.5)} WHEN status = '{v}' THEN {ONE} ELSE {ZERO} END AS s{k}" for k, v in enumerate(["F", "O", "P"]))
+    return f"WITH o AS MATERIALIZED ({TEXT_ORDERS}), e AS MATERIALIZED (SELECT {ends} FROM o) SELECT o_orderkey, {scaled}, {slots} FROM o, e"
+
+
+@oracle("write_observed")
+def _():
+    one = "SELECT '{0}' AS \"column\", {1} AS min, {2} AS max, {3} AS mean, CAST(COUNT(*) - COUNT({0}) AS BIGINT) AS n_missing FROM o"
+    return f"WITH o AS MATERIALIZED ({TEXT_ORDERS}) " + " UNION ALL ".join(one.format(c, r6(f"MIN({c})"), r6(f"MAX({c})"), r6(f"AVG({c})")) for c in ("price", "cust"))
+
+
 # ============================================================================ C: sampling
 
+@oracle("number_rows")
+def _():
+    return "SELECT row_number() OVER () - 1 AS row_id, l_orderkey, l_linenumber, l_extendedprice FROM lineitem"
+
+
+@oracle("split_unkeyed")
+def _():
+    side, batch = uniform("r", "0", derive_seed(SEED, S.SPLIT)), uniform("r", "0", derive_seed(SEED, S.BATCH, 0))
+    return (f"SELECT r AS row_id, CASE WHEN {side} < {fl(0.2)} THEN 'validation' ELSE 'train' END AS side, "
+            f"CAST(LEAST(FLOOR({batch} * {fl(10.0)}), 9) AS BIGINT) AS batch_id FROM (SELECT row_number() OVER () - 1 AS r FROM lineitem)")
+
+
+@oracle("draws_unkeyed")
+def _():
+    ch = Chain()
+    x, _ = numbered_inputs(ch)
+    drawn = {"noise": f"CASE WHEN {uniform('r', 'i', derive_seed(SEED, S.NOISE))} >= {fl(0.3)} THEN v ELSE {ZERO} END",
+             "mask": f"CASE WHEN {uniform('r', 'i', derive_seed(SEED, S.DROPOUT))} > {fl(0.4)} THEN {ONE} ELSE {ZERO} END",
+             "state": f"CASE WHEN v > {uniform('r', 'i', derive_seed(SEED, S.STATES))} THEN {ONE} ELSE {ZERO} END",
+             "sigm": f"CASE WHEN {sql_act('sigm', 'v')} > {uniform('r', 'i', derive_seed(SEED, S.STATES))} THEN {ONE} ELSE {ZERO} END"}
+    y = ch.add("SELECT r, i, " + ", ".join(f"{r6(sql)} AS {name}" for name, sql in drawn.items()) + f" FROM {x}")
+    cols = ", ".join(f"MAX(CASE WHEN i = {i} THEN {name} END) AS {name}{i}" for name in drawn for i in range(4))
+    return ch.render(f"SELECT r AS row_id, {cols} FROM {y} GROUP BY r")
+
+
 @oracle("train_validation_split")
 def _():
     u = uniform("event_id", "0", derive_seed(SEED, S.SPLIT))

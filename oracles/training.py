@@ -7,7 +7,7 @@ import numpy as np
 from oracles.build import ONE, ZERO, Chain, act_grad, normal, params_rows, r6, uniform
 from oracles.formulas import fl, sql_act
 from oracles.formulas import stream as derive_seed
-from oracles.sql import ORACLES, em_inputs, li_inputs, oracle, slots, unit_means
+from oracles.sql import ORACLES, em_inputs, li_inputs, numbered_inputs, oracle, slots, unit_means
 from stackwise.operators import nn as N
 from stackwise.operators import sampling as S
 from stackwise.plans import catalog as C
@@ -249,6 +249,16 @@ def _():
     return ch.render(params_rows([("W", p.W, "mat"), ("b", p.b, "vec"), ("c", p.c, "vec"), ("sigma", p.s, "vec"), ("err", err, "vec")]))
 
 
+@oracle("rbm_fit_unkeyed")
+def _():
+    W, c, b = FX.li_layer()
+    ch = Chain()
+    x, _ = numbered_inputs(ch)
+    p, errs = gaussian_fit_sql(ch, x, RBMTabs(ch, W, b, c, np.ones(4)), epochs=2, momentum=0.1, alpha=0.05, seed=SEED)
+    err = ch.add(" UNION ALL ".join(f"SELECT {e} AS i, w FROM {t}" for e, t in enumerate(errs)))
+    return ch.render(params_rows([("W", p.W, "mat"), ("b", p.b, "vec"), ("c", p.c, "vec"), ("sigma", p.s, "vec"), ("err", err, "vec")]))
+
+
 @oracle("rbm_hidden")
 def _():
     W, b, c = FX.em_rbm()
@@ -502,24 +512,34 @@ def _():
     return ch.render(params_rows([("W0", W2[0], "mat"), ("W1", W2[1], "mat"), ("vW0", V2[0], "mat"), ("vW1", V2[1], "mat")]))
 
 
+def _held_out(ch: Chain, x: str, y: str, fraction: float, seed: int) -> tuple[str, str, tuple | None]:
+    """Training rows, and those whose draw lies below the fraction."""
+    if fraction <= 0:
+        return x, y, None
+    u, cut = uniform("r", "0", derive_seed(seed, S.SPLIT)), fl(fraction)
+    held = tuple(ch.add(f"SELECT * FROM {t} WHERE {u} < {cut}") for t in (x, y))
+    return (*(ch.add(f"SELECT * FROM {t} WHERE NOT ({u} < {cut})") for t in (x, y)), held)
+
+
 def _fit_variant(name: str) -> str:
     spec = C.EM_FIT_VARIANTS[name]
     cfg = C.em_cfg(**spec["cfg"])
     ch = Chain()
     _, x, y = em_inputs(ch)
-    val = None
-    if spec["validation"] > 0:
-        u = uniform("r", "0", derive_seed(cfg.seed, S.SPLIT))
-        cut = fl(spec["validation"])
-        xv = ch.add(f"SELECT * FROM {x} WHERE {u} < {cut}")
-        yv = ch.add(f"SELECT * FROM {y} WHERE {u} < {cut}")
-        x = ch.add(f"SELECT * FROM {x} WHERE NOT ({u} < {cut})")
-        y = ch.add(f"SELECT * FROM {y} WHERE NOT ({u} < {cut})")
-        val = (xv, yv)
+    x, y, val = _held_out(ch, x, y, spec["validation"], cfg.seed)
     Ws, hist = nn_fit_sql(ch, x, y, FX.em_weights(), cfg, epochs=spec["epochs"], nb=spec["n_batches"], val=val)
     return ch.render(params_rows([("W0", Ws[0], "mat"), ("W1", Ws[1], "mat")] + hist_rows(ch, hist)))
 
 
+@oracle("nn_fit_unkeyed")
+def _():
+    cfg = N.NNConfig(sizes=FX.LI_SIZES, activation="sigm", output="sigm", learning_rate=1.0, momentum=0.5, noise=0.2, dropout=0.3, seed=SEED)
+    ch = Chain()
+    x, y, val = _held_out(ch, *numbered_inputs(ch), 0.3, SEED)
+    Ws, hist = nn_fit_sql(ch, x, y, FX.li_weights(), cfg, epochs=2, val=val)
+    return ch.render(params_rows([("W0", Ws[0], "mat"), ("W1", Ws[1], "mat")] + hist_rows(ch, hist)))
+
+
 for _name in C.EM_FIT_VARIANTS:
     ORACLES[_name] = _fit_variant(_name)
 

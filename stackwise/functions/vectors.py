@@ -85,6 +85,15 @@ def vsub(a, b, width: int | None = None) -> Column:
     return F.zip_with(_c(a), _c(b), lambda x, y: x - y)
 
 
+def checked(col, width: int) -> Column:
+    """The vector itself; one that is NULL, holds NULL or has another width raises an error."""
+    x = _c(col)
+    bad = x.isNull() | (F.size(x) != F.lit(width))
+    for i in range(width):
+        bad = bad | x[i].isNull()
+    return F.when(bad, F.raise_error(F.lit(f"vector column must hold {width} numbers in every row")).cast("array<double>")).otherwise(x)
+
+
 EXPRESSION_MAX = 256  # weights per layer up to which DataFrame operators choose the expression form (one generated method)
 
 

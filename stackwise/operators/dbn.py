@@ -17,6 +17,7 @@ from stackwise.functions.random import derive_seed
 from stackwise.operators import nn as N
 from stackwise.operators import rbm as R
 from stackwise.operators.layers import dense_layer
+from stackwise.sources.numbered import keyed_rows
 
 
 @dataclass
@@ -33,10 +34,13 @@ class DBNModel:
 def dbn_pretrain(samples: DataFrame, sizes, *, epochs: int = 1, n_batches: int | None = None,
                  batch_size: int | None = None, k: int = 1, momentum: float = 0.0, alpha: float = 0.2, seed: int = 0,
                  noise: str = "normal", init: list | None = None, scale_by_sigma: bool = False, sigma_rate: float = 1.0) -> DBNModel:
-    """pretrain ``len(sizes) - 1`` RBMs; defaults size [10, 5, 1], momentum 0, alpha 0.2."""
-    sizes = tuple(int(s) for s in sizes)
+    """pretrain ``len(sizes) - 1`` RBMs; defaults size [10, 5, 1], momentum 0, alpha 0.2. Samples without a ``row_id`` are numbered once."""
+    with keyed_rows(samples.select(*(["row_id"] if "row_id" in samples.columns else []), "features")) as base:
+        return _pretrain(base, tuple(int(s) for s in sizes), epochs, n_batches, batch_size, k, momentum, alpha, seed, noise, init, scale_by_sigma, sigma_rate)
+
+
+def _pretrain(base: DataFrame, sizes: tuple, epochs, n_batches, batch_size, k, momentum, alpha, seed, noise, init, scale_by_sigma, sigma_rate) -> DBNModel:
     layers, history = [], []
-    base = samples.select("row_id", "features")
     common = dict(epochs=epochs, n_batches=n_batches, batch_size=batch_size, momentum=momentum, alpha=alpha, k=k)
     g = R.gaussian_rbm_fit(base, sizes[1], seed=derive_seed(seed, 400, 0), noise=noise, sigma_rate=sigma_rate,
                            init=None if init is None else init[0], **common)

@@ -33,9 +33,10 @@ def dense_arrow(df: DataFrame, col: str, W: np.ndarray, c: np.ndarray | None, ac
     c = np.zeros(W.shape[0]) if c is None else np.asarray(c, dtype=float).reshape(-1)
     s = None if scale is None else np.asarray(scale, dtype=float)
     sent = df.sparkSession.sparkContext.broadcast({"W": W, "c": c, "s": s})  # the context cleaner drops it with the frame
-    fields = [f for f in df.schema.fields if f.name != out]
-    schema = T.StructType(fields + [T.StructField(out, T.ArrayType(T.DoubleType()))])
-    names = [f.name for f in fields]
+    made = T.StructField(out, T.ArrayType(T.DoubleType()))
+    fields = [made if f.name == out else f for f in df.schema.fields]  # like withColumn: an existing column keeps its place
+    schema = T.StructType(fields if made in fields else [*fields, made])
+    names = schema.names
 
     def run(batches):
         p = sent.value
@@ -46,8 +47,8 @@ def dense_arrow(df: DataFrame, col: str, W: np.ndarray, c: np.ndarray | None, ac
             if p["s"] is not None:
                 X = X / p["s"]
             H = np_act(act, X @ p["W"].T + p["c"])
-            cols = [rb.column(n) for n in names] + [arrow_list(H)]
-            yield pa.RecordBatch.from_arrays(cols, names=names + [out])
+            made = arrow_list(H)
+            yield pa.RecordBatch.from_arrays([made if n == out else rb.column(n) for n in names], names=names)
 
     return df.mapInArrow(run, schema)
 

@@ -1,8 +1,8 @@
 """Feed-forward network.
 
 Weights are a list of matrices ``W[l]`` of shape (size[l+1], size[l] + 1) with the bias in
-column 0; activations carry a leading 1. Training steps are :func:`step_sums` passes
-(gradients, loss and n together; a second pass only when the sparsity penalty is on);
+column 0. Training steps are :func:`step_sums` passes (gradients, loss and n together; a second pass only
+for the sparsity penalty of networks with several hidden layers);
 scoring is a code-generated projection (each layer unrolled into arithmetic) for small
 layers, so it also works on streaming DataFrames, and numpy per Arrow batch for wide ones.
 """
@@ -25,6 +25,7 @@ from stackwise.operators import sampling as S
 from stackwise.operators.layers import arrow_list, dense_layer
 from stackwise.operators.step import list_matrix, step_sums
 from stackwise.session import ship_package
+from stackwise.sources.numbered import keyed_rows
 
 _ACT = {"sigm": 0, "tanh_opt": 1, "linear": 2}
 _ACT_NAME = {v: k for k, v in _ACT.items()}
@@ -96,78 +97,76 @@ def init_weights(sizes, seed: int = 0) -> list:
 # --------------------------------------------------------------------------- row pass (numpy)
 
 def _forward(P, ids, X, training: bool):
-    """Activations (with bias slots on hidden layers), dropout masks, output."""
+    """Activations without bias slots (input, hidden layers, output) and the dropout masks of the hidden layers."""
     L = int(P["L"])
-    act = _ACT_NAME[int(P["act"])]
-    outf = _ACT_NAME[int(P["out"])]
-    dropout = float(P["dropout"])
-    noise = float(P["noise"])
-    seed = int(P["seed"])
+    act, outf = _ACT_NAME[int(P["act"])], _ACT_NAME[int(P["out"])]
+    dropout, noise, seed = float(P["dropout"]), float(P["noise"]), int(P["seed"])
     if training and noise > 0:
         X = X * (uniform_np(ids, X.shape[1], derive_seed(seed, S.NOISE)) >= noise)
-    ones = np.ones((X.shape[0], 1))
-    a = [np.hstack([ones, X])]
-    masks = [None]
-    for l in range(1, L - 1):
-        h = A.np_act(act, a[-1] @ P[f"W{l - 1}"].T)
-        mask = None
-        if dropout > 0:
+    a, masks = [X], {}
+    for l in range(1, L):
+        w = P[f"W{l - 1}"]
+        h = A.np_act(act if l < L - 1 else outf, a[-1] @ w[:, 1:].T + w[:, 0])
+        if l < L - 1 and dropout > 0:
             if training:
-                mask = (uniform_np(ids, h.shape[1], derive_seed(seed, S.DROPOUT, l)) > dropout).astype(np.float64)
-                h = h * mask
+                masks[l] = (uniform_np(ids, h.shape[1], derive_seed(seed, S.DROPOUT, l)) > dropout).astype(np.float64)
+                h = h * masks[l]
             else:
                 h = h * (1.0 - dropout)
-        masks.append(mask)
-        a.append(np.hstack([ones, h]))
-    a.append(A.np_act(outf, a[-1] @ P[f"W{L - 2}"].T))
+        a.append(h)
     return a, masks
 
 
+def _outer_sums(delta: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """sum over rows of delta^T [1 | a]: the bias column first."""
+    return np.column_stack([delta.sum(axis=0), delta.T @ a])
+
+
 def nn_rows(P, ids, X, Y):
-    """Sums of one batch: gradients g{l}, hidden activations act{l}, loss, n."""
+    """Sums of one batch: gradients g{l}, hidden activations act{l}, loss, n.
+
+    ``linear_penalty`` (one hidden layer): the sparsity term is the same for all rows and enters the hidden delta
+    linearly, as ``term * slope``, so the sums of ``slope^T [1 | x]`` (slopes) are enough to add it afterwards.
+    """
     L = int(P["L"])
-    training = bool(int(P["training"]))
-    want_grad = bool(int(P["want_grad"]))
-    want_act = bool(int(P["want_act"]))
+    training, want_act = bool(int(P["training"])), bool(int(P["want_act"]))
     a, masks = _forward(P, ids, X, training)
     err = Y - a[-1]
     out = {"loss": np.array(np.sum(err * err)), "n": np.array(float(X.shape[0]))}
     if want_act:
-        for l in range(1, L - 1):
-            out[f"act{l}"] = a[l][:, 1:].sum(axis=0)
-    if not want_grad:
+        out.update({f"act{l}": a[l].sum(axis=0) for l in range(1, L - 1)})
+    if not bool(int(P["want_grad"])):
         return out
-    act = _ACT_NAME[int(P["act"])]
-    outf = _ACT_NAME[int(P["out"])]
-    d = {L - 1: (-err * a[-1] * (1.0 - a[-1])) if outf == "sigm" else -err}
-    sparsity = float(P["sparsity"])
-    target = float(P["target"])
-    dropout = float(P["dropout"])
-    for l in range(L - 2, 0, -1):
-        nxt = d[l + 1] if l + 1 == L - 1 else d[l + 1][:, 1:]
-        back = nxt @ P[f"W{l}"]
-        if sparsity > 0:
-            p = P[f"p{l}"]
-            term = sparsity * (-target / p + (1.0 - target) / (1.0 - p))
-            back = back + np.concatenate([[0.0], term])[None, :]
-        dl = back * A.np_act_grad(act, a[l])
-        if dropout > 0 and training:
-            dl = dl * np.hstack([np.ones((dl.shape[0], 1)), masks[l]])
-        d[l] = dl
-    for l in range(L - 1):
-        nxt = d[l + 1] if l + 1 == L - 1 else d[l + 1][:, 1:]
-        out[f"g{l}"] = nxt.T @ a[l]
+    delta = -err * A.np_act_grad(_ACT_NAME[int(P["out"])], a[-1])
+    for l in range(L - 1, 0, -1):
+        out[f"g{l - 1}"] = _outer_sums(delta, a[l - 1])
+        if l == 1:
+            break
+        slope = A.np_act_grad(_ACT_NAME[int(P["act"])], a[l - 1])
+        if l - 1 in masks:
+            slope = slope * masks[l - 1]
+        back = delta @ P[f"W{l - 1}"][:, 1:]
+        if f"p{l - 1}" in P:
+            back = back + sparsity_term(P[f"p{l - 1}"], float(P["sparsity"]), float(P["target"]))
+        if bool(int(P["linear_penalty"])):
+            out["slopes"] = _outer_sums(slope, a[l - 2])
+        delta = back * slope
     return out
 
 
-def _pass_params(W, cfg: NNConfig, *, training: bool, step_seed: int, want_grad: bool, want_act: bool, p=None) -> dict:
+def sparsity_term(p: np.ndarray, weight: float, target: float) -> np.ndarray:
+    """Weight * (-t / p + (1 - t) / (1 - p)) per hidden unit of mean activity p."""
+    return weight * (-target / p + (1.0 - target) / (1.0 - p))
+
+
+def _pass_params(W, cfg: NNConfig, *, training: bool, step_seed: int, want_grad: bool, want_act: bool, p=None, linear_penalty: bool = False) -> dict:
     P = {f"W{l}": np.asarray(w, dtype=float) for l, w in enumerate(W)}
     P.update({
         "L": np.array(cfg.n_layers), "act": np.array(_ACT[cfg.activation]), "out": np.array(_ACT[cfg.output]),
         "dropout": np.array(cfg.dropout), "noise": np.array(cfg.noise if training else 0.0),
         "seed": np.array(step_seed), "training": np.array(int(training)),
         "want_grad": np.array(int(want_grad)), "want_act": np.array(int(want_act)),
-        "sparsity": np.array(cfg.sparsity), "target": np.array(cfg.sparsity_target),
+        "sparsity": np.array(cfg.sparsity), "target": np.array(cfg.sparsity_target), "linear_penalty": np.array(int(linear_penalty)),
     })
     if p is not None:
         for l in range(1, cfg.n_layers - 1):
@@ -175,18 +174,20 @@ def _pass_params(W, cfg: NNConfig, *, training: bool, step_seed: int, want_grad:
     return P
 
 
-def _shapes(W, cfg: NNConfig, want_grad: bool, want_act: bool) -> dict:
+def _shapes(W, cfg: NNConfig, want_grad: bool, want_act: bool, linear_penalty: bool) -> dict:
     sh = {"loss": (), "n": ()}
     if want_grad:
         sh.update({f"g{l}": np.asarray(w).shape for l, w in enumerate(W)})
     if want_act:
         sh.update({f"act{l}": (cfg.sizes[l],) for l in range(1, cfg.n_layers - 1)})
+    if linear_penalty:
+        sh["slopes"] = np.asarray(W[0]).shape
     return sh
 
 
 def _run(df, W, cfg, **kw) -> dict:
-    want_grad, want_act = kw["want_grad"], kw["want_act"]
-    return step_sums(df, nn_rows, _pass_params(W, cfg, **kw), _shapes(W, cfg, want_grad, want_act))
+    shapes = _shapes(W, cfg, kw["want_grad"], kw["want_act"], kw.get("linear_penalty", False))
+    return step_sums(df, nn_rows, _pass_params(W, cfg, **kw), shapes, width=cfg.sizes[0], label_width=cfg.sizes[-1])
 
 
 # --------------------------------------------------------------------------- operators
@@ -197,22 +198,35 @@ def mean_activation_update(p_old: dict, act_sums: dict, n: float, cfg: NNConfig)
 
 
 def nn_gradient(df: DataFrame, W, cfg: NNConfig, *, step_seed: int | None = None, p=None, training: bool = True) -> dict:
-    """G2 (+G3): mean gradient per layer, with loss and n, in one pass (two with sparsity)."""
-    step_seed = cfg.seed if step_seed is None else step_seed
-    if cfg.sparsity > 0:
-        p_old = p if p is not None else {l: np.zeros(cfg.sizes[l]) for l in range(1, cfg.n_layers - 1)}
-        a = _run(df, W, cfg, training=training, step_seed=step_seed, want_grad=False, want_act=True)
-        if a["n"] <= 0:
+    """G2 (+G3): mean gradient per layer, with loss and n, in one pass over the rows.
+
+    The sparsity penalty needs the mean activity of the same rows. With one hidden layer it is added afterwards
+    from sums of the same pass; deeper networks, where it also enters the deltas of the layers below, take two passes.
+    """
+    common = dict(training=training, step_seed=cfg.seed if step_seed is None else step_seed)
+    if cfg.sparsity <= 0:
+        sums = _run(df, W, cfg, want_grad=True, want_act=False, **common)
+        return _mean_gradient(sums, W) if sums["n"] > 0 else {"n": 0.0}
+    old = p if p is not None else {l: np.zeros(cfg.sizes[l]) for l in range(1, cfg.n_layers - 1)}
+    if cfg.n_layers <= 3:
+        sums = _run(df, W, cfg, want_grad=True, want_act=True, linear_penalty=cfg.n_layers == 3, **common)
+        if sums["n"] <= 0:
             return {"n": 0.0}
-        p = mean_activation_update(p_old, a, a["n"], cfg)
-    sums = _run(df, W, cfg, training=training, step_seed=step_seed, want_grad=True, want_act=False, p=p)
+        new = mean_activation_update(old, sums, sums["n"], cfg)
+        if cfg.n_layers == 3:
+            sums["g0"] = sums["g0"] + sparsity_term(new[1], cfg.sparsity, cfg.sparsity_target)[:, None] * sums["slopes"]
+    else:
+        first = _run(df, W, cfg, want_grad=False, want_act=True, **common)
+        if first["n"] <= 0:
+            return {"n": 0.0}
+        new = mean_activation_update(old, first, first["n"], cfg)
+        sums = _run(df, W, cfg, want_grad=True, want_act=False, p=new, **common)
+    return {**_mean_gradient(sums, W), "p": new}
+
+
+def _mean_gradient(sums: dict, W) -> dict:
     n = sums["n"]
-    if n <= 0:
-        return {"n": 0.0}
-    res = {"n": n, "loss": 0.5 * sums["loss"] / n, "grads": [sums[f"g{l}"] / n for l in range(len(W))]}
-    if cfg.sparsity > 0:
-        res["p"] = p
-    return res
+    return {"n": n, "loss": 0.5 * sums["loss"] / n, "grads": [sums[f"g{l}"] / n for l in range(len(W))]}
 
 
 def apply_grads(W, vW, grads, cfg: NNConfig, lr: float):
@@ -244,11 +258,17 @@ def nn_fit(samples: DataFrame, cfg: NNConfig, *, epochs: int = 1, n_batches: int
     """Epoch x batch loop with momentum, L2, sparsity, noise, dropout, lr schedule.
 
     ``n_batches`` per epoch, or ``batch_size`` rows each (small tables), or one batch of all rows. Training and
-    validation rows are written once and read from there by every step and evaluation.
+    validation rows are written once and read from there by every step and evaluation. Samples without a
+    ``row_id`` are written and numbered first.
     """
+    with keyed_rows(samples.select(*(["row_id"] if "row_id" in samples.columns else []), "features", "label")) as df:
+        return _fit(df, cfg, epochs, n_batches, batch_size, validation, init_weights_, eval_each_epoch)
+
+
+def _fit(df: DataFrame, cfg: NNConfig, epochs: int, n_batches: int | None, batch_size: int | None, validation: float,
+         init_weights_: list | None, eval_each_epoch: bool) -> NNFit:
     from stackwise.plans.batches import TrainingRows
 
-    df = samples.select("row_id", "features", "label")
     train, val = S.train_validation_split(df, validation, cfg.seed) if validation > 0 else (df, None)
     W = [np.asarray(w, dtype=float).copy() for w in (init_weights_ or init_weights(cfg.sizes, cfg.seed))]
     for l, w in enumerate(W):
@@ -315,7 +335,6 @@ def predict_arrow(df: DataFrame, W, cfg: NNConfig, *, features: str = "features"
     sent = df.sparkSession.sparkContext.broadcast(_pass_params(W, cfg, training=False, step_seed=cfg.seed, want_grad=False, want_act=False))
     schema = T.StructType(df.schema.fields + [T.StructField("predict_label", T.ArrayType(T.DoubleType())),
                                               T.StructField("error", T.ArrayType(T.DoubleType()))])
-    has_label = label in df.columns
 
     def run(batches):
         P = sent.value
@@ -325,7 +344,7 @@ def predict_arrow(df: DataFrame, W, cfg: NNConfig, *, features: str = "features"
             X = list_matrix(rb.column(features), cfg.sizes[0])
             a, _ = _forward(P, None, X, False)
             out = a[-1]
-            err = list_matrix(rb.column(label)) - out if has_label else np.full_like(out, np.nan)
+            err = list_matrix(rb.column(label), cfg.sizes[-1]) - out
             cols = [rb.column(i) for i in range(rb.num_columns)] + [arrow_list(out), arrow_list(err)]
             yield pa.RecordBatch.from_arrays(cols, names=list(rb.schema.names) + ["predict_label", "error"])
 
@@ -336,7 +355,7 @@ def nn_forward(df: DataFrame, W, cfg: NNConfig, *, features: str = "features", l
     """G1: rows with every activation, the output and error = label - output."""
     L = cfg.n_layers
     out = forward_columns(df, W, cfg, features=features, keep_hidden=True)
-    return out.withColumn("error", V.vsub(F.col(label), F.col(f"a{L - 1}"), cfg.sizes[-1]))
+    return out.withColumn("error", V.vsub(V.checked(label, cfg.sizes[-1]), F.col(f"a{L - 1}"), cfg.sizes[-1]))
 
 
 def nn_predict(df: DataFrame, W, cfg: NNConfig, *, features: str = "features", label: str = "label", keep=("row_id",),
@@ -344,7 +363,8 @@ def nn_predict(df: DataFrame, W, cfg: NNConfig, *, features: str = "features", l
     """(label, features, predict_label, error), lazily.
 
     ``method``: 'expr' (code-generated projection, also for streams), 'arrow' (numpy per
-    Arrow batch, for wide layers) or 'auto' (expr while every layer has <= EXPRESSION_MAX weights).
+    Arrow batch, for wide layers) or 'auto' (expr while every layer has <= EXPRESSION_MAX weights). In all of
+    them a label or feature vector that is NULL, holds NULL or has another width raises an error.
     """
     L = cfg.n_layers
     extra = [c for c in keep if c in df.columns]
@@ -354,7 +374,7 @@ def nn_predict(df: DataFrame, W, cfg: NNConfig, *, features: str = "features", l
     out = forward_columns(df, W, cfg, features=features)
     return out.select(*extra, F.col(label).alias("label"), F.col(features).alias("features"),
                       F.col(f"a{L - 1}").alias("predict_label"),
-                      V.vsub(F.col(label), F.col(f"a{L - 1}"), cfg.sizes[-1]).alias("error"))
+                      V.vsub(V.checked(label, cfg.sizes[-1]), F.col(f"a{L - 1}"), cfg.sizes[-1]).alias("error"))
 
 
 def nn_loss(pred: DataFrame, width: int | None = None) -> DataFrame:

@@ -1,7 +1,7 @@
 """Cleaning, encoding and scaling.
 
-Everything is a column expression in one ``select``; the only actions are the single
-statistics aggregation (min, max, mean of every numeric column in one pass) and, on
+Everything is a column expression in one ``select``; the only actions are the statistics (min, max, mean of every
+numeric column, in one aggregation or observed while the typed table is written) and, on
 request, the label-width check. Dictionaries become literal maps/arrays (no join).
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,7 +45,11 @@ def one_hot(col, values: Sequence[str], *, on_unknown: str = "zero", missing_fil
 
     on_unknown: 'zero' (all-zero vector), 'null', or 'error' (raise at run time).
     missing_fill: value of every slot for a NULL cell (0.5 or 0 in the well table); NULL if None.
+    A dictionary that repeats a value raises, whatever its size.
     """
+    repeated = sorted({str(v) for v in values if list(values).count(v) > 1})
+    if repeated:
+        raise ValueError(f"repeated dictionary value(s): {repeated}")
     c = _c(col)
     if len(values) <= ONE_HOT_UNROLL:
         code = V.one_hot_lit(c, values)
@@ -183,6 +187,38 @@ def column_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.agg(*exprs).selectExpr(f"stack({len(cols)}, {stack}) AS (column, min, max, mean)")
 
 
+def typed_cells(df: DataFrame, numeric: Sequence[str]) -> DataFrame:
+    """B1 and the casts: blank text becomes NULL, numeric columns doubles."""
+    clean = blank_to_null(df)
+    return clean.select(*[_c(c).cast("double").alias(c) if c in set(numeric) else _c(c) for c in clean.columns])
+
+
+def write_observed(df: DataFrame, path: str, numeric: Sequence[str], *, zero_fill: bool = False) -> dict:
+    """B8 while writing (A4): the typed table goes to Parquet and min, max, mean and the number of missing cells of every
+    numeric column are observed on the way -> {col: (min, max, mean, missing)}.
+
+    One job, one read of the input. Metrics are observed in the tasks that write, with no shuffle between, so a
+    retried task counts once. ``zero_fill`` counts missing cells as 0 (Q8).
+    """
+    typed = typed_cells(df, numeric)
+    exprs = []
+    for i, c in enumerate(numeric):
+        x = F.coalesce(_c(c), F.lit(0.0)) if zero_fill else _c(c)
+        exprs += [F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}"), F.avg(x).alias(f"av{i}"), F.count_if(_c(c).isNull()).alias(f"no{i}")]
+    if not exprs:
+        typed.write.parquet(path)
+        return {}
+    seen = Observation()
+    typed.observe(seen, *exprs).write.parquet(path)
+    m = seen.get
+    return {c: (m.get(f"mn{i}"), m.get(f"mx{i}"), m.get(f"av{i}"), m.get(f"no{i}", 0)) for i, c in enumerate(numeric)}
+
+
+def observed_stats(spark: SparkSession, stats: Mapping[str, tuple]) -> DataFrame:
+    """(column, min, max, mean, n_missing) of what :func:`write_observed` returned, one row per column."""
+    return spark.createDataFrame([(c, *stats[c]) for c in stats], "column string, min double, max double, mean double, n_missing long")
+
+
 def impute_mean_expr(col, mean: float | None) -> Column:
     return F.coalesce(_c(col).cast("double"), F.lit(mean).cast("double"))
 
@@ -211,21 +247,28 @@ def min_max_scale(df: DataFrame, cols: Sequence[str], stats: Mapping | None = No
 
 def prepare_table(df: DataFrame, numeric: Sequence[str], *, one_hot_cols: Mapping[str, Sequence[str]] | None = None,
                   multi_hot_cols: Mapping[str, dict] | None = None, missing_fill: Mapping[str, float] | None = None,
-                  zero_fill_stats: bool = False, double_scale: bool = False) -> tuple[DataFrame, dict]:
+                  zero_fill_stats: bool = False, double_scale: bool = False, written_to: str | None = None) -> tuple[DataFrame, dict]:
     """Blank -> NULL, encode categories, impute means, scale to [0, 1].
 
-    Exactly two passes: the statistics aggregation, then one projection.
+    With ``written_to`` the input is read once: one job writes the typed columns there and observes the statistics, and
+    the result is a projection of what was written (only the columns that are asked for). This is the form for text
+    tables and for inputs that are costly to make. Without it, the statistics are one aggregation and the result
+    a projection of the input, which is then read twice.
     ``zero_fill_stats`` / ``double_scale`` reproduce the reference's imputation (Q8).
     """
     one_hot_cols = one_hot_cols or {}
     multi_hot_cols = multi_hot_cols or {}
     missing_fill = missing_fill or {}
-    clean = blank_to_null(df)
-    stats = column_stats_row(clean, list(numeric), zero_fill=zero_fill_stats)
+    if written_to is None:
+        clean = blank_to_null(df)
+        stats = column_stats_row(clean, list(numeric), zero_fill=zero_fill_stats)
+    else:
+        stats = write_observed(df, written_to, list(numeric), zero_fill=zero_fill_stats)
+        clean = df.sparkSession.read.schema(typed_cells(df, numeric).schema).parquet(written_to)
     out = []
     for c in clean.columns:
         if c in numeric:
-            mn, mx, av = stats[c]
+            mn, mx, av = stats[c][:3]
             x = _c(c).cast("double")
             if double_scale:
                 filled = F.coalesce(x, scale_expr(F.lit(av), mn, mx))

@@ -18,6 +18,7 @@ from stackwise.functions.activations import np_act
 from stackwise.functions.random import derive_seed, normal_np, uniform_np
 from stackwise.operators import sampling as S
 from stackwise.operators.step import step_sums
+from stackwise.sources.numbered import keyed_rows
 
 SIGMA_FLOOR = 0.005
 
@@ -181,7 +182,7 @@ def _step_params(p: RBMParams, cfg: RBMConfig, step_seed: int, gaussian: bool) -
 def cd_step_sums(batch: DataFrame, p: RBMParams, cfg: RBMConfig, step_seed: int, gaussian: bool) -> dict:
     """One distributed pass; returns sums (not yet means)."""
     fn = gaussian_cd_rows if gaussian else binary_cd_rows
-    return step_sums(batch, fn, _step_params(p, cfg, step_seed, gaussian), _shapes(p, gaussian), label=None)
+    return step_sums(batch, fn, _step_params(p, cfg, step_seed, gaussian), _shapes(p, gaussian), label=None, width=p.n_visible)
 
 
 def apply_cd_update(p: RBMParams, sums: dict, cfg: RBMConfig, gaussian: bool) -> tuple[RBMParams, float | None]:
@@ -206,14 +207,19 @@ def apply_cd_update(p: RBMParams, sums: dict, cfg: RBMConfig, gaussian: bool) ->
     return q, sums["err"] / n
 
 
+def _rows(samples: DataFrame, features: str):
+    """(row_id, features) as a context; samples without a ``row_id`` are written and numbered."""
+    key = ["row_id"] if "row_id" in samples.columns else []
+    return keyed_rows(samples.select(*key, F.col(features).alias("features")))
+
+
 def _fit(samples: DataFrame, p: RBMParams, cfg: RBMConfig, epochs: int, n_batches: int | None, batch_size: int | None,
          gaussian: bool, features: str = "features") -> FitResult:
     """Epoch x batch loop."""
     from stackwise.plans.batches import TrainingRows
 
-    df = samples.select("row_id", F.col(features).alias("features"))
     history = []
-    with TrainingRows(df, S.batches_per_epoch(df, n_batches, batch_size), cfg.seed) as rows:
+    with _rows(samples, features) as df, TrainingRows(df, S.batches_per_epoch(df, n_batches, batch_size), cfg.seed) as rows:
         for epoch in range(epochs):
             errs = []
             for bno in range(rows.nb):
@@ -267,17 +273,16 @@ def rbm_fit_full_batch(samples: DataFrame, init: RBMParams | None = None, *, n_h
     """
     from stackwise.plans.batches import TrainingRows
 
-    df = samples.select("row_id", F.col(features).alias("features"))
     if init is None:
-        n_vis = len(df.first()["features"])
+        n_vis = len(samples.select(features).first()[0])
         rng = np.random.default_rng(seed)
         init = RBMParams(W=rng.normal(0.0, 0.01, (n_hidden, n_vis)), b=rng.normal(0.0, 0.01, n_vis), c=np.zeros(n_hidden))
     p = init.copy()
     history = []
-    with TrainingRows(df, 1, seed) as rows:
+    with _rows(samples, features) as df, TrainingRows(df, 1, seed) as rows:
         for epoch in range(epochs):
             P = {"W": p.W, "b": p.b, "c": p.c, "alpha": np.array(alpha), "seed": np.array(derive_seed(seed, 200, epoch))}
-            sums = step_sums(rows.rows, full_batch_binary_rows, P, _shapes(p, False), label=None)
+            sums = step_sums(rows.rows, full_batch_binary_rows, P, _shapes(p, False), label=None, width=p.n_visible)
             n = sums["n"]
             if n <= 0:
                 break

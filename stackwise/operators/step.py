@@ -62,16 +62,20 @@ def step_sums(
     row_id: str | None = "row_id",
     features: str = "features",
     label: str | None = "label",
+    width: int | None = None,
+    label_width: int | None = None,
 ) -> dict[str, np.ndarray]:
     """Sum ``fn(params, ids, X, Y)`` over all rows of ``df``.
 
-    ``shapes`` names every quantity ``fn`` returns with its shape; quantities absent from the
+    A vector that is NULL, holds NULL or is not ``width`` (``label_width``) wide raises. ``shapes`` names every quantity ``fn`` returns with its shape; quantities absent from the
     result (empty input) come back as zeros, including ``n``.
     """
     have = df.columns
     cols = [c for c in (row_id, features, label) if c is not None and c in have]
     if features not in cols:
         raise ValueError(f"column {features!r} missing")
+    if label_width is not None and label not in cols:
+        raise ValueError(f"column {label!r} missing")
     sub = df if have == cols else df.select(*cols)
     spark = df.sparkSession
     ship_package(spark)
@@ -89,8 +93,8 @@ def step_sums(
             if rb.num_rows == 0:
                 continue
             ids = rb.column(row_id).to_numpy(zero_copy_only=False).astype(np.int64) if has_id else None
-            X = list_matrix(rb.column(features))
-            Y = list_matrix(rb.column(label)) if has_label else None
+            X = list_matrix(rb.column(features), width)
+            Y = list_matrix(rb.column(label), label_width) if has_label else None
             out = fn(p, ids, X, Y)
             for k, v in out.items():
                 v = np.asarray(v, dtype=np.float64)

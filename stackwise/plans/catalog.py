@@ -27,6 +27,7 @@ from stackwise.plans import fixtures as FX
 from stackwise.plans import inputs as I
 from stackwise.plans import wells
 from stackwise.session import scratch_path
+from stackwise.sources.numbered import numbered_files
 from stackwise.sources import tables as T
 
 SEED = 7
@@ -270,8 +271,76 @@ def q_prepare_table(spark, sf):
     return one.select("name", F.col("unit").cast("int").alias("unit"), r6(F.col("v")))
 
 
+def _text_orders(spark, sf):
+    """Orders as a quoted text table: every seventh price and every fifth status is blank."""
+    o = I.table(spark, sf, "orders")
+    key = F.col("o_orderkey")
+    text = o.select(key.cast("string").alias("o_orderkey"), F.when(key % 5 == 0, F.lit(" ")).otherwise(F.col("o_orderstatus")).alias("status"),
+                    F.when(key % 7 == 0, F.lit("")).otherwise(F.col("o_totalprice").cast("string")).alias("price"), F.col("o_custkey").cast("string").alias("cust"))
+    path = scratch_path(spark, "text-orders")
+    T.write_raw_table(text, path)
+    return T.read_raw_table(spark, path, columns=text.columns)
+
+
+def q_prepare_text_table(spark, sf):
+    """B1, B2, B8-B12 of a text table that is read once: keyed rows of the prepared table."""
+    out, _ = P.prepare_table(_text_orders(spark, sf), ["price", "cust"], one_hot_cols={"status": I.ORDERSTATUS}, missing_fill={"status": 0.5},
+                             written_to=scratch_path(spark, "typed-orders"))
+    return out.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), round6("price").alias("price"), round6("cust").alias("cust"),
+                      *(F.col("status")[i].alias(f"s{i}") for i in range(3)))
+
+
+def q_write_observed(spark, sf):
+    """What is observed of a text table while its typed columns are written."""
+    stats = P.write_observed(_text_orders(spark, sf), scratch_path(spark, "typed-orders"), ["price", "cust"])
+    return P.observed_stats(spark, stats).select("column", round6("min").alias("min"), round6("max").alias("max"), round6("mean").alias("mean"), "n_missing")
+
+
 # ============================================================================ C: sampling
 
+def _numbered_samples(spark, sf):
+    """Samples of lineitem, which has no key, with the row numbers of its file as row_id."""
+    li = numbered_files(I.table(spark, sf, "lineitem"))
+    return li.select("row_id", V.one_hot_lit(F.col("l_returnflag"), I.RETURNFLAGS).alias("label"), F.array(*I.li_feature_cols()).alias("features"))
+
+
+def q_number_rows(spark, sf):
+    """Row numbers beside the rows they stand for."""
+    return numbered_files(I.table(spark, sf, "lineitem")).select("row_id", "l_orderkey", "l_linenumber", "l_extendedprice")
+
+
+def q_split_unkeyed(spark, sf):
+    """C1, C2 on a table without a key: side and batch of every row."""
+    li = _numbered_samples(spark, sf)
+    return li.select("row_id", F.when(S.validation_flag("row_id", 0.2, SEED), F.lit("validation")).otherwise(F.lit("train")).alias("side"),
+                     S.batch_id("row_id", 10, SEED, 0).alias("batch_id"))
+
+
+def q_draws_unkeyed(spark, sf):
+    """C3-C7 on a table without a key; equal rows draw apart."""
+    li = _numbered_samples(spark, sf)
+    df = li.select("row_id", S.mask_noise("features", 0.3, SEED, width=4).alias("noise"), S.dropout_mask("features", 0.4, SEED, width=4).alias("mask"),
+                   S.sample_states("features", SEED, width=4).alias("state"), S.sigmoid_sample("features", SEED, width=4).alias("sigm"))
+    return _slots(df, ["noise", "mask", "state", "sigm"], 4)
+
+
+def q_rbm_fit_unkeyed(spark, sf):
+    """F7 on a table without a key: rows are written, numbered and trained on."""
+    W, c, b = FX.li_layer()
+    init = R.RBMParams(W=W, b=b, c=c, sigma=np.ones(4))
+    fit = R.gaussian_rbm_fit(I.lineitem_samples(spark, sf), init=init, epochs=2, momentum=0.1, alpha=0.05, seed=SEED)
+    p = fit.params
+    return params_df(spark, [("W", p.W), ("b", p.b), ("c", p.c), ("sigma", p.sigma), ("err", np.array([e for _, e in fit.history]))])
+
+
+def q_nn_fit_unkeyed(spark, sf):
+    """G5 on a table without a key, with draws of every kind: noise, dropout, validation rows."""
+    cfg = N.NNConfig(sizes=FX.LI_SIZES, activation="sigm", output="sigm", learning_rate=1.0, momentum=0.5, noise=0.2, dropout=0.3, seed=SEED)
+    fit = N.nn_fit(I.lineitem_samples(spark, sf), cfg, epochs=2, n_batches=1, validation=0.3, init_weights_=FX.li_weights())
+    W = fit.model.weights
+    return params_df(spark, [("W0", W[0]), ("W1", W[1]), ("train_error", np.array([h[1] for h in fit.history])), ("val_error", np.array([h[2] for h in fit.history]))])
+
+
 def q_train_validation_split(spark, sf):
     ev = I.event_samples(spark, sf)
     df = ev.withColumn("side", F.when(S.validation_flag("row_id", 0.2, SEED), F.lit("validation")).otherwise(F.lit("train")))
@@ -660,18 +729,18 @@ def q_prepare_wide_table(spark, sf):
 def dbn_end_to_end(spark, sf, *, epochs_pretrain: int = 1, epochs_finetune: int = 2, n_batches: int = 3, hidden: int = 8):
     """H3: prepare -> extract -> pretrain -> unfold -> fine-tune -> predict -> loss -> hit rate.
 
-    The 41-column well table (text categories, phrases, blank and missing cells) goes through
-    ``prepare_table`` with its roles, target and 14 features are picked by name (B6) and the samples
-    written once (A4); then the DBN [14, hidden, 3] is pretrained, unfolded, fine-tuned (sigm / sigm) and
+    Target and 14 features of the 41-column well table (text categories, phrases, blank and missing cells) go
+    through ``prepare_table`` with their roles, which writes the typed cells once and observes their statistics
+    (A4, B8), and are picked by name (B6); then the DBN [14, hidden, 3] is pretrained, unfolded, fine-tuned (sigm / sigm) and
     every row scored. The number of jobs depends on epochs and batches, not on the rows.
     """
-    clean = wells.prepared_wells(spark, sf)
-    path = scratch_path(spark, "clean-samples")
-    T.write_clean_table(P.select_features(clean, roles.EXAMPLE_TARGET, roles.EXAMPLE_FEATURES, row_id="row_id"), path, fmt="parquet")
-    samples = spark.read.parquet(path)
-    w = len(roles.ONE_HOT[roles.EXAMPLE_TARGET])
-    model = D.dbn_pretrain(samples, (len(roles.EXAMPLE_FEATURES), hidden, w), epochs=epochs_pretrain, n_batches=n_batches, momentum=0.01,
-                           alpha=0.01, seed=SEED)
+    clean = wells.prepared_wells(spark, sf, [roles.EXAMPLE_TARGET, *roles.EXAMPLE_FEATURES])
+    samples = P.select_features(clean, roles.EXAMPLE_TARGET, roles.EXAMPLE_FEATURES, row_id="row_id")
+    return _trained_and_scored(samples, len(roles.EXAMPLE_FEATURES), len(roles.ONE_HOT[roles.EXAMPLE_TARGET]), epochs_pretrain, epochs_finetune, n_batches, hidden)
+
+
+def _trained_and_scored(samples, width, w, epochs_pretrain, epochs_finetune, n_batches, hidden):
+    model = D.dbn_pretrain(samples, (width, hidden, w), epochs=epochs_pretrain, n_batches=n_batches, momentum=0.01, alpha=0.01, seed=SEED)
     fit = D.dbn_finetune(samples, model, epochs=epochs_finetune, n_batches=n_batches, seed=SEED)
     pred = fit.model.predict(samples)
     # loss (G8) and hit rate (H2) of the same predictions in one aggregation
@@ -684,6 +753,11 @@ def q_dbn_end_to_end(spark, sf):
     return dbn_end_to_end(spark, sf)
 
 
+def q_events_dbn_end_to_end(spark, sf):
+    """H3 on the event samples: pretrain [3, 8, 5], unfold, fine-tune, score every row."""
+    return _trained_and_scored(I.event_samples(spark, sf), 3, len(I.EVENT_TYPES), 1, 2, 3, 8)
+
+
 QUERIES = {
     "read_raw_table": q_read_raw_table,
     "read_clean_table": q_read_clean_table,
@@ -704,6 +778,13 @@ QUERIES = {
     "min_max_scale": q_min_max_scale,
     "impute_category_default": q_impute_category_default,
     "prepare_table": q_prepare_table,
+    "prepare_text_table": q_prepare_text_table,
+    "write_observed": q_write_observed,
+    "number_rows": q_number_rows,
+    "split_unkeyed": q_split_unkeyed,
+    "draws_unkeyed": q_draws_unkeyed,
+    "rbm_fit_unkeyed": q_rbm_fit_unkeyed,
+    "nn_fit_unkeyed": q_nn_fit_unkeyed,
     "train_validation_split": q_train_validation_split,
     "mini_batches": q_mini_batches,
     "mask_noise": q_mask_noise,
@@ -751,4 +832,5 @@ QUERIES = {
     "threshold_labels": q_threshold_labels,
     "label_hit_rate": q_label_hit_rate,
     "dbn_end_to_end": q_dbn_end_to_end,
+    "events_dbn_end_to_end": q_events_dbn_end_to_end,
 }

@@ -6,12 +6,15 @@ cell after the last value; numeric cells are missing in every 13th row, at anoth
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stackwise import roles
 from stackwise.operators import prepare as P
 from stackwise.plans import inputs as I
+from stackwise.session import scratch_path
 
 PHRASES = [*roles.DIAGNOSIS_PHRASES, "抽油杆断脱,位置距井口m:812.5", "无此结论", ""]
 
@@ -40,11 +43,15 @@ def well_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(key.cast("long").alias("row_id"), *cells)
 
 
-def prepared_wells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table through ``prepare_table`` with the roles, dictionaries, phrases and fills of :mod:`stackwise.roles`."""
-    spec = roles.role_spec()
+def prepared_wells(spark: SparkSession, sf_dir: str, columns: Sequence[str] = roles.COLUMNS) -> DataFrame:
+    """``columns`` of the table through ``prepare_table`` with the roles, dictionaries, phrases and fills of :mod:`stackwise.roles`.
+
+    The records are made once: typed columns are written to the scratch folder with their statistics observed.
+    """
+    spec = {c: role for c, role in roles.role_spec().items() if c in columns}
     diagnosis = {c: {"width": roles.DIAGNOSIS_WIDTH, "phrases": roles.DIAGNOSIS_PHRASES, "strip_pattern": roles.DIAGNOSIS_DEPTH_SUFFIX}
                  for c, role in spec.items() if role == "multi_hot"}
-    out, _ = P.prepare_table(well_records(spark, sf_dir), [c for c, role in spec.items() if role == "numeric"], one_hot_cols=roles.ONE_HOT,
-                             multi_hot_cols=diagnosis, missing_fill=roles.MISSING_FILL)
+    wells = well_records(spark, sf_dir).select("row_id", *(f"`{c}`" for c in columns))
+    out, _ = P.prepare_table(wells, [c for c, role in spec.items() if role == "numeric"], one_hot_cols=roles.ONE_HOT,
+                             multi_hot_cols=diagnosis, missing_fill=roles.MISSING_FILL, written_to=scratch_path(spark, "typed-wells"))
     return out

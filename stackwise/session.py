@@ -3,13 +3,16 @@
 The scratch location is the folder named by ``spark.checkpoint.dir`` (a shared file system such
 as HDFS/S3). Without that setting a cluster session raises an error, since executors
 would each write to a disk of their own; a local session, where driver and
-executor are one process, gets a private temporary folder.
+executor are one process, gets a private temporary folder. What operators write there stays until the caller
+ends a :func:`scratch_run`, since lazy results may still read it.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -45,12 +48,30 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+_RUNS: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique sub-path under the shared checkpoint folder."""
-    base = checkpoint_dir(spark).rstrip("/")
+    """A fresh, unique sub-path under the current run's folder, or under the shared checkpoint folder."""
+    base = _RUNS[-1] if _RUNS else checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+@contextmanager
+def scratch_run(spark: SparkSession) -> Iterator[str]:
+    """Everything that operators write for themselves inside the context goes to one folder, which is deleted at its end.
+
+    Results that are read later must be written elsewhere (or collected) before the context ends.
+    """
+    path = scratch_path(spark, "run")
+    _RUNS.append(path)
+    try:
+        yield path
+    finally:
+        _RUNS.remove(path)
+        release(spark, path)
+
+
 def release(spark: SparkSession, path: str) -> None:
     """Delete what a run wrote under :func:`scratch_path`."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -9,15 +9,16 @@ from __future__ import annotations
 
 import numpy as np
 
-from oracles.build import ONE, ZERO, Chain, r6
+from oracles.build import ONE, ZERO, Chain, params_rows, r6
 from oracles.formulas import fl
 from oracles.formulas import stream as derive_seed
 from oracles.sql import ORACLES, ev_inputs
-from oracles.training import RBMTabs, batch_rows, binary_cd, gaussian_cd, nn_forward_sql, nn_grads_sql
-from oracles.wells import well_samples
+from oracles.training import RBMTabs, batch_rows, binary_cd, gaussian_cd, hidden_act_sums, nn_error, nn_forward_sql, nn_grads_sql, sums_as_means
+from oracles.wells import well_features, well_samples
 from stackwise import roles
 from stackwise.operators import rbm as R
 from stackwise.plans import catalog as C
+from stackwise.plans import fixtures as FX
 
 N_BATCHES = 3
 
@@ -115,5 +116,36 @@ def _events() -> str:
     return dbn_end_to_end_sql(ch, x, y, 3, len(kinds))
 
 
+def _wide_gradient() -> str:
+    """One gradient with masked input and sparsity over all columns of the well table."""
+    ch = Chain()
+    x, y, _ = well_features(ch)
+    Ws, n = [ch.mat(w) for w in FX.well_weights()], ch.count(x)
+    a, masks = nn_forward_sql(ch, x, Ws, "sigm", "sigm", training=True, noise=0.2, step_seed=C.SEED)
+    p = hidden_act_sums(ch, a, n, {1: ch.vec(np.zeros(4))}, 0.99)
+    grads, loss = nn_grads_sql(ch, a, masks, y, Ws, "sigm", "sigm", n, sparsity=0.1, target=0.1, p=p)
+    return ch.render(params_rows([("g0", grads[0], "mat"), ("g1", grads[1], "mat"), ("loss", loss, "scalar"), ("p1", p[1], "vec")]))
+
+
+def _wide_predictions() -> str:
+    ch = Chain()
+    x, y, _ = well_features(ch)
+    a, _ = nn_forward_sql(ch, x, [ch.mat(w) for w in FX.well_weights()], "sigm", "sigm")
+    o, e = a[-1], nn_error(ch, y, a[-1])
+    cols = ", ".join(f"{r6(f'MAX(CASE WHEN o.i = {i} THEN {t}.v END)')} AS {name}{i}" for t, name in (("o", "predict_label"), ("e", "error")) for i in range(3))
+    return ch.render(f"SELECT o.r AS row_id, {cols} FROM {o} o JOIN {e} e ON o.r = e.r AND o.i = e.i GROUP BY o.r")
+
+
+def _wide_cd_step() -> str:
+    W, b, c, s = FX.well_rbm()
+    ch = Chain()
+    x, _, _ = well_features(ch)
+    st = gaussian_cd(ch, x, RBMTabs(ch, W, b, c, s), C.SEED, noise="none")
+    return ch.render(sums_as_means(ch, st, ["dW", "db", "dc", "err", "dsig"]))
+
+
+ORACLES["nn_gradient_sparse"] = _wide_gradient()
+ORACLES["nn_predict_sparse"] = _wide_predictions()
+ORACLES["gaussian_rbm_cd_step_sparse"] = _wide_cd_step()
 ORACLES["dbn_end_to_end"] = _wells()
 ORACLES["events_dbn_end_to_end"] = _events()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from oracles.build import Chain, r6
+from oracles.build import Chain, r4, r6
 from oracles.sql import ORACLES
 from stackwise import roles
 from stackwise.plans.wells import PHRASES
@@ -54,6 +54,33 @@ def well_samples(ch: Chain) -> tuple[str, str]:
     return x, y
 
 
+def well_features(ch: Chain) -> tuple[str, str, int]:
+    """Long rows (r, i, v) of every column but the name and the target, codes as their slots; the target; the width."""
+    names = [c for c in roles.COLUMNS if c not in ("井号", roles.EXAMPLE_TARGET)]
+    base = _scaled(ch, [c for c in names if c not in roles.TEXT_COLUMNS])
+    base = ch.add(f"SELECT *, {_diagnosis()} AS digits FROM {base}")
+    parts, width = [], 0
+    for c in names:
+        j = roles.COLUMNS.index(c)
+        if c == "泵况分析结果":
+            values = [f"CAST(substr(digits, {k + 1}, 1) AS DOUBLE) / 2" for k in range(roles.DIAGNOSIS_WIDTH)]
+        else:
+            values = _one_hot(j, c) if c in roles.ONE_HOT else [f"n{j}"]
+        parts += [f"SELECT o_orderkey AS r, {width + k} AS i, {v} AS v FROM {base}" for k, v in enumerate(values)]
+        width += len(values)
+    target = _one_hot(roles.COLUMNS.index(roles.EXAMPLE_TARGET), roles.EXAMPLE_TARGET)
+    x = ch.add(" UNION ALL ".join(parts))
+    y = ch.add(" UNION ALL ".join(f"SELECT o_orderkey AS r, {k} AS i, {v} AS v FROM orders" for k, v in enumerate(target)))
+    return x, y, width
+
+
+def _sparse_features() -> str:
+    ch = Chain()
+    x, _, width = well_features(ch)
+    first = "string_agg(CASE WHEN i < 4 AND v > 0 THEN CAST(i AS VARCHAR) || ':' || CAST(CAST(2 * v AS INTEGER) AS VARCHAR) END, ',' ORDER BY i)"
+    return ch.render(f"SELECT r AS row_id, CAST({width} AS INTEGER) AS width, coalesce({first}, '') AS first_code, {r4('SUM(v * (i + 1))')} AS checksum FROM {x} GROUP BY r")
+
+
 def _wide_table() -> str:
     ch = Chain()
     numeric = [c for c in roles.COLUMNS if c not in roles.TEXT_COLUMNS]
@@ -70,3 +97,4 @@ def _wide_table() -> str:
 
 
 ORACLES["prepare_wide_table"] = _wide_table()
+ORACLES["sparse_features"] = _sparse_features()

@@ -64,9 +64,13 @@ def normal_col(row_id, unit, seed: int) -> Column:
 
 def uniform_np(row_ids: np.ndarray, n_units: int, seed: int) -> np.ndarray:
     """Matrix of draws, shape (len(row_ids), n_units)."""
-    rid = np.asarray(row_ids, dtype=np.int64)[:, None]
+    return uniform_at(np.asarray(row_ids, dtype=np.int64)[:, None], np.arange(n_units, dtype=np.int64)[None, :], seed)
+
+
+def uniform_at(row_ids: np.ndarray, units: np.ndarray, seed: int) -> np.ndarray:
+    """Draws of pairs of row and unit (arrays that broadcast together)."""
+    rid, units = np.asarray(row_ids, dtype=np.int64), np.asarray(units, dtype=np.int64)
     lo, hi = np.mod(rid, M), np.mod(np.floor_divide(rid, M), M)
-    units = np.arange(n_units, dtype=np.int64)[None, :]
     s = np.int64(int(seed) % M)
     a = (lo * 48271 + hi * 40014 + units * 69621 + s) % M
     b = (lo * 40692 + hi * 30323 + units * 16807 + s) % M

@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 
 from stackwise.functions import vectors as V
 from stackwise.functions.activations import np_act
-from stackwise.operators.step import list_matrix
+from stackwise.functions.sparse import SparseRows, is_sparse
+from stackwise.operators.step import features_matrix, times
 from stackwise.session import ship_package
 
 
@@ -43,10 +44,10 @@ def dense_arrow(df: DataFrame, col: str, W: np.ndarray, c: np.ndarray | None, ac
         for rb in batches:
             if rb.num_rows == 0:
                 continue
-            X = list_matrix(rb.column(col), p["W"].shape[1])
+            X = features_matrix(rb.column(col), p["W"].shape[1])
             if p["s"] is not None:
-                X = X / p["s"]
-            H = np_act(act, X @ p["W"].T + p["c"])
+                X = X.scaled(p["s"]) if isinstance(X, SparseRows) else X / p["s"]
+            H = np_act(act, times(X, p["W"].T) + p["c"])
             made = arrow_list(H)
             yield pa.RecordBatch.from_arrays([made if n == out else rb.column(n) for n in names], names=names)
 
@@ -55,8 +56,8 @@ def dense_arrow(df: DataFrame, col: str, W: np.ndarray, c: np.ndarray | None, ac
 
 def dense_layer(df: DataFrame, col: str, W: np.ndarray, c: np.ndarray | None, act: str, out: str,
                 scale: np.ndarray | None = None, method: str = "auto") -> DataFrame:
-    """D3 at DataFrame level: code-generated expression for small layers, Arrow for wide ones."""
+    """D3 at DataFrame level: code-generated expression for small layers, Arrow for wide ones and sparse vectors."""
     W = np.asarray(W, dtype=float)
-    if method == "arrow" or (method == "auto" and W.size > V.EXPRESSION_MAX):
+    if method == "arrow" or (method == "auto" and (W.size > V.EXPRESSION_MAX or is_sparse(df.schema[col].dataType))):
         return dense_arrow(df, col, W, c, act, out, scale)
     return df.withColumn(out, V.dense(F.col(col), W, c, act, scale=scale))

@@ -21,9 +21,10 @@ from pyspark.sql import types as T
 from stackwise.functions import activations as A
 from stackwise.functions import vectors as V
 from stackwise.functions.random import derive_seed, uniform_np
+from stackwise.functions.sparse import SparseRows, is_sparse
 from stackwise.operators import sampling as S
 from stackwise.operators.layers import arrow_list, dense_layer
-from stackwise.operators.step import list_matrix, step_sums
+from stackwise.operators.step import features_matrix, list_matrix, step_sums, times
 from stackwise.session import ship_package
 from stackwise.sources.numbered import keyed_rows
 
@@ -102,11 +103,12 @@ def _forward(P, ids, X, training: bool):
     act, outf = _ACT_NAME[int(P["act"])], _ACT_NAME[int(P["out"])]
     dropout, noise, seed = float(P["dropout"]), float(P["noise"]), int(P["seed"])
     if training and noise > 0:
-        X = X * (uniform_np(ids, X.shape[1], derive_seed(seed, S.NOISE)) >= noise)
+        s = derive_seed(seed, S.NOISE)
+        X = X.kept(ids, noise, s) if isinstance(X, SparseRows) else X * (uniform_np(ids, X.shape[1], s) >= noise)
     a, masks = [X], {}
     for l in range(1, L):
         w = P[f"W{l - 1}"]
-        h = A.np_act(act if l < L - 1 else outf, a[-1] @ w[:, 1:].T + w[:, 0])
+        h = A.np_act(act if l < L - 1 else outf, times(a[-1], w[:, 1:].T) + w[:, 0])
         if l < L - 1 and dropout > 0:
             if training:
                 masks[l] = (uniform_np(ids, h.shape[1], derive_seed(seed, S.DROPOUT, l)) > dropout).astype(np.float64)
@@ -119,7 +121,7 @@ def _forward(P, ids, X, training: bool):
 
 def _outer_sums(delta: np.ndarray, a: np.ndarray) -> np.ndarray:
     """sum over rows of delta^T [1 | a]: the bias column first."""
-    return np.column_stack([delta.sum(axis=0), delta.T @ a])
+    return np.column_stack([delta.sum(axis=0), a.under(delta) if isinstance(a, SparseRows) else delta.T @ a])
 
 
 def nn_rows(P, ids, X, Y):
@@ -187,7 +189,7 @@ def _shapes(W, cfg: NNConfig, want_grad: bool, want_act: bool, linear_penalty: b
 
 def _run(df, W, cfg, **kw) -> dict:
     shapes = _shapes(W, cfg, kw["want_grad"], kw["want_act"], kw.get("linear_penalty", False))
-    return step_sums(df, nn_rows, _pass_params(W, cfg, **kw), shapes, width=cfg.sizes[0], label_width=cfg.sizes[-1])
+    return step_sums(df, nn_rows, _pass_params(W, cfg, **kw), shapes, width=cfg.sizes[0], label_width=cfg.sizes[-1], sparse=True)
 
 
 # --------------------------------------------------------------------------- operators
@@ -341,7 +343,7 @@ def predict_arrow(df: DataFrame, W, cfg: NNConfig, *, features: str = "features"
         for rb in batches:
             if rb.num_rows == 0:
                 continue
-            X = list_matrix(rb.column(features), cfg.sizes[0])
+            X = features_matrix(rb.column(features), cfg.sizes[0])
             a, _ = _forward(P, None, X, False)
             out = a[-1]
             err = list_matrix(rb.column(label), cfg.sizes[-1]) - out
@@ -368,7 +370,7 @@ def nn_predict(df: DataFrame, W, cfg: NNConfig, *, features: str = "features", l
     """
     L = cfg.n_layers
     extra = [c for c in keep if c in df.columns]
-    if method == "arrow" or (method == "auto" and not _layers_small(W)):
+    if method == "arrow" or (method == "auto" and (is_sparse(df.schema[features].dataType) or not _layers_small(W))):
         base = df.select(*extra, F.col(label).alias("label"), F.col(features).alias("features"))
         return predict_arrow(base, W, cfg)
     out = forward_columns(df, W, cfg, features=features)

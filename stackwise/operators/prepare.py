@@ -7,12 +7,14 @@ request, the label-width check. Dictionaries become literal maps/arrays (no join
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stackwise.functions import sparse as SP
 from stackwise.functions import vectors as V
 
 
@@ -40,17 +42,36 @@ def blank_to_null(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame
 ONE_HOT_UNROLL = 64  # dictionaries up to this size become one CASE per slot (code-generated)
 
 
-def one_hot(col, values: Sequence[str], *, on_unknown: str = "zero", missing_fill: float | None = None) -> Column:
+def _unknown(col: Column, on_unknown: str, zero: Column, ddl: str) -> Column:
+    if on_unknown == "zero":
+        return zero
+    if on_unknown == "null":
+        return F.lit(None).cast(ddl)
+    if on_unknown == "error":
+        return F.raise_error(F.concat(F.lit("unknown category: "), col.cast("string"))).cast(ddl)
+    raise ValueError("on_unknown must be zero, null or error")
+
+
+def _no_repeats(values: Sequence[str]) -> None:
+    repeated = sorted(str(v) for v, n in Counter(values).items() if n > 1)
+    if repeated:
+        raise ValueError(f"repeated dictionary value(s): {repeated}")
+
+
+def one_hot(col, values: Sequence[str], *, on_unknown: str = "zero", missing_fill: float | None = None, sparse: bool = False) -> Column:
     """B2 (+B11): category -> fixed 0/1 vector of len(values).
 
     on_unknown: 'zero' (all-zero vector), 'null', or 'error' (raise at run time).
     missing_fill: value of every slot for a NULL cell (0.5 or 0 in the well table); NULL if None.
+    sparse: (size, indices, values) with one number per known category, see :mod:`stackwise.functions.sparse`.
     A dictionary that repeats a value raises, whatever its size.
     """
-    repeated = sorted({str(v) for v in values if list(values).count(v) > 1})
-    if repeated:
-        raise ValueError(f"repeated dictionary value(s): {repeated}")
+    _no_repeats(values)
     c = _c(col)
+    if sparse:
+        slot = F.try_element_at(F.create_map(*[x for i, v in enumerate(values) for x in (F.lit(v), F.lit(i))]), c)
+        unknown = _unknown(c, on_unknown, SP.filled(len(values), 0), SP.SPARSE_DDL)
+        return F.when(c.isNull(), SP.filled(len(values), missing_fill)).when(slot.isNotNull(), SP.sparse_vector(len(values), F.array(slot), F.array(F.lit(1.0)))).otherwise(unknown)
     if len(values) <= ONE_HOT_UNROLL:
         code = V.one_hot_lit(c, values)
         known = c.isin(list(values))
@@ -60,14 +81,7 @@ def one_hot(col, values: Sequence[str], *, on_unknown: str = "zero", missing_fil
         code = F.transform(F.sequence(F.lit(0), F.lit(len(values) - 1)),
                            lambda i: F.when(i == slot, F.lit(1.0)).otherwise(F.lit(0.0)))
         known = slot.isNotNull()
-    if on_unknown == "zero":
-        unknown = F.array_repeat(F.lit(0.0), len(values))
-    elif on_unknown == "null":
-        unknown = F.lit(None).cast("array<double>")
-    elif on_unknown == "error":
-        unknown = F.raise_error(F.concat(F.lit("unknown category: "), c.cast("string"))).cast("array<double>")
-    else:
-        raise ValueError("on_unknown must be zero, null or error")
+    unknown = _unknown(c, on_unknown, F.array_repeat(F.lit(0.0), len(values)), "array<double>")
     missing = F.lit(None).cast("array<double>") if missing_fill is None else F.array_repeat(F.lit(float(missing_fill)), len(values))
     return F.when(c.isNull(), missing).when(known, code).otherwise(unknown)
 
@@ -92,8 +106,8 @@ def impute_category_default(col, width: int, fill: float = 0.5) -> Column:
 
 def multi_hot(col, width: int, phrases: Mapping[str, Sequence[int]] | None = None,
               keywords: Mapping[str, Sequence[int]] | None = None, strip_pattern: str | None = None,
-              missing_fill: float | None = None) -> Column:
-    """Phrase -> ``width``-bit multi-hot vector.
+              missing_fill: float | None = None, sparse: bool = False) -> Column:
+    """Phrase -> ``width``-bit multi-hot vector (``sparse``: of its bits alone).
 
     1. exact phrase dictionary (literal map, after removing ``strip_pattern`` if given);
     2. for phrases not in the dictionary, keyword rules: each keyword found sets its bits;
@@ -114,6 +128,8 @@ def multi_hot(col, width: int, phrases: Mapping[str, Sequence[int]] | None = Non
         bits = F.coalesce(dict_bits, bits_from_rules)
     else:
         bits = bits_from_rules
+    if sparse:
+        return F.when(c.isNull(), SP.filled(int(width), missing_fill)).otherwise(SP.ones(int(width), bits))
     vec = F.transform(F.sequence(F.lit(0), F.lit(int(width) - 1)),
                       lambda i: F.when(F.array_contains(bits, i), F.lit(1.0)).otherwise(F.lit(0.0)))
     missing = F.lit(None).cast("array<double>") if missing_fill is None else F.array_repeat(F.lit(float(missing_fill)), int(width))
@@ -137,18 +153,26 @@ def profile_columns(df: DataFrame, roles: Mapping[str, str]) -> DataFrame:
 # ----------------------------------------------------------------------------- B6, B7
 
 def select_features(df: DataFrame, target: str, features: Sequence[str], *, row_id: str | None = None) -> DataFrame:
-    """Pick the target and features by name, keep the given order; unknown name fails now."""
+    """Pick the target and features by name, keep the given order; unknown name fails now.
+
+    Features are dense vectors unless one of the columns is sparse; then all are joined to one sparse vector.
+    """
     missing = [c for c in [target, *features] if c not in df.columns]
     if missing:
         raise KeyError(f"unknown column(s): {missing}")
+    sparse = any(SP.is_sparse(df.schema[c].dataType) for c in features)
     parts = []
     for c in features:
         dt = df.schema[c].dataType
+        if sparse:
+            parts.append(_c(c) if SP.is_sparse(dt) else SP.from_dense(_c(c).cast("array<double>")) if isinstance(dt, T.ArrayType)
+                         else SP.sparse_vector(1, F.array(F.lit(0)), F.array(_c(c).cast("double"))))
+            continue
         parts.append(_c(c).cast("array<double>") if isinstance(dt, T.ArrayType) else F.array(_c(c).cast("double")))
     tdt = df.schema[target].dataType
     label = _c(target).cast("array<double>") if isinstance(tdt, T.ArrayType) else F.array(_c(target).cast("double"))
     sel = [_c(row_id).cast("long").alias("row_id")] if row_id else []
-    return df.select(*sel, label.alias("label"), F.concat(*parts).alias("features"))
+    return df.select(*sel, label.alias("label"), (SP.concatenated(parts) if sparse else F.concat(*parts)).alias("features"))
 
 
 def assemble_samples(df: DataFrame, row_id: str, label: Column, features: Sequence, *, check_width: bool = False) -> DataFrame:
@@ -247,14 +271,16 @@ def min_max_scale(df: DataFrame, cols: Sequence[str], stats: Mapping | None = No
 
 def prepare_table(df: DataFrame, numeric: Sequence[str], *, one_hot_cols: Mapping[str, Sequence[str]] | None = None,
                   multi_hot_cols: Mapping[str, dict] | None = None, missing_fill: Mapping[str, float] | None = None,
-                  zero_fill_stats: bool = False, double_scale: bool = False, written_to: str | None = None) -> tuple[DataFrame, dict]:
+                  zero_fill_stats: bool = False, double_scale: bool = False, written_to: str | None = None,
+                  sparse: Sequence[str] = ()) -> tuple[DataFrame, dict]:
     """Blank -> NULL, encode categories, impute means, scale to [0, 1].
 
     With ``written_to`` the input is read once: one job writes the typed columns there and observes the statistics, and
     the result is a projection of what was written (only the columns that are asked for). This is the form for text
     tables and for inputs that are costly to make. Without it, the statistics are one aggregation and the result
     a projection of the input, which is then read twice.
-    ``zero_fill_stats`` / ``double_scale`` reproduce the reference's imputation (Q8).
+    ``zero_fill_stats`` / ``double_scale`` reproduce the reference's imputation (Q8). Category columns named in
+    ``sparse`` become sparse vectors.
     """
     one_hot_cols = one_hot_cols or {}
     multi_hot_cols = multi_hot_cols or {}
@@ -276,10 +302,10 @@ def prepare_table(df: DataFrame, numeric: Sequence[str], *, one_hot_cols: Mappin
                 filled = impute_mean_expr(x, av)
             out.append(scale_expr(filled, mn, mx).alias(c))
         elif c in one_hot_cols:
-            out.append(one_hot(c, one_hot_cols[c], missing_fill=missing_fill.get(c)).alias(c))
+            out.append(one_hot(c, one_hot_cols[c], missing_fill=missing_fill.get(c), sparse=c in sparse).alias(c))
         elif c in multi_hot_cols:
             spec = dict(multi_hot_cols[c])
-            out.append(multi_hot(c, missing_fill=missing_fill.get(c), **spec).alias(c))
+            out.append(multi_hot(c, missing_fill=missing_fill.get(c), sparse=c in sparse, **spec).alias(c))
         else:
             out.append(_c(c))
     return clean.select(*out), stats

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stackwise.functions.sparse import SparseRows, sparse_rows
 from stackwise.session import ship_package
 
 FAN = 64  # tasks that share the partials of one chunk
@@ -53,6 +54,16 @@ def list_matrix(arr: pa.Array, width: int | None = None) -> np.ndarray:
     return flat.reshape(n, width)
 
 
+def features_matrix(arr: pa.Array, width: int | None = None) -> np.ndarray | SparseRows:
+    """A batch of vectors: dense ones as a matrix, sparse ones as compressed rows."""
+    return sparse_rows(arr, width) if pa.types.is_struct(arr.type) else list_matrix(arr, width)
+
+
+def times(X: np.ndarray | SparseRows, m: np.ndarray) -> np.ndarray:
+    """X m."""
+    return X.times(m) if isinstance(X, SparseRows) else X @ m
+
+
 def step_sums(
     df: DataFrame,
     fn: RowFn,
@@ -64,10 +75,12 @@ def step_sums(
     label: str | None = "label",
     width: int | None = None,
     label_width: int | None = None,
+    sparse: bool = False,
 ) -> dict[str, np.ndarray]:
     """Sum ``fn(params, ids, X, Y)`` over all rows of ``df``.
 
-    A vector that is NULL, holds NULL or is not ``width`` (``label_width``) wide raises. ``shapes`` names every quantity ``fn`` returns with its shape; quantities absent from the
+    A vector that is NULL, holds NULL or is not ``width`` (``label_width``) wide raises. Sparse features go to ``fn`` as
+    :class:`SparseRows` if it takes them (``sparse``), else as dense slices of bounded size. ``shapes`` names every quantity ``fn`` returns with its shape; quantities absent from the
     result (empty input) come back as zeros, including ``n``.
     """
     have = df.columns
@@ -93,12 +106,14 @@ def step_sums(
             if rb.num_rows == 0:
                 continue
             ids = rb.column(row_id).to_numpy(zero_copy_only=False).astype(np.int64) if has_id else None
-            X = list_matrix(rb.column(features), width)
+            X = features_matrix(rb.column(features), width)
             Y = list_matrix(rb.column(label), label_width) if has_label else None
-            out = fn(p, ids, X, Y)
-            for k, v in out.items():
-                v = np.asarray(v, dtype=np.float64)
-                acc[k] = acc[k] + v if k in acc else v.copy()
+            slices = [(slice(None), X)] if sparse or not isinstance(X, SparseRows) else X.dense_slices()
+            for at, rows in slices:
+                out = fn(p, None if ids is None else ids[at], rows, None if Y is None else Y[at])
+                for k, v in out.items():
+                    v = np.asarray(v, dtype=np.float64)
+                    acc[k] = acc[k] + v if k in acc else v.copy()
         if not acc:
             return
         yield _chunked_batch({k: acc[k].ravel() for k in names if k in acc}, chunk)

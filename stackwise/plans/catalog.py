@@ -600,6 +600,37 @@ def q_dbn_transform(spark, sf):
 
 # ============================================================================ G: network
 
+def q_sparse_features(spark, sf):
+    """B2, B3, B6 as sparse vectors: keyed rows of the well table's codes, as what they hold and where."""
+    df = wells.wide_samples(spark, sf)
+    held = F.zip_with(F.col("features.indices"), F.col("features.values"), lambda i, v: F.struct(i.alias("i"), v.alias("v")))
+    code = F.filter(held, lambda s: s["v"].isin(0.5, 1.0) & (s["i"] < 4))  # the first column is a code of four slots
+    return df.select("row_id", F.col("features.size").alias("width"), F.array_join(F.transform(code, lambda s: F.concat(s["i"].cast("string"), F.lit(":"), (s["v"] * 2).cast("int").cast("string"))), ",").alias("first_code"),
+                     round4(F.aggregate(F.filter(held, lambda s: s["v"].isNotNull()), F.lit(0.0), lambda acc, s: acc + s["v"] * (s["i"] + 1))).alias("checksum"))
+
+
+WELL_CFG = N.NNConfig(sizes=(FX.WELL_WIDTH, 4, 3), activation="sigm", output="sigm", noise=0.2, sparsity=0.1, sparsity_target=0.1, seed=SEED)
+
+
+def q_nn_gradient_sparse(spark, sf):
+    """G2, G3, C3 on sparse samples of all columns of the well table."""
+    g = N.nn_gradient(wells.wide_samples(spark, sf), FX.well_weights(), WELL_CFG)
+    return params_df(spark, [("g0", g["grads"][0]), ("g1", g["grads"][1]), ("loss", np.array(g["loss"])), ("p1", g["p"][1])])
+
+
+def q_nn_predict_sparse(spark, sf):
+    pred = N.nn_predict(wells.wide_samples(spark, sf), FX.well_weights(), WELL_CFG)
+    return pred.select("row_id", *(round6(F.col(c)[i]).alias(f"{c}{i}") for c in ("predict_label", "error") for i in range(3)))
+
+
+def q_gaussian_rbm_cd_step_sparse(spark, sf):
+    """F5 on sparse samples of all columns of the well table."""
+    W, b, c, s = FX.well_rbm()
+    p = R.RBMParams(W=W, b=b, c=c, sigma=s)
+    sums = R.cd_step_sums(wells.wide_samples(spark, sf).select("row_id", "features"), p, R.RBMConfig(noise="none", seed=SEED), SEED, True)
+    return _step_means(spark, sums, ["dW", "db", "dc", "err", "dsig"])
+
+
 LI_CFG = N.NNConfig(sizes=FX.LI_SIZES, activation="sigm", output="sigm", learning_rate=2.0, momentum=0.5)
 
 
@@ -824,6 +855,10 @@ QUERIES = {
     "nn_gradient": q_nn_gradient,
     "nn_sparsity_penalty": q_nn_sparsity_penalty,
     "nn_step": q_nn_step,
+    "sparse_features": q_sparse_features,
+    "nn_gradient_sparse": q_nn_gradient_sparse,
+    "nn_predict_sparse": q_nn_predict_sparse,
+    "gaussian_rbm_cd_step_sparse": q_gaussian_rbm_cd_step_sparse,
     **{k: _nn_fit_query(k) for k in EM_FIT_VARIANTS},
     "nn_evaluate": q_nn_evaluate,
     "nn_predict": q_nn_predict,

@@ -63,3 +63,15 @@ EM_SIZES = (EM_WIDTH, 6, 10)
 
 def em_weights():
     return [fixed((6, EM_WIDTH + 1), 51, 0.8), fixed((10, 7), 52, 0.8)]
+
+
+# all features of the prepared well table (numbers and codes): network [WELL_WIDTH, 4, 3] and a Gaussian RBM of 4 hidden units
+WELL_WIDTH = 120
+
+
+def well_weights():
+    return [fixed((4, WELL_WIDTH + 1), 81, 0.4), fixed((3, 5), 82, 0.8)]
+
+
+def well_rbm():
+    return fixed((4, WELL_WIDTH), 83, 0.3), fixed((WELL_WIDTH,), 84, 0.2), fixed((4,), 85, 0.2), 0.7 + np.abs(fixed((WELL_WIDTH,), 86, 0.4))

@@ -43,7 +43,7 @@ def well_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(key.cast("long").alias("row_id"), *cells)
 
 
-def prepared_wells(spark: SparkSession, sf_dir: str, columns: Sequence[str] = roles.COLUMNS) -> DataFrame:
+def prepared_wells(spark: SparkSession, sf_dir: str, columns: Sequence[str] = roles.COLUMNS, sparse: Sequence[str] = ()) -> DataFrame:
     """``columns`` of the table through ``prepare_table`` with the roles, dictionaries, phrases and fills of :mod:`stackwise.roles`.
 
     The records are made once: typed columns are written to the scratch folder with their statistics observed.
@@ -53,5 +53,14 @@ def prepared_wells(spark: SparkSession, sf_dir: str, columns: Sequence[str] = ro
                  for c, role in spec.items() if role == "multi_hot"}
     wells = well_records(spark, sf_dir).select("row_id", *(f"`{c}`" for c in columns))
     out, _ = P.prepare_table(wells, [c for c, role in spec.items() if role == "numeric"], one_hot_cols=roles.ONE_HOT,
-                             multi_hot_cols=diagnosis, missing_fill=roles.MISSING_FILL, written_to=scratch_path(spark, "typed-wells"))
+                             multi_hot_cols=diagnosis, missing_fill=roles.MISSING_FILL, written_to=scratch_path(spark, "typed-wells"), sparse=sparse)
     return out
+
+
+FEATURES = [c for c in roles.COLUMNS if c not in ("井号", roles.EXAMPLE_TARGET)]  # every column but the name and the target
+
+
+def wide_samples(spark: SparkSession, sf_dir: str, *, sparse: bool = True) -> DataFrame:
+    """(row_id, label, features) of all columns of the prepared table, categories as sparse (or dense) vectors."""
+    codes = [c for c in FEATURES if c in roles.TEXT_COLUMNS] if sparse else ()
+    return P.select_features(prepared_wells(spark, sf_dir, [roles.EXAMPLE_TARGET, *FEATURES], codes), roles.EXAMPLE_TARGET, FEATURES, row_id="row_id")

@@ -95,6 +95,12 @@ def _():
     return "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders"
 
 
+@oracle("read_quoted_table")
+def _():
+    note = "'key \"' || o_orderkey || '\",' || chr(10) || repeat('line' || chr(10), CAST(o_orderkey % 4 AS BIGINT)) || o_orderpriority"
+    return f"SELECT o_orderkey, {note} AS note, o_orderstatus FROM orders"
+
+
 @oracle("read_clean_table")
 def _():
     ch = Chain()

@@ -531,6 +531,16 @@ def _fit_variant(name: str) -> str:
     return ch.render(params_rows([("W0", Ws[0], "mat"), ("W1", Ws[1], "mat")] + hist_rows(ch, hist)))
 
 
+@oracle("training_run")
+def _():
+    cfg = C.em_cfg(dropout=0.2, scaling_learning_rate=0.5)
+    ch = Chain()
+    _, x, y = em_inputs(ch)
+    x, y, val = _held_out(ch, x, y, 0.3, cfg.seed)
+    Ws, hist = nn_fit_sql(ch, x, y, FX.em_weights(), cfg, epochs=3, nb=2, val=val)
+    return ch.render(params_rows([("W0", Ws[0], "mat"), ("W1", Ws[1], "mat")] + hist_rows(ch, hist)))
+
+
 @oracle("nn_fit_unkeyed")
 def _():
     cfg = N.NNConfig(sizes=FX.LI_SIZES, activation="sigm", output="sigm", learning_rate=1.0, momentum=0.5, noise=0.2, dropout=0.3, seed=SEED)

@@ -33,16 +33,21 @@ class DBNModel:
 
 def dbn_pretrain(samples: DataFrame, sizes, *, epochs: int = 1, n_batches: int | None = None,
                  batch_size: int | None = None, k: int = 1, momentum: float = 0.0, alpha: float = 0.2, seed: int = 0,
-                 noise: str = "normal", init: list | None = None, scale_by_sigma: bool = False, sigma_rate: float = 1.0) -> DBNModel:
-    """pretrain ``len(sizes) - 1`` RBMs; defaults size [10, 5, 1], momentum 0, alpha 0.2. Samples without a ``row_id`` are numbered once."""
+                 noise: str = "normal", init: list | None = None, scale_by_sigma: bool = False, sigma_rate: float = 1.0,
+                 run_path: str | None = None) -> DBNModel:
+    """pretrain ``len(sizes) - 1`` RBMs; defaults size [10, 5, 1], momentum 0, alpha 0.2. Samples without a ``row_id`` are numbered once.
+
+    With ``run_path`` every epoch of every layer is committed (``layer-1``, ...); a run that is called again goes on there.
+    """
     with keyed_rows(samples.select(*(["row_id"] if "row_id" in samples.columns else []), "features")) as base:
-        return _pretrain(base, tuple(int(s) for s in sizes), epochs, n_batches, batch_size, k, momentum, alpha, seed, noise, init, scale_by_sigma, sigma_rate)
+        return _pretrain(base, tuple(int(s) for s in sizes), epochs, n_batches, batch_size, k, momentum, alpha, seed, noise, init, scale_by_sigma, sigma_rate, run_path)
 
 
-def _pretrain(base: DataFrame, sizes: tuple, epochs, n_batches, batch_size, k, momentum, alpha, seed, noise, init, scale_by_sigma, sigma_rate) -> DBNModel:
+def _pretrain(base: DataFrame, sizes: tuple, epochs, n_batches, batch_size, k, momentum, alpha, seed, noise, init, scale_by_sigma, sigma_rate, run_path) -> DBNModel:
     layers, history = [], []
     common = dict(epochs=epochs, n_batches=n_batches, batch_size=batch_size, momentum=momentum, alpha=alpha, k=k)
-    g = R.gaussian_rbm_fit(base, sizes[1], seed=derive_seed(seed, 400, 0), noise=noise, sigma_rate=sigma_rate,
+    folder = lambda i: None if run_path is None else f"{run_path.rstrip('/')}/layer-{i}"
+    g = R.gaussian_rbm_fit(base, sizes[1], run_path=folder(1), seed=derive_seed(seed, 400, 0), noise=noise, sigma_rate=sigma_rate,
                            init=None if init is None else init[0], **common)
     layers.append(g.params)
     history += [(1, e, err) for e, err in g.history]
@@ -50,7 +55,7 @@ def _pretrain(base: DataFrame, sizes: tuple, epochs, n_batches, batch_size, k, m
     for i in range(2, len(sizes)):
         scale = scale_by_sigma and i == 2
         cur = R.rbm_hidden(cur, layers[-1], "features", "h", scale_by_sigma=scale).select("row_id", F.col("h").alias("features"))
-        fit = R.rbm_fit(cur, sizes[i], seed=derive_seed(seed, 400, i - 1), init=None if init is None else init[i - 1], **common)
+        fit = R.rbm_fit(cur, sizes[i], run_path=folder(i), seed=derive_seed(seed, 400, i - 1), init=None if init is None else init[i - 1], **common)
         layers.append(fit.params)
         history += [(i, e, err) for e, err in fit.history]
     return DBNModel(sizes, layers, history)

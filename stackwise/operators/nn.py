@@ -9,8 +9,9 @@ layers, so it also works on streaming DataFrames, and numpy per Arrow batch for
 
 from __future__ import annotations
 
+import zlib
 from contextlib import nullcontext
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,7 @@ from stackwise.functions.sparse import SparseRows, is_sparse
 from stackwise.operators import sampling as S
 from stackwise.operators.layers import arrow_list, dense_layer
 from stackwise.operators.step import features_matrix, list_matrix, step_sums, times
+from stackwise.plans.runs import OnEpoch, RunLog
 from stackwise.session import ship_package
 from stackwise.sources.numbered import keyed_rows
 
@@ -256,19 +258,25 @@ def nn_evaluate(df: DataFrame, W, cfg: NNConfig) -> float:
 
 
 def nn_fit(samples: DataFrame, cfg: NNConfig, *, epochs: int = 1, n_batches: int | None = None, batch_size: int | None = None,
-           validation: float = 0.0, init_weights_: list | None = None, eval_each_epoch: bool = True) -> NNFit:
+           validation: float = 0.0, init_weights_: list | None = None, eval_each_epoch: bool = True, run_path: str | None = None,
+           on_epoch: OnEpoch | None = None) -> NNFit:
     """Epoch x batch loop with momentum, L2, sparsity, noise, dropout, lr schedule.
 
     ``n_batches`` per epoch, or ``batch_size`` rows each (small tables), or one batch of all rows. Training and
     validation rows are written once and read from there by every step and evaluation. Samples without a
-    ``row_id`` are written and numbered first.
+    ``row_id`` are written and numbered first. With ``run_path`` every epoch is committed there, and a run that is
+    called again goes on after the last one (:mod:`stackwise.plans.runs`); ``on_epoch`` is told each epoch's errors.
     """
+    log = None
+    if run_path is not None:
+        init = zlib.crc32(b"".join(np.asarray(w, dtype=float).tobytes() for w in init_weights_)) if init_weights_ else None
+        log = RunLog(samples.sparkSession, run_path, {"stage": "nn", **asdict(cfg), "init": init, "n_batches": n_batches, "batch_size": batch_size, "validation": validation})
     with keyed_rows(samples.select(*(["row_id"] if "row_id" in samples.columns else []), "features", "label")) as df:
-        return _fit(df, cfg, epochs, n_batches, batch_size, validation, init_weights_, eval_each_epoch)
+        return _fit(df, cfg, epochs, n_batches, batch_size, validation, init_weights_, eval_each_epoch, log, on_epoch)
 
 
 def _fit(df: DataFrame, cfg: NNConfig, epochs: int, n_batches: int | None, batch_size: int | None, validation: float,
-         init_weights_: list | None, eval_each_epoch: bool) -> NNFit:
+         init_weights_: list | None, eval_each_epoch: bool, log: RunLog | None, on_epoch: OnEpoch | None) -> NNFit:
     from stackwise.plans.batches import TrainingRows
 
     train, val = S.train_validation_split(df, validation, cfg.seed) if validation > 0 else (df, None)
@@ -280,9 +288,18 @@ def _fit(df: DataFrame, cfg: NNConfig, epochs: int, n_batches: int | None, batch
     p = {l: np.zeros(cfg.sizes[l]) for l in range(1, cfg.n_layers - 1)}
     lr = cfg.learning_rate
     fit = NNFit(NNModel(cfg, W))
+    done, state = log.last(epochs) if log is not None else (0, {})
+    if done:
+        W, vW = ([state[f"{n}{l}"] for l in range(len(W))] for n in ("W", "vW"))
+        p = {l: state[f"p{l}"] for l in p}
+        lr, fit.step_losses = float(state["lr"]), state["step_losses"].tolist()
+        fit.history = log.errors(done)
+        if done == epochs:
+            fit.model, fit.velocities = NNModel(cfg, W), vW
+            return fit
     with TrainingRows(train, S.batches_per_epoch(train, n_batches, batch_size), cfg.seed) as rows, \
             (TrainingRows(val, 1, cfg.seed) if val is not None else nullcontext()) as held:
-        for epoch in range(epochs):
+        for epoch in range(done, epochs):
             for bno in range(rows.nb):
                 g = nn_gradient(rows.batch(epoch, bno), W, cfg, step_seed=derive_seed(cfg.seed, 300, epoch, bno), p=p)
                 if g["n"] > 0:
@@ -297,6 +314,11 @@ def _fit(df: DataFrame, cfg: NNConfig, epochs: int, n_batches: int | None, batch
                 tr, va = float("nan"), float("nan")
             fit.history.append((epoch + 1, tr, va))
             lr = lr * cfg.scaling_learning_rate
+            if log is not None:
+                log.commit(epoch + 1, {**{f"W{l}": w for l, w in enumerate(W)}, **{f"vW{l}": v for l, v in enumerate(vW)}, **{f"p{l}": v for l, v in p.items()},
+                                       "lr": np.array(lr), "step_losses": np.array(fit.step_losses)}, tr, va)
+            if on_epoch is not None:
+                on_epoch(epoch + 1, tr, va)
     fit.model = NNModel(cfg, W)
     fit.velocities = vW
     return fit

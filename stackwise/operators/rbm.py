@@ -8,7 +8,8 @@ small parameter arrays. Draws are seeded per (row, unit, step), so a step is rep
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+import zlib
+from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -16,8 +17,10 @@ from pyspark.sql import functions as F
 
 from stackwise.functions.activations import np_act
 from stackwise.functions.random import derive_seed, normal_np, uniform_np
+from stackwise.functions.sparse import is_sparse
 from stackwise.operators import sampling as S
 from stackwise.operators.step import step_sums
+from stackwise.plans.runs import OnEpoch, RunLog
 from stackwise.sources.numbered import keyed_rows
 
 SIGMA_FLOOR = 0.005
@@ -207,20 +210,51 @@ def apply_cd_update(p: RBMParams, sums: dict, cfg: RBMConfig, gaussian: bool) ->
     return q, sums["err"] / n
 
 
+def _width(samples: DataFrame, features: str) -> int:
+    """Slots of the first row's vector, dense or sparse."""
+    first = samples.select(features).first()[0]
+    return first["size"] if is_sparse(samples.schema[features].dataType) else len(first)
+
+
 def _rows(samples: DataFrame, features: str):
     """(row_id, features) as a context; samples without a ``row_id`` are written and numbered."""
     key = ["row_id"] if "row_id" in samples.columns else []
     return keyed_rows(samples.select(*key, F.col(features).alias("features")))
 
 
+_STATE = ("W", "b", "c", "vW", "vb", "vc", "sigma", "v_inv_sigma")
+
+
+def _resumed(log: RunLog | None, p: RBMParams, epochs: int) -> tuple[int, RBMParams, list]:
+    """Committed epochs of the run, its parameters and its history."""
+    done, state = log.last(epochs) if log is not None else (0, {})
+    if not done:
+        return 0, p, []
+    return done, replace(p, **{n: state[n] for n in _STATE if n in state}), [(e, err) for e, err, _ in log.errors(done)]
+
+
+def _committed(log: RunLog | None, on_epoch: OnEpoch | None, p: RBMParams, epoch: int, err: float) -> None:
+    if log is not None:
+        log.commit(epoch, {n: getattr(p, n) for n in _STATE if getattr(p, n) is not None}, err, float("nan"))
+    if on_epoch is not None:
+        on_epoch(epoch, err, float("nan"))
+
+
+def _log(samples: DataFrame, run_path: str | None, **settings) -> RunLog | None:
+    return None if run_path is None else RunLog(samples.sparkSession, run_path, settings)
+
+
 def _fit(samples: DataFrame, p: RBMParams, cfg: RBMConfig, epochs: int, n_batches: int | None, batch_size: int | None,
-         gaussian: bool, features: str = "features") -> FitResult:
+         gaussian: bool, features: str = "features", run_path: str | None = None, on_epoch: OnEpoch | None = None) -> FitResult:
     """Epoch x batch loop."""
     from stackwise.plans.batches import TrainingRows
 
-    history = []
+    log = _log(samples, run_path, stage="gaussian_rbm" if gaussian else "rbm", shape=p.W.shape, init=zlib.crc32(p.W.tobytes()), n_batches=n_batches, batch_size=batch_size, **asdict(cfg))
+    done, p, history = _resumed(log, p, epochs)
+    if done == epochs:
+        return FitResult(p, history)
     with _rows(samples, features) as df, TrainingRows(df, S.batches_per_epoch(df, n_batches, batch_size), cfg.seed) as rows:
-        for epoch in range(epochs):
+        for epoch in range(done, epochs):
             errs = []
             for bno in range(rows.nb):
                 sums = cd_step_sums(rows.batch(epoch, bno), p, cfg, derive_seed(cfg.seed, 100, epoch, bno), gaussian)
@@ -228,24 +262,28 @@ def _fit(samples: DataFrame, p: RBMParams, cfg: RBMConfig, epochs: int, n_batche
                 if err is not None:
                     errs.append(err)
             history.append((epoch + 1, float(np.mean(errs)) if errs else float("nan")))
+            _committed(log, on_epoch, p, *history[-1])
     return FitResult(p, history)
 
 
 def rbm_fit(samples: DataFrame, n_hidden: int | None = None, *, epochs: int = 1, n_batches: int | None = None,
             batch_size: int | None = None, momentum: float = 0.0, alpha: float = 0.2, k: int = 1, seed: int = 0,
-            init: RBMParams | None = None, features: str = "features") -> FitResult:
-    """binary RBM trained by mini-batch CD-k with momentum; ``n_batches`` per epoch, or ``batch_size`` rows each."""
+            init: RBMParams | None = None, features: str = "features", run_path: str | None = None, on_epoch: OnEpoch | None = None) -> FitResult:
+    """binary RBM trained by mini-batch CD-k with momentum; ``n_batches`` per epoch, or ``batch_size`` rows each.
+
+    ``run_path`` commits every epoch and resumes (:mod:`stackwise.plans.runs`); ``on_epoch`` is told each epoch's error.
+    """
     if init is None:
-        n_vis = len(samples.select(features).first()[0])
+        n_vis = _width(samples, features)
         init = init_params(n_vis, n_hidden, seed)
     cfg = RBMConfig(momentum=momentum, alpha=alpha, k=k, seed=seed)
-    return _fit(samples, init.copy(), cfg, epochs, n_batches, batch_size, False, features)
+    return _fit(samples, init.copy(), cfg, epochs, n_batches, batch_size, False, features, run_path, on_epoch)
 
 
 def gaussian_rbm_fit(samples: DataFrame, n_hidden: int | None = None, *, epochs: int = 1, n_batches: int | None = None,
                      batch_size: int | None = None, momentum: float = 0.0, alpha: float = 0.2, k: int = 1, seed: int = 0,
                      noise: str = "normal", init: RBMParams | None = None, features: str = "features",
-                     sigma_rate: float = 1.0) -> FitResult:
+                     sigma_rate: float = 1.0, run_path: str | None = None, on_epoch: OnEpoch | None = None) -> FitResult:
     """Gaussian-visible RBM with learned per-unit sigma (F5 + F6 each step).
 
     The 1/sigma velocity takes the mean sigma gradient unscaled, as the reference does;
@@ -254,18 +292,19 @@ def gaussian_rbm_fit(samples: DataFrame, n_hidden: int | None = None, *, epochs:
     if noise not in ("normal", "uniform", "none"):
         raise ValueError("noise must be normal, uniform or none")
     if init is None:
-        n_vis = len(samples.select(features).first()[0])
+        n_vis = _width(samples, features)
         init = init_params(n_vis, n_hidden, seed, gaussian=True)
     if init.sigma is None:
         init = init.copy()
         init.sigma = np.ones(init.n_visible)
         init.v_inv_sigma = np.zeros(init.n_visible)
     cfg = RBMConfig(momentum=momentum, alpha=alpha, k=k, seed=seed, noise=noise, sigma_rate=sigma_rate)
-    return _fit(samples, init.copy(), cfg, epochs, n_batches, batch_size, True, features)
+    return _fit(samples, init.copy(), cfg, epochs, n_batches, batch_size, True, features, run_path, on_epoch)
 
 
 def rbm_fit_full_batch(samples: DataFrame, init: RBMParams | None = None, *, n_hidden: int = 5, epochs: int = 200,
-                       alpha: float = 0.02, momentum: float = 0.1, seed: int = 0, features: str = "features") -> FitResult:
+                       alpha: float = 0.02, momentum: float = 0.1, seed: int = 0, features: str = "features", run_path: str | None = None,
+                       on_epoch: OnEpoch | None = None) -> FitResult:
     """full-batch binary RBM, sampled states; the epoch error is the SUM over rows.
 
     Defaults as in the reference run: 5 hidden units, alpha 0.02, momentum 0.1, W and b
@@ -274,13 +313,15 @@ def rbm_fit_full_batch(samples: DataFrame, init: RBMParams | None = None, *, n_h
     from stackwise.plans.batches import TrainingRows
 
     if init is None:
-        n_vis = len(samples.select(features).first()[0])
+        n_vis = _width(samples, features)
         rng = np.random.default_rng(seed)
         init = RBMParams(W=rng.normal(0.0, 0.01, (n_hidden, n_vis)), b=rng.normal(0.0, 0.01, n_vis), c=np.zeros(n_hidden))
-    p = init.copy()
-    history = []
+    log = _log(samples, run_path, stage="rbm_full_batch", shape=init.W.shape, init=zlib.crc32(init.W.tobytes()), alpha=alpha, momentum=momentum, seed=seed)
+    done, p, history = _resumed(log, init.copy(), epochs)
+    if done == epochs:
+        return FitResult(p, history)
     with _rows(samples, features) as df, TrainingRows(df, 1, seed) as rows:
-        for epoch in range(epochs):
+        for epoch in range(done, epochs):
             P = {"W": p.W, "b": p.b, "c": p.c, "alpha": np.array(alpha), "seed": np.array(derive_seed(seed, 200, epoch))}
             sums = step_sums(rows.rows, full_batch_binary_rows, P, _shapes(p, False), label=None, width=p.n_visible)
             n = sums["n"]
@@ -293,6 +334,7 @@ def rbm_fit_full_batch(samples: DataFrame, init: RBMParams | None = None, *, n_h
             q.W, q.b, q.c = p.W + q.vW, p.b + q.vb, p.c + q.vc
             p = q
             history.append((epoch + 1, float(sums["err"])))
+            _committed(log, on_epoch, p, *history[-1])
     return FitResult(p, history)
 
 

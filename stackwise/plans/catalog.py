@@ -26,6 +26,7 @@ from stackwise.operators.pca import pca_project
 from stackwise.plans import fixtures as FX
 from stackwise.plans import inputs as I
 from stackwise.plans import wells
+from stackwise.plans.runs import run_history
 from stackwise.session import scratch_path
 from stackwise.sources.numbered import numbered_files
 from stackwise.sources import tables as T
@@ -106,6 +107,16 @@ def q_read_raw_table(spark, sf):
                       "o_orderstatus", F.col("o_totalprice").cast("double").alias("o_totalprice"), "o_orderpriority")
 
 
+def q_read_quoted_table(spark, sf):
+    """A1 with line breaks, commas and quote signs inside cells: files are split, records are put together again."""
+    o = I.table(spark, sf, "orders")
+    key = F.col("o_orderkey")
+    note = F.concat(F.lit('key "'), key.cast("string"), F.lit('",\n'), F.repeat(F.lit("line\n"), (key % 4).cast("int")), F.col("o_orderpriority"))
+    path = scratch_path(spark, "quoted-orders")
+    T.write_raw_table(o.select(key.cast("string").alias("o_orderkey"), note.alias("note"), "o_orderstatus"), path)
+    return T.read_raw_table(spark, path, columns=["o_orderkey", "note", "o_orderstatus"], multi_line=True).select(F.col("o_orderkey").cast("long").alias("o_orderkey"), "note", "o_orderstatus")
+
+
 def q_read_clean_table(spark, sf):
     li = I.table(spark, sf, "lineitem")
     df = li.select(V.one_hot_lit(F.col("l_returnflag"), I.RETURNFLAGS).alias("label"),
@@ -140,6 +151,19 @@ def q_training_history(spark, sf):
     return T.training_history(spark, fit.history, "rbm_full_batch")
 
 
+def q_training_run(spark, sf):
+    """A run of three epochs that ends after the first, is called again, and its committed errors."""
+    path = scratch_path(spark, "training-run")
+    spec = dict(n_batches=2, validation=0.3, init_weights_=FX.em_weights(), run_path=path)
+    for epochs in (1, 3):
+        fit = N.nn_fit(_em(spark, sf), em_cfg(dropout=0.2, scaling_learning_rate=0.5), epochs=epochs, **spec)
+    W = fit.model.weights
+    errors = run_history(spark, path)
+    return params_df(spark, [("W0", W[0]), ("W1", W[1])]).union(
+        errors.select(F.explode(F.array(F.struct(F.lit("train_error").alias("param"), F.col("train_error").alias("v")), F.struct(F.lit("val_error").alias("param"), F.col("val_error").alias("v")))).alias("e"), "epoch")
+        .select("e.param", (F.col("epoch") - 1).alias("out"), F.lit(0).alias("in"), r6(F.col("e.v"))))
+
+
 def q_preview_rows(spark, sf):
     o = I.table(spark, sf, "orders").select(
         "o_orderkey", "o_custkey", F.when(F.col("o_orderstatus") == "P", F.lit("")).otherwise(F.col("o_orderstatus")).alias("o_orderstatus"),
@@ -791,10 +815,12 @@ def q_events_dbn_end_to_end(spark, sf):
 
 QUERIES = {
     "read_raw_table": q_read_raw_table,
+    "read_quoted_table": q_read_quoted_table,
     "read_clean_table": q_read_clean_table,
     "parse_numeric_rows": q_parse_numeric_rows,
     "write_clean_table": q_write_clean_table,
     "training_history": q_training_history,
+    "training_run": q_training_run,
     "preview_rows": q_preview_rows,
     "concat_datasets": q_concat_datasets,
     "blank_to_null": q_blank_to_null,

@@ -13,17 +13,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stackwise.operators.prepare import blank_expr
+from stackwise.sources.quoted import read_quoted
 
 
 def read_raw_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None, *, multi_line: bool = False) -> DataFrame:
     """A1: quoted CSV with a header -> table of strings (an explicit string schema if given).
 
     Every line is a row and files are split over tasks; a row with too few or too many cells raises an error.
-    With ``multi_line=True`` quoted cells may hold line breaks, and a file is one task, so a large table
-    should come as many files.
+    With ``multi_line=True`` quoted cells may hold line breaks; files are split all the same, see
+    :mod:`stackwise.sources.quoted`.
     """
-    reader = (spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", multi_line)
-              .option("mode", "FAILFAST"))
+    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("mode", "FAILFAST")
+    if multi_line:
+        return read_quoted(spark, path, columns if columns is not None else reader.option("multiLine", True).csv(path).columns)
     if columns is not None:
         reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
     else:
@@ -32,8 +34,9 @@ def read_raw_table(spark: SparkSession, path: str, columns: Sequence[str] | None
 
 
 def write_raw_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Quoted CSV with a header (the input form of A1)."""
-    df.write.mode(mode).option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    """Quoted CSV with a header (the input form of A1); white space at the ends of cells is kept."""
+    writer = df.write.mode(mode).option("header", True).option("quoteAll", True).option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def parse_vector(col) -> Column:

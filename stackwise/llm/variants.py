@@ -163,8 +163,20 @@ def _bits(codes: DataFrame) -> np.ndarray:
     return merged_counters(codes.mapInArrow(run, COUNTER_SCHEMA), FILTER_BITS // 8, np.uint8, "or")
 
 
-def near_words(vocabulary: DataFrame) -> DataFrame:
-    """word, other, m: every pair of words of ``vocabulary`` (word, n) one edit apart, from both sides; m is the other's count."""
+def _gathered(batches, rows: int = 8192):
+    """Batches of at least so many rows, so that a word's few hundred codes are made for many words at once."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+    if sum(x.num_rows for x in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def reduced_vocabulary(counts: DataFrame) -> DataFrame:
+    """code, word, n: the words of ``counts`` (word, n) with the codes of their reduced forms, written."""
     schema = pa.schema([("code", pa.int64()), ("word", pa.string()), ("n", pa.int64())])
 
     def reduce(batches):
@@ -172,21 +184,27 @@ def near_words(vocabulary: DataFrame) -> DataFrame:
             code = pa.array(reduced_codes(b.column(0).to_pylist()).view(np.int64))
             yield pa.RecordBatch.from_arrays([code, b.column(0), b.column(1)], schema=schema)
 
-    reduced = written(vocabulary.select("word", "n").mapInArrow(reduce, "code long, word string, n long"), "reduced-words")
-    known = vocabulary.sparkSession.sparkContext.broadcast(_bits(reduced.select("code")))
+    return written(counts.select("word", "n").mapInArrow(reduce, "code long, word string, n long"), "vocabulary")
+
+
+def near_words(vocabulary: DataFrame) -> DataFrame:
+    """word, other, m: every pair of words of a reduced vocabulary one edit apart, from both sides; m is the other's count."""
+    known = vocabulary.sparkSession.sparkContext.broadcast(_bits(vocabulary.select("code")))
+    schema = pa.schema([("code", pa.int64()), ("word", pa.string())])
 
     def generate(batches):
         bits = known.value
-        for b in batches:
-            column = b.column(0)
-            for at, codes in neighbourhoods(column.to_pylist()):
-                slot = codes % np.uint64(FILTER_BITS)
+        for b in _gathered(batches):
+            words, codes = [], []
+            for at, code in neighbourhoods(b.column(0).to_pylist()):
+                slot = code % np.uint64(FILTER_BITS)
                 hit = np.flatnonzero((bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1)
-                if len(hit):
-                    yield pa.RecordBatch.from_arrays([pa.array(codes[hit].view(np.int64)), column.take(pa.array(at[hit]))], names=["code", "word"])
+                words.append(at[hit])
+                codes.append(code[hit].view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(codes)), b.column(0).take(pa.array(np.concatenate(words)))], schema=schema)
 
     codes = vocabulary.select("word").mapInArrow(generate, "code long, word string")
-    met = codes.join(reduced.select("code", F.col("word").alias("other"), F.col("n").alias("m")), "code")
+    met = codes.join(vocabulary.select("code", F.col("word").alias("other"), F.col("n").alias("m")), "code")
     return met.filter((F.col("word") != F.col("other")) & (F.levenshtein("word", "other", 1) == 1)).select("word", "other", "m")
 
 
@@ -203,7 +221,7 @@ def _roots(forms: DataFrame) -> DataFrame:
 
 def spelling_variants(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """word, form, root, n, n_near, form_n: one row per word of at least seven letters and two occurrences."""
-    vocabulary = written(word_counts(docs, id_col=id_col, text_col=text_col).filter(F.col("n") >= LEAST_COUNT), "vocabulary")
+    vocabulary = reduced_vocabulary(word_counts(docs, id_col=id_col, text_col=text_col).filter(F.col("n") >= LEAST_COUNT))
     best = F.min(F.struct((-F.col("m")).alias("less"), "other")).alias("best")
     near = near_words(vocabulary).groupBy("word").agg(F.count("*").alias("n_near"), best)
     clear = -F.col("best.less") >= TIMES * F.col("n")

@@ -13,7 +13,7 @@ recipe: the ordered list of its chunks' identifiers.
    cut by content alone. The group's smallest id stays; its size and id go back to the rows by a join on the recipe.
 
 Copies of long texts thus meet as lists of 20 bytes per chunk of about 1 KiB. Grouping adds up in the tasks first;
-the join back is one row per group against the rows, which adaptive execution splits for large groups.
+the join back is one row per group against the rows, and rows of large groups are dealt by a salt.
 
 Defined cases: null is the empty text (an empty recipe); repeated rows and ids are rows of their own, of
 which one stays; null ids come last and never keep a group that has others; texts of any length are cut whole, in pieces; an empty
@@ -40,6 +40,7 @@ SMALLEST, LARGEST = 256, 8192
 PATTERN = (1 << 10) - 1
 PIECE = 1 << 20        # bytes whose rolling hashes are held at a time
 DIGEST_BITS = 128
+HOT, SALTS = 1024, 64
 
 _GEAR = (TS.mix64(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
@@ -185,8 +186,13 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """doc_id, keep_id, group_size, kept, text_sha256: one row per row of ``docs``."""
     recipes = verified_recipes(docs, id_col=id_col, text_col=text_col, digest_bits=digest_bits)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
-    groups = recipes.groupBy("recipe").agg(first, F.count("*").alias("copies")).filter("copies > 1")
-    out = recipes.join(groups, "recipe", "left")
+    groups = written(recipes.groupBy("recipe").agg(first, F.count("*").alias("copies")).filter("copies > 1"), "copy-groups")
+    # at most HOT groups hold more than one in HOT of all rows; their rows are dealt over SALTS tasks
+    mark = F.xxhash64("recipe")
+    hot = [r["mark"] for r in groups.filter(F.col("copies") * HOT > recipes.count()).select(mark.alias("mark")).collect()]
+    groups = groups.withColumn("salt", F.explode(F.when(mark.isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    dealt = recipes.withColumn("salt", F.when(mark.isin(hot), F.col("row") % SALTS).otherwise(0).cast("int"))
+    out = dealt.join(groups, ["recipe", "salt"], "left")
     alone = F.col("copies").isNull()
     return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("keep_id"), F.coalesce("copies", F.lit(1)).cast("long").alias("group_size"),
                       (alone | (F.col("row") == F.col("first.row"))).alias("kept"), "text_sha256")

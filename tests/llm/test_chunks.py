@@ -50,6 +50,13 @@ def test_groups_equal_brute_force(make_docs, corpus, bits, parts):
     assert K.exact_duplicates(df.limit(0)).count() == 0
 
 
+def test_large_and_small_groups(make_docs, monkeypatch):
+    rows = [(i, "the same text") for i in range(150)] + [(i, f"pair {i // 2}") for i in range(200, 240)] + [(i, f"alone {i}") for i in range(300, 330)]
+    for hot in (1, 10, 1024):  # no group is dealt by a salt, the large one, all
+        monkeypatch.setattr(K, "HOT", hot)
+        assert sorted(map(tuple, K.exact_duplicates(make_docs(rows)).collect()), key=str) == want(rows)
+
+
 def test_weak_digests_clash_and_identifiers_are_verified(make_docs, corpus):
     df = make_docs([(i, t) for i, t in enumerate(texts_of(corpus)) if len(t or "") < 5000])
     rows = K.verified_recipes(df, digest_bits=2).collect()

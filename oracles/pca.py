@@ -59,4 +59,4 @@ def pca_explained_variance_sql(k: int = 3, n: int = 4) -> str:
                      f"FROM {eig} WHERE c < {k} UNION ALL SELECT CAST(a AS INTEGER), CAST(b AS INTEGER), {r6('w')} FROM {moments}")
 
 
-ORACLES["pca_project"] = pca_explained_variance_sql()
+ORACLES["pca_project"] = ORACLES["pca_project_wide"] = pca_explained_variance_sql()

@@ -371,6 +371,7 @@ def _():
     return ch.render(slots(ch.dense(x, ch.mat(W), ch.vec(c), "sigm"), "h", range(3)))
 
 
+@oracle("dense_layer_blocked")
 @oracle("dense_layer_wide")
 def _():
     W, c = FX.em_wide()

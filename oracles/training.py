@@ -605,6 +605,19 @@ def _():
     return ch.render(f"SELECT {r6('AVG(h)')} AS hit_rate FROM {per_row}")
 
 
+@oracle("score_written")
+def _():
+    ch = Chain()
+    x, y, o, e = _li_pred(ch)
+    loss = nn_loss_sql(ch, e, ch.count(x))
+    per_row = ch.add(f"SELECT y.r, SUM(y.v * CASE WHEN o.v > {fl(0.3333333)} THEN {ONE} ELSE {ZERO} END) AS h FROM {y} y "
+                     f"JOIN {o} o ON y.r = o.r AND y.i = o.i GROUP BY y.r")
+    hit = lambda i: f"MAX(CASE WHEN i = {i} THEN CASE WHEN v > {fl(0.3333333)} THEN {ONE} ELSE {ZERO} END END) AS predicted{i}"
+    rows = ch.add(f"SELECT r, {', '.join(hit(i) for i in range(3))} FROM {o} GROUP BY r")
+    return ch.render(f"SELECT predicted0, predicted1, predicted2, CAST(COUNT(*) AS BIGINT) AS n, {r6(f'(SELECT w FROM {loss})')} AS loss, "
+                     f"{r6(f'(SELECT AVG(h) FROM {per_row})')} AS hit_rate, (SELECT CAST(COUNT(*) AS BIGINT) FROM lineitem) AS rows FROM {rows} GROUP BY 1, 2, 3")
+
+
 @oracle("nn_predict_wide")
 def _():
     ch = Chain()

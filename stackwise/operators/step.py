@@ -76,11 +76,14 @@ def step_sums(
     width: int | None = None,
     label_width: int | None = None,
     sparse: bool = False,
+    factors: Mapping[str, int] | None = None,
 ) -> dict[str, np.ndarray]:
     """Sum ``fn(params, ids, X, Y)`` over all rows of ``df``.
 
     A vector that is NULL, holds NULL or is not ``width`` (``label_width``) wide raises. Sparse features go to ``fn`` as
-    :class:`SparseRows` if it takes them (``sparse``), else as dense slices of bounded size. ``shapes`` names every quantity ``fn`` returns with its shape; quantities absent from the
+    :class:`SparseRows` if it takes them (``sparse``), else as dense slices of bounded size. ``factors`` names quantities of a
+    row each (name -> width) that come back as the triangular factor of their QR decomposition over all rows, made by
+    QR of stacked factors in the tasks and between them. ``shapes`` names every quantity ``fn`` returns with its shape; quantities absent from the
     result (empty input) come back as zeros, including ``n``.
     """
     have = df.columns
@@ -94,7 +97,7 @@ def step_sums(
     ship_package(spark)
 
     bc = spark.sparkContext.broadcast({k: np.asarray(v) for k, v in params.items()})
-    names = list(shapes)
+    names, tall = list(shapes), dict(factors or {})
     chunk = CHUNK  # read once: the tasks and the driver must agree on it
     has_id = row_id is not None and row_id in cols
     has_label = label is not None and label in cols
@@ -113,28 +116,37 @@ def step_sums(
                 out = fn(p, None if ids is None else ids[at], rows, None if Y is None else Y[at])
                 for k, v in out.items():
                     v = np.asarray(v, dtype=np.float64)
-                    acc[k] = acc[k] + v if k in acc else v.copy()
+                    if k in tall:
+                        acc[k] = np.linalg.qr(np.vstack([acc[k], v]) if k in acc else v, mode="r")
+                    else:
+                        acc[k] = acc[k] + v if k in acc else v.copy()
         if not acc:
             return
-        yield _chunked_batch({k: acc[k].ravel() for k in names if k in acc}, chunk)
+        yield _chunked_batch({k: acc[k].ravel() for k in names if k in acc}, {f"{k}{FACTOR}{w}": acc[k].ravel() for k, w in tall.items()}, chunk)
 
     partial = sub.mapInArrow(run, PARTIAL_SCHEMA)
     result = {k: np.zeros(int(np.prod(s)) if len(s) else 1, dtype=np.float64) for k, s in shapes.items()}
+    found = {k: np.zeros((0, w)) for k, w in tall.items()}
     for r in _reduce_partials(partial):
+        if FACTOR in r["name"]:
+            k, w = r["name"].split(FACTOR)
+            found[k] = np.linalg.qr(np.vstack([found[k], np.reshape(r["vals"], (-1, int(w)))]), mode="r")
+            continue
         start = r["chunk"] * chunk
         vals = np.asarray(r["vals"], dtype=np.float64)
         result[r["name"]][start:start + vals.size] += vals
     bc.destroy()
-    return {k: (v.reshape(shapes[k]) if len(shapes[k]) else float(v[0])) for k, v in result.items()}
+    return {**{k: (v.reshape(shapes[k]) if len(shapes[k]) else float(v[0])) for k, v in result.items()}, **found}
 
 
 PARTIAL_SCHEMA = T.StructType([T.StructField("name", T.StringType()), T.StructField("chunk", T.IntegerType()),
                                T.StructField("vals", T.ArrayType(T.DoubleType()))])
 CHUNK = 1 << 16  # values per partial row
+FACTOR = "#"     # a partial named name#width is a triangular factor, always one row
 
 
-def _chunked_batch(acc: Mapping[str, np.ndarray], chunk: int) -> pa.RecordBatch:
-    names, chunks, vals = [], [], []
+def _chunked_batch(acc: Mapping[str, np.ndarray], factors: Mapping[str, np.ndarray], chunk: int) -> pa.RecordBatch:
+    names, chunks, vals = list(factors), [0] * len(factors), list(factors.values())
     for k, v in acc.items():
         for c in range(max(1, -(-v.size // chunk))):
             names.append(k)
@@ -146,7 +158,7 @@ def _chunked_batch(acc: Mapping[str, np.ndarray], chunk: int) -> pa.RecordBatch:
 
 
 def _sum_partials(batches):
-    """Streaming sum of partial rows per (name, chunk) inside one task."""
+    """Streaming sum (or QR, of factors) of partial rows per (name, chunk) inside one task."""
     acc: dict[tuple, np.ndarray] = {}
     for rb in batches:
         names = rb.column("name").to_pylist()
@@ -155,7 +167,10 @@ def _sum_partials(batches):
         for i in range(rb.num_rows):
             v = vals[i].values.to_numpy(zero_copy_only=False)
             key = (names[i], chunks[i])
-            if key in acc:
+            if FACTOR in names[i]:
+                r = v.reshape(-1, int(names[i].split(FACTOR)[1]))
+                acc[key] = np.linalg.qr(np.vstack([acc[key].reshape(-1, r.shape[1]), r]) if key in acc else r, mode="r").ravel()
+            elif key in acc:
                 acc[key] += v
             else:
                 acc[key] = v.astype(np.float64, copy=True)

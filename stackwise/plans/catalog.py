@@ -21,8 +21,9 @@ from stackwise.operators import nn as N
 from stackwise.operators import prepare as P
 from stackwise.operators import rbm as R
 from stackwise.operators import sampling as S
+from stackwise.operators.blocked import bias_blocks, dense_blocked, weight_blocks
 from stackwise.operators.layers import dense_layer
-from stackwise.operators.pca import pca_project
+from stackwise.operators.pca import pca_project, pca_project_wide
 from stackwise.plans import fixtures as FX
 from stackwise.plans import inputs as I
 from stackwise.plans import wells
@@ -96,6 +97,13 @@ def params_df(spark: SparkSession, items) -> DataFrame:
     return spark.createDataFrame(rows, "param string, out int, `in` int, value double")
 
 
+def params_long(spark: SparkSession, a) -> DataFrame:
+    """(out, in, w) of a matrix, (out, w) of a vector."""
+    if a.ndim == 1:
+        return spark.createDataFrame([(j, float(v)) for j, v in enumerate(a)], "out int, w double")
+    return spark.createDataFrame([(j, i, float(a[j, i])) for j in range(a.shape[0]) for i in range(a.shape[1])], "out int, `in` int, w double")
+
+
 # ============================================================================ A: sources
 
 def q_read_raw_table(spark, sf):
@@ -438,9 +446,7 @@ def q_add_bias(spark, sf):
     return multi_vec_means(df, [("with_bias", 5, "with_bias"), ("without_bias", 4, "without_bias")])
 
 
-def q_pca_project(spark, sf):
-    """Explained variance, and the second moments of the projected rows (the sign of a component is free)."""
-    projected, ev, _ = pca_project(I.lineitem_samples(spark, sf), 3)
+def _pca_rows(spark, projected, ev):
     pairs = [(a, b) for a in range(3) for b in range(a, 3)]
     x = F.col("features")
     one = projected.agg(*(F.abs(F.avg(x[a] * x[b])).alias(f"m{a}{b}") for a, b in pairs))
@@ -449,6 +455,18 @@ def q_pca_project(spark, sf):
     return variance.union(moments.select(F.col("component").cast("int"), F.col("other").cast("int"), r6(F.col("v"))))
 
 
+def q_pca_project(spark, sf):
+    """Explained variance, and the second moments of the projected rows (the sign of a component is free)."""
+    projected, ev, _ = pca_project(I.lineitem_samples(spark, sf), 3)
+    return _pca_rows(spark, projected, ev)
+
+
+def q_pca_project_wide(spark, sf):
+    """The same by the range finder, which makes no matrix of the width."""
+    projected, ev, _ = pca_project_wide(I.lineitem_samples(spark, sf), 3)
+    return _pca_rows(spark, projected, ev)
+
+
 def q_dense_layer_wide(spark, sf):
     """64 -> 80 units: the Arrow form, one checksum pair per row."""
     W, c = FX.em_wide()
@@ -456,6 +474,13 @@ def q_dense_layer_wide(spark, sf):
     return h.select("row_id", round6(F.aggregate("h", F.lit(0.0), lambda acc, v: acc + v)).alias("total"), round6(F.col("h")[0]).alias("h0"), round6(F.col("h")[79]).alias("h79"))
 
 
+def q_dense_layer_blocked(spark, sf):
+    """The same layer with its weights as a table of blocks: no parameter array on the driver or in a task."""
+    spark_W, spark_c = (params_long(spark, a) for a in FX.em_wide())
+    h = dense_blocked(_em(spark, sf), "features", weight_blocks(spark_W, 32), bias_blocks(spark_c, 32), "sigm", "h", n_in=FX.EM_WIDTH, n_out=80, block=32)
+    return h.select("row_id", round6(F.aggregate("h", F.lit(0.0), lambda acc, v: acc + v)).alias("total"), round6(F.col("h")[0]).alias("h0"), round6(F.col("h")[79]).alias("h79"))
+
+
 def q_nn_predict_wide(spark, sf):
     cfg = N.NNConfig(sizes=(FX.EM_WIDTH, 80, 10), activation="sigm", output="sigm")
     pred = N.nn_predict(_em(spark, sf), FX.em_wide_net(), cfg)
@@ -769,6 +794,14 @@ def q_label_hit_rate(spark, sf):
     return H.label_hit_rate(_li_pred(spark, sf), width=3).select(round6("hit_rate").alias("hit_rate"))
 
 
+def q_score_written(spark, sf):
+    """G7, G8, H1, H2 in one pass: the written predictions by their labels, beside what was observed of all rows."""
+    path = scratch_path(spark, "scores")
+    got = H.write_judged(_li_pred(spark, sf), path, width=3)
+    kept = spark.read.parquet(path).groupBy(*(F.col("predicted")[i].alias(f"predicted{i}") for i in range(3))).agg(F.count(F.lit(1)).alias("n"))
+    return kept.select("*", *(F.lit(rnd(got[k])).alias(k) for k in ("loss", "hit_rate")), F.lit(got["n"]).cast("long").alias("rows"))
+
+
 def q_prepare_wide_table(spark, sf):
     """Keyed rows of the whole prepared well table: vectors as digits (twice the slot value), numbers rounded."""
     df = wells.prepared_wells(spark, sf)
@@ -797,11 +830,9 @@ def dbn_end_to_end(spark, sf, *, epochs_pretrain: int = 1, epochs_finetune: int
 def _trained_and_scored(samples, width, w, epochs_pretrain, epochs_finetune, n_batches, hidden):
     model = D.dbn_pretrain(samples, (width, hidden, w), epochs=epochs_pretrain, n_batches=n_batches, momentum=0.01, alpha=0.01, seed=SEED)
     fit = D.dbn_finetune(samples, model, epochs=epochs_finetune, n_batches=n_batches, seed=SEED)
-    pred = fit.model.predict(samples)
-    # loss (G8) and hit rate (H2) of the same predictions in one aggregation
-    return pred.agg(round6(F.lit(0.5) * F.avg(V.squared_norm("error", w))).alias("loss"),
-                    round6(F.avg(V.dot("label", V.threshold("predict_label", H.HIT_THRESHOLD, w), w))).alias("hit_rate"),
-                    F.count(F.lit(1)).cast("long").alias("n"))
+    # predictions are written once; loss (G8) and hit rate (H2) are observed meanwhile
+    got = H.write_judged(fit.model.predict(samples), scratch_path(samples.sparkSession, "scores"), width=w)
+    return samples.sparkSession.createDataFrame([(rnd(got["loss"]), rnd(got["hit_rate"]), got["n"])], "loss double, hit_rate double, n long")
 
 
 def q_dbn_end_to_end(spark, sf):
@@ -854,7 +885,9 @@ QUERIES = {
     "dense_layer": q_dense_layer,
     "add_bias": q_add_bias,
     "pca_project": q_pca_project,
+    "pca_project_wide": q_pca_project_wide,
     "dense_layer_wide": q_dense_layer_wide,
+    "dense_layer_blocked": q_dense_layer_blocked,
     "nn_predict_wide": q_nn_predict_wide,
     "prepare_wide_table": q_prepare_wide_table,
     "count_samples": q_count_samples,
@@ -892,6 +925,7 @@ QUERIES = {
     "dbn_finetune": q_dbn_finetune,
     "threshold_labels": q_threshold_labels,
     "label_hit_rate": q_label_hit_rate,
+    "score_written": q_score_written,
     "dbn_end_to_end": q_dbn_end_to_end,
     "events_dbn_end_to_end": q_events_dbn_end_to_end,
 }

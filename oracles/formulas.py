@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+
 M = 2**31 - 1
 PI = "pi()"
 
@@ -52,3 +54,9 @@ def sql_act_grad(name: str, a: str) -> str:
     """Derivative by the activation's value a: a (1 - a); 1.7159 (2/3) (1 - (a / 1.7159)**2); 1."""
     scaled = f"(({a}) / {fl(1.7159)})"
     return {"sigm": f"(({a}) * ({fl(1)} - ({a})))", "tanh_opt": f"({fl(1.7159)} * {fl(2)} / {fl(3)} * ({fl(1)} - {scaled} * {scaled}))", "linear": fl(1)}[name]
+
+
+def first_weights(n_in: int, n_out: int, seed: int) -> np.ndarray:
+    """Weights of a new layer, bias first: uniform draws, centred, times 8 sqrt(6 / (in + out))."""
+    draws = np.random.default_rng(seed).random((n_out, n_in + 1))
+    return 8 * (draws - 0.5) * (6 / (n_in + n_out)) ** 0.5

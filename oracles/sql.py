@@ -82,6 +82,13 @@ def slots(x: str, name: str, units, extra: str = "") -> str:
     return f"SELECT r AS row_id, {extra}{cols} FROM {x} GROUP BY r"
 
 
+def vector_slots(parts) -> str:
+    """Keyed rows of several long tables (r, i, v); parts: (table, name, width)."""
+    rows = " UNION ALL ".join(f"SELECT {t} AS t, r, i, v FROM {x}" for t, (x, _, _) in enumerate(parts))
+    cols = ", ".join(f"{r6(f'MAX(CASE WHEN t = {t} AND i = {i} THEN v END)')} AS {name}{i}" for t, (_, name, width) in enumerate(parts) for i in range(width))
+    return f"SELECT r AS row_id, {cols} FROM ({rows}) GROUP BY r"
+
+
 # ============================================================================ A: sources
 
 @oracle("parse_numeric_rows")
@@ -104,8 +111,8 @@ def _():
 @oracle("read_clean_table")
 def _():
     ch = Chain()
-    _, x, y = li_inputs(ch)
-    return ch.render(unit_means(y, "label") + " UNION ALL " + unit_means(x, "features"))
+    x, y = numbered_inputs(ch)
+    return ch.render(vector_slots([(y, "label", 3), (x, "features", 4)]))
 
 
 @oracle("write_clean_table")
@@ -169,13 +176,9 @@ def _():
 
 @oracle("select_features")
 def _():
-    ch = Chain()
-    base = ch.add("SELECT row_number() OVER () AS r, * FROM lineitem", "li")
-    x = ch.add(" UNION ALL ".join(f"SELECT r, {i} AS i, CAST({c} AS DOUBLE) AS v FROM {base}"
-                                  for i, c in enumerate(["l_quantity", "l_extendedprice", "l_discount", "l_tax"])))
-    y = ch.add(" UNION ALL ".join(f"SELECT r, {k} AS i, CASE WHEN l_returnflag = '{f}' THEN {ONE} ELSE {ZERO} END AS v FROM {base}"
-                                  for k, f in enumerate(["A", "N", "R"])))
-    return ch.render(unit_means(y, "label") + " UNION ALL " + unit_means(x, "features"))
+    flags = ", ".join(f"CASE WHEN l_returnflag = '{f}' THEN {ONE} ELSE {ZERO} END AS label{k}" for k, f in enumerate(["A", "N", "R"]))
+    cells = ", ".join(f"{r6(f'CAST({c} AS DOUBLE)')} AS features{i}" for i, c in enumerate(["l_quantity", "l_extendedprice", "l_discount", "l_tax"]))
+    return f"SELECT row_number() OVER () - 1 AS row_id, {flags}, {cells} FROM lineitem"
 
 
 @oracle("assemble_samples")
@@ -223,18 +226,12 @@ def _():
 @oracle("prepare_table")
 def _():
     half = "CAST(0.5 AS DOUBLE)"
-    parts = []
-    for k, s in enumerate(["N", "R"]):
-        e = f"CASE WHEN l_returnflag = 'A' THEN {half} WHEN l_returnflag = '{s}' THEN {ONE} ELSE {ZERO} END"
-        parts.append(f"SELECT 'l_returnflag' AS name, CAST({k} AS INTEGER) AS unit, {r6(f'AVG({e})')} AS value FROM lineitem")
-    for k, s in enumerate(["F", "O"]):
-        e = f"CASE WHEN l_linestatus = '{s}' THEN {ONE} ELSE {ZERO} END"
-        parts.append(f"SELECT 'l_linestatus' AS name, CAST({k} AS INTEGER) AS unit, {r6(f'AVG({e})')} AS value FROM lineitem")
-    for c, e in LI_NUM_SQL.items():
-        filled = f"COALESCE({e}, (SELECT AVG({e}) FROM lineitem))"
-        scaled = f"(({filled}) - (SELECT MIN({e}) FROM lineitem)) / ((SELECT MAX({e}) FROM lineitem) - (SELECT MIN({e}) FROM lineitem))"
-        parts.append(f"SELECT '{c}' AS name, CAST(0 AS INTEGER) AS unit, {r6(f'AVG({scaled})')} AS value FROM lineitem")
-    return " UNION ALL ".join(parts)
+    flags = [f"CASE WHEN l_returnflag = 'A' THEN {half} WHEN l_returnflag = '{s}' THEN {ONE} ELSE {ZERO} END AS l_returnflag{k}" for k, s in enumerate(["N", "R"])]
+    status = [f"CASE WHEN l_linestatus = '{s}' THEN {ONE} ELSE {ZERO} END AS l_linestatus{k}" for k, s in enumerate(["F", "O"])]
+    ends = ", ".join(f"MIN({e}) AS lo{k}, MAX({e}) AS hi{k}, AVG({e}) AS av{k}" for k, e in enumerate(LI_NUM_SQL.values()))
+    scaled = [f"{r6(f'(COALESCE({e}, av{k}) - lo{k}) / (hi{k} - lo{k})')} AS {c}" for k, (c, e) in enumerate(LI_NUM_SQL.items())]
+    return (f"WITH li AS MATERIALIZED (SELECT row_number() OVER () - 1 AS row_id, * FROM lineitem), e AS MATERIALIZED (SELECT {ends} FROM li) "
+            f"SELECT row_id, {', '.join(flags + status + scaled)} FROM li, e")
 
 
 TEXT_ORDERS = ("SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderstatus END AS status, "
@@ -342,24 +339,19 @@ def _():
 @oracle("activate")
 def _():
     ch = Chain()
-    _, x, _ = li_inputs(ch)
-    sels = []
-    for fn in ("sigm", "tanh_opt", "linear"):
-        y = ch.add(f"SELECT r, i, {sql_act(fn, 'v')} AS v FROM {x}")
-        sels.append(unit_means(y, fn))
-    return ch.render(" UNION ALL ".join(sels))
+    x, _ = numbered_inputs(ch)
+    return ch.render(vector_slots([(ch.add(f"SELECT r, i, {sql_act(fn, 'v')} AS v FROM {x}"), fn, 4) for fn in ("sigm", "tanh_opt", "linear")]))
 
 
 @oracle("activation_gradient")
 def _():
     ch = Chain()
-    _, x, _ = li_inputs(ch)
-    sels = []
+    x, _ = numbered_inputs(ch)
+    parts = []
     for fn in ("sigm", "tanh_opt", "linear"):
         a = ch.add(f"SELECT r, i, {sql_act(fn, 'v')} AS v FROM {x}")
-        g = ch.add(f"SELECT r, i, {act_grad(fn, 'v')} AS v FROM {a}")
-        sels.append(unit_means(g, fn))
-    return ch.render(" UNION ALL ".join(sels))
+        parts.append((ch.add(f"SELECT r, i, {act_grad(fn, 'v')} AS v FROM {a}"), fn, 4))
+    return ch.render(vector_slots(parts))
 
 
 @oracle("dense_layer")
@@ -385,10 +377,9 @@ def _():
 @oracle("add_bias")
 def _():
     ch = Chain()
-    _, x, _ = li_inputs(ch)
+    x, _ = numbered_inputs(ch)
     xb = ch.add_bias_rows(x)
-    dropped = ch.add(f"SELECT r, i - 1 AS i, v FROM {xb} WHERE i > 0")
-    return ch.render(unit_means(xb, "with_bias") + " UNION ALL " + unit_means(dropped, "without_bias"))
+    return ch.render(vector_slots([(xb, "with_bias", 5), (ch.add(f"SELECT r, i - 1 AS i, v FROM {xb} WHERE i > 0"), "without_bias", 4)]))
 
 
 @oracle("count_samples")

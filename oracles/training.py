@@ -5,9 +5,9 @@ from __future__ import annotations
 import numpy as np
 
 from oracles.build import ONE, ZERO, Chain, act_grad, normal, params_rows, r6, uniform
-from oracles.formulas import fl, sql_act
+from oracles.formulas import first_weights, fl, sql_act
 from oracles.formulas import stream as derive_seed
-from oracles.sql import ORACLES, em_inputs, li_inputs, numbered_inputs, oracle, slots, unit_means
+from oracles.sql import ORACLES, em_inputs, li_inputs, numbered_inputs, oracle, slots, vector_slots
 from stackwise.operators import nn as N
 from stackwise.operators import sampling as S
 from stackwise.plans import catalog as C
@@ -461,11 +461,9 @@ LI_CFG = C.LI_CFG
 @oracle("nn_forward")
 def _():
     ch = Chain()
-    _, x, y = li_inputs(ch)
-    Ws = [ch.mat(w) for w in FX.li_weights()]
-    a, _ = nn_forward_sql(ch, x, Ws, "sigm", "sigm")
-    e = nn_error(ch, y, a[-1])
-    return ch.render(unit_means(a[1], "a1") + " UNION ALL " + unit_means(a[2], "a2") + " UNION ALL " + unit_means(e, "error"))
+    x, y = numbered_inputs(ch)
+    a, _ = nn_forward_sql(ch, x, [ch.mat(w) for w in FX.li_weights()], "sigm", "sigm")
+    return ch.render(vector_slots([(a[1], "a1", 4), (a[2], "a2", 3), (nn_error(ch, y, a[-1]), "error", 3)]))
 
 
 def _grad_rows(ch, x, y, W0, act, out, tag, **kw):
@@ -630,12 +628,11 @@ def _():
 @oracle("score_unfolded")
 def _():
     (W1, b1, c1), (W2, b2, c2) = FX.em_dbn()
-    Wout = N.init_weights((4, 10), SEED)[0]
     ch = Chain()
     _, x, _ = em_inputs(ch)
-    Ws = [ch.mat(np.concatenate([c1[:, None], W1], axis=1)), ch.mat(np.concatenate([c2[:, None], W2], axis=1)), ch.mat(Wout)]
+    Ws = [ch.mat(np.concatenate([c1[:, None], W1], axis=1)), ch.mat(np.concatenate([c2[:, None], W2], axis=1)), ch.mat(first_weights(4, 10, SEED))]
     a, _ = nn_forward_sql(ch, x, Ws, "sigm", "sigm")
-    return ch.render(unit_means(a[-1]))
+    return ch.render(vector_slots([(a[-1], "predict_label", 10)]))
 
 
 @oracle("dbn_finetune")

@@ -62,25 +62,15 @@ def rnd(x: float, d: int = 6) -> float:
     return float(round(float(x) + NUDGE, d)) + 0.0
 
 
-def vec_means(df: DataFrame, col: str, width: int, name: str | None = None) -> DataFrame:
-    """(name, unit, value) = per-slot mean, one aggregation."""
-    one = df.agg(*[F.avg(F.col(col)[i]).alias(f"u{i}") for i in range(width)])
-    stack = ", ".join(f"{i}, u{i}" for i in range(width))
-    out = one.selectExpr(f"stack({width}, {stack}) AS (unit, v)")
-    cols = [F.lit(name).alias("name")] if name is not None else []
-    return out.select(*cols, F.col("unit").cast("int").alias("unit"), r6(F.col("v")))
-
-
-def multi_vec_means(df: DataFrame, specs) -> DataFrame:
-    """(name, unit, value) for several vector columns from ONE aggregation; specs: (col, width, name)."""
-    exprs, rows = [], []
-    for k, (col, width, name) in enumerate(specs):
-        for i in range(width):
-            exprs.append(F.avg(F.col(col)[i]).alias(f"m{k}_{i}"))
-            rows.append(f"'{name}', {i}, m{k}_{i}")
-    one = df.agg(*exprs)
-    out = one.selectExpr(f"stack({len(rows)}, {', '.join(rows)}) AS (name, unit, v)")
-    return out.select("name", F.col("unit").cast("int").alias("unit"), r6(F.col("v")))
+def _vectors(df: DataFrame, specs) -> DataFrame:
+    """Keyed rows: the slots of several vector columns as columns of their own; specs: (col, width)."""
+    return df.select(F.col("row_id").cast("long").alias("row_id"), *(round6(F.col(c)[i]).alias(f"{c}{i}") for c, width in specs for i in range(width)))
+
+
+def _numbered_samples(spark, sf):
+    """Samples of lineitem, which has no key, with the row numbers of its file as row_id."""
+    li = numbered_files(I.table(spark, sf, "lineitem"))
+    return li.select("row_id", V.one_hot_lit(F.col("l_returnflag"), I.RETURNFLAGS).alias("label"), F.array(*I.li_feature_cols()).alias("features"))
 
 
 def params_df(spark: SparkSession, items) -> DataFrame:
@@ -126,13 +116,11 @@ def q_read_quoted_table(spark, sf):
 
 
 def q_read_clean_table(spark, sf):
-    li = I.table(spark, sf, "lineitem")
-    df = li.select(V.one_hot_lit(F.col("l_returnflag"), I.RETURNFLAGS).alias("label"),
-                   F.array(*I.li_feature_cols()).alias("features"), "l_linestatus")
+    """Keyed rows of what was written as text and read back."""
     path = scratch_path(spark, "clean-li")
-    T.write_clean_table(df, path, vector_cols=["label", "features"])
-    back = T.read_clean_table(spark, path, vector_cols=["label", "features"])
-    return multi_vec_means(back, [("label", 3, "label"), ("features", 4, "features")])
+    T.write_clean_table(_numbered_samples(spark, sf), path, vector_cols=["label", "features"])
+    back = T.read_clean_table(spark, path, vector_cols=["label", "features"], numeric_cols=["row_id"])
+    return _vectors(back, [("label", 3), ("features", 4)])
 
 
 def q_parse_numeric_rows(spark, sf):
@@ -239,9 +227,9 @@ def q_profile_columns(spark, sf):
 
 
 def q_select_features(spark, sf):
-    li = I.table(spark, sf, "lineitem").withColumn("rf", P.one_hot("l_returnflag", I.RETURNFLAGS))
-    df = P.select_features(li, "rf", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
-    return multi_vec_means(df, [("label", 3, "label"), ("features", 4, "features")])
+    li = numbered_files(I.table(spark, sf, "lineitem")).withColumn("rf", P.one_hot("l_returnflag", I.RETURNFLAGS))
+    df = P.select_features(li, "rf", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], row_id="row_id")
+    return _vectors(df, [("label", 3), ("features", 4)])
 
 
 def q_assemble_samples(spark, sf):
@@ -289,18 +277,13 @@ def q_impute_category_default(spark, sf):
 
 
 def q_prepare_table(spark, sf):
-    li = I.table(spark, sf, "lineitem").select(
-        F.when(F.col("l_returnflag") == "A", F.lit("")).otherwise(F.col("l_returnflag")).alias("l_returnflag"),
+    """Keyed rows of the prepared table, codes and scaled numbers."""
+    li = numbered_files(I.table(spark, sf, "lineitem")).select(
+        "row_id", F.when(F.col("l_returnflag") == "A", F.lit("")).otherwise(F.col("l_returnflag")).alias("l_returnflag"),
         "l_linestatus", "l_quantity", "l_extendedprice", F.expr("nullif(l_discount, 0)").alias("l_discount"), "l_tax")
     out, _ = P.prepare_table(li, LI_NUM, one_hot_cols={"l_returnflag": ["N", "R"], "l_linestatus": I.LINESTATUS},
                              missing_fill={"l_returnflag": 0.5})
-    exprs = [F.avg(F.col("l_returnflag")[i]).alias(f"r{i}") for i in range(2)]
-    exprs += [F.avg(F.col("l_linestatus")[i]).alias(f"s{i}") for i in range(2)]
-    exprs += [F.avg(c).alias(f"u{i}") for i, c in enumerate(LI_NUM)]
-    rows = ["'l_returnflag', 0, r0", "'l_returnflag', 1, r1", "'l_linestatus', 0, s0", "'l_linestatus', 1, s1"]
-    rows += [f"'{c}', 0, u{i}" for i, c in enumerate(LI_NUM)]
-    one = out.agg(*exprs).selectExpr(f"stack({len(rows)}, {', '.join(rows)}) AS (name, unit, v)")
-    return one.select("name", F.col("unit").cast("int").alias("unit"), r6(F.col("v")))
+    return out.select("row_id", *(F.col(c)[i].alias(f"{c}{i}") for c in ("l_returnflag", "l_linestatus") for i in range(2)), *(round6(c).alias(c) for c in LI_NUM))
 
 
 def _text_orders(spark, sf):
@@ -330,12 +313,6 @@ def q_write_observed(spark, sf):
 
 # ============================================================================ C: sampling
 
-def _numbered_samples(spark, sf):
-    """Samples of lineitem, which has no key, with the row numbers of its file as row_id."""
-    li = numbered_files(I.table(spark, sf, "lineitem"))
-    return li.select("row_id", V.one_hot_lit(F.col("l_returnflag"), I.RETURNFLAGS).alias("label"), F.array(*I.li_feature_cols()).alias("features"))
-
-
 def q_number_rows(spark, sf):
     """Row numbers beside the rows they stand for."""
     return numbered_files(I.table(spark, sf, "lineitem")).select("row_id", "l_orderkey", "l_linenumber", "l_extendedprice")
@@ -387,7 +364,7 @@ def q_mini_batches(spark, sf):
 
 def _slots(df, cols, width=3):
     """Keyed rows: the vectors' slots as columns of their own, exact for 0/1 vectors and rounded else."""
-    return df.select("row_id", *(round6(F.col(c)[i]).alias(f"{c}{i}") for c in cols for i in range(width)))
+    return _vectors(df, [(c, width) for c in cols])
 
 
 def q_mask_noise(spark, sf):
@@ -422,16 +399,16 @@ def q_sigmoid_additive_noise(spark, sf):
 # ============================================================================ D, E: vectors and aggregates
 
 def q_activate(spark, sf):
-    li = I.lineitem_samples(spark, sf)
-    df = li.select(*[A.activate("features", fn, 4).alias(fn) for fn in A.ACTIVATIONS])
-    return multi_vec_means(df, [(fn, 4, fn) for fn in A.ACTIVATIONS])
+    li = _numbered_samples(spark, sf)
+    df = li.select("row_id", *[A.activate("features", fn, 4).alias(fn) for fn in A.ACTIVATIONS])
+    return _vectors(df, [(fn, 4) for fn in A.ACTIVATIONS])
 
 
 def q_activation_gradient(spark, sf):
-    li = I.lineitem_samples(spark, sf)
-    acts = li.select(*[A.activate("features", fn, 4).alias(fn) for fn in A.ACTIVATIONS])
-    df = acts.select(*[A.activation_gradient(fn, fn, 4).alias(fn) for fn in A.ACTIVATIONS])
-    return multi_vec_means(df, [(fn, 4, fn) for fn in A.ACTIVATIONS])
+    li = _numbered_samples(spark, sf)
+    acts = li.select("row_id", *[A.activate("features", fn, 4).alias(fn) for fn in A.ACTIVATIONS])
+    df = acts.select("row_id", *[A.activation_gradient(fn, fn, 4).alias(fn) for fn in A.ACTIVATIONS])
+    return _vectors(df, [(fn, 4) for fn in A.ACTIVATIONS])
 
 
 def q_dense_layer(spark, sf):
@@ -441,9 +418,9 @@ def q_dense_layer(spark, sf):
 
 
 def q_add_bias(spark, sf):
-    li = I.lineitem_samples(spark, sf)
-    df = li.select(V.add_bias("features").alias("with_bias")).select("with_bias", V.drop_bias("with_bias").alias("without_bias"))
-    return multi_vec_means(df, [("with_bias", 5, "with_bias"), ("without_bias", 4, "without_bias")])
+    li = _numbered_samples(spark, sf)
+    df = li.select("row_id", V.add_bias("features").alias("with_bias")).select("row_id", "with_bias", V.drop_bias("with_bias").alias("without_bias"))
+    return _vectors(df, [("with_bias", 5), ("without_bias", 4)])
 
 
 def _pca_rows(spark, projected, ev):
@@ -640,7 +617,7 @@ def q_dbn_pretrain(spark, sf):
 
 def q_score_unfolded(spark, sf):
     pred = D.score_unfolded(_em(spark, sf), _fixed_dbn(), output_size=10, output="sigm", seed=SEED)
-    return vec_means(pred, "predict_label", 10)
+    return _vectors(pred, [("predict_label", 10)])
 
 
 def q_dbn_transform(spark, sf):
@@ -684,9 +661,8 @@ LI_CFG = N.NNConfig(sizes=FX.LI_SIZES, activation="sigm", output="sigm", learnin
 
 
 def q_nn_forward(spark, sf):
-    li = I.lineitem_samples(spark, sf)
-    fw = N.nn_forward(li, FX.li_weights(), LI_CFG)
-    return multi_vec_means(fw, [("a1", 4, "a1"), ("a2", 3, "a2"), ("error", 3, "error")])
+    fw = N.nn_forward(_numbered_samples(spark, sf), FX.li_weights(), LI_CFG)
+    return _vectors(fw, [("a1", 4), ("a2", 3), ("error", 3)])
 
 
 def _grad_df(spark, g, tag):

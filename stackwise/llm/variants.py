@@ -209,14 +209,13 @@ def near_words(vocabulary: DataFrame) -> DataFrame:
 
 
 def _roots(forms: DataFrame) -> DataFrame:
-    """word, root: the last of the forms that follow one another."""
-    at = written(forms.select("word", F.col("form").alias("root")), "roots")
-    while True:
+    """word, root: the last of the forms that follow one another. A round doubles the steps taken; it is run only while a root has a form."""
+    at = forms.select("word", F.col("form").alias("root"))
+    ends = forms.select(F.col("word").alias("root"))
+    while not at.join(ends, "root", "left_semi").isEmpty():
         ahead = at.select(F.col("word").alias("via"), F.col("root").alias("next"))
-        moved = written(at.join(ahead, F.col("root") == F.col("via"), "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
-        at = moved.select("word", "root")
-        if moved.filter("moved").isEmpty():
-            return at
+        at = written(at.join(ahead, F.col("root") == F.col("via"), "left").select("word", F.coalesce("next", "root").alias("root")), "roots")
+    return at
 
 
 def spelling_variants(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,8 +1,9 @@
 """Operator 7: language identification by Bayesian evidence fusion.
 
-1. *Text.* Byte trigrams of all documents of each language, hashed into a fixed number of classes, give a
-   likelihood per language; a page's tag-free text is scored by it, tempered because neighbouring
-   trigrams are not independent.
+1. *Text.* The languages are those of the documents, by one grouped count. Byte trigrams of all documents of each
+   language, hashed into a fixed number of classes, give a likelihood per language; a page's tag-free text is
+   scored by it, tempered because neighbouring trigrams are not independent. How well the languages together usually
+   explain a document is measured too, and a page that they explain far worse has an unknown language.
 2. *Declared markup language.* How often a page of a language declares each language is counted over all
    pages (weighted by the text posteriors) and smoothed towards mostly true declarations.
 3. *Address.* Languages per host are counted the same way and smoothed towards the host's address suffix, which is
@@ -10,11 +11,12 @@
 4. *Fusion.* Logarithms of likelihood, declaration and prior add up; a softmax gives posteriors.
 
 Counts are grouped sums over the pages with partial sums in the tasks, so a hot host is a few rows before
-any shuffle. Pages are read once, documents once.
+any shuffle. Pages are read once, documents twice (model, fit) and their languages once.
 
 Defined cases: null html or text without letters has even likelihoods; a missing, null or unknown declared
-language is no evidence; a null or malformed address uses the prior of all pages; documents of unknown
-languages are ignored; without documents the text is no evidence; repeated rows are scored each and counted each; empty tables
+language is no evidence; a null or malformed address uses the prior of all pages; documents without a language,
+or of one that fewer than 1 in ``1 / LEAST_SHARE`` have, are not learnt; a page of at least ``LEAST_TRIGRAMS`` that fits no language is ``und``
+with score 0 and counts for no host; without documents every page is ``und`` with score 0; repeated rows are scored each and counted each; empty tables
 give no rows; other columns are ignored; texts of any length are read whole.
 """
 
@@ -28,7 +30,11 @@ from pyspark.sql import functions as F
 from stackwise.llm import textscan as TS
 from stackwise.llm.shared import COUNTER_SCHEMA, arrow_batch, counter_rows, merged_counters, ship, written
 
-LANGUAGES = ("de", "en", "es", "fr")
+LEAST_SHARE = 1e-3    # of the documents with a language: bounds the number of languages
+UNKNOWN = "und"
+LEAST_LEARNT = 1000   # trigrams of a language that count as knowing it, when texts are held against all languages
+LEAST_TRIGRAMS = 50   # fewer say nothing about an unknown language
+UNUSUAL = 10.0        # so many times less likely than in documents is a trigram of an unknown language
 CLASSES = 1 << 16
 SMOOTH = 0.5
 TEMPER = 0.2          # weight of a trigram's log-likelihood
@@ -54,10 +60,47 @@ def _trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return text[:-2][inside], (TS.mix64(code[inside].astype(np.uint64)) % np.uint64(CLASSES)).astype(np.int64)
 
 
-def language_model(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", languages: tuple[str, ...] = LANGUAGES) -> np.ndarray:
-    """Log-probability of every trigram class per language, over all documents of the languages."""
+def document_languages(docs: DataFrame, *, lang_col: str = "lang") -> tuple[str, ...]:
+    """Languages that at least ``LEAST_SHARE`` of the documents have, in order; at most ``1 / LEAST_SHARE``."""
+    lang = F.trim(F.col(lang_col).cast("string"))
+    counts = docs.select(lang.alias("lang")).filter("lang <> ''").groupBy("lang").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return tuple(sorted(r["lang"] for r in counts.filter(F.col("n") >= LEAST_SHARE * total).collect()))
+
+
+def _numbered(docs: DataFrame, text_col: str, lang_col: str, languages: tuple[str, ...]) -> DataFrame:
+    number = F.array_position(F.array(*map(F.lit, languages)).cast("array<string>"), F.trim(F.col(lang_col).cast("string"))) - 1
+    return docs.select(number.cast("long").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang >= 0")
+
+
+def usual_fit(docs: DataFrame, highest: np.ndarray, *, text_col: str = "text", lang_col: str = "lang", languages: tuple[str, ...]) -> float:
+    """The mean log-probability of a trigram, in the language that explains it best, below which a text has an unknown language.
+
+    It is the mean over the documents of at least ``LEAST_TRIGRAMS`` less the logarithm of ``UNUSUAL``; one row of sums per task.
+    Taking the best language trigram by trigram leaves pages that mix languages alone. Without such documents nothing is unusual.
+    """
+    if not np.isfinite(highest).all():
+        return -np.inf
+    sent = docs.sparkSession.sparkContext.broadcast(highest)
+
+    def run(batches):
+        sums = np.zeros(2)
+        for b in batches:
+            for lo, hi, data, offsets in TS.text_slices(b.column(1)):
+                text, cls = _trigrams(data, offsets)
+                n = np.bincount(text, minlength=hi - lo)
+                mean = (np.bincount(text, sent.value[cls], minlength=hi - lo) / np.maximum(n, 1))[n >= LEAST_TRIGRAMS]
+                sums += len(mean), mean.sum()
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in sums], names=["n", "s"])
+
+    r = _numbered(docs, text_col, lang_col, languages).mapInArrow(run, "n double, s double").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
+    return r["s"] / r["n"] - float(np.log(UNUSUAL)) if r["n"] else -np.inf
+
+
+def language_model(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", languages: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Log-probability of every trigram class per language, over all documents of the languages, and in the language of at least
+    ``LEAST_LEARNT`` trigrams that explains it best (minus infinity for all where there is none)."""
     ship(docs)
-    number = F.array_position(F.array(*map(F.lit, languages)), F.col(lang_col).cast("string")) - 1
 
     def run(batches):
         counts = np.zeros(len(languages) * CLASSES, dtype=np.int64)
@@ -70,9 +113,9 @@ def language_model(docs: DataFrame, *, text_col: str = "text", lang_col: str = "
         if rows:
             yield arrow_batch({"chunk": [c for c, _ in rows], "blob": [x for _, x in rows]}, pa.schema([("chunk", pa.int32()), ("blob", pa.binary())]))
 
-    src = docs.select(number.cast("long").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang >= 0")
-    counts = merged_counters(src.mapInArrow(run, COUNTER_SCHEMA), len(languages) * CLASSES, np.int64).reshape(len(languages), CLASSES).astype(np.float64)
-    return np.log((counts + SMOOTH) / (counts.sum(axis=1, keepdims=True) + SMOOTH * CLASSES)).astype(np.float32)
+    counts = merged_counters(_numbered(docs, text_col, lang_col, languages).mapInArrow(run, COUNTER_SCHEMA), len(languages) * CLASSES, np.int64).reshape(len(languages), CLASSES).astype(np.float64)
+    model = np.log((counts + SMOOTH) / (counts.sum(axis=1, keepdims=True) + SMOOTH * CLASSES)).astype(np.float32)
+    return model, model[counts.sum(axis=1) >= LEAST_LEARNT].max(axis=0, initial=-np.inf)
 
 
 def page_text(html: Column) -> Column:
@@ -81,7 +124,7 @@ def page_text(html: Column) -> Column:
     return F.regexp_replace(bare, r"<[^>]*>|&[#\w]+;", " ")
 
 
-def declared_language(html: Column, languages: tuple[str, ...] = LANGUAGES) -> Column:
+def declared_language(html: Column, languages: tuple[str, ...]) -> Column:
     """The language of the html element, where it is one of ``languages``."""
     found = F.lower(F.regexp_extract(html, r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]+)", 1))
     return F.when(found.isin(*languages), found)
@@ -93,67 +136,95 @@ def host_of(url: Column) -> Column:
     return F.when(host != "", host)
 
 
-def text_posteriors(pages: DataFrame, model: np.ndarray, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
-    """(page_id, host, suffix, declared, logs): tempered log-likelihoods per language, highest 0."""
-    sent = pages.sparkSession.sparkContext.broadcast(model)
+def text_posteriors(pages: DataFrame, model: np.ndarray, highest: np.ndarray, least: float, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", languages: tuple[str, ...]) -> DataFrame:
+    """(page_id, host, suffix, declared, logs, p, far): tempered log-likelihoods per language, highest 0, their posteriors (0 for
+    unknown languages), and whether no language explains the text."""
+    sent = pages.sparkSession.sparkContext.broadcast((model, highest))
     html = F.col(html_col).cast("string")
     host = host_of(F.col(url_col).cast("string"))
     src = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), F.regexp_extract(host, r"([^.]+)\.?$", 1).alias("suffix"),
                        declared_language(html, languages).alias("declared"), page_text(html).alias("text"))
 
     def run(batches):
-        m = sent.value
+        m, best = sent.value
         for b in batches:
-            out = np.zeros((b.num_rows, len(m)))
+            out, n, fit = np.zeros((b.num_rows, len(m))), np.zeros(b.num_rows), np.zeros(b.num_rows)
             for lo, hi, data, offsets in TS.text_slices(b.column(4)):
                 text, cls = _trigrams(data, offsets)
+                n[lo:hi], fit[lo:hi] = np.bincount(text, minlength=hi - lo), np.bincount(text, best[cls], minlength=hi - lo)
                 for j, row in enumerate(m):
                     out[lo:hi, j] = np.bincount(text, row[cls], minlength=hi - lo)
+            far = (n >= LEAST_TRIGRAMS) & (fit < least * n)
             out = np.maximum(TEMPER * (out - out.max(axis=1, keepdims=True)), -CERTAIN)
             at = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * len(m))
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.ListArray.from_arrays(at, pa.array(out.ravel()))], names=["page_id", "host", "suffix", "declared", "logs"])
+            p = np.where(far[:, None], 0.0, _softmax(out)) if b.num_rows else out
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], *(pa.ListArray.from_arrays(at, pa.array(x.ravel())) for x in (out, p)), pa.array(far)],
+                                             names=["page_id", "host", "suffix", "declared", "logs", "p", "far"])
 
     kind = pages.schema[id_col].dataType.simpleString()
-    return src.mapInArrow(run, f"page_id {kind}, host string, suffix string, declared string, logs array<double>")
+    return src.mapInArrow(run, f"page_id {kind}, host string, suffix string, declared string, logs array<double>, p array<double>, far boolean")
+
+
+def _matrix(column: pa.Array, k: int) -> np.ndarray:
+    """Lists of k numbers as rows; null lists are rows of nan."""
+    out = np.full((len(column), k), np.nan)
+    held = np.asarray(column.is_valid())
+    out[held] = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+    return out
 
 
-def _softmax(logs: list[Column]) -> list[Column]:
-    top = F.greatest(*logs)
-    weights = [F.exp(x - top) for x in logs]
-    total = sum(weights[1:], weights[0])
-    return [w / total for w in weights]
+def _softmax(logs: np.ndarray) -> np.ndarray:
+    e = np.exp(logs - logs.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
 
 
-def identify(pages: DataFrame, docs: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
-    """Per page: page_id, lang, score (its posterior), text_lang, declared, host."""
+def _last_best(p: np.ndarray) -> np.ndarray:
+    """Index of the highest value of each row; of equal ones the last."""
+    return p.shape[1] - 1 - p[:, ::-1].argmax(axis=1)
+
+
+def identify(pages: DataFrame, docs: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", languages: tuple[str, ...] | None = None) -> DataFrame:
+    """Per page: page_id, lang, score (its posterior), text_lang, declared, host. Languages are those of the documents unless given."""
     ship(pages)
-    model = language_model(docs, languages=languages)
-    rows = written(text_posteriors(pages, model, id_col=id_col, url_col=url_col, html_col=html_col, languages=languages), "page-evidence")
+    languages = document_languages(docs) if languages is None else languages
+    if not languages:
+        host = host_of(F.col(url_col).cast("string"))
+        return pages.select(F.col(id_col).alias("page_id"), F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score"), F.lit(UNKNOWN).alias("text_lang"),
+                            F.lit(None).cast("string").alias("declared"), host.alias("host"))
+    model, highest = language_model(docs, languages=languages)
+    least = usual_fit(docs, highest, languages=languages)
+    rows = written(text_posteriors(pages, model, highest, least, id_col=id_col, url_col=url_col, html_col=html_col, languages=languages), "page-evidence")
     k = len(languages)
-    post = _softmax([F.col("logs")[j] for j in range(k)])
-    rows = rows.select("page_id", "host", "suffix", "declared", *(F.col("logs")[j].alias(f"log{j}") for j in range(k)), *(p.alias(f"p{j}") for j, p in enumerate(post)))
-    sums = lambda name: [F.sum(f"p{j}").alias(f"{name}{j}") for j in range(k)]
-    smooth = lambda own, weight, parent: [(F.coalesce(o, F.lit(0.0)) + weight * q) / (F.coalesce(sum(own[1:], own[0]), F.lit(0.0)) + weight) for o, q in zip(own, parent)]
-
-    hosts = rows.groupBy("host", "suffix").agg(*sums("h"))
-    suffixes = hosts.groupBy("suffix").agg(*(F.sum(f"h{j}").alias(f"s{j}") for j in range(k)))
-    every = suffixes.agg(*(F.coalesce(F.sum(f"s{j}"), F.lit(0.0)).alias(f"a{j}") for j in range(k))).first()  # one row
-    total = sum(every) or 1.0
-    overall = [(every[f"a{j}"] + 1.0) / (total + k) for j in range(k)]
-    said = rows.filter("declared is not null").groupBy("declared").agg(*sums("d")).collect()  # at most one row per language
-    counts = {r["declared"]: [r[f"d{j}"] for j in range(k)] for r in said}
-    prior = lambda d, j: DECLARED_TRUE if languages[j] == d else (1 - DECLARED_TRUE) / max(k - 1, 1)
-    of_language = [sum(c[j] for c in counts.values()) for j in range(k)]
-    declared = {d: [float(np.log((counts.get(d, [0.0] * k)[j] + DECLARED_WEIGHT * prior(d, j)) / (of_language[j] + DECLARED_WEIGHT))) for j in range(k)] for d in languages}
-
-    priors = hosts.join(suffixes, "suffix").select(F.col("host").alias("_host"), *(F.col(f"h{j}") for j in range(k)),
-                                                   *(q.alias(f"q{j}") for j, q in enumerate(smooth([F.col(f"s{j}") for j in range(k)], SUFFIX_WEIGHT, [F.lit(x) for x in overall]))))
-    near = rows.join(priors.filter("_host is not null"), rows["host"] == priors["_host"], "left")
-    own = [F.greatest(F.coalesce(f"h{j}", F.lit(0.0)) - F.when(F.col("_host").isNotNull(), F.col(f"p{j}")).otherwise(0.0), F.lit(0.0)) for j in range(k)]
-    host_prior = smooth(own, HOST_WEIGHT, [F.coalesce(f"q{j}", F.lit(overall[j])) for j in range(k)])
-    said_log = [F.coalesce(*(F.when(F.col("declared") == d, F.lit(v[j])) for d, v in declared.items()), F.lit(0.0)) for j in range(k)]
-    final = near.select("page_id", "host", "declared", *(f"p{j}" for j in range(k)), *((F.col(f"log{j}") + F.log(host_prior[j]) + said_log[j]).alias(f"f{j}") for j in range(k)))
-    best = lambda cols: F.greatest(*(F.struct(c.alias("p"), F.lit(lang).alias("lang")) for c, lang in zip(cols, languages)))
-    post = _softmax([F.col(f"f{j}") for j in range(k)])
-    top = best(post)
-    return final.select("page_id", top["lang"].alias("lang"), top["p"].alias("score"), best([F.col(f"p{j}") for j in range(k)])["lang"].alias("text_lang"), "declared", "host")
+    sums = lambda of: F.array(*(F.sum(F.col(of)[j]) for j in range(k)))
+
+    hosts = rows.groupBy("host", "suffix").agg(sums("p").alias("h"))
+    suffixes = hosts.groupBy("suffix").agg(sums("h").alias("s"))
+    every = np.array(suffixes.agg(sums("s").alias("a")).first()["a"], dtype=object)  # one row
+    every = np.array([x or 0.0 for x in every], dtype=float)
+    overall = (every + 1.0) / ((every.sum() or 1.0) + k)
+    counts = {r["declared"]: np.array(r["d"]) for r in rows.filter("declared is not null").groupBy("declared").agg(sums("p").alias("d")).collect()}  # at most one row per language
+    spoken = sum(counts.values(), np.zeros(k))
+    true = DECLARED_TRUE * np.eye(k) + (1 - DECLARED_TRUE) / max(k - 1, 1) * (1 - np.eye(k))
+    said = {d: np.log((counts.get(d, np.zeros(k)) + DECLARED_WEIGHT * true[i]) / (spoken + DECLARED_WEIGHT)) for i, d in enumerate(languages)}
+
+    known = hosts.filter("host is not null").join(suffixes, "suffix").select(F.col("host").alias("_host"), "h", "s")
+    near = rows.join(known, rows["host"] == known["_host"], "left").select("page_id", "host", "declared", "far", "logs", "p", "h", "s")
+    names = np.array([*languages, UNKNOWN], dtype=object)
+
+    def fuse(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            far, logs, p, h, s = np.asarray(b.column(3)), *(_matrix(b.column(c), k) for c in range(4, 8))
+            alone = np.isnan(h[:, :1])
+            suffix = np.where(alone, overall, (s + SUFFIX_WEIGHT * overall) / (s.sum(axis=1, keepdims=True) + SUFFIX_WEIGHT))
+            own = np.where(alone, 0.0, np.maximum(h - p, 0.0))
+            prior = (own + HOST_WEIGHT * suffix) / (own.sum(axis=1, keepdims=True) + HOST_WEIGHT)
+            post = _softmax(logs + np.log(prior) + np.stack([said.get(d, np.zeros(k)) for d in b.column(2).to_pylist()]))
+            best, text = _last_best(post), _last_best(logs)
+            lang, text = (pa.array(names[np.where(far, k, x)], pa.string()) for x in (best, text))
+            score = pa.array(np.where(far, 0.0, post[np.arange(len(post)), best]))
+            yield pa.RecordBatch.from_arrays([b.column(0), lang, score, text, b.column(2), b.column(1)], names=["page_id", "lang", "score", "text_lang", "declared", "host"])
+
+    kind = pages.schema[id_col].dataType.simpleString()
+    return near.mapInArrow(fuse, f"page_id {kind}, lang string, score double, text_lang string, declared string, host string")

@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -98,3 +99,27 @@ def test_null_ids_and_repeated_ids(spark, sf):
     assert sorted(r.text for r in near) == sorted({r[1] for r in odd})  # one row per group of equal texts
     for stage in (C.toxicity, C.decontamination):
         assert stage(spark, docs, path).count() == len(odd)
+
+
+def test_columns_of_any_name_pass_through(spark, sf):
+    """A column called like the internal key, in any case and with dots, keeps its values in every filtering stage."""
+    path, *_ = sf
+    docs = spark.read.parquet(f"{path}/documents.parquet").filter("doc_id < 40 or text is null")
+    odd = docs.selectExpr("*", "concat('keep ', doc_id) as _document_key", "1 as `_DOCUMENT_KEY_`", "2 as `a.b`")
+    for _, stage in C.STAGES[:-1]:
+        got = stage(spark, odd, path)
+        assert got.columns == odd.columns
+        rows = got.collect()
+        assert rows and all(r["_document_key"] == f"keep {r.doc_id}" and r["a.b"] == 2 for r in rows if r.doc_id is not None)
+
+
+def test_run_keeps_only_what_its_result_reads(spark, sf, tmp_path):
+    from stackwise.session import scratch_run
+
+    path, *_ = sf
+    with scratch_run(spark) as folder:
+        pieces = C.run(spark, path)
+        assert pieces.count() > 0
+        left = os.listdir(folder)
+        assert len(left) == 1 and left[0].startswith("stage-decontamination")
+    assert not os.path.exists(folder)

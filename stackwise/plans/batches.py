@@ -20,6 +20,16 @@ from stackwise.operators import sampling as S
 from stackwise.session import release, scratch_path
 
 BUCKETS_PER_BATCH = 8
+TASK_BYTES = 256 << 20  # input that a task deals
+
+
+def _input_bytes(df: DataFrame) -> int:
+    """Bytes of the tables that the rows come from, as the optimizer knows them; tables of unknown size (8 EiB to it) count nothing."""
+    total, leaves = 0, df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
+    while leaves.hasNext():
+        size = int(leaves.next().stats().sizeInBytes().toString())
+        total += size if size < 1 << 60 else 0
+    return total
 
 
 def bucket_order(nb: int, seed: int, epoch: int) -> list[list[int]]:
@@ -43,8 +53,8 @@ class TrainingRows:
             n = self.nb * BUCKETS_PER_BATCH
             draw = uniform_col(F.col(row_id), 0, derive_seed(seed, S.BATCH))
             dealt = df.withColumn("_bucket", F.least(F.floor(draw * F.lit(float(n))), F.lit(n - 1)).cast("int"))
-            # a bucket's rows spread over several tasks where the session asks for more tasks than buckets
-            tasks = int(self._spark.conf.get("spark.sql.shuffle.partitions"))
+            # a bucket's rows spread over several tasks where the session or the size of the rows asks for more tasks than buckets
+            tasks = max(int(self._spark.conf.get("spark.sql.shuffle.partitions")), -(-_input_bytes(df) // TASK_BYTES))
             salt = F.pmod(F.xxhash64(row_id), F.lit(max(1, -(-tasks // n))))
             dealt.repartition(max(n, tasks), "_bucket", salt).write.partitionBy("_bucket").parquet(self._path)
         schema = T.StructType([*df.schema.fields, *([T.StructField("_bucket", T.IntegerType())] if self.nb > 1 else [])])

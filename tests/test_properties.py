@@ -256,3 +256,17 @@ def test_pca_matches_numpy_eigendecomposition(spark):
     for k in range(3):
         s = np.sign(np.dot(P[:, k], ref[:, k]))
         np.testing.assert_allclose(P[:, k], s * ref[:, k], rtol=1e-6, atol=1e-8)
+
+
+def test_tasks_that_deal_rows_grow_with_the_input(spark, tmp_path, monkeypatch):
+    from stackwise.plans import batches as B
+
+    rows = spark.range(3000).select(F.col("id").alias("row_id"), F.array(F.rand(1)).alias("features"))
+    rows.write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t")).select("row_id", "features")
+    assert 10_000 < B._input_bytes(df) < 1_000_000
+    monkeypatch.setattr(B, "TASK_BYTES", 1000)
+    with B.TrainingRows(df, 2, 3) as few:
+        files = {p for p in few.rows.inputFiles()}
+        assert few.rows.count() == 3000 and len(files) > 2 * B.BUCKETS_PER_BATCH
+        assert sum(few.batch(0, b).count() for b in range(2)) == 3000

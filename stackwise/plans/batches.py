@@ -27,7 +27,7 @@ def _input_bytes(df: DataFrame) -> int:
     """Bytes of the tables that the rows come from, as the optimizer knows them; tables of unknown size (8 EiB to it) count nothing."""
     total, leaves = 0, df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
     while leaves.hasNext():
-        size = int(leaves.next().stats().sizeInBytes().toString())
+        size = int(str(leaves.next().stats().sizeInBytes()))
         total += size if size < 1 << 60 else 0
     return total
 

@@ -65,7 +65,7 @@ def _rbm_fit(ch: Chain, x: str, p: RBMTabs, *, gaussian: bool, epochs: int, mome
     return p
 
 
-def dbn_end_to_end_sql(ch: Chain, x: str, y: str, width: int, out: int, epochs_pretrain: int = 1, epochs_finetune: int = 2, hidden: int = 8) -> str:
+def _unrolled(ch: Chain, x: str, y: str, width: int, out: int, epochs_pretrain: int = 1, epochs_finetune: int = 2, hidden: int = 8) -> str:
     x, y = ch.add(f"SELECT * FROM {x}"), ch.add(f"SELECT * FROM {y}")
     # pretraining: Gaussian layer, then binary layer on its hidden probabilities (default init)
     s1, s2 = derive_seed(C.SEED, 400, 0), derive_seed(C.SEED, 400, 1)
@@ -103,9 +103,10 @@ def dbn_end_to_end_sql(ch: Chain, x: str, y: str, width: int, out: int, epochs_p
                      f"FROM {per_row}")
 
 
-def _wells() -> str:
+def dbn_end_to_end_sql(epochs_pretrain: int = 1, epochs_finetune: int = 2, hidden: int = 8) -> str:
+    """The flagship over the well table."""
     ch = Chain()
-    return dbn_end_to_end_sql(ch, *well_samples(ch), len(roles.EXAMPLE_FEATURES), len(roles.ONE_HOT[roles.EXAMPLE_TARGET]))
+    return _unrolled(ch, *well_samples(ch), len(roles.EXAMPLE_FEATURES), len(roles.ONE_HOT[roles.EXAMPLE_TARGET]), epochs_pretrain, epochs_finetune, hidden)
 
 
 def _events() -> str:
@@ -113,7 +114,7 @@ def _events() -> str:
     base, x = ev_inputs(ch)
     kinds = ["click", "error", "purchase", "signup", "view"]
     y = ch.add(" UNION ALL ".join(f"SELECT r, {k} AS i, CASE WHEN event_type = '{t}' THEN {ONE} ELSE {ZERO} END AS v FROM {base}" for k, t in enumerate(kinds)))
-    return dbn_end_to_end_sql(ch, x, y, 3, len(kinds))
+    return _unrolled(ch, x, y, 3, len(kinds))
 
 
 def _wide_gradient() -> str:
@@ -147,5 +148,5 @@ def _wide_cd_step() -> str:
 ORACLES["nn_gradient_sparse"] = _wide_gradient()
 ORACLES["nn_predict_sparse"] = _wide_predictions()
 ORACLES["gaussian_rbm_cd_step_sparse"] = _wide_cd_step()
-ORACLES["dbn_end_to_end"] = _wells()
+ORACLES["dbn_end_to_end"] = dbn_end_to_end_sql()
 ORACLES["events_dbn_end_to_end"] = _events()

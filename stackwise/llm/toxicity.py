@@ -10,7 +10,7 @@
    words have one reading, themselves.
 3. *Scoring.* Restored words and their stems (first 4 to 7 bytes, for inflected forms) fall into a fixed number of
    hash classes. From the labelled training documents, each class gets the lower confidence bound of its log-odds
-   of occurring in a toxic document, whatever the class sizes; classes without clear evidence get 0. A word speaks through its strongest class, a
+   of occurring in a toxic document, whatever the class sizes; classes without clear evidence, or with next to no difference, get 0. A word speaks through its strongest class, a
    document's evidence is the sum over the distinct classes that spoke, mapped to a share by a
    logistic curve fitted on the training documents.
 
@@ -46,6 +46,7 @@ STEMS = (4, 5, 6, 7)
 SMOOTH = 0.3
 CLEAR = 30.0           # likelihood ratio (G) from which a class counts as evidence
 BOUND = 2.0            # its weight is the log-odds less so many standard errors
+LEAST = 1.5            # log-odds that a class surely has at least; many documents make the slightest difference certain, but not telling
 MOST = 40.0            # evidence bins end here
 BINS = 400
 
@@ -336,7 +337,8 @@ def word_evidence(docs: DataFrame, known: DataFrame, model, *, id_col: str, text
     gain = 2 * (toxic * np.log(p1 / p) + clean * np.log(p0 / p) + (n1 - toxic) * np.log((1 - p1) / (1 - p)) + (n0 - clean) * np.log((1 - p0) / (1 - p)))
     odds = np.log(p1 / (1 - p1)) - np.log(p0 / (1 - p0))
     error = np.sqrt(1 / (toxic + SMOOTH) + 1 / (n1 - toxic + SMOOTH) + 1 / (clean + SMOOTH) + 1 / (n0 - clean + SMOOTH))
-    weights = np.where(gain >= CLEAR, np.maximum(odds - BOUND * error, 0), 0).astype(np.float32)
+    surely = odds - BOUND * error
+    weights = np.where((gain >= CLEAR) & (surely >= LEAST), surely, 0).astype(np.float32)
     weights[0] = 0
     return weights
 

@@ -94,7 +94,9 @@ def checked(col, width: int) -> Column:
     return F.when(bad, F.raise_error(F.lit(f"vector column must hold {width} numbers in every row")).cast("array<double>")).otherwise(x)
 
 
-EXPRESSION_MAX = 256  # weights per layer up to which DataFrame operators choose the expression form (one generated method)
+# Weights up to which DataFrame operators choose the expression form. It is part of one generated method with all that the
+# stage computes beside it, and the JVM interprets methods of more than 8,000 bytes of code: 112 weights cost 74 us a row.
+EXPRESSION_MAX = 32
 
 
 def dense_units(xs: Sequence[Column], W: np.ndarray, c: np.ndarray | None, act: str) -> list[Column]:

@@ -327,7 +327,7 @@ def _fit(df: DataFrame, cfg: NNConfig, epochs: int, n_batches: int | None, batch
 # --------------------------------------------------------------------------- projections
 
 def _layers_small(W) -> bool:
-    return all(np.asarray(w).size <= V.EXPRESSION_MAX for w in W)
+    return sum(np.asarray(w).size for w in W) <= V.EXPRESSION_MAX
 
 
 def forward_columns(df: DataFrame, W, cfg: NNConfig, *, features: str = "features", keep_hidden: bool = False,
@@ -387,7 +387,7 @@ def nn_predict(df: DataFrame, W, cfg: NNConfig, *, features: str = "features", l
     """(label, features, predict_label, error), lazily.
 
     ``method``: 'expr' (code-generated projection, also for streams), 'arrow' (numpy per
-    Arrow batch, for wide layers) or 'auto' (expr while every layer has <= EXPRESSION_MAX weights). In all of
+    Arrow batch, for wide layers) or 'auto' (expr while the layers have <= EXPRESSION_MAX weights together). In all of
     them a label or feature vector that is NULL, holds NULL or has another width raises an error.
     """
     L = cfg.n_layers

@@ -270,3 +270,23 @@ def test_tasks_that_deal_rows_grow_with_the_input(spark, tmp_path, monkeypatch):
         files = {p for p in few.rows.inputFiles()}
         assert few.rows.count() == 3000 and len(files) > 2 * B.BUCKETS_PER_BATCH
         assert sum(few.batch(0, b).count() for b in range(2)) == 3000
+
+
+def test_layers_too_large_for_compiled_code_run_on_arrow(spark):
+    """The flagship's layers (14 x 8, 8 x 3): as expressions their generated code is too long for the JVM's compiler."""
+    from stackwise.operators.layers import dense_layer
+
+    rng = np.random.default_rng(3)
+    X = rng.random((50, 14))
+    df = spark.createDataFrame([(i, [1.0, 0.0, 0.0], x.tolist()) for i, x in enumerate(X)], "row_id long, label array<double>, features array<double>")
+    W = [rng.normal(size=(8, 15)), rng.normal(size=(3, 9))]
+    net = N.NNConfig(sizes=(14, 8, 3), activation="sigm", output="sigm")
+    hidden = dense_layer(df, "features", W[0][:, 1:], W[0][:, 0], "sigm", "h")
+    scored = N.nn_predict(df, W, net)
+    for made in (hidden, scored):
+        assert "MapInArrow" in made._jdf.queryExecution().optimizedPlan().toString()
+    a = np.array([r.h for r in hidden.orderBy("row_id").collect()])
+    np.testing.assert_allclose(a, 1 / (1 + np.exp(-(X @ W[0][:, 1:].T + W[0][:, 0]))), rtol=1e-12)
+    got = scored.orderBy("row_id").select("predict_label", "error").collect()
+    want = N.nn_predict(df, W, net, method="expr").orderBy("row_id").select("predict_label", "error").collect()
+    np.testing.assert_allclose(np.array(got, dtype=float), np.array(want, dtype=float), rtol=1e-12, atol=1e-15)

@@ -29,6 +29,7 @@ from stackwise.llm.tokens import encoder
 
 WINDOW = 4096
 BLOCK_TOKENS = 1 << 20
+SLICE_BYTES = 1 << 20  # texts that are tokenised at once
 
 
 def fill_window(lengths: dict[int, int], capacity: int) -> tuple[dict[int, int], int]:
@@ -150,10 +151,9 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
             if schema is None:
                 schema = pa.schema([("doc_id", batch.schema.field(0).type), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()),
                                     ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
-            for lo, hi, _, _ in TS.text_slices(batch.column(1), 1 << 20):
+            for lo, hi, _, _ in TS.text_slices(batch.column(1), SLICE_BYTES):
                 ids = batch.column(0).slice(lo, hi - lo).to_pylist()
-                texts = batch.column(1).slice(lo, hi - lo).to_pylist()
-                for doc_id, raw in zip(ids, enc.encode([t or "" for t in texts])):
+                for doc_id, raw in zip(ids, enc.encode(batch.column(1).slice(lo, hi - lo).fill_null(""))):
                     doc = (doc_id, raw + end)
                     packer.add(doc, len(doc[1]) // 4)
                     pending += len(doc[1]) // 4

@@ -43,7 +43,7 @@ def token_blocks(docs: DataFrame, tokenizer_path: str, *, text_col: str = "text"
 
         for batch in batches:
             for lo, hi, _, _ in TS.text_slices(batch.column(0)):
-                raw = enc.encode([t or "" for t in batch.column(0).slice(lo, hi - lo).to_pylist()])
+                raw = enc.encode(batch.column(0).slice(lo, hi - lo).fill_null(""))
                 ids = np.frombuffer(b"".join(x + end for x in raw), dtype="<u4")
                 if len(ids) and int(ids.max()) >= 1 << (8 * width):
                     raise ValueError(f"an id does not fit into {width} bytes")

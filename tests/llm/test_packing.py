@@ -36,6 +36,27 @@ def test_encoder_equals_the_tokenizer(corpus):
         assert list(struct.unpack(f"<{len(raw) // 4}I", raw)) == tok.encode(t, add_special_tokens=False).ids
 
 
+def test_encoder_with_marks_and_two_generations(monkeypatch):
+    """Runs of marks behind words, a letter whose lower case ends with a mark, and words that the older generation knows."""
+    from stackwise.llm import tokens
+
+    tok = Tokenizer.from_file(PATH)
+    texts = ["İ. İ, Xİ!! İ", "Word!! word,*** wörd;:", "", "don't, it's 'S x's. #'s", "x<|endoftext|> a<|startoftext|>,b", "word new 1,2. wörd"] * 2
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    read = lambda raws: [list(struct.unpack(f"<{len(r) // 4}I", r)) for r in raws]
+    assert read(WordEncoder(PATH).encode(texts)) == want
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 4)
+    few = WordEncoder(PATH)
+    learned = []
+    monkeypatch.setattr(few, "_words", lambda w, f=few._words: (learned.extend(w), f(w)))
+    assert [read(few.encode([t]))[0] for t in texts] == want
+    few.encode(["house"])
+    few.encode(["a b c d e f g h"])
+    learned.clear()
+    few.encode(["house"])
+    assert "house" not in learned and len(few._before) > 0
+
+
 @pytest.mark.parametrize("window,block", [(4096, 1 << 20), (64, 500)])
 def test_round_trip_without_padding(make_docs, corpus, window, block):
     tok = Tokenizer.from_file(PATH)

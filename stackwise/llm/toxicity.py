@@ -39,6 +39,7 @@ from stackwise.llm.quality import held_out, labelled
 from stackwise.llm.shared import COUNTER_SCHEMA, arrow_batch, counter_rows, merged_counters, ship, written
 
 CLASSES = 1 << 22      # hash classes of words
+SLICE = 1 << 16        # classes that are weighed at a time
 FILTER_BITS = 1 << 26  # filter of labelled ids
 SYMBOLS = 28           # boundary, a-z, other
 ORDER = 4
@@ -328,17 +329,28 @@ def word_evidence(docs: DataFrame, known: DataFrame, model, *, id_col: str, text
             yield arrow_batch({"chunk": [c for c, _ in rows], "blob": [x for _, x in rows]}, pa.schema([("chunk", pa.int32()), ("blob", pa.binary())]))
 
     found = src.mapInArrow(words, f"doc_id {docs.schema[id_col].dataType.simpleString()}, classes binary")
-    acc = merged_counters(labelled(found, known, "label").select("classes", "label").mapInArrow(counts, COUNTER_SCHEMA), 2 * CLASSES + (1 << 16), np.int32).astype(np.float64)
+    acc = merged_counters(labelled(found, known, "label").select("classes", "label").mapInArrow(counts, COUNTER_SCHEMA), 2 * CLASSES + (1 << 16), np.int32)
     wanted.destroy()
-    clean, toxic, (n0, n1) = acc[:CLASSES], acc[CLASSES:2 * CLASSES], acc[2 * CLASSES:2 * CLASSES + 2]
+    return class_weights(acc)
+
+
+def class_weights(acc: np.ndarray) -> np.ndarray:
+    """Weight per hash class from the counters: clean, toxic, documents of each.
+
+    A slice of classes at a time, so that the driver holds the counters and the weights and no more whole arrays.
+    """
+    n0, n1 = acc[2 * CLASSES:2 * CLASSES + 2].astype(np.float64)
+    weights = np.zeros(CLASSES, dtype=np.float32)
     if not n0 or not n1:
-        return np.zeros(CLASSES, dtype=np.float32)
-    p0, p1, p = (clean + SMOOTH) / (n0 + 2 * SMOOTH), (toxic + SMOOTH) / (n1 + 2 * SMOOTH), (clean + toxic + SMOOTH) / (n0 + n1 + 2 * SMOOTH)
-    gain = 2 * (toxic * np.log(p1 / p) + clean * np.log(p0 / p) + (n1 - toxic) * np.log((1 - p1) / (1 - p)) + (n0 - clean) * np.log((1 - p0) / (1 - p)))
-    odds = np.log(p1 / (1 - p1)) - np.log(p0 / (1 - p0))
-    error = np.sqrt(1 / (toxic + SMOOTH) + 1 / (n1 - toxic + SMOOTH) + 1 / (clean + SMOOTH) + 1 / (n0 - clean + SMOOTH))
-    surely = odds - BOUND * error
-    weights = np.where((gain >= CLEAR) & (surely >= LEAST), surely, 0).astype(np.float32)
+        return weights
+    for i in range(0, CLASSES, SLICE):
+        clean, toxic = (acc[at:at + SLICE].astype(np.float64) for at in (i, CLASSES + i))
+        p0, p1, p = (clean + SMOOTH) / (n0 + 2 * SMOOTH), (toxic + SMOOTH) / (n1 + 2 * SMOOTH), (clean + toxic + SMOOTH) / (n0 + n1 + 2 * SMOOTH)
+        gain = 2 * (toxic * np.log(p1 / p) + clean * np.log(p0 / p) + (n1 - toxic) * np.log((1 - p1) / (1 - p)) + (n0 - clean) * np.log((1 - p0) / (1 - p)))
+        odds = np.log(p1 / (1 - p1)) - np.log(p0 / (1 - p0))
+        error = np.sqrt(1 / (toxic + SMOOTH) + 1 / (n1 - toxic + SMOOTH) + 1 / (clean + SMOOTH) + 1 / (n0 - clean + SMOOTH))
+        surely = odds - BOUND * error
+        weights[i:i + SLICE] = np.where((gain >= CLEAR) & (surely >= LEAST), surely, 0)
     weights[0] = 0
     return weights
 

@@ -329,6 +329,7 @@ def word_evidence(docs: DataFrame, known: DataFrame, model, *, id_col: str, text
             yield arrow_batch({"chunk": [c for c, _ in rows], "blob": [x for _, x in rows]}, pa.schema([("chunk", pa.int32()), ("blob", pa.binary())]))
 
     found = src.mapInArrow(words, f"doc_id {docs.schema[id_col].dataType.simpleString()}, classes binary")
+    found = found.hint("merge")  # with few labels too: a broadcast would put both steps in one task, which then holds two Python workers
     acc = merged_counters(labelled(found, known, "label").select("classes", "label").mapInArrow(counts, COUNTER_SCHEMA), 2 * CLASSES + (1 << 16), np.int32)
     wanted.destroy()
     return class_weights(acc)
